@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import simhash
+from quire.llm import bpe, simhash
 from quire.llm._spark import documents
 
 QUERIES = {}
@@ -25,3 +25,10 @@ def query(name: str, oracle: str | None = None):
 def op6(spark, sf_dir):
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op7_sentencepiece_bpe")
+def op7(spark, sf_dir):
+    import public_tokenizers
+
+    return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
