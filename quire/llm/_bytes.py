@@ -98,17 +98,23 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return spans(~SPACE[data], offsets)
 
 
+class Hasher:
+    """64-bit hashes of byte spans, after mapping each byte by the table; the prefix sums serve any number of span sets."""
+
+    def __init__(self, data: np.ndarray, table: np.ndarray = LOWER):
+        self.total = np.empty(len(data) + 1, np.uint64)
+        self.total[0] = 0
+        part = table[data].astype(np.uint64)
+        part += np.uint64(1)
+        part *= _power_table("up", len(data))
+        np.cumsum(part, out=self.total[1:])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.total[ends] - self.total[starts]) * _power_table("down", len(self.total))[starts])
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = LOWER) -> np.ndarray:
-    """64-bit hashes of byte spans, after mapping each byte by the table."""
-    if len(starts) == 0:
-        return np.zeros(0, np.uint64)
-    total = np.empty(len(data) + 1, np.uint64)
-    total[0] = 0
-    part = table[data].astype(np.uint64)
-    part += np.uint64(1)
-    part *= _power_table("up", len(data))
-    np.cumsum(part, out=total[1:])
-    return mix((total[ends] - total[starts]) * _power_table("down", len(data) + 1)[starts])
+    return Hasher(data, table).of(starts, ends)
 
 
 def hash_one(word: bytes, table: np.ndarray = LOWER) -> int:

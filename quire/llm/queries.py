@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, simhash
+from quire.llm import bpe, simhash, toxicity
 from quire.llm._spark import documents
 
 QUERIES = {}
@@ -32,3 +32,11 @@ def op7(spark, sf_dir):
     import public_tokenizers
 
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op8_crf_toxicity")
+def op8(spark, sf_dir):
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels, toxicity.not_in_fold))
+    held_out = ~toxicity.not_in_fold(F.col("doc_id"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_toxic_spans"))
