@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, simhash, toxicity
+from quire.llm import bpe, rules, simhash, toxicity
 from quire.llm._spark import documents
 
 QUERIES = {}
@@ -40,3 +40,37 @@ def op8(spark, sf_dir):
     scored = toxicity.score(docs, toxicity.fit(docs, labels, toxicity.not_in_fold))
     held_out = ~toxicity.not_in_fold(F.col("doc_id"))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_toxic_spans"))
+
+
+OP9_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM w WHERE len(w) >= 5)),
+p AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+c AS (SELECT doc_id, CAST(sum(least(5, d)) AS BIGINT) AS n_repeat_words
+      FROM (SELECT doc_id, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 5) AS d FROM p) GROUP BY doc_id),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+        CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+        CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+        CAST(length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS BIGINT) AS n_upper,
+        CAST(length(t) - length(regexp_replace(t, '[a-z]', '', 'g')) AS BIGINT) AS n_lower,
+        CAST(length(t) - length(replace(t, '!', '')) AS BIGINT) AS n_bangs,
+        coalesce(n_repeat_words, 0) AS n_repeat_words
+      FROM w LEFT JOIN c USING (doc_id)),
+b AS (SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END)
+        + (CASE WHEN 100 * n_symbols > 10 * n_words THEN 4 ELSE 0 END) + (CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END)
+        + (CASE WHEN n_upper > n_lower THEN 16 ELSE 0 END) + (CASE WHEN 100 * n_bangs > 30 * n_words THEN 32 ELSE 0 END)
+        + (CASE WHEN word_chars < 2 * n_words THEN 64 ELSE 0 END) + (CASE WHEN word_chars > 20 * n_words THEN 128 ELSE 0 END) AS bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (bits & 3) <> 0 AS base_failed, bits = 0 AS kept, CAST(bits AS BIGINT) AS fail_bits FROM b
+"""
+
+
+@query("op9_rule_ledger", OP9_SQL)
+def op9(spark, sf_dir):
+    policies = rules.Policies()
+    found = rules.ledger(documents(spark, sf_dir))
+    base_failed = F.col("fail_bits").bitwiseAND(F.lit(rules.mask("few_words", "repeated_words"))) != 0
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & policies.keeps()).alias("kept"), "fail_bits")
