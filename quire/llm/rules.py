@@ -31,31 +31,49 @@ def _count(text: Column, characters: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body uses it and wherever the optimiser moves the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _repeated(words: Column) -> Column:
+    """The number of words inside windows that the text has twice or more."""
+
+    def hashed() -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]))
+
+    def places(g: Column) -> Column:
+        ordered = F.sort_array(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return _let(ordered, lambda s: F.sort_array(F.transform(F.filter(s, lambda e, i: (e["h"] == F.get(s, i - 1)["h"]) | (e["h"] == F.get(s, i + 1)["h"])), lambda e: e["i"])))
+
+    def covered(p: Column) -> Column:
+        gaps = F.transform(p, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(p, k + 1) - x, F.lit(WINDOW))))
+        return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    none = F.lit(0).cast("long")
+    found = _let(hashed(), lambda g: F.when(F.size(F.array_distinct(g)) < F.size(g), _let(places(g), covered)).otherwise(none))
+    return F.when(F.size(words) >= WINDOW, found).otherwise(none)
+
+
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id and the measurements of each whole text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"))
+    words = F.array_remove(F.split("t", "[\\x20\\x09-\\x0D]+"), "")
     lines = F.filter(F.split("t", "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
-    rows = rows.select("doc_id", "t", F.array_remove(F.split("t", "[\\x20\\x09-\\x0D]+"), "").alias("w"), lines.alias("ls"))
-    counts = {
-        "n_words": F.size("w").cast("long"),
-        "word_chars": F.length(F.translate("t", BLANKS, "")).cast("long"),
-        "n_symbols": _count(F.col("t"), SYMBOLS),
-        "n_lines": F.size("ls").cast("long"),
-        "n_dup_lines": (F.size("ls") - F.size(F.array_distinct("ls"))).cast("long"),
-        "n_upper": _count(F.col("t"), UPPER),
-        "n_lower": _count(F.col("t"), LOWER),
-        "n_bangs": _count(F.col("t"), "!"),
-    }
-    window = F.transform(F.sequence(F.lit(0), F.size("w") - WINDOW), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(WINDOW)]))
-    rows = rows.select("doc_id", *[c.alias(n) for n, c in counts.items()], F.when(F.size("w") >= WINDOW, window).alias("g"))
-    repeated = F.size(F.array_distinct("g")) < F.size("g")
-    placed = F.sort_array(F.transform("g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    rows = rows.select("doc_id", *counts, F.when(repeated, placed).alias("s"))
-    again = F.filter("s", lambda e, i: (e["h"] == F.get("s", i - 1)["h"]) | (e["h"] == F.get("s", i + 1)["h"]))
-    rows = rows.select("doc_id", *counts, F.sort_array(F.transform(again, lambda e: e["i"])).alias("p"))
-    covered = F.transform("p", lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get("p", k + 1) - x, F.lit(WINDOW))))
-    return rows.select("doc_id", *counts, F.coalesce(F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long")).alias("n_repeat_words"))
+    of_words = _let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeated(w).alias("n_repeat_words")))
+    of_lines = _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"))
+    rows = rows.select(
+        "doc_id",
+        F.length(F.translate("t", BLANKS, "")).cast("long").alias("word_chars"),
+        _count(F.col("t"), SYMBOLS).alias("n_symbols"),
+        _count(F.col("t"), UPPER).alias("n_upper"),
+        _count(F.col("t"), LOWER).alias("n_lower"),
+        _count(F.col("t"), "!").alias("n_bangs"),
+        of_words.alias("of_words"),
+        of_lines.alias("of_lines"),
+    )
+    return rows.select("doc_id", "of_words.n_words", "word_chars", "n_symbols", "of_lines.n_lines", "of_lines.n_dup_lines", "n_upper", "n_lower", "n_bangs", "of_words.n_repeat_words")
 
 
 @dataclass(frozen=True)
