@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, rules, simhash, toxicity
+from quire.llm import bpe, rules, simhash, templates, toxicity
 from quire.llm._spark import documents
 
 QUERIES = {}
@@ -74,3 +74,33 @@ def op9(spark, sf_dir):
     found = rules.ledger(documents(spark, sf_dir))
     base_failed = F.col("fail_bits").bitwiseAND(F.lit(rules.mask("few_words", "repeated_words"))) != 0
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & policies.keeps()).alias("kept"), "fail_bits")
+
+
+OP3_SQL = r"""
+WITH l AS (SELECT doc_id, CAST(pos - 1 AS BIGINT) AS number, line FROM
+             (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
+k AS (SELECT doc_id, number, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM l),
+m AS (SELECT doc_id, number, w, len(w) AS size, array_to_string(w, ' ') AS line, concat(len(w), ' ', array_to_string(w[1:3], ' ')) AS leaf FROM k WHERE len(w) >= 3),
+d AS (SELECT DISTINCT leaf, line, size, w FROM m WHERE size > 3),
+f AS (SELECT leaf, count(*) AS lines FROM d GROUP BY leaf HAVING count(*) > 1),
+t AS (SELECT leaf, line, size, lines, unnest(w[4:]) AS token, generate_subscripts(w[4:], 1) AS place FROM d JOIN f USING (leaf)),
+c AS (SELECT leaf, place, token FROM t GROUP BY leaf, place, token HAVING 2 * count(*) > max(lines)),
+g AS (SELECT leaf, line FROM t JOIN c USING (leaf, place, token) GROUP BY leaf, line, size HAVING 10 * count(*) >= 7 * (size - 3)),
+n AS (SELECT doc_id, number, size, CASE WHEN g.line IS NULL THEN concat('line ', m.line) ELSE concat('leaf ', m.leaf) END AS template
+      FROM m LEFT JOIN g ON m.line = g.line AND m.leaf = g.leaf),
+r AS (SELECT template, min(doc_id) AS first FROM n GROUP BY template HAVING count(DISTINCT doc_id) >= CASE WHEN max(size) < 10 THEN 5 ELSE 2 END),
+x AS (SELECT doc_id, number FROM n JOIN r USING (template) WHERE doc_id <> first),
+s AS (SELECT doc_id, count(*) AS n_lines, count(x.number) AS n_dropped,
+        coalesce(string_agg(CASE WHEN x.number IS NULL THEN line END, chr(10) ORDER BY l.number), '') AS kept,
+        coalesce(string_agg(CAST(x.number AS VARCHAR), ',' ORDER BY l.number), '') AS dropped
+      FROM l LEFT JOIN x USING (doc_id, number) GROUP BY doc_id)
+SELECT doc_id, n_lines, n_dropped, dropped, CAST(length(kept) AS BIGINT) AS kept_chars, sha256(kept) AS kept_sha256 FROM s
+"""
+
+
+@query("op3_template_lines", OP3_SQL)
+def op3(spark, sf_dir):
+    found = templates.line_report(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"), F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256")
+    )
