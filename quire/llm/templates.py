@@ -139,9 +139,9 @@ def recurring_lines(docs: DataFrame, min_docs: int = 2, short_docs: int = 5, lon
 def _marked(docs: DataFrame, **settings) -> tuple[DataFrame, str]:
     """docs with the line numbers that are to be dropped, and that column's name."""
     keyed = _keyed(docs)
-    drops = recurring_lines(docs, **settings)
-    joined = keyed.join(drops, (keyed["__ord"] == drops["ord"]) & (keyed["__rid"] == drops["rid"]), "left").drop("ord", "rid", "__ord", "__rid")
-    return joined.withColumnRenamed("numbers", "__drop"), "__drop"
+    drops = recurring_lines(docs, **settings).select(F.col("ord").alias("__o"), F.col("rid").alias("__r"), F.col("numbers").alias("__drop"))
+    joined = keyed.join(drops, (keyed["__ord"] == drops["__o"]) & (keyed["__rid"] == drops["__r"]), "left")
+    return joined.drop("__ord", "__rid", "__o", "__r"), "__drop"
 
 
 def line_report(docs: DataFrame, **settings) -> DataFrame:
