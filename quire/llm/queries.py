@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, rules, simhash, templates, toxicity
+from quire.llm import bpe, latent, rules, simhash, templates, toxicity
 from quire.llm._spark import documents
 
 QUERIES = {}
@@ -104,3 +104,8 @@ def op3(spark, sf_dir):
     return found.select(
         "doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"), F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256")
     )
+
+
+@query("op1_latent_decontamination")
+def op1(spark, sf_dir):
+    return latent.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
