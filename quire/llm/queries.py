@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, latent, rules, simhash, templates, toxicity
+from quire.llm import bpe, latent, resharding, rules, simhash, templates, toxicity
 from quire.llm._spark import documents
 
 QUERIES = {}
@@ -109,3 +109,12 @@ def op3(spark, sf_dir):
 @query("op1_latent_decontamination")
 def op1(spark, sf_dir):
     return latent.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op2_mincost_resharding")
+def op2(spark, sf_dir):
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    old = F.pmod(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)), F.lit(6)).cast("int")
+    rows = documents(spark, sf_dir).select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), old.alias("old_shard"))
+    placed = resharding.reshard(rows, "size", "old_shard", 6, 8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
