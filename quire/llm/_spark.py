@@ -48,3 +48,37 @@ def sum_arrays(parts: DataFrame, shape: tuple[int, ...], fan: int = 8) -> np.nda
     for row in few.toLocalIterator():
         out += np.frombuffer(row.part, np.float64).reshape(shape)
     return out
+
+
+def bit_filter(hashes: DataFrame, bits: int = 25, fan: int = 8) -> np.ndarray:
+    """A bit set of a fixed 2^bits bits of the long column `h`; it passes every hash it was given, and few others while it isn't full."""
+
+    def place(h: np.ndarray) -> np.ndarray:
+        return h.view(np.uint64) >> np.uint64(64 - bits)
+
+    def fill(batches):
+        flags = np.zeros(1 << bits, bool)
+        for batch in batches:
+            flags[place(batch.column(0).to_numpy(zero_copy_only=False))] = True
+        yield pa.RecordBatch.from_pydict({"part": [np.packbits(flags).tobytes()]})
+
+    def join(batches):
+        total = None
+        for batch in batches:
+            for value in batch.column(0):
+                part = np.frombuffer(value.as_buffer(), np.uint8)
+                total = part.copy() if total is None else total | part
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"part": [total.tobytes()]})
+
+    out = np.zeros(1 << bits - 3, np.uint8)
+    for row in hashes.select("h").mapInArrow(fill, "part binary").repartition(fan).mapInArrow(join, "part binary").toLocalIterator():
+        out |= np.frombuffer(row.part, np.uint8)
+    return out
+
+
+def passes(filter_bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the uint64 hashes pass a bit filter."""
+    bits = int(len(filter_bits) * 8).bit_length() - 1
+    at = h >> np.uint64(64 - bits)
+    return (filter_bits[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & np.uint8(1) == 1

@@ -26,12 +26,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import _bytes as B
-from quire.llm._spark import checkpoint
+from quire.llm._spark import bit_filter, checkpoint, passes
 
 DEPTH = 3
 _WILD = np.uint64(0x5851F42D4C957F2D)
@@ -89,41 +88,34 @@ def read_lines(keyed: DataFrame, min_tokens: int) -> DataFrame:
     return rows.mapInArrow(run, "ord long, rid long, number long, size long, leaf long, line long")
 
 
-def spell(keyed: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(leaf, line, lines, size, place, token) of the chosen lines (ord, rid, number, leaf, line, lines), after the leading tokens."""
-    wanted = chosen.groupBy("ord", "rid").agg(F.collect_list(F.struct("number", "leaf", "line", "lines")).alias("wanted"))
-    rows = keyed.select("__ord", "__rid", F.col("text").cast("string").alias("text"))
-    rows = rows.join(wanted, (rows["__ord"] == wanted["ord"]) & (rows["__rid"] == wanted["rid"])).select("text", "wanted")
+def spell(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(leaf, line, lines, size, place, token) of the chosen lines (leaf, line, lines), after the leading tokens.
+
+    Texts aren't shuffled: a bit filter of the chosen lines passes through every text, and what passes is joined.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(chosen.select(F.col("line").alias("h"))))
 
     def run(batches):
-        for batch, data, offsets in B.slices(batches, "text"):
+        for _, data, offsets in B.slices(batches, "text"):
             x = _Lines(data, offsets)
-            lists = batch.column(1)
-            of = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))
-            asked = lists.flatten()
-            number, leaf, line, lines = (asked.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-            width = int(max(x.number.max(initial=0), number.max(initial=0))) + 1
-            at = np.searchsorted(x.text * width + x.number, of * width + number)
-            size = x.size[at]
-            rest = size - DEPTH
-            token = B.ragged(x.start[at] + DEPTH, rest)
-            place = B.ragged(np.zeros(len(rest), np.int64), rest)
-            arrays = [*(pa.array(np.repeat(v, rest)) for v in (leaf, line, lines, size)), pa.array(place), pa.array(x.tokens[token].view(np.int64))]
-            yield pa.RecordBatch.from_arrays(arrays, ["leaf", "line", "lines", "size", "place", "token"])
-
-    return rows.mapInArrow(run, "leaf long, line long, lines long, size long, place long, token long")
+            at = np.flatnonzero((x.size > DEPTH) & passes(shared.value, x.line))
+            at = at[np.unique(x.line[at], return_index=True)[1]]
+            rest = x.size[at] - DEPTH
+            tokens = pa.ListArray.from_arrays(pa.array(B.runs_of(rest), pa.int32()), pa.array(x.tokens[B.ragged(x.start[at] + DEPTH, rest)].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(x.line[at].view(np.int64)), tokens], ["line", "tokens"])
+
+    lines = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "line long, tokens array<long>").groupBy("line").agg(F.first("tokens").alias("tokens"))
+    return lines.join(chosen, "line").select("leaf", "line", "lines", (F.size("tokens") + DEPTH).alias("size"), F.posexplode("tokens").alias("place", "token"))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = 2, short_docs: int = 5, long_tokens: int = 10, min_tokens: int = 3, agree: int = 7) -> DataFrame:
     """(ord, rid, numbers): for each document, by its key, the line numbers (from 0) that are to be dropped."""
     keyed = _keyed(docs)
     lines = checkpoint(read_lines(keyed, min_tokens))
-    distinct = lines.groupBy("leaf", "line").agg(F.min(F.struct("ord", "rid", "number")).alias("at"), F.first("size").alias("size")).where(F.col("size") > DEPTH)
+    distinct = lines.groupBy("leaf", "line").agg(F.first("size").alias("size")).where(F.col("size") > DEPTH)
     full = distinct.groupBy("leaf").agg(F.count("*").alias("lines")).where("lines > 1")
-    chosen = distinct.join(full, "leaf").select("at.ord", "at.rid", "at.number", "leaf", "line", "lines")
-    # repeated rows of a document give its lines twice
-    tokens = spell(keyed, chosen).groupBy("leaf", "line", "lines", "size", "place", "token").agg(F.lit(1).alias("one")).drop("one")
-    tokens = checkpoint(tokens)
+    chosen = distinct.join(full, "leaf").select("leaf", "line", "lines")
+    tokens = checkpoint(spell(docs, chosen))
     constants = tokens.groupBy("leaf", "place", "token").agg(F.count("*").alias("n"), F.first("lines").alias("lines")).where("2 * n > lines").select("leaf", "place", "token")
     same = tokens.join(constants, ["leaf", "place", "token"]).groupBy("leaf", "line", "size").agg(F.count("*").alias("n"))
     general = checkpoint(same.where((F.lit(10) * F.col("n") >= F.lit(agree) * (F.col("size") - DEPTH))).select("line", F.lit(True).alias("general")))
@@ -132,6 +124,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = 2, short_docs: int = 5, lon
     held = named.groupBy("template", "ord", "rid").agg(F.first("size").alias("size"))
     counted = held.groupBy("template").agg(F.count("*").alias("n"), F.min(F.struct("ord", "rid")).alias("first"), F.first("size").alias("size"))
     recurring = counted.where(F.col("n") >= F.when(F.col("size") < long_tokens, short_docs).otherwise(min_docs)).select("template", "first")
+    recurring = checkpoint(recurring)  # a join of two plain shuffles, of which a frequent template's can be split
     dropped = named.join(recurring, "template").where((F.col("ord") != F.col("first.ord")) | (F.col("rid") != F.col("first.rid")))
     return dropped.groupBy("ord", "rid").agg(F.collect_set("number").alias("numbers"))
 
