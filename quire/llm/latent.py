@@ -37,6 +37,9 @@ BLOCK_ITEMS = 256
 BLOCKS_A_PASS = 4
 RUN = 16
 LEAST_WORDS = 8
+LEAST_INFORMATIVE = 4
+#: Words of more than this share of the documents weigh nothing.
+MOST_COMMON = 0.2
 SLICE = 1 << 19
 #: Words are stripped of what is neither an ASCII letter or digit nor a byte of another character.
 _INSIDE = np.zeros(256, bool)
@@ -62,8 +65,10 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, float]:
         for _, data, offsets in B.slices(batches, "text"):
             h, ptr = _words(data, offsets)
             doc = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
-            pairs = np.unique(doc << FEATURE_BITS | _feature(h))
-            total[:-1] += np.bincount(pairs & ((1 << FEATURE_BITS) - 1), minlength=size - 1)
+            pairs = doc << FEATURE_BITS | _feature(h)
+            if len(ptr) <= 1 << 32 - FEATURE_BITS:  # half as wide, and sorted much faster
+                pairs = pairs.astype(np.uint32)
+            total[:-1] += np.bincount(np.unique(pairs) & ((1 << FEATURE_BITS) - 1), minlength=size - 1)
             total[-1] += len(ptr) - 1
         yield pa.RecordBatch.from_pydict({"part": [total.tobytes()]})
 
@@ -71,6 +76,11 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, float]:
     return counts[:-1], counts[-1]
 
 
+def inverse_frequencies(seen: np.ndarray, n: float) -> np.ndarray:
+    """Weights of the features: none for those in more than MOST_COMMON of all documents, of which there are 10 at least."""
+    return np.where(seen > max(10.0, MOST_COMMON * n), 0.0, np.log((n + 1) / (seen + 1)) + 0.1)
+
+
 def randomised_svd(columns: np.ndarray, values: np.ndarray, rows: np.ndarray, n_rows: int, rank: int, seed: int = 7, more: int = 16, powers: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """(places, basis) of the leading right singular vectors of a sparse matrix; basis has a row for each column in use."""
     places, column = np.unique(columns, return_inverse=True)
@@ -106,7 +116,13 @@ class Block:
         self.sizes = np.diff(ptr)
         rows, columns = np.repeat(np.arange(n), self.sizes), _feature(h)
         values = idf[columns]
-        norms = np.sqrt(np.bincount(rows, values**2, n))
+        norms = np.maximum(1e-9, np.sqrt(np.bincount(rows, values**2, n)))
+        #: Items with fewer than LEAST_INFORMATIVE words that weigh anything.
+        self.plain = np.bincount(rows, values > 0, n) < LEAST_INFORMATIVE
+        use = values > 0
+        if not use.any():
+            use[:1] = True
+        rows, columns, values = rows[use], columns[use], values[use]
         places, basis = randomised_svd(columns, values / norms[rows], rows, n, BLOCK_ITEMS)
         self.place = np.full(1 << FEATURE_BITS, -1, np.int32)
         self.place[places] = np.arange(len(places))
@@ -129,14 +145,23 @@ def _masks(words: np.ndarray) -> dict[int, int]:
 def common_subsequence(masks: dict[int, int], size: int, words: list[int]) -> int:
     """Length of the longest common subsequence of an item, by its bit masks of places, with some words."""
     whole = (1 << size) - 1
-    state = whole
-    for w in words:
-        if m := masks.get(w):
-            u = state & m
-            state = ((state + u) | (state - u)) & whole
+    state, find = whole, masks.get
+    for m in [m for w in words if (m := find(w))]:
+        u = state & m
+        state = ((state + u) | (state - u)) & whole
     return size - state.bit_count()
 
 
+def _sum_runs(basis: np.ndarray, place: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the basis rows of each run; a run has RUN hits at most, so they are added in RUN rounds over whole rows."""
+    counts = np.diff(np.append(first, len(place)))
+    out = basis[place[first]]
+    for k in range(1, int(counts.max(initial=0))):
+        more = np.flatnonzero(counts > k)
+        out[more] += basis[place[first[more] + k]]
+    return out
+
+
 class Search:
     """Blocks with the settings of a search; search() finds the leaked items of a slice of texts."""
 
@@ -145,7 +170,11 @@ class Search:
         self.least_cosine, self.copied, self.paraphrased, self.answer_words = least_cosine, copied, paraphrased, answer_words
 
     def candidates(self, h: np.ndarray, ptr: np.ndarray):
-        """For each block: (block, window's first word, its end, item, cosine, text) of the windows above the least cosine."""
+        """For each block: (block, window's first word, its end, item, cosine, text) of the windows at or above the least cosine.
+
+        If a window of w runs has a cosine of c, then one of its runs has c / sqrt(w) or more (Cauchy-Schwarz over
+        the runs' lengths), so windows are summed only around such runs.
+        """
         f = _feature(h)
         counts = np.diff(ptr)
         runs = -(-counts // RUN)
@@ -155,24 +184,45 @@ class Search:
         if not len(begin):
             return
         weights = np.concatenate([[0.0], np.cumsum(self.idf[f].astype(float) ** 2)])
+        lengths = np.sqrt(np.maximum(1e-9, weights[np.append(begin[1:], len(h))] - weights[begin]))
         for block in self.blocks:
             place = block.place[f]
             hit = np.flatnonzero(place >= 0)
-            vectors = np.zeros((len(begin), block.basis.shape[1]), np.float32)
-            if len(hit):
-                run = np.searchsorted(begin, hit, "right") - 1
-                full, first = np.unique(run, return_index=True)
-                vectors[full] = np.add.reduceat(block.basis[place[hit]], first, axis=0)
-            dots = np.zeros((len(begin) + 1, len(block.ids)))
-            np.cumsum(vectors @ block.items.T, axis=0, out=dots[1:])
-            for size in np.unique(block.runs):
-                which = np.flatnonzero(block.runs == size)
-                end = np.minimum(np.arange(len(begin)) + size, of[text + 1])
-                stop = np.minimum(begin + size * RUN, ptr[text + 1])
-                norm = np.sqrt(np.maximum(1e-9, weights[stop] - weights[begin]))
-                cosine = (dots[end][:, which] - dots[:-1][:, which]) / norm[:, None]
-                at, item = np.nonzero(cosine >= self.least_cosine)
-                yield block, begin[at], stop[at], which[item], cosine[at, item], text[at]
+            run = np.searchsorted(begin, hit, "right") - 1
+            full, first = np.unique(run, return_index=True)
+            dots = np.zeros((0, len(block.ids)), np.float32)
+            if len(full):
+                dots = _sum_runs(block.basis, place[hit], first) @ block.items.T
+            row = np.full(len(begin) + 1, len(full))
+            row[full] = np.arange(len(full))
+            dots = np.vstack([dots, np.zeros((1, dots.shape[1]), np.float32)])  # the last row is that of runs without a hit
+            least = (self.least_cosine / np.sqrt(block.runs)).astype(np.float32)
+            seed, item = np.nonzero(dots[:-1] >= lengths[full, None].astype(np.float32) * least)
+            starts, items = [], []
+            if len(seed):
+                back = block.runs[item]
+                starts.append(B.ragged(full[seed] - back + 1, back))
+                items.append(np.repeat(item, back))
+            for i in np.flatnonzero(block.plain):  # too few informative words to be found by cosine: every window is checked
+                starts.append(np.arange(len(begin)))
+                items.append(np.full(len(begin), i))
+            if not starts:
+                continue
+            start, item = np.concatenate(starts), np.concatenate(items)
+            good = start >= 0
+            start, item = start[good], item[good]
+            pair = np.unique(start * len(block.ids) + item)
+            start, item = pair // len(block.ids), pair % len(block.ids)
+            size = block.runs[item]
+            end = np.minimum(start + size, of[text[start] + 1])
+            total = np.zeros(len(start), np.float64)
+            for k in range(int(size.max(initial=0))):
+                inside = start + k < end
+                total += np.where(inside, dots[row[np.minimum(start + k, len(begin))], item], 0.0)
+            stop = np.minimum(begin[start] + size * RUN, ptr[text[start] + 1])
+            cosine = total / np.sqrt(np.maximum(1e-9, weights[stop] - weights[begin[start]]))
+            near = (cosine >= self.least_cosine) | block.plain[item]
+            yield block, begin[start[near]], stop[near], item[near], cosine[near], text[start[near]]
 
     def search(self, data: np.ndarray, offsets: np.ndarray):
         """The best window of each text and leaked item: (text, item_id, common, item words, cosine, answer found, first word)."""
@@ -196,7 +246,7 @@ class Search:
 def _searches(docs: DataFrame, benchmark: DataFrame, least_cosine: float, copied: float, paraphrased: float, answer_words: int):
     """A Search for each pass over the documents, made from a bounded number of items at a time."""
     seen, n = document_frequencies(docs)
-    idf = np.log((n + 1) / (seen + 1)) + 0.1
+    idf = inverse_frequencies(seen, n)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(idf)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -80,13 +80,15 @@ def test_candidate_recall_against_brute_force():
     got = {(int(a), int(i)) for _, begin, _, item, _, _ in search.candidates(h, ptr) for a, i in zip(begin, item)}
     f = L._feature(h)
     want = set()
+    queries = []
+    for words in block.words:
+        q = np.zeros(1 << L.FEATURE_BITS)
+        np.add.at(q, L._feature(words), idf[L._feature(words)])
+        queries.append(q / np.linalg.norm(q))
     for t in range(len(ptr) - 1):
         for a in range(ptr[t], ptr[t + 1], L.RUN):
-            for i, words in enumerate(block.words):
+            for i, q in enumerate(queries):
                 window = f[a : min(a + int(block.runs[i]) * L.RUN, ptr[t + 1])]
-                q = np.zeros(1 << L.FEATURE_BITS)
-                np.add.at(q, L._feature(words), idf[L._feature(words)])
-                dot = (idf[window] * q[window]).sum() / np.linalg.norm(q) / np.sqrt((idf[window] ** 2).sum())
-                if dot >= 0.3:
+                if (idf[window] * q[window]).sum() / np.sqrt((idf[window] ** 2).sum()) >= 0.3:
                     want.add((int(a), i))
     assert len(want) > 50 and len(want & got) >= 0.9 * len(want), (len(want), len(got), len(want & got))
