@@ -89,7 +89,7 @@ def read_lines(keyed: DataFrame, min_tokens: int) -> DataFrame:
 
 
 def spell(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(leaf, line, lines, size, place, token) of the chosen lines (leaf, line, lines), after the leading tokens.
+    """(leaf, line, lines, tokens) of the chosen lines (leaf, line, lines), tokens being those after the leading ones.
 
     Texts aren't shuffled: a bit filter of the chosen lines passes through every text, and what passes is joined.
     """
@@ -105,7 +105,20 @@ def spell(docs: DataFrame, chosen: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x.line[at].view(np.int64)), tokens], ["line", "tokens"])
 
     lines = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "line long, tokens array<long>").groupBy("line").agg(F.first("tokens").alias("tokens"))
-    return lines.join(chosen, "line").select("leaf", "line", "lines", (F.size("tokens") + DEPTH).alias("size"), F.posexplode("tokens").alias("place", "token"))
+    return lines.join(chosen, "line").select("leaf", "line", "lines", "tokens")
+
+
+def generalised(spelled: DataFrame, agree: int, part: int = 500) -> DataFrame:
+    """(line) of the spelled lines that agree with their leaf's constants in `agree` tenths of their tokens.
+
+    A leaf's lines are dealt out in parts of about `part` lines, in which tokens are counted by place before
+    the counts are shuffled; a leaf's constants are one token for each place at most.
+    """
+    salt = F.pmod(F.col("line"), F.ceil(F.col("lines") / part))
+    votes = spelled.repartition("leaf", salt).select("leaf", "lines", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.count("*").alias("n"), F.first("lines").alias("lines"))
+    constants = votes.where("2 * n > lines").groupBy("leaf").agg(F.collect_list(F.struct("place", "token")).alias("constants"))
+    same = F.size(F.filter("constants", lambda c: F.get("tokens", c["place"]) == c["token"]))
+    return spelled.join(constants, "leaf").where(F.lit(10) * same >= F.lit(agree) * F.size("tokens")).select("line")
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = 2, short_docs: int = 5, long_tokens: int = 10, min_tokens: int = 3, agree: int = 7) -> DataFrame:
@@ -115,10 +128,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = 2, short_docs: int = 5, lon
     distinct = lines.groupBy("leaf", "line").agg(F.first("size").alias("size")).where(F.col("size") > DEPTH)
     full = distinct.groupBy("leaf").agg(F.count("*").alias("lines")).where("lines > 1")
     chosen = distinct.join(full, "leaf").select("leaf", "line", "lines")
-    tokens = checkpoint(spell(docs, chosen))
-    constants = tokens.groupBy("leaf", "place", "token").agg(F.count("*").alias("n"), F.first("lines").alias("lines")).where("2 * n > lines").select("leaf", "place", "token")
-    same = tokens.join(constants, ["leaf", "place", "token"]).groupBy("leaf", "line", "size").agg(F.count("*").alias("n"))
-    general = checkpoint(same.where((F.lit(10) * F.col("n") >= F.lit(agree) * (F.col("size") - DEPTH))).select("line", F.lit(True).alias("general")))
+    general = checkpoint(generalised(checkpoint(spell(docs, chosen)), agree)).withColumn("general", F.lit(True))
     named = lines.join(general, "line", "left").withColumn("template", F.when(F.col("general"), F.xxhash64("leaf")).otherwise(F.col("line")))
     named = checkpoint(named.select("ord", "rid", "number", "size", "template"))
     held = named.groupBy("template", "ord", "rid").agg(F.first("size").alias("size"))
