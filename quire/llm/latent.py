@@ -254,7 +254,7 @@ def _searches(docs: DataFrame, benchmark: DataFrame, least_cosine: float, copied
     # by hash, a block gets about half of what it may hold; fuller ones are cut again inside the task
     blocks = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)).cast("int"))
 
-    def fit(table: pa.Table) -> pa.Table:
+    def fit(table):
         import pickle
 
         pairs = sorted(zip(table.column("item_id").to_pylist(), table.column("text").to_pylist(), strict=True), key=str)

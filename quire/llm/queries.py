@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chat, latent, resharding, rules, simhash, templates, toxicity, weak
+from quire.llm import bpe, chat, context_tree, latent, resharding, rules, simhash, templates, toxicity, weak
 from quire.llm._spark import documents
 
 QUERIES = {}
@@ -143,3 +143,9 @@ def op5(spark, sf_dir):
 def op10(spark, sf_dir):
     docs = documents(spark, sf_dir)
     return weak.classify(docs, weak.fit(docs))
+
+
+@query("op4_context_tree")
+def op4(spark, sf_dir):
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return context_tree.score(documents(spark, sf_dir), held_out)
