@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quire.functions import clean, text
+from quire.functions import constants as K
+from quire.operators import dedupe, filters, lookup, ranks, series
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,3 +25,358 @@ def query(name: str, oracle: str | None = None):
         return build
 
     return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# The driver's tables have no books, so the operators run here on columns of like shape, with Latin words.
+NAME_WORDS = ("spam", "login", "casino")
+CONTENT_WORDS = ("cookie", "track(7)", "lorem")
+
+
+def _any(column: str, words) -> str:
+    return "(" + " OR ".join(f"contains(lower({column}), '{w}')" for w in words) + ")"
+
+
+@query(
+    "page_keyword_filter",
+    f"""WITH k AS (SELECT page_id, url, regexp_replace(lower(url), '[?#].*$', '') AS key FROM pages WHERE NOT {_any('url', NAME_WORDS)} AND NOT {_any('html', CONTENT_WORDS)})
+SELECT page_id, url FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY page_id) AS r FROM k) WHERE r = 1""",
+)
+def page_keyword_filter(spark, d):
+    """Junk words in name or content drop a page, the first page of an address stays, in page order (FI1, FI2, WI1, SO4)."""
+    clean = table(spark, d, "pages").where(~filters.junk_page(F.col("url"), F.col("html"), NAME_WORDS, CONTENT_WORDS)).select("page_id", "url")
+    return dedupe.first_wins(clean, F.regexp_replace(F.lower("url"), "[?#].*$", ""), ["page_id"]).orderBy("page_id")
+
+
+@query(
+    "last_item_rule",
+    """SELECT conv_id, turn, turn = max(turn) OVER (PARTITION BY conv_id) AND (contains(lower(text), 'thing') OR contains(lower(text), 'ou ')) AS tail_junk FROM conversations""",
+)
+def last_item_rule(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    return filters.tail_junk(rows, "conv_id", "turn", "text", ("thing", "ou ")).select("conv_id", "turn", "tail_junk")
+
+
+@query(
+    "leading_run_drop",
+    """WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, role <> 'assistant' AS hit FROM conversations),
+s AS (SELECT *, least(coalesce(min(CASE WHEN NOT hit THEN pos END) OVER (PARTITION BY conv_id), 4), 4) AS stop FROM t)
+SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos FROM s WHERE pos >= stop""",
+)
+def leading_run_drop(spark, d):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.row_number().over(w).alias("pos"), "role")
+    return filters.drop_leading_run(rows, "conv_id", "pos", F.col("role") != "assistant").select("conv_id", "turn", "pos")
+
+
+@query(
+    "href_extract_normalize",
+    r"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) AS ord FROM pages)
+SELECT page_id, CAST(ord AS INTEGER) AS ord, href, regexp_replace(href, '#.*$', '') AS path FROM h WHERE href NOT LIKE '%\%%'  ESCAPE '\' AND href LIKE '/%' AND href <> '/' AND href NOT LIKE '%/' AND href NOT LIKE '%//%' AND href NOT LIKE '%..%'""",
+)
+def href_extract_normalize(spark, d):
+    """Links of each page in document order, normalised (ST1, ST3, ST4)."""
+    hrefs = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
+    rows = table(spark, d, "pages").select("page_id", F.posexplode(hrefs).alias("ord", "href"))
+    rows = rows.where(~F.contains("href", F.lit("%")) & F.col("href").like("/%") & (F.col("href") != "/") & ~F.col("href").like("%/") & ~F.contains("href", F.lit("//")) & ~F.contains("href", F.lit("..")))
+    return rows.select("page_id", (F.col("ord") + 1).alias("ord"), "href", text.normal_path(F.col("href")).alias("path"))
+
+
+@query(
+    "url_title",
+    r"""SELECT page_id, CASE WHEN regexp_extract(url, '[?&]page=([^&#]+)', 1) <> '' THEN regexp_extract(url, '[?&]page=([^&#]+)', 1)
+ WHEN regexp_extract(url, '^[a-z]+://[^/]+/(?:en|fr|de|es)/([^?#]+)', 1) <> '' THEN regexp_extract(url, '^[a-z]+://[^/]+/(?:en|fr|de|es)/([^?#]+)', 1) END AS title FROM pages""",
+)
+def url_title(spark, d):
+    """A title from an address: a query field, else the path below a language (ST12's shape)."""
+    asked, path = F.regexp_extract("url", r"[?&]page=([^&#]+)", 1), F.regexp_extract("url", r"^[a-z]+://[^/]+/(?:en|fr|de|es)/([^?#]+)", 1)
+    return table(spark, d, "pages").select("page_id", F.when(asked != "", asked).when(path != "", path).alias("title"))
+
+
+@query(
+    "natural_order_rank",
+    r"""WITH k AS (SELECT page_id, list_transform(regexp_extract_all(lower(url), '([0-9]+|[^0-9]+)'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN concat('1', lpad(p, 30, '0')) ELSE concat('0', p) END) AS key FROM pages)
+SELECT page_id, CAST(row_number() OVER (ORDER BY key, page_id) AS INTEGER) AS rank FROM k""",
+)
+def natural_order_rank(spark, d):
+    """Places in natural order (SO1): ranks by sorted ranges, so no task sorts the whole table."""
+    keyed = table(spark, d, "pages").select("page_id", text.natural_key(F.col("url")).alias("key"))
+    return ranks.global_rank(keyed, ["key", "page_id"], "rank").select("page_id", F.col("rank").cast("int").alias("rank"))
+
+
+@query(
+    "first_wins_dedupe",
+    r"""WITH k AS (SELECT doc_id, lower(trim(regexp_replace(replace(text, '_', ' '), '[\s]+', ' ', 'g'))) AS key FROM documents)
+SELECT doc_id, md5(key) AS key_md5 FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS r FROM k) WHERE r = 1""",
+)
+def first_wins_dedupe(spark, d):
+    """The first document of each title-like key stays (WI1, ST32)."""
+    rows = table(spark, d, "documents").select("doc_id", F.md5(text.title_key(F.col("text"))).alias("key_md5"))
+    return dedupe.first_wins(rows, "key_md5", ["doc_id"])
+
+
+@query(
+    "text_match_key",
+    r"""SELECT doc_id, md5(lower(regexp_replace(text, '[^\p{L}\p{N}]+', '', 'g'))) AS key_md5 FROM documents""",
+)
+def text_match_key(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(text.letters_key(F.col("text"))).alias("key_md5"))
+
+
+CATEGORIES = {"license": ("licensed under", "all rights reserved"), "mail": ("@",), "secret": ("token =", "password"), "web": ("http://", "https://")}
+
+
+@query(
+    "category_hits_score",
+    f"""WITH h AS (SELECT doc_id, list_filter([{', '.join(f"CASE WHEN {_any('text', w)} THEN '{n}' END" for n, w in CATEGORIES.items())}], lambda x: x IS NOT NULL) AS hits, contains(lower(text), 'license') AS title FROM documents)
+SELECT doc_id, array_to_string(hits, ',') AS hits, CAST(4 * CAST(title AS INTEGER) + len(hits) AS INTEGER) AS score, len(hits) >= 2 OR (title AND len(hits) >= 1) AS decided FROM h""",
+)
+def category_hits_score(spark, d):
+    """Category hits and their score (AG10, FI16)."""
+    hits = filters.category_hits(F.col("text"), CATEGORIES)
+    title = F.contains(F.lower("text"), F.lit("license"))
+    rows = table(spark, d, "documents").select("doc_id", hits.alias("h"), title.alias("t"))
+    return rows.select("doc_id", F.array_join("h", ",").alias("hits"), (4 * F.col("t").cast("int") + F.size("h")).alias("score"), ((F.size("h") >= 2) | (F.col("t") & (F.size("h") >= 1))).alias("decided"))
+
+
+@query(
+    "pattern_vocab_map",
+    """SELECT p_partkey, array_to_string(list_filter([CASE WHEN regexp_matches(p_name, '(?i)ring|bolt') THEN 'fastener' END, CASE WHEN regexp_matches(p_name, '(?i)gear|widget') THEN 'drive' END,
+CASE WHEN regexp_matches(p_type, '(?i)^(small|economy)$') THEN 'low' END], lambda x: x IS NOT NULL), ',') AS terms, NOT regexp_matches(p_type, '(?i)^PROMO') AS is_content FROM part""",
+)
+def pattern_vocab_map(spark, d):
+    """Several terms of an ordered vocabulary for each row, and the maintenance filter (ST43, FI15)."""
+    rules = [("fastener", "p_name", "(?i)ring|bolt"), ("drive", "p_name", "(?i)gear|widget"), ("low", "p_type", "(?i)^(small|economy)$")]
+    terms = F.array_compact(F.array(*[F.when(F.col(c).rlike(p), F.lit(n)) for n, c, p in rules]))
+    return table(spark, d, "part").select("p_partkey", F.array_join(terms, ",").alias("terms"), (~F.col("p_type").rlike("(?i)^PROMO")).alias("is_content"))
+
+
+@query(
+    "ordered_number_extract",
+    r"""WITH n AS (SELECT page_id, coalesce(nullif(regexp_extract(url, 'page=([0-9]+)', 1), ''), nullif(regexp_extract(url, '/([0-9]+)(?:\.html)?(?:[?#/]|$)', 1), '')) AS n FROM pages)
+SELECT page_id, regexp_replace(n, '^0+([0-9])', '\1') AS number, CASE WHEN length(regexp_replace(n, '^0+([0-9])', '\1')) < 3 THEN lpad(regexp_replace(n, '^0+([0-9])', '\1'), 3, '0') ELSE regexp_replace(n, '^0+([0-9])', '\1') END AS padded FROM n""",
+)
+def ordered_number_extract(spark, d):
+    """The number of the first pattern that fits, canonical and padded (ST10, ST13, ST15)."""
+    number = text.first_number(F.col("url"), (r"page=([0-9]+)", r"/([0-9]+)(?:\.html)?(?:[?#/]|$)"))
+    return table(spark, d, "pages").select("page_id", number.alias("number"), text.padded_number(number).alias("padded"))
+
+
+@query(
+    "lookup_inner_ordered",
+    """SELECT l_orderkey, l_linenumber, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+)
+def lookup_inner_ordered(spark, d):
+    """Ordered rows with their keyed row, unmatched dropped, repeats kept (JN1)."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority", F.col("o_orderdate").alias("o"))
+    return lookup.ordered_inner(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), orders, "l_orderkey", "o")
+
+
+@query(
+    "lookup_left_lastwins",
+    """WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events)
+SELECT c_custkey AS user_id, event_type FROM customer LEFT JOIN (SELECT * FROM e WHERE r = 1) ON user_id = c_custkey""",
+)
+def lookup_left_lastwins(spark, d):
+    tags = table(spark, d, "events").select("user_id", "event_type", "event_id")
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
+    return lookup.left_last_wins(rows, tags, "user_id", "event_id").select("user_id", "event_type")
+
+
+@query("seen_anti", """SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
+def seen_anti(spark, d):
+    return lookup.unseen(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+_BITS = 63
+
+
+@query(
+    "hamming_near_match",
+    """WITH v AS (SELECT vec_id, CAST(label AS INTEGER) AS label, CAST(list_sum(list_transform(range(63), lambda i: CASE WHEN embedding[i + 1] > 0 THEN CAST(1 AS HUGEINT) << CAST(i AS INTEGER) ELSE 0 END)) AS BIGINT) AS w FROM embeddings),
+p AS (SELECT a.vec_id, b.vec_id AS match_id, CAST(bit_count(xor(a.w, b.w)) AS INTEGER) AS distance FROM v a JOIN v b ON abs(a.label - b.label) <= 1 WHERE b.vec_id % 16 = 0 AND bit_count(xor(a.w, b.w)) <= 26)
+SELECT vec_id, match_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, match_id) AS r FROM p) WHERE r = 1""",
+)
+def hamming_near_match(spark, d):
+    """The nearest of the known fingerprints within limits of aspect and distance (JN5); every 16th vector is a known one."""
+    word = F.aggregate(F.sequence(F.lit(0), F.lit(_BITS - 1)), F.lit(0).cast("long"), lambda a, i: a + F.when(F.get("embedding", i) > 0, F.pow(F.lit(2), i).cast("long")).otherwise(0))
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("int").alias("label"), word.alias("w"))
+    return dedupe.nearest_fingerprint(rows, rows.where("vec_id % 16 = 0"), "label", ["w"], 26, 1, "vec_id")
+
+
+@query("greedy_leader_dedupe")
+def greedy_leader_dedupe(spark, d):
+    """Greedy near-duplicate leaders in order, group by group (WI4)."""
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("int").alias("label"), "embedding")
+    return dedupe.greedy_leaders(rows, "label", "vec_id", "embedding", 0.5).select("vec_id", "label", "kept")
+
+
+@query("greedy_size_groups")
+def greedy_size_groups(spark, d):
+    """Dominant size of each brand's parts by running-median clusters (AG2)."""
+    rows = table(spark, d, "part").select("p_brand", "p_partkey", (F.col("p_size") * 10 + 300).alias("w"), F.col("p_retailprice").alias("h"))
+    return series.greedy_sizes(rows, "p_brand", "p_partkey", "w", "h")
+
+
+_BOX = """SELECT l_suppkey AS book, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS idx,
+CAST(l_quantity AS INTEGER) AS l, CAST(l_quantity AS INTEGER) * 2 AS t, 200 + CAST(l_discount * 100 AS INTEGER) * 30 AS r, 300 + CAST(l_tax * 100 AS INTEGER) * 40 AS b, l_discount * 8 AS fg FROM lineitem"""
+
+
+@query(
+    "parity_consensus",
+    f"""WITH p AS ({_BOX}), m AS (SELECT *, CAST(round_even(median(l) OVER w, 0) AS INTEGER) AS ml, CAST(round_even(median(t) OVER w, 0) AS INTEGER) AS mt, CAST(round_even(median(r) OVER w, 0) AS INTEGER) AS mr, CAST(round_even(median(b) OVER w, 0) AS INTEGER) AS mb
+FROM p WINDOW w AS (PARTITION BY book, idx % 2)),
+c AS (SELECT *, fg < 0.37 AND r - l < greatest(1, mr - ml) * 0.82 AS across, fg < 0.37 AND b - t < greatest(1, mb - mt) * 0.82 AS down FROM m)
+SELECT book, CAST(idx AS INTEGER) AS idx, greatest(0, CASE WHEN across THEN ml ELSE l END - 12) AS l, greatest(0, CASE WHEN down THEN mt ELSE t END - 12) AS t,
+least(600, CASE WHEN across THEN mr ELSE r END + 12) AS r, least(800, CASE WHEN down THEN mb ELSE b END + 12) AS b FROM c""",
+)
+def parity_consensus(spark, d):
+    """Consensus boxes of odd and even pages (AG3, AG4)."""
+    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    hundredth = lambda c: F.bround(F.col(c) * 100).cast("int")
+    rows = table(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("book"), (F.row_number().over(w) - 1).alias("idx"), F.col("l_quantity").cast("int").alias("l"), (F.col("l_quantity").cast("int") * 2).alias("t"),
+        (200 + hundredth("l_discount") * 30).alias("r"), (300 + hundredth("l_tax") * 40).alias("b"), (F.col("l_discount") * 8).alias("fg"), F.lit(600).alias("pw"), F.lit(800).alias("ph"),
+    )
+    return series.consensus_boxes(rows, "book", "idx", ["l", "t", "r", "b"], "fg", ["pw", "ph"]).select("book", "idx", "l", "t", "r", "b")
+
+
+@query(
+    "sampled_median_clamp",
+    """WITH o AS (SELECT o_custkey, o_totalprice / 100 AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS p, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+s AS (SELECT o_custkey, v FROM o WHERE n <= 6 OR list_contains(list_transform(range(6), lambda i: CAST(round_even(i * (n - 1) / 5, 0) AS BIGINT)), p))
+SELECT o_custkey, round(CASE WHEN median(v) >= 1200 THEN least(median(v), 4000) ELSE 3500 END, 6) AS edge FROM s GROUP BY o_custkey""",
+)
+def sampled_median_clamp(spark, d):
+    """Clamped median of evenly spaced rows (AG5), six of them here."""
+    rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", (F.col("o_totalprice") / 100).alias("v"))
+    return series.sampled_median(rows, "o_custkey", ["o_orderkey"], "v", most=6, out="edge").select("o_custkey", F.round("edge", 6).alias("edge"))
+
+
+@query(
+    "longest_true_run",
+    """WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, value > 10 AS flag FROM events),
+i AS (SELECT user_id, pos, pos - row_number() OVER (PARTITION BY user_id ORDER BY pos) AS island FROM e WHERE flag),
+r AS (SELECT user_id, min(pos) AS start, count(*) AS length FROM i GROUP BY user_id, island)
+SELECT user_id, CAST(start AS INTEGER) AS start, length FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY length DESC, start) AS k FROM r) WHERE k = 1""",
+)
+def longest_true_run(spark, d):
+    return series.longest_true_run(table(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("value") > 10)
+
+
+@query(
+    "moving_mean_run",
+    """WITH m AS (SELECT user_id, event_id, row_number() OVER w AS pos, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) / 7 > 12 AS flag FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+i AS (SELECT user_id, pos, pos - row_number() OVER (PARTITION BY user_id ORDER BY pos) AS island FROM m WHERE flag),
+r AS (SELECT user_id, min(pos) AS start, count(*) AS length FROM i GROUP BY user_id, island)
+SELECT user_id, CAST(start AS INTEGER) AS start, length FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY length DESC, start) AS k FROM r) WHERE k = 1""",
+)
+def moving_mean_run(spark, d):
+    """The longest run of a smoothed series above a threshold (WI6)."""
+    smooth = series.moving_mean(table(spark, d, "events"), "user_id", ["ts", "event_id"], "value")
+    return series.longest_true_run(smooth, "user_id", ["ts", "event_id"], F.col("mean") > 12)
+
+
+@query(
+    "pair_band_count",
+    """SELECT a.p_brand, count(*) AS pairs FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey AND abs(a.p_retailprice - b.p_retailprice) <= 5 AND abs(a.p_size - b.p_size) <= 4 GROUP BY a.p_brand""",
+)
+def pair_band_count(spark, d):
+    return series.band_pairs(table(spark, d, "part"), "p_brand", "p_partkey", "p_retailprice", "p_size", 5.0, 4)
+
+
+@query(
+    "ranked_union_cap",
+    """WITH u AS (SELECT 0 AS l, s_suppkey AS r, s_name AS name, s_nationkey AS key FROM supplier UNION ALL SELECT 1, c_custkey, c_name, c_nationkey FROM customer),
+f AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY l, r) AS k FROM u)
+SELECT name, key, r AS place FROM f WHERE k = 1 ORDER BY l, r LIMIT 10""",
+)
+def ranked_union_cap(spark, d):
+    """Two ranked lists, the first of each key, ten at most (SE1, SO8)."""
+    a = table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("key"), F.col("s_suppkey").alias("place"))
+    b = table(spark, d, "customer").select(F.col("c_name").alias("name"), F.col("c_nationkey").alias("key"), F.col("c_custkey").alias("place"))
+    return dedupe.ranked_union([a, b], "key", "place", 10)
+
+
+@query(
+    "scored_top1",
+    """WITH s AS (SELECT p_brand, p_partkey, p_name, CASE WHEN p_name = 'red bolt' THEN 10 WHEN contains(p_name, 'red bolt') OR contains('red bolt', p_name) THEN 5 ELSE 0 END
+ + 1 + 3 * (CAST(contains(p_name, 'red') AS INTEGER) + CAST(contains(p_name, 'bolt') AS INTEGER)) AS score FROM part)
+SELECT p_brand, p_partkey, p_name, CAST(score AS INTEGER) AS score FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_partkey) AS r FROM s) WHERE r = 1""",
+)
+def scored_top1(spark, d):
+    """The best candidate of each group by title score, the first on ties (SO5, ST34)."""
+    rows = table(spark, d, "part").select("p_brand", "p_partkey", "p_name")
+    return lookup.best_scored(rows, "p_brand", lookup.title_score(F.col("p_name"), F.lit("red bolt"), F.lit(1)), "p_partkey")
+
+
+@query(
+    "net_turns_mod4",
+    """WITH t AS (SELECT user_id, event_type, CAST(sum(CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN -1 ELSE event_id % 5 - 2 END) AS BIGINT) AS s FROM events GROUP BY user_id, event_type)
+SELECT user_id, event_type, CAST(((s % 4) + 4) % 4 AS INTEGER) AS turns FROM t WHERE ((s % 4) + 4) % 4 <> 0""",
+)
+def net_turns_mod4(spark, d):
+    delta = F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "error", -1).otherwise(F.col("event_id") % 5 - 2)
+    return series.net_turns(table(spark, d, "events").withColumn("delta", delta), ["user_id", "event_type"], "delta")
+
+
+@query(
+    "fill_missing",
+    """SELECT d.doc_id, coalesce(quality, CASE WHEN n_chars > 2000 THEN 1 ELSE 0 END) AS quality, coalesce(nullif(CASE WHEN d.doc_id % 3 = 0 THEN '' ELSE lang END, ''), source) AS lang FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+)
+def fill_missing(spark, d):
+    """Empty fields filled from another column, what is there wins (SR7)."""
+    rows = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("lang")).alias("lang"), "source", F.when(F.col("n_chars") > 2000, 1).otherwise(0).alias("guess"))
+    rows = rows.join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return clean.fill_missing(rows, {"quality": "guess", "lang": "source"}).select("doc_id", "quality", "lang")
+
+
+@query(
+    "clean_scalars",
+    r"""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE WHEN event_type IN ('view', 'click') THEN event_type ELSE 'other' END AS kind, CAST(trunc(value) AS BIGINT) AS whole,
+CASE WHEN event_id % 4 = 0 THEN true WHEN event_id % 4 = 1 THEN false END AS flag FROM events""",
+)
+def clean_scalars(spark, d):
+    """Scalar coercions: integers through fractions, flags by word, enumerations with a default."""
+    word = F.element_at(F.array(*[F.lit(x) for x in (" Yes", "FALSE", "maybe", "")]), (F.col("event_id") % 4 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", clean.integer(F.get_json_object("props", "$.k")).alias("k"), clean.one_of(F.upper("event_type"), ("view", "click"), "other").alias("kind"), clean.integer(F.col("value")).alias("whole"), clean.boolean(word).alias("flag"))
+
+
+@query(
+    "json_version_gate",
+    """SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS INTEGER) = 7""",
+)
+def json_version_gate(spark, d):
+    """Cached records of another schema version are rejected (SR15)."""
+    parsed = table(spark, d, "events").select("event_id", F.from_json("props", "k INT").alias("p"))
+    return parsed.where(F.col("p.k") == K.CACHE_VERSION).select("event_id", F.col("p.k").alias("k"))
+
+
+@query(
+    "group_stats_hist",
+    """SELECT l_returnflag, CAST(least(15, floor((l_quantity - 1) / 49 * 16)) AS INTEGER) AS bin, count(*) AS n, round(stddev_pop(l_extendedprice), 4) AS spread FROM lineitem GROUP BY 1, 2""",
+)
+def group_stats_hist(spark, d):
+    """Population spread and a histogram of 16 bins, the last one closed (IM1's and IM2's shape)."""
+    bin_ = F.least(F.lit(15), F.floor((F.col("l_quantity") - 1) / 49 * 16)).cast("int")
+    return table(spark, d, "lineitem").groupBy("l_returnflag", bin_.alias("bin")).agg(F.count("*").alias("n"), F.round(F.stddev_pop("l_extendedprice"), 4).alias("spread"))
+
+
+@query("value_counter", """SELECT l_linenumber, count(*) AS n FROM lineitem GROUP BY l_linenumber""")
+def value_counter(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_linenumber").agg(F.count("*").alias("n"))
+
+
+@query(
+    "xml_roundtrip",
+    """SELECT p_partkey, p_name AS title, p_size AS number, p_type AS genre FROM part""",
+)
+def xml_roundtrip(spark, d):
+    """Records as XML and back (SR3, SR4)."""
+    record = F.struct(F.col("p_name").alias("Title"), F.col("p_size").alias("Number"), F.col("p_type").alias("Genre"))
+    text_ = table(spark, d, "part").select("p_partkey", F.to_xml(record, {"rowTag": "ComicInfo"}).alias("xml"))
+    back = text_.select("p_partkey", F.from_xml("xml", "Title STRING, Number INT, Genre STRING").alias("r"))
+    return back.select("p_partkey", F.col("r.Title").alias("title"), F.col("r.Number").alias("number"), F.col("r.Genre").alias("genre"))
