@@ -181,7 +181,7 @@ def first_count(value: Column) -> Column:
 def genres(values: Column) -> Column:
     """The vocabulary's genres that any of the values matches, in the vocabulary's order (ST43)."""
     table = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(f"(?i){p}").alias("pattern")) for n, p in K.GENRES])
-    return F.transform(F.filter(table, lambda g: F.exists(values, lambda v: v.rlike(g["pattern"]))), lambda g: g["name"])
+    return F.transform(F.filter(table, lambda g: F.exists(values, lambda v: F.rlike(v, g["pattern"]))), lambda g: g["name"])
 
 
 def content_categories(values: Column) -> Column:
