@@ -193,7 +193,10 @@ def clean_wikitext(value: str | None) -> str | None:
 def clean_list(value: str | None, delimiters: str = LIST_DELIMITERS) -> list[str]:
     """Cleaned parts, the first of equals but for case (ST27)."""
     parts = (clean_wikitext(p) for p in re.split(delimiters, value or "", flags=re.I))
-    return list({p.casefold(): p for p in reversed([p for p in parts if p])}.values())[::-1]
+    found: dict[str, str] = {}
+    for p in filter(None, parts):
+        found.setdefault(p.casefold(), p)
+    return list(found.values())
 
 
 def people_list(*values: str | None) -> list[str]:

@@ -153,7 +153,8 @@ def normal_path(path: Column) -> Column:
 
 def resolved_path(base: Column, relative: Column) -> Column:
     """A relative reference below the folder of `base` (ST2)."""
-    return normal_path(F.concat_ws("/", F.regexp_replace(base, "/?[^/]*$", ""), relative))
+    folder = F.nullif(F.regexp_replace(base, "/?[^/]*$", ""), F.lit(""))
+    return normal_path(F.concat_ws("/", folder, relative))
 
 
 def wiki_title(url: Column) -> Column:
