@@ -26,6 +26,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def map_batches(df: DataFrame, run, schema, most: int = 8 << 20) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of about `most` bytes, so that what a task holds doesn't follow the length of its texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+    return df.mapInArrow(run, schema)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import _bytes as B
+from quire.llm._spark import map_batches
 
 #: Pre-tokens that a worker remembers; the memory is emptied when it is full.
 REMEMBER = 400_000
@@ -129,7 +130,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             values = [list(map(int, x.split(","))) if x else [] for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -141,7 +142,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             out = [codec.decode(",".join(map(str, x or []))) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "text_bytes"])
 
-    return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text_bytes binary")
+    return map_batches(encoded.select(F.col("doc_id").cast("long"), "ids"), run, "doc_id long, text_bytes binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -157,4 +158,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             n, a, b = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm._spark import map_batches
+
 #: Fixed values of the template.
 START, END, NEWLINE = "<|im_start|>", "<|im_end|>\n", "<|nl|>"
 PLACEHOLDERS = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|document|>"}
@@ -120,7 +122,7 @@ def format_turns(conversations: DataFrame, expansion: Expansion | None = None, l
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds[2:], strict=True))], names)
 
-    return conversations.select("conv_id", "turn", "role", "parts").mapInArrow(run, FORMATTED)
+    return map_batches(conversations.select("conv_id", "turn", "role", "parts"), run, FORMATTED)
 
 
 def parse_turn(formatted: str) -> tuple[str, str]:
@@ -171,7 +173,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist([dict(zip(names, digest.row(held), strict=True))], _schema(names))
 
     ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "formatted")
-    return ordered.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(run, schema)
+    return map_batches(ordered.select("conv_id", "formatted", "loss_start", "loss_end"), run, schema)
 
 
 def _schema(names: list[str]) -> pa.Schema:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import _bytes as B
-from quire.llm._spark import sum_arrays
+from quire.llm._spark import map_batches, sum_arrays
 
 FEATURE_BITS = 16
 BLOCK_ITEMS = 256
@@ -72,7 +72,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, float]:
             total[-1] += len(ptr) - 1
         yield pa.RecordBatch.from_pydict({"part": [total.tobytes()]})
 
-    counts = sum_arrays(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "part binary"), (size,))
+    counts = sum_arrays(map_batches(docs.select(F.col("text").cast("string").alias("text")), count, "part binary"), (size,))
     return counts[:-1], counts[-1]
 
 
@@ -295,7 +295,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least_cosine: float = 0.3, copi
                     arrays = [ids, pa.array(item, pa.int64()), pa.array(common, pa.int64()), pa.array(size, pa.int64()), pa.array(cosine, pa.float64()), pa.array(answer, pa.bool_()), pa.array(first, pa.int64())]
                     yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in LINKS.split(", ")])
 
-        out = out.unionByName(rows.mapInArrow(run, LINKS))
+        out = out.unionByName(map_batches(rows, run, LINKS))
     return out
 
 
@@ -311,5 +311,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least_cosine: float = 0
                 keep[[x[0] for x in shared.value.search(data, offsets)]] = False
                 yield batch.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = map_batches(out, run, docs.schema)
     return out

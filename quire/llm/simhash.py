@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import _bytes as B
-from quire.llm._spark import checkpoint
+from quire.llm._spark import checkpoint, map_batches
 from quire.llm._xxh64 import xxh64
 from quire.llm.components import components
 
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
             fp = fingerprint_slice(data, offsets, width, seed).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, fp long")
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import _bytes as B
-from quire.llm._spark import bit_filter, checkpoint, passes
+from quire.llm._spark import bit_filter, checkpoint, map_batches, passes
 
 DEPTH = 3
 _WILD = np.uint64(0x5851F42D4C957F2D)
@@ -85,7 +85,7 @@ def read_lines(keyed: DataFrame, min_tokens: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, ["ord", "rid", "number", "size", "leaf", "line"])
 
     rows = keyed.select("__ord", "__rid", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "ord long, rid long, number long, size long, leaf long, line long")
+    return map_batches(rows, run, "ord long, rid long, number long, size long, leaf long, line long")
 
 
 def spell(docs: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def spell(docs: DataFrame, chosen: DataFrame) -> DataFrame:
             tokens = pa.ListArray.from_arrays(pa.array(B.runs_of(rest), pa.int32()), pa.array(x.tokens[B.ragged(x.start[at] + DEPTH, rest)].view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(x.line[at].view(np.int64)), tokens], ["line", "tokens"])
 
-    lines = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "line long, tokens array<long>").groupBy("line").agg(F.first("tokens").alias("tokens"))
+    lines = map_batches(docs.select(F.col("text").cast("string").alias("text")), run, "line long, tokens array<long>").groupBy("line").agg(F.first("tokens").alias("tokens"))
     return lines.join(chosen, "line").select("leaf", "line", "lines", "tokens")
 
 
@@ -162,7 +162,7 @@ def line_report(docs: DataFrame, **settings) -> DataFrame:
                 texts.append(text if not gone else "\n".join(x for i, x in enumerate(parts) if i not in gone))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), batch.column(2), pa.array(texts, pa.string())], ["doc_id", "n_lines", "dropped", "text"])
 
-    return rows.select("doc_id", "text", numbers.alias("dropped")).mapInArrow(run, "doc_id long, n_lines long, dropped array<long>, text string")
+    return map_batches(rows.select("doc_id", "text", numbers.alias("dropped")), run, "doc_id long, n_lines long, dropped array<long>, text string")
 
 
 def drop_lines(docs: DataFrame, least_kept: float = 0.3, n_chars: str | None = "n_chars", **settings) -> DataFrame:
@@ -189,7 +189,7 @@ def drop_lines(docs: DataFrame, least_kept: float = 0.3, n_chars: str | None = "
             columns[text_at] = pa.array(texts, columns[text_at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    out = rows.select(*[F.col(f"`{c}`") for c in names], drop).mapInArrow(run, docs.schema)
+    out = map_batches(rows.select(*[F.col(f"`{c}`") for c in names], drop), run, docs.schema)
     if n_chars and n_chars in names:
         kind = docs.schema[n_chars].dataType
         out = out.withColumn(n_chars, F.when(F.col("text").isNull(), F.col(n_chars)).otherwise(F.length("text")).cast(kind)).select(*names)

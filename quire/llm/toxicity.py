@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import _bytes as B
-from quire.llm._spark import checkpoint
+from quire.llm._spark import checkpoint, map_batches
 
 BITS = 22
 PIECES = (6, 8)
@@ -208,7 +208,7 @@ def lexicon(sample: DataFrame, most: int = 20_000, least_ratio: float = 40.0) ->
     if not bad_docs or not good_docs:
         return np.zeros(0, np.uint64)
     total = bad_docs + good_docs
-    counts = sample.select("text", "toxic").mapInArrow(count, "h long, bad long, good long").groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where("bad >= 5")
+    counts = map_batches(sample.select("text", "toxic"), count, "h long, bad long, good long").groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where("bad >= 5")
     both = F.col("bad") + F.col("good")
 
     def term(seen, expected):
@@ -243,7 +243,8 @@ def fit(docs: DataFrame, labels: DataFrame, train, toxic_rows: int = 6000, clean
     few = sample.where("toxic = 1").orderBy(by_hash).limit(chain_rows).unionByName(sample.where("toxic = 0").orderBy(by_hash).limit(chain_rows))
     got, held = [], 0
     schema = "places binary, first binary, hit binary, toxic int, weight double"
-    for row in few.withColumn("toxic", F.col("toxic").cast("int")).withColumn("weight", F.col("weight").cast("double")).repartition(16, by_hash).mapInArrow(label, schema).toLocalIterator():
+    typed = few.withColumn("toxic", F.col("toxic").cast("int")).withColumn("weight", F.col("weight").cast("double")).repartition(16, by_hash)
+    for row in map_batches(typed, label, schema).toLocalIterator():
         size = len(row.first)
         if held + size > most_tokens and got:
             continue
@@ -293,7 +294,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pair)], ["doc_id", "score", "spans"])
 
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return plain.mapInArrow(run, "doc_id long, score double, spans array<struct<start: long, end: long>>")
+    return map_batches(plain, run, "doc_id long, score double, spans array<struct<start: long, end: long>>")
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -305,7 +306,7 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
         for batch, data, offsets in B.slices(batches, "text"):
             yield batch.filter(pa.array(scorer(data, offsets)[4] < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def not_in_fold(doc_id, folds: int = 5, fold: int = 0):

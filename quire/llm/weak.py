@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import _bytes as B
+from quire.llm._spark import map_batches
 
 BITS = 18
 #: The characters counted as symbols.
@@ -214,7 +215,7 @@ def vote_table(docs: DataFrame) -> DataFrame:
         for batch, data, offsets in B.slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes(data, offsets))], ["doc_id", "votes"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, votes long")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, votes long")
 
 
 def fit(docs: DataFrame, sample_rows: int = 5000, most_words: int = 3_000_000) -> tuple[LabelModel, Scorer]:
@@ -234,7 +235,7 @@ def fit(docs: DataFrame, sample_rows: int = 5000, most_words: int = 3_000_000) -
             yield pa.RecordBatch.from_arrays([pa.array(cut, pa.binary()), pa.array(good)], ["places", "good"])
 
     got, held = [], 0
-    for row in chosen.mapInArrow(run, "places binary, good double").toLocalIterator():
+    for row in map_batches(chosen, run, "places binary, good double").toLocalIterator():
         places = np.frombuffer(row.places, np.int32).reshape(3, -1)
         if held + places.shape[1] <= most_words:
             held += places.shape[1]
@@ -257,4 +258,4 @@ def classify(docs: DataFrame, fitted: tuple[LabelModel, Scorer], threshold: floa
             score = 1 / (1 + np.exp(-np.clip(scorer.logits(*features(data, offsets)), -40, 40)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(code), pa.array(model.posterior(code)), pa.array(score), pa.array(score >= threshold)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, votes long, posterior double, score double, kept boolean")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, votes long, posterior double, score double, kept boolean")
