@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def first_wins(df: DataFrame, key: Column | str, order: list[str], last: bool = False) -> DataFrame:
@@ -48,7 +49,7 @@ def greedy_leaders(df: DataFrame, group: str, order: str, vector: str, least: fl
                 leaders.append(x)
         return pdf.assign(kept=keep)[[*names, "kept"]]
 
-    schema = df.schema.add("kept", "boolean")
+    schema = T.StructType([*df.schema.fields, T.StructField("kept", T.BooleanType())])
     return df.groupBy(group).applyInPandas(run, schema)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions import clean, text
 from quire.functions import constants as K
 from quire.operators import dedupe, filters, lookup, ranks, series
+from quire.sources import archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -380,3 +381,87 @@ def xml_roundtrip(spark, d):
     text_ = table(spark, d, "part").select("p_partkey", F.to_xml(record, {"rowTag": "ComicInfo"}).alias("xml"))
     back = text_.select("p_partkey", F.from_xml("xml", "Title STRING, Number INT, Genre STRING").alias("r"))
     return back.select("p_partkey", F.col("r.Title").alias("title"), F.col("r.Number").alias("number"), F.col("r.Genre").alias("genre"))
+
+
+@query(
+    "raw_name_clean",
+    r"""WITH n AS (SELECT p_partkey, concat('[', p_brand, '][', p_type, ']', p_name, CASE WHEN p_partkey % 3 = 0 THEN '.KEPUB' ELSE ' (x) y' END) AS n FROM part)
+SELECT p_partkey, trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(n, '(?i)\.kepub$', '')), '^(?:\[[^\]]+\])+', '')), '^[^\[\]]+?\([^)]*\)', '')) AS name FROM n""",
+)
+def raw_name_clean(spark, d):
+    """Names without bracketed leads and the .kepub suffix (ST6)."""
+    raw = F.concat(F.lit("["), "p_brand", F.lit("]["), "p_type", F.lit("]"), "p_name", F.when(F.col("p_partkey") % 3 == 0, ".KEPUB").otherwise(" (x) y"))
+    return table(spark, d, "part").select("p_partkey", text.clean_name(raw).alias("name"))
+
+
+@query(
+    "garbage_page_reason",
+    f"""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice * 3 AS size, 0.98 + l_discount / 5 AS w, l_tax / 20 AS e, 230 + l_quantity AS v, l_quantity / 2 AS g, l_tax / 30 AS b FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN size < {K.GARBAGE_BYTES} THEN CASE WHEN w > 0.995 AND size < {K.GARBAGE_BYTES_SMALL} AND e < 0.002 THEN 'blank'
+WHEN w >= 0.985 AND e < 0.007 AND v > 252 AND g < 22 AND b < 0.003 AND 1 - w <= 0.018 THEN 'faint' END END AS reason FROM s""",
+)
+def garbage_page_reason(spark, d):
+    """Why a page is garbage, by thresholds on its statistics; most pages have no reason (FI6)."""
+    stats = F.struct((0.98 + F.col("l_discount") / 5).alias("white_ratio"), (F.col("l_tax") / 20).alias("edge_ratio"), (230 + F.col("l_quantity")).alias("value_mean"), (F.col("l_quantity") / 2).alias("gray_std"), (F.col("l_tax") / 30).alias("black_ratio"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_extendedprice") * 3).alias("size"), stats.alias("s"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", filters.garbage_reason(F.col("size"), F.col("s")).alias("reason"))
+
+
+@query(
+    "page_with_fallbacks",
+    """SELECT c_custkey AS key, coalesce(CASE WHEN c_acctbal > 0 THEN c_name END, s_name) AS name, coalesce(CASE WHEN c_nationkey > 5 THEN c_nationkey END, s_nationkey) AS nation FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey""",
+)
+def page_with_fallbacks(spark, d):
+    """Fields from the page where it has them, else from its summary (JN9, SC17, SC24)."""
+    page = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.when(F.col("c_acctbal") > 0, F.col("c_name")).alias("name"), F.when(F.col("c_nationkey") > 5, F.col("c_nationkey")).alias("nation"))
+    summary = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    return lookup.with_fallbacks(page, summary, "key", ["name", "nation"]).select("key", "name", "nation")
+
+
+@query(
+    "title_match_strength",
+    """SELECT p_partkey, CAST(CASE WHEN lower(p_name) = 'red bolt' OR lower(p_type) = 'red bolt' THEN 3 WHEN length(p_name) >= 4 AND (contains('red bolt', lower(p_name)) OR contains(lower(p_name), 'red bolt')) THEN 2 WHEN p_name <> '' THEN 1 ELSE 0 END AS INTEGER) AS strength FROM part""",
+)
+def title_match_strength(spark, d):
+    """How well a page's title fits the one asked for (ST35, ST36)."""
+    return table(spark, d, "part").select("p_partkey", lookup.match_strength(F.lit("red bolt"), F.col("p_name"), F.col("p_type")).alias("strength"))
+
+
+@query(
+    "rating_clean",
+    """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, round(CAST(l_quantity / 8 AS DECIMAL(20, 6)), 1) AS r FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, CAST(CASE WHEN r BETWEEN 0 AND 5 THEN r END AS DOUBLE) AS rating FROM r""",
+)
+def rating_clean(spark, d):
+    """Ratings of one decimal within 0 to 5."""
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", clean.rating(F.col("l_quantity") / 8).cast("double").alias("rating"))
+
+
+@query("duplicate_entry_names", """SELECT source AS archive FROM documents GROUP BY source HAVING count(*) <> count(DISTINCT lower(lang))""")
+def duplicate_entry_names(spark, d):
+    """Archives in which an entry name comes twice, but for case (SE5)."""
+    return archives.unique_names(table(spark, d, "documents").select(F.col("source").alias("archive"), F.col("lang").alias("name")))
+
+
+@query(
+    "repair_plan",
+    """SELECT event_id, CASE WHEN event_id % 7 = 0 OR event_id % 5 = 0 THEN 'rebuild' WHEN value > 10 THEN 'metadata_only' ELSE 'nothing' END AS action FROM events""",
+)
+def repair_plan(spark, d):
+    """Rebuild, metadata only or nothing, for each archive (SK5, SK8)."""
+    rows = table(spark, d, "events").select("event_id", (F.col("event_id") % 7 == 0).cast("int").alias("garbage_pages"), (F.col("event_id") % 5 == 0).cast("int").alias("rotated_pages"), (F.col("value") > 10).alias("metadata_changed"))
+    return archives.planned_repairs(rows).select("event_id", "action")
+
+
+@query("first_year", """SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders""")
+def first_year(spark, d):
+    """The first year named in a text (SR2)."""
+    return table(spark, d, "orders").select("o_orderkey", text.year(F.concat(F.lit("n. 7, "), F.col("o_orderdate").cast("string"))).alias("year"))
+
+
+@query(
+    "safe_file_name",
+    r"""SELECT page_id, substr(trim(regexp_replace(url, '[\\/:*?"<>|\s]+', '_', 'g')), 1, 80) AS file FROM pages""",
+)
+def safe_file_name(spark, d):
+    """A title as a file name of 80 characters at most (ST50)."""
+    return table(spark, d, "pages").select("page_id", text.safe_file_name(F.col("url")).alias("file"))
