@@ -5,10 +5,13 @@ randomised SVD of the block's TF-IDF rows, with document frequencies over all do
 space whose rank is the number of items, so that no item's direction is lost; the error that the random
 sketch leaves is measured in the tests as recall against brute force.  Documents are then folded in: runs
 of 16 words are projected, and an item is compared with every window of as many runs as it can touch, by
-the cosine of latent vectors.  Windows above `least_cosine` are candidates, all of which are checked: the
-longest common subsequence of the item's words with the window's, and whether the item's answer (its last
-words) is there too.  An item is leaked if the subsequence has `copied` of its words, or `paraphrased` of
-them and the answer.
+the cosine of latent vectors.  Windows above `least_cosine` are candidates, and so are all windows that share
+enough words with the item, whatever their order: that count, with repeats up to those in the item, is never
+less than the longest common subsequence.  What else a window holds doesn't matter for the second kind, but
+`LEAST_WEIGHING` of the item's words that weigh anything, `FEWEST_WEIGHING` at least, must be among the shared
+ones, as words of every text and two rare ones are no leak.  All candidates are checked: the longest common subsequence of the item's words with the
+window's, and whether the item's answer (its last words) is there too.  An item is leaked if the subsequence
+has `copied` of its words, or `paraphrased` of them and the answer.
 
 Documents are read once to count words and once to search, without a shuffle of texts.  What is broadcast
 is a group of blocks, of which each has at most 2^FEATURE_BITS x BLOCK_ITEMS floats; a larger benchmark
@@ -23,6 +26,7 @@ by decontaminate().
 from __future__ import annotations
 
 import io
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +42,9 @@ BLOCKS_A_PASS = 4
 RUN = 16
 LEAST_WORDS = 8
 LEAST_INFORMATIVE = 4
+#: Of an item's words that weigh anything, the share and the number that a window must have; items with fewer than LEAST_INFORMATIVE are exempt.
+LEAST_WEIGHING = 0.4
+FEWEST_WEIGHING = 3
 #: Words of more than this share of the documents weigh nothing.
 MOST_COMMON = 0.2
 SLICE = 1 << 19
@@ -117,8 +124,9 @@ class Block:
         rows, columns = np.repeat(np.arange(n), self.sizes), _feature(h)
         values = idf[columns]
         norms = np.maximum(1e-9, np.sqrt(np.bincount(rows, values**2, n)))
-        #: Items with fewer than LEAST_INFORMATIVE words that weigh anything.
-        self.plain = np.bincount(rows, values > 0, n) < LEAST_INFORMATIVE
+        #: Words that weigh anything, with their repeats, and how many a window must share.
+        self.weighing = [Counter(h[a:b][values[a:b] > 0].tolist()) for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
+        self.least_weighing = [max(FEWEST_WEIGHING, LEAST_WEIGHING * k) if (k := sum(c.values())) >= LEAST_INFORMATIVE else 0 for c in self.weighing]
         use = values > 0
         if not use.any():
             use[:1] = True
@@ -133,6 +141,42 @@ class Block:
         self.runs = -(-self.sizes // RUN) + 1
         self.words = [h[a:b] for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
         self.masks = [_masks(w) for w in self.words]
+        self._index()
+
+    def _index(self) -> None:
+        """The block's words, and for each length of window and number of repeats, which items have which word so often.
+
+        `layers` holds (runs of a window with its margins, items, repeats, row of each word or -1, rows x items).
+        """
+        sizes = self.sizes
+        word, item = np.concatenate([*self.words, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(sizes)), sizes)
+        self.vocabulary, code = np.unique(word, return_inverse=True)
+        self.known = np.zeros(1 << FEATURE_BITS, bool)
+        self.known[_feature(self.vocabulary)] = True
+        pair, repeats = np.unique(code * len(sizes) + item, return_counts=True)
+        code, item = pair // len(sizes), pair % len(sizes)
+        kind = np.int16 if sizes.max(initial=0) < 1 << 14 else np.int32
+        self.layers = []
+        for span in np.unique(self.runs + 2).tolist():
+            items = np.flatnonzero(self.runs + 2 == span)
+            mine = np.isin(item, items)
+            parts = []
+            for m in np.unique(repeats[mine]).tolist():
+                use = mine & (repeats == m)
+                held, row = np.unique(code[use], return_inverse=True)
+                rows = np.full(len(self.vocabulary), -1, np.int32)
+                rows[held] = np.arange(len(held))
+                table = np.zeros((len(held), len(items)), kind)
+                table[row, np.searchsorted(items, item[use])] = 1
+                parts.append((m, rows, table))
+            self.layers.append((span, items, parts))
+
+    def codes(self, h: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the words that are in the block's vocabulary, their codes)."""
+        at = np.flatnonzero(self.known[f])
+        code = np.minimum(np.searchsorted(self.vocabulary, h[at]), len(self.vocabulary) - 1)
+        same = self.vocabulary[code] == h[at]
+        return at[same], code[same]
 
 
 def _masks(words: np.ndarray) -> dict[int, int]:
@@ -162,6 +206,40 @@ def _sum_runs(basis: np.ndarray, place: np.ndarray, first: np.ndarray) -> np.nda
     return out
 
 
+def _add_runs(total: np.ndarray, table: np.ndarray, row: np.ndarray, target: np.ndarray, sign: int) -> None:
+    """Add to (or take from) the total, at each target, the table's rows that go there."""
+    if len(row):
+        order = np.argsort(target, kind="stable")
+        places, first = np.unique(target[order], return_index=True)
+        total[places] += sign * _sum_runs(table, row[order], first)
+
+
+def shared_words(block: Block, at: np.ndarray, code: np.ndarray, run: np.ndarray, text: np.ndarray, base: np.ndarray, places: int):
+    """For each length of window: (its items, shared words by first run and item), as multisets.
+
+    `run` counts the runs with an empty one before each text, which is `base`; `at` are the places of words with a
+    code in the block, `text` their texts.  Of an item with m of a word, an occurrence counts in the windows that
+    begin after the m-th occurrence before it and that reach it, so a window has min(occurrences, m) of them.
+    """
+    order = np.argsort(text * max(1, len(block.vocabulary)) + code, kind="stable")
+    back = {}
+    for span, items, parts in block.layers:
+        total = np.zeros((places + 1, len(items)), parts[0][2].dtype if parts else np.int16)
+        for m, rows, table in parts:
+            if m not in back:
+                before = np.full(len(at), -1)
+                late, early = order[m:], order[:-m]
+                same = (text[late] == text[early]) & (code[late] == code[early])
+                before[late[same]] = run[early[same]]
+                back[m] = before
+            use = np.flatnonzero((rows[code] >= 0) & (back[m] < run))
+            row, end = rows[code[use]], run[use]
+            begin = np.maximum(np.maximum(back[m][use], end - span) + 1, base[text[use]])
+            _add_runs(total, table, row, begin, 1)
+            _add_runs(total, table, row, end + 1, -1)
+        yield items, np.cumsum(total, axis=0, dtype=total.dtype)
+
+
 class Search:
     """Blocks with the settings of a search; search() finds the leaked items of a slice of texts."""
 
@@ -170,10 +248,13 @@ class Search:
         self.least_cosine, self.copied, self.paraphrased, self.answer_words = least_cosine, copied, paraphrased, answer_words
 
     def candidates(self, h: np.ndarray, ptr: np.ndarray):
-        """For each block: (block, window's first word, its end, item, cosine, text) of the windows at or above the least cosine.
+        """For each block: (block, window's first word, its end, item, cosine, text) of the candidates.
 
-        If a window of w runs has a cosine of c, then one of its runs has c / sqrt(w) or more (Cauchy-Schwarz over
-        the runs' lengths), so windows are summed only around such runs.
+        These are the windows at or above the least cosine, and those that share so many words with the item that the
+        checks could accept them, counted with the margins that search() adds on both sides, and enough of its
+        weighing ones, counted without.  If a window of w
+        runs has a cosine of c, then one of its runs has c / sqrt(w) or more (Cauchy-Schwarz over the runs' lengths),
+        so windows are summed only around such runs.
         """
         f = _feature(h)
         counts = np.diff(ptr)
@@ -185,6 +266,8 @@ class Search:
             return
         weights = np.concatenate([[0.0], np.cumsum(self.idf[f].astype(float) ** 2)])
         lengths = np.sqrt(np.maximum(1e-9, weights[np.append(begin[1:], len(h))] - weights[begin]))
+        base = of[:-1] + np.arange(len(counts))  # runs are counted with an empty one before each text
+        padded = np.repeat(np.arange(len(counts)), runs + 1)
         for block in self.blocks:
             place = block.place[f]
             hit = np.flatnonzero(place >= 0)
@@ -203,15 +286,13 @@ class Search:
                 back = block.runs[item]
                 starts.append(B.ragged(full[seed] - back + 1, back))
                 items.append(np.repeat(item, back))
-            for i in np.flatnonzero(block.plain):  # too few informative words to be found by cosine: every window is checked
-                starts.append(np.arange(len(begin)))
-                items.append(np.full(len(begin), i))
-            if not starts:
+            sharing = self._sharing(block, h, f, ptr, begin, text, base, padded, of)
+            if not starts and not len(sharing):
                 continue
-            start, item = np.concatenate(starts), np.concatenate(items)
+            start, item = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, items))
             good = start >= 0
             start, item = start[good], item[good]
-            pair = np.unique(start * len(block.ids) + item)
+            pair = np.unique(np.concatenate([start * len(block.ids) + item, sharing]))
             start, item = pair // len(block.ids), pair % len(block.ids)
             size = block.runs[item]
             end = np.minimum(start + size, of[text[start] + 1])
@@ -221,9 +302,32 @@ class Search:
                 total += np.where(inside, dots[row[np.minimum(start + k, len(begin))], item], 0.0)
             stop = np.minimum(begin[start] + size * RUN, ptr[text[start] + 1])
             cosine = total / np.sqrt(np.maximum(1e-9, weights[stop] - weights[begin[start]]))
-            near = (cosine >= self.least_cosine) | block.plain[item]
+            near = (cosine >= self.least_cosine) | np.isin(pair, sharing)
             yield block, begin[start[near]], stop[near], item[near], cosine[near], text[start[near]]
 
+    def _sharing(self, block: Block, h, f, ptr, begin, text, base, padded, of) -> np.ndarray:
+        """Windows (first run x items + item) that share enough words with the item to be candidates whatever their cosine."""
+        at, code = block.codes(h, f)
+        run = np.searchsorted(begin, at, "right") - 1
+        texts = text[run]
+        found = [np.zeros(0, np.int64)]
+        for items, shared in shared_words(block, at, code, run + texts + 1, texts, base, len(padded)):
+            least = min(self.copied, self.paraphrased) * block.sizes[items]
+            place, item = np.nonzero(shared[:-1] >= np.ceil(least - 1e-9).astype(shared.dtype))
+            start = place - padded[place]  # the margin before a window is the run before it
+            good = start < of[padded[place] + 1]
+            found.append(start[good] * len(block.ids) + items[item[good]])
+        pair = np.concatenate(found)
+        first, item = pair // len(block.ids), pair % len(block.ids)
+        low = begin[first]
+        high = np.minimum(ptr[1:][text[first]], low + block.runs[item] * RUN)
+        return pair[[self._weighs(block, i, h[a:b].tolist()) for a, b, i in zip(low.tolist(), high.tolist(), item.tolist(), strict=True)]] if len(pair) else pair
+
+    def _weighs(self, block: Block, i: int, words: list[int]) -> bool:
+        weighing = block.weighing[i]
+        shared = Counter([w for w in words if w in weighing]) & weighing
+        return sum(shared.values()) >= block.least_weighing[i]
+
     def search(self, data: np.ndarray, offsets: np.ndarray):
         """The best window of each text and leaked item: (text, item_id, common, item words, cosine, answer found, first word)."""
         h, ptr = _words(data, offsets)

@@ -1,6 +1,7 @@
 """Latent search against brute force: the subsequence, the candidates' recall, and planted leaks."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -92,3 +93,47 @@ def test_candidate_recall_against_brute_force():
                 if (idf[window] * q[window]).sum() / np.sqrt((idf[window] ** 2).sum()) >= 0.3:
                     want.add((int(a), i))
     assert len(want) > 50 and len(want & got) >= 0.9 * len(want), (len(want), len(got), len(want & got))
+
+
+def skewed(seed=21):
+    """Prose of very frequent words and of names that are nowhere else, with items kept by a part of their words."""
+    rng = random.Random(seed)
+    frequent = [f"w{k}" for k in range(40)]
+    name = lambda: "".join(rng.choice("bcdfghklm") for _ in range(9))
+    common = lambda: frequent[min(39, int(rng.paretovariate(0.7)) - 1)]
+    items = [[common() if rng.random() < share else name() for _ in range(size)] for size in (8, 17, 17, 30, 48, 70) for share in (0.2, 0.6, 1.0)]
+    docs = []
+    for i in range(150):
+        words = [name() if rng.random() < (i % 3) / 2 else common() for _ in range(rng.randint(0, 300))]
+        if i % 2:
+            item = rng.choice(items)
+            body = [w if rng.random() < 0.6 else name() for w in item[:-5]]
+            at = rng.randint(0, len(words))
+            words[at:at] = body + item[-5:]
+        docs.append((i, " ".join(words)))
+    return docs, [(j, " ".join(x)) for j, x in enumerate(items)]
+
+
+def test_leaks_are_those_of_all_windows(spark):
+    """leaks() against the checks of every window and item; many leaks are far below the least cosine."""
+    docs, items = skewed()
+    held = Counter(w for _, text in docs for w in set(text.split()))
+    weighs = [Counter(w for w in item.split() if held[w] <= L.MOST_COMMON * len(docs)) for _, item in items]
+    plain = [sum(w.values()) < L.LEAST_INFORMATIVE for w in weighs]
+    want = set()
+    for d, text in docs:
+        words = text.split()
+        for j, item in items:
+            own, runs = item.split(), -(-len(item.split()) // L.RUN) + 1
+            for a in range(0, len(words), L.RUN):
+                window = words[max(0, a - L.RUN) : a + (runs + 1) * L.RUN]
+                common = lcs(own, window)
+                core = Counter(words[a : a + runs * L.RUN])
+                if not plain[j] and sum((core & weighs[j]).values()) < max(L.FEWEST_WEIGHING, L.LEAST_WEIGHING * sum(weighs[j].values())):
+                    continue
+                if common >= 0.7 * len(own) or (common >= 0.5 * len(own) and lcs(own[-5:], window) >= 4):
+                    want.add((d, j))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = L.leaks(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want and len(found) == len(want) > 60
+    assert sum(r.cosine < 0.3 for r in found) > 5
