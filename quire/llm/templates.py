@@ -139,18 +139,77 @@ def recurring_lines(docs: DataFrame, min_docs: int = 2, short_docs: int = 5, lon
     return dropped.groupBy("ord", "rid").agg(F.collect_set("number").alias("numbers"))
 
 
-def _marked(docs: DataFrame, **settings) -> tuple[DataFrame, str]:
-    """docs with the line numbers that are to be dropped, and that column's name."""
-    keyed = _keyed(docs)
-    drops = recurring_lines(docs, **settings).select(F.col("ord").alias("__o"), F.col("rid").alias("__r"), F.col("numbers").alias("__drop"))
+def _marked(docs: DataFrame, drops: DataFrame) -> DataFrame:
+    """docs with the columns of `drops` other than its key (ord, rid)."""
+    keyed, drops = _keyed(docs), drops.withColumnsRenamed({"ord": "__o", "rid": "__r"})
     joined = keyed.join(drops, (keyed["__ord"] == drops["__o"]) & (keyed["__rid"] == drops["__r"]), "left")
-    return joined.drop("__ord", "__rid", "__o", "__r"), "__drop"
+    return joined.drop("__ord", "__rid", "__o", "__r")
+
+
+class _Whole:
+    """The lines with a word of a slice of texts, word for word: text, number in the text, characters, hash of all bytes."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        starts, ends, ptr = B.spans(data != 0x0A, offsets)
+        inked, characters = np.zeros(len(data) + 1, np.int64), np.zeros(len(data) + 1, np.int64)
+        np.cumsum(~B.SPACE[data], out=inked[1:])
+        np.cumsum(data & 0xC0 != 0x80, out=characters[1:])
+        keep = inked[ends] > inked[starts]
+        breaks = np.flatnonzero(data == 0x0A)
+        self.text = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))[keep]
+        starts, ends = starts[keep], ends[keep]
+        self.number = np.searchsorted(breaks, starts) - np.searchsorted(breaks, offsets[self.text])
+        self.characters = characters[ends] - characters[starts]
+        self.hash = B.hashes(data, starts, ends, B.IDENTITY).view(np.int64)
+        self.sizes = characters[offsets[1:]] - characters[offsets[:-1]]
+
+
+def copies(docs: DataFrame, drops: DataFrame, least_kept: float) -> DataFrame:
+    """(ord, rid) of the documents that keep less than `least_kept` of their characters, and no line that is first there.
+
+    A line with a word, as it stands, is first in the least document that has it.  That document keeps the line and is
+    no copy, so a line of a copy is never lost.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(drops.select(F.col("rid").alias("h"))))
+    keyed = _keyed(docs).select("__ord", "__rid", F.col("text").cast("string").alias("text"))
+
+    def measured(batches):
+        for batch, data, offsets in B.slices(batches, "text"):
+            x = _Whole(data, offsets)
+            at = np.flatnonzero(passes(shared.value, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
+            ptr = np.searchsorted(x.text, np.arange(len(offsets)))
+            count = ptr[at + 1] - ptr[at]
+            line = B.ragged(ptr[at], count)
+            cuts = pa.array(B.runs_of(count), pa.int32())
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(v[line].astype(np.int64))) for v in (x.number, x.characters, x.hash)]
+            rows = pa.array(at)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(x.sizes[at]), *lists], ["ord", "rid", "size", "number", "characters", "hash"])
+
+    lines = map_batches(keyed, measured, "ord long, rid long, size long, number array<long>, characters array<long>, hash array<long>")
+    kept = F.filter(F.arrays_zip("number", "characters", "hash"), lambda x: ~F.array_contains("numbers", x["number"]))
+    found = lines.join(drops, ["ord", "rid"]).select("ord", "rid", "size", kept.alias("kept"))
+    characters = F.aggregate("kept", F.lit(0).cast("long"), lambda a, x: a + x["characters"] + 1) - 1
+    short = checkpoint(found.where(characters < F.lit(least_kept) * F.col("size")).select("ord", "rid", F.col("kept.hash").alias("hashes")).distinct())
+    left = short.select("ord", "rid", F.explode("hashes").alias("hash"))
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_filter(left.select(F.col("hash").alias("h"))))
+
+    def held(batches):
+        for batch, data, offsets in B.slices(batches, "text"):
+            x = _Whole(data, offsets)
+            at = np.flatnonzero(passes(wanted.value, x.hash.view(np.uint64)))
+            text = pa.array(x.text[at])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(text), batch.column(1).take(text), pa.array(x.hash[at])], ["ord", "rid", "hash"])
+
+    first = map_batches(keyed, held, "ord long, rid long, hash long").groupBy("hash").agg(F.min(F.struct("ord", "rid")).alias("first"))
+    own = left.join(first, "hash").where((F.col("ord") == F.col("first.ord")) & (F.col("rid") == F.col("first.rid"))).select("ord", "rid").distinct()
+    return short.select("ord", "rid").join(own, ["ord", "rid"], "left_anti")
 
 
 def line_report(docs: DataFrame, **settings) -> DataFrame:
     """(doc_id, n_lines, dropped, text): the text without its recurring lines, and the numbers of the lines dropped."""
-    rows, drop = _marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), **settings)
-    numbers = F.coalesce(F.sort_array(drop), F.array().cast("array<long>"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = _marked(docs, recurring_lines(docs, **settings).withColumnRenamed("numbers", "__drop"))
+    numbers = F.coalesce(F.sort_array("__drop"), F.array().cast("array<long>"))
 
     def run(batches):
         for batch, _, _ in B.slices(batches, "text"):
@@ -168,28 +227,27 @@ def line_report(docs: DataFrame, **settings) -> DataFrame:
 def drop_lines(docs: DataFrame, least_kept: float = 0.3, n_chars: str | None = "n_chars", **settings) -> DataFrame:
     """The rows of `docs`, with all their columns, without their recurring lines.
 
-    A document that keeps less than `least_kept` of its characters is a copy of what stays elsewhere, and
-    goes as a whole.  The column `n_chars`, if there is one, is counted anew for texts that change.
+    A document that keeps less than `least_kept` of its characters, and no line that isn't in an earlier document too, is
+    a copy of what stays elsewhere, and goes as a whole.  The column `n_chars`, if there is one, is counted anew for texts that change.
     """
-    rows, drop = _marked(docs, **settings)
+    drops = checkpoint(recurring_lines(docs, **settings))
+    gone = copies(docs, drops, least_kept).withColumn("__copy", F.lit(True))
+    rows = _marked(docs, drops.join(gone, ["ord", "rid"], "left").withColumnRenamed("numbers", "__drop"))
     names = docs.columns
     text_at, drop_at = names.index("text"), len(names)
 
     def run(batches):
         for batch, _, _ in B.slices(batches, "text"):
-            texts, keep = batch.column(text_at).to_pylist(), []
+            texts, keep = batch.column(text_at).to_pylist(), [x is None for x in batch.column(drop_at + 1).to_pylist()]
             for i, numbers in enumerate(batch.column(drop_at).to_pylist()):
-                keep.append(True)
                 if numbers:
                     gone = set(numbers)
-                    short = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in gone)
-                    keep[-1] = len(short) >= least_kept * len(texts[i])
-                    texts[i] = short
+                    texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in gone)
             columns = list(batch.columns[:drop_at])
             columns[text_at] = pa.array(texts, columns[text_at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    out = map_batches(rows.select(*[F.col(f"`{c}`") for c in names], drop), run, docs.schema)
+    out = map_batches(rows.select(*[F.col(f"`{c}`") for c in names], "__drop", "__copy"), run, docs.schema)
     if n_chars and n_chars in names:
         kind = docs.schema[n_chars].dataType
         out = out.withColumn(n_chars, F.when(F.col("text").isNull(), F.col(n_chars)).otherwise(F.length("text")).cast(kind)).select(*names)

@@ -90,3 +90,13 @@ def test_documents_keep_their_columns(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert T.line_report(empty).collect() == [] and T.drop_lines(empty).collect() == []
+
+
+def test_text_of_its_own_is_never_lost(spark):
+    """A short page with its own line beside a long shared passage stays, and a chain of near copies loses no line."""
+    rng = random.Random(4)
+    line = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    a, b, c, d, own = line(90), line(90), line(14), line(14), line(40)
+    rows = [(0, f"{a}\n{b}"), (1, f"{a}\n{b}\n{c}"), (2, f"{a}\n{b}\n{c}\n{d}"), (3, f"{line(80)}\n{d}"), (4, f"{a}\n{own}"), (5, f"{b}\n{a}"), (6, f"{a}\n\n \nÜber")]
+    kept = {r.doc_id: r.text for r in T.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {0: rows[0][1], 1: c, 2: d, 3: rows[3][1].split("\n")[0], 4: own, 6: "\n \nÜber"}
