@@ -1,12 +1,13 @@
 """Minimum-cost-flow resharding: from old shards to new ones of given capacities, moving the fewest bytes.
 
-Rows are sorted into classes of like size, largest first.  For each class, a network from old shards to new
-ones (supply: the class's bytes in the old shard; capacity: what the new shard still lacks; cost: 0 for a
-byte that stays, 1 or a given cost for a byte that moves) is solved by successive shortest paths on the
-driver, whose size is old x new shards and never rows.  A flow is a block transfer: each old shard's rows
-of the class are laid out by their running bytes, and a cut of that line goes to each new shard.  A row on
-a cut goes where it begins, so the next class, of smaller rows, is planned with what is really lacking,
-and the last error is that of a few rows of the smallest class.
+A network from old shards to new ones (supply: the old shard's bytes; capacity: what the new shard lacks; cost:
+0 for a byte that stays, 1 or a given cost for a byte that moves) is solved by successive shortest paths on the
+driver, whose size is old x new shards and never rows.  It is solved for all bytes at once, so the flow moves the
+fewest bytes whatever sizes the shards' rows have.  Rows fill its flows by classes of like size, largest first:
+each old shard's rows of the class are laid out by their running bytes, and a cut of that line goes to each new
+shard, in proportion to the old shard's flows.  A row on a cut goes where it begins, so before the next class, of
+smaller rows, the flow of all bytes that are left is solved anew with what is really lacking, and the last error is
+that of a few rows of the smallest class.
 
 Running bytes and the gapless slots are sums in two steps: over blocks of about `BLOCK_ROWS` rows each,
 and inside a block, so no shard lands in one task.
@@ -121,9 +122,9 @@ def reshard(rows: DataFrame, size: str, old: str, n_old: int, n_new: int, capaci
     flows: dict[tuple[int, int], list[int]] = {}
     for kind in sorted({k for k, _ in totals}, reverse=True):
         supply = [totals.get((kind, i), (0, 0))[1] for i in range(n_old)]
-        room = _shares(lacking, sum(supply))
-        planned = min_cost_flow(supply, room, cost)
-        own = {(kind, i): planned[i] for i in range(n_old) if supply[i]}
+        left = [sum(b for (k, o), (_, b) in totals.items() if o == i and k <= kind) for i in range(n_old)]
+        planned = min_cost_flow(left, _holding(lacking, sum(left)), cost)
+        own = {(kind, i): _shares(planned[i], supply[i]) for i in range(n_old) if supply[i]}
         flows |= own
         got = kept.where(F.col("__class") == kind).groupBy(_cuts(own).alias("shard")).agg(F.sum(size).alias("b")).collect()
         for r in got:
@@ -136,17 +137,21 @@ def reshard(rows: DataFrame, size: str, old: str, n_old: int, n_new: int, capaci
     return slotted.withColumn("slot", F.col("slot").cast("long")).drop("__id", "__class", "__old", "__block", "__at")
 
 
-def _shares(lacking: list[int], amount: int) -> list[int]:
-    """Capacities for one class: what each shard lacks, scaled down to about the class's bytes so that smaller rows can still even out all shards."""
-    open_ = [max(0, x) for x in lacking]
-    whole = sum(open_)
-    if whole <= amount:
-        return [x + (amount - whole if j == max(range(len(open_)), key=open_.__getitem__) else 0) for j, x in enumerate(open_)]
-    out = [x * amount // whole for x in open_]
-    for j in sorted(range(len(out)), key=lambda j: -open_[j]):
+def _holding(lacking: list[int], amount: int) -> list[int]:
+    """Capacities for the bytes that are left: what each shard lacks, and in the one that lacks most what rows on cuts took elsewhere."""
+    out = [max(0, x) for x in lacking]
+    out[max(range(len(out)), key=out.__getitem__)] += max(0, amount - sum(out))
+    return out
+
+
+def _shares(flow: list[int], amount: int) -> list[int]:
+    """The part of an old shard's flows that a class of `amount` bytes fills, in proportion, so that smaller rows can still even out all of them."""
+    whole = sum(flow)
+    out = [x * amount // whole for x in flow]
+    for j in sorted(range(len(out)), key=lambda j: -flow[j]):
         if (short := amount - sum(out)) <= 0:
             break
-        out[j] += min(short, open_[j] - out[j])
+        out[j] += min(short, flow[j] - out[j])
     return out
 
 

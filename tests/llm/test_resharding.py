@@ -65,3 +65,15 @@ def test_capacities_and_rewritten_files(spark, tmp_path):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, size long, old int")
     assert R.reshard(empty, "size", "old", 3, 5).collect() == []
+
+
+@pytest.mark.parametrize("n_new", [2, 3])
+def test_fewest_bytes_where_sizes_follow_the_old_shard(spark, n_new):
+    rows = [(i, 1000, 0) for i in range(100)] + [(1000 + i, 1 + i % 2, 1) for i in range(66_000)]
+    out = R.reshard(spark.createDataFrame(rows, "doc_id long, size long, old int"), "size", "old", 2, n_new).groupBy("old", "shard").sum("size").collect()
+    total = sum(r["sum(size)"] for r in out)
+    olds = {i: sum(r["sum(size)"] for r in out if r.old == i) for i in range(2)}
+    least = sum(max(0, b - total / n_new) for b in olds.values())
+    moved = sum(r["sum(size)"] for r in out if r.old != r.shard)
+    assert moved <= least + 1000
+    assert all(abs(sum(r["sum(size)"] for r in out if r.shard == j) - total / n_new) <= 1000 for j in range(n_new))
