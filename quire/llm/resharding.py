@@ -14,14 +14,15 @@ and inside a block, so no shard lands in one task.
 
 Defined cases: a null text has no bytes and size 1; repeated rows and null doc_ids are rows of their own;
 old shards that are null count as 0; an empty table gives an empty table; capacities default to equal
-shares of all bytes; other columns are kept by reshard().
+shares of all bytes; all columns are kept by reshard(), those named like a new one (`shard`, `slot`) as `shard_in`
+and `slot_in` (with more of the ending where that is taken too).
 """
 
 from __future__ import annotations
 
 from collections import deque
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm._spark import checkpoint
@@ -103,18 +104,30 @@ def _cuts(flows: dict[tuple[int, int], list[int]]):
     return place
 
 
+def _kept_columns(names: list[str]) -> list[Column]:
+    """The columns of the struct __row, under names that leave `shard` and `slot` free."""
+    out, taken = [], {*names, "shard", "slot"}
+    for name in names:
+        new = name
+        while name in ("shard", "slot") and new in taken:
+            new += "_in"
+        taken.add(new)
+        out.append(F.col("__row").getField(name).alias(new))
+    return out
+
+
 def reshard(rows: DataFrame, size: str, old: str, n_old: int, n_new: int, capacities: list[int] | None = None, cost=None) -> DataFrame:
     """`rows` with `shard` and `slot` (gapless from 0 in each shard); sizes are positive longs, old shards 0..n_old-1.
 
     With no capacities the shards get equal bytes, the first ones a byte more where the total doesn't divide.
     """
     cost = cost or (lambda i, j: 0 if i == j else 1)
-    kinds = F.floor(F.log2(F.greatest(F.col(size), F.lit(1)).cast("double")) / 2).cast("int")
-    kept = rows.withColumn("__id", F.monotonically_increasing_id()).withColumn("__class", kinds).withColumn("__old", F.coalesce(F.col(old), F.lit(0)).cast("int"))
-    kept = checkpoint(kept)  # ids are fixed from here on
-    totals = {(r["__class"], r["__old"]): (r.n, int(r.b)) for r in kept.groupBy("__class", "__old").agg(F.count("*").alias("n"), F.sum(size).alias("b")).collect()}
+    kept = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("__row"), F.col(size).cast("long").alias("__size"), F.coalesce(F.col(old), F.lit(0)).cast("int").alias("__old"))
+    kinds = F.floor(F.log2(F.greatest(F.col("__size"), F.lit(1)).cast("double")) / 2).cast("int")
+    kept = checkpoint(kept.withColumn("__id", F.monotonically_increasing_id()).withColumn("__class", kinds))  # ids are fixed from here on
+    totals = {(r["__class"], r["__old"]): (r.n, int(r.b)) for r in kept.groupBy("__class", "__old").agg(F.count("*").alias("n"), F.sum("__size").alias("b")).collect()}
     blocks = max(1, -(-sum(n for n, _ in totals.values()) // BLOCK_ROWS))
-    kept = checkpoint(_running(kept.withColumn("__block", F.pmod(F.xxhash64("__id"), F.lit(blocks)).cast("int")), ["__class", "__old"], F.col(size), "__at"))
+    kept = checkpoint(_running(kept.withColumn("__block", F.pmod(F.xxhash64("__id"), F.lit(blocks)).cast("int")), ["__class", "__old"], F.col("__size"), "__at"))
     total = sum(b for _, b in totals.values())
     lacking = list(capacities) if capacities else [total // n_new + (j < total % n_new) for j in range(n_new)]
     if sum(lacking) < total:
@@ -126,15 +139,12 @@ def reshard(rows: DataFrame, size: str, old: str, n_old: int, n_new: int, capaci
         planned = min_cost_flow(left, _holding(lacking, sum(left)), cost)
         own = {(kind, i): _shares(planned[i], supply[i]) for i in range(n_old) if supply[i]}
         flows |= own
-        got = kept.where(F.col("__class") == kind).groupBy(_cuts(own).alias("shard")).agg(F.sum(size).alias("b")).collect()
+        got = kept.where(F.col("__class") == kind).groupBy(_cuts(own).alias("shard")).agg(F.sum("__size").alias("b")).collect()
         for r in got:
             lacking[r.shard] -= int(r.b)
-    if not flows:
-        placed = kept.withColumn("shard", F.lit(0))
-    else:
-        placed = kept.withColumn("shard", _cuts(flows).cast("int"))
+    placed = kept.withColumn("shard", _cuts(flows).cast("int") if flows else F.lit(0))
     slotted = _running(placed, ["shard"], F.lit(1), "slot")
-    return slotted.withColumn("slot", F.col("slot").cast("long")).drop("__id", "__class", "__old", "__block", "__at")
+    return slotted.select(*_kept_columns(rows.columns), "shard", F.col("slot").cast("long").alias("slot"))
 
 
 def _holding(lacking: list[int], amount: int) -> list[int]:
@@ -161,13 +171,20 @@ def moved_bytes(placed: DataFrame, size: str, old: str) -> DataFrame:
 
 
 def rewrite_affected(placed: DataFrame, old: str, path: str, rows_a_file: int = 1_000_000) -> list[int]:
-    """Write the shards that rows leave or enter, as `path`/shard=j; shards whose rows are unchanged are left as they are.
+    """Bring the shards that rows leave or enter up to date, as `path`/shard=j; shards whose rows are unchanged are left as they are.
 
-    Returns the shards written.  A shard is written by many tasks, a block of its slots each.
+    Returns the shards written or, where no row is left, removed.  A shard is written by many tasks, a block of its
+    slots each.  The rows come from a checkpoint, so they may have been read from `path` itself.
     """
+    placed = checkpoint(placed)
+    spark = placed.sparkSession
     moves = placed.where(F.coalesce(F.col(old), F.lit(0)) != F.col("shard")).select(F.coalesce(F.col(old), F.lit(0)).cast("int").alias("a"), "shard").distinct().collect()
     affected = sorted({r.a for r in moves} | {r.shard for r in moves})
     if affected:
         chosen = placed.where(F.col("shard").isin(affected)).withColumn("__file", F.floor(F.col("slot") / rows_a_file))
         chosen.repartition("shard", "__file").drop("__file").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+        filled = {r.shard for r in placed.where(F.col("shard").isin(affected)).select("shard").distinct().collect()}
+        for j in sorted(set(affected) - filled):  # an overwrite leaves partitions alone that get no row
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={j}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return affected

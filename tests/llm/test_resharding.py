@@ -77,3 +77,37 @@ def test_fewest_bytes_where_sizes_follow_the_old_shard(spark, n_new):
     moved = sum(r["sum(size)"] for r in out if r.old != r.shard)
     assert moved <= least + 1000
     assert all(abs(sum(r["sum(size)"] for r in out if r.shard == j) - total / n_new) <= 1000 for j in range(n_new))
+
+
+def test_nothing_moves_where_shards_are_even_already(spark):
+    rows = [(i, 4000, 0) for i in range(100)] + [(1000 + i, 40, 1) for i in range(10_000)]
+    out = R.reshard(spark.createDataFrame(rows, "doc_id long, size long, old int"), "size", "old", 2, 2)
+    assert out.where("old <> shard").count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_moved_bytes_against_the_global_optimum(spark, seed):
+    rng = random.Random(seed)
+    n_old, n_new = rng.randint(2, 4), rng.randint(2, 5)
+    rows = [(i, rng.randint(1, 4 ** (2 + o)), o) for i, o in enumerate(rng.choices(range(n_old), k=4000))]
+    out = R.reshard(spark.createDataFrame(rows, "doc_id long, size long, old int"), "size", "old", n_old, n_new).collect()
+    total, olds, news = sum(r[1] for r in rows), Counter(), Counter()
+    for r in out:
+        olds[r.old] += r.size
+        news[r.shard] += r.size
+    least = sum(max(0, b - (total / n_new if o < n_new else 0)) for o, b in olds.items())
+    moved = sum(r.size for r in out if r.old != r.shard)
+    largest = max(r[1] for r in rows)
+    assert moved <= least + n_old * n_new * largest and max(news.values()) - min(news.values()) <= 2 * 4**2
+
+
+def test_emptied_shards_leave_no_rows_and_names_may_clash(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    rows = [(i, 10, i % 3, "s", i, "b") for i in range(8)]
+    old = spark.createDataFrame(rows, "doc_id long, size long, shard int, slot string, __id int, __block string")
+    old.write.partitionBy("shard").parquet(path)
+    placed = R.reshard(spark.read.parquet(path), "size", "shard", 3, 2)
+    assert {"shard_in", "slot_in", "__id", "__block", "shard", "slot"} <= set(placed.columns)
+    assert 2 in R.rewrite_affected(placed, "shard_in", path)
+    back = spark.read.parquet(path).collect()
+    assert sorted(r.doc_id for r in back) == list(range(8)) and {r.shard for r in back} == {0, 1}
