@@ -60,15 +60,21 @@ def fingerprint_slice(data: np.ndarray, offsets: np.ndarray, width: int, seed: i
     return out
 
 
-def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) for each row; fp is the 64-bit fingerprint as a signed long."""
+def _keyed_fingerprints(keyed: DataFrame, width: int, seed: int) -> DataFrame:
+    """(key, fp) for each row of (key, text); fp is the 64-bit fingerprint as a signed long."""
 
     def run(batches):
         for batch, data, offsets in B.slices(batches, "text"):
             fp = fingerprint_slice(data, offsets, width, seed).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["key", "fp"])
+
+    kind = keyed.schema["key"].dataType.simpleString()
+    return map_batches(keyed.select("key", F.col("text").cast("string").alias("text")), run, f"key {kind}, fp long")
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, fp long")
+
+def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
+    """(doc_id, fp) for each row."""
+    return _keyed_fingerprints(docs.select(F.col("doc_id").cast("long").alias("key"), "text"), width, seed).withColumnRenamed("key", "doc_id")
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -232,15 +238,16 @@ def near_links(distinct: DataFrame, radius: int = 4, bucket: int = 20_000, level
     def run(batches):
         held_k, held_f, rows = [], [], 0
         for batch in batches:
+            if not batch.num_rows:
+                continue
             held_k.append(batch.column(0).to_numpy(zero_copy_only=False))
             held_f.append(batch.column(1).to_numpy(zero_copy_only=False))
             rows += batch.num_rows
-            if rows >= 200_000:
+            if rows >= 200_000 and held_k[0][0] != held_k[-1][-1]:  # a bucket isn't cut, nor copied for each batch of it
                 k, f = np.concatenate(held_k), np.concatenate(held_f)
                 whole = int(np.searchsorted(k, k[-1], "left"))
-                if whole:
-                    if (out := link(k[:whole], f[:whole].view(np.uint64))) is not None:
-                        yield out
+                if (out := link(k[:whole], f[:whole].view(np.uint64))) is not None:
+                    yield out
                 held_k, held_f, rows = [k[whole:]], [f[whole:]], len(k) - whole
         if rows:
             k, f = np.concatenate(held_k), np.concatenate(held_f)
@@ -252,24 +259,49 @@ def near_links(distinct: DataFrame, radius: int = 4, bucket: int = 20_000, level
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long").distinct()
 
 
+def _components_of(distinct: DataFrame, radius: int) -> DataFrame:
+    """(fp, least, root) of the distinct fingerprints (fp, least)."""
+    roots = components(near_links(distinct, radius)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    return distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def _with_least(placed: DataFrame, parts: int = 1000) -> DataFrame:
+    """(fp, name): the least `least` of each root, given back to all its fingerprints.
+
+    Roots with more than one in `parts` of all fingerprints are fewer than `parts`, so these are broadcast and the
+    join of the others has no hot key.
+    """
+    names = checkpoint(placed.groupBy("root").agg(F.min("least").alias("name"), F.count("*").alias("n")))
+    limit = max(1000, int(names.agg(F.sum("n")).first()[0] or 0) // parts)
+    hot = F.broadcast(names.where(F.col("n") > limit).select("root", F.col("name").alias("hot_name"), F.lit(True).alias("hot")))
+    marked = placed.select("fp", "root").join(hot, "root", "left")
+    rest = marked.where(F.col("hot").isNull()).select("fp", "root").join(names.where(F.col("n") <= limit).select("root", "name"), "root")
+    return marked.where("hot").select("fp", F.col("hot_name").alias("name")).unionByName(rest.select("fp", "name"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp, component_id) for each row: the least doc_id that is reachable over links of `radius` bits at most."""
     prints = checkpoint(fingerprints(docs, width, seed))
     distinct = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(near_links(distinct, radius)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    placed = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.select("fp", "root").join(names, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = _with_least(_components_of(distinct, radius))
+    return prints.join(named, "fp").select("doc_id", "fp", F.col("name").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, **settings) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
     """The rows of `docs`, with all their columns, of which one document of each near-duplicate group stays.
 
-    The document with the group's least doc_id stays; repeated rows of that doc_id are cut to one.  Rows
-    without a doc_id cannot be told apart and all stay.
+    A document is what rows of one doc_id and text have in common.  Of a group, the document with the least doc_id
+    stays, and of several texts under that doc_id the one of least hash; its repeated rows are cut to one.  Texts under
+    one doc_id that are no near-duplicates are documents of their own.  Rows without a doc_id cannot be told apart and
+    all stay.
     """
-    groups = near_duplicates(docs, **settings).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    stay = rows.join(groups, rows["doc_id"].cast("long") == groups["__kept"], "left_semi")
+    key = F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("text"))
+    known = docs.where(F.col("doc_id").isNotNull())
+    prints = checkpoint(_keyed_fingerprints(known.select(key.alias("key"), "text"), width, seed))
+    distinct = checkpoint(prints.groupBy("fp").agg(F.min("key").alias("least")))
+    kept = _components_of(distinct, radius).groupBy("root").agg(F.min("least").alias("least"))
+    kept = kept.select(F.col("least.id").alias("__id"), F.col("least.text").alias("__text"))
+    names = docs.columns
+    rows = known.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__text", F.xxhash64(F.col("text").cast("string")))
+    stay = rows.join(kept, ["__id", "__text"], "left_semi").dropDuplicates(["__id", "__text"]).select(*[F.col(f"`{c}`") for c in names])
     return stay.unionByName(docs.where(F.col("doc_id").isNull()))
