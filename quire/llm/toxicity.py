@@ -6,8 +6,10 @@ than chance allows (log-likelihood ratio of document counts).  A two-state chain
 of each line by forward-backward gradients.  A document's score is a logistic function of what the
 marginals of its tokens add up to, fitted on the same sample with the true class shares.
 
-The sample is bounded and documented: `toxic_rows` and `clean_rows` labelled rows, by the hash of their
-doc_id, and `tokens` tokens of these for the chain.  The model is a weight table of a fixed size
+The sample is bounded by parameters: the token labels come from `toxic_rows` (6,000) and `clean_rows` (12,000)
+labelled rows of least hash of their doc_id, and `most_pieces` (20,000) words and pieces of these at most; the chain
+and the logistic function are fitted to `chain_rows` (1,500) of these texts of each class, of least hash, as far as
+they have `most_tokens` (1,500,000) tokens together.  The model is a weight table of a fixed size
 (2^BITS floats), so broadcasting it doesn't grow with the data.  Scoring reads whole texts, and a text's
 score depends on nothing but the text.
 
@@ -144,15 +146,17 @@ def _adam(theta: np.ndarray, gradient, rounds: int, rate: float) -> np.ndarray:
 
 def fit_chain(places: np.ndarray, first: np.ndarray, labels: np.ndarray, rounds: int = 40, decay: float = 1e-5) -> tuple[np.ndarray, float, np.ndarray]:
     """Weights by feature place, bias and state changes of the chain that makes the token labels likely."""
-    seen, column = np.unique(places, return_inverse=True)
-    column = column.reshape(places.shape)
+    seen = np.flatnonzero(np.bincount(places.ravel(), minlength=1 << BITS))
+    column = np.searchsorted(seen, places).astype(np.int32)
     y = labels.astype(float)
     both = ~first[1:]
     had = np.zeros((2, 2))
     np.add.at(had, (labels[:-1][both].astype(int), labels[1:][both].astype(int)), 1)
 
     def gradient(theta):
-        e = theta[-5] + theta[:-5][column].sum(0)
+        e = np.full(len(y), theta[-5])
+        for row in column:
+            e += theta[row]
         logit, pairs = forward_backward(e, first, theta[-4:].reshape(2, 2))
         miss = y - _sigmoid(logit)
         g = np.zeros_like(theta)
@@ -188,7 +192,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, train, toxic_rows: int,
     return rows.groupBy("text").agg(F.max("toxic").alias("toxic")).select("text", "toxic", weight.alias("weight"))
 
 
-def lexicon(sample: DataFrame, most: int = 20_000, least_ratio: float = 40.0) -> np.ndarray:
+def lexicon(sample: DataFrame, most: int, least_ratio: float = 40.0) -> np.ndarray:
     """Hashes of words and leading pieces that toxic documents hold too often for chance, the `most` strongest at most."""
 
     def count(batches):
@@ -220,10 +224,10 @@ def lexicon(sample: DataFrame, most: int = 20_000, least_ratio: float = 40.0) ->
     return np.sort(found.view(np.uint64))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train, toxic_rows: int = 6000, clean_rows: int = 12_000, chain_rows: int = 1500, most_tokens: int = 1_500_000) -> Model:
-    """Fit on rows whose doc_id passes `train`, a function from column to column."""
+def fit(docs: DataFrame, labels: DataFrame, train, toxic_rows: int = 6000, clean_rows: int = 12_000, chain_rows: int = 1500, most_tokens: int = 1_500_000, most_pieces: int = 20_000) -> Model:
+    """Fit on rows whose doc_id passes `train`, a function from column to column; the bounds are those of the module's docstring."""
     sample = checkpoint(training_sample(docs, labels, train, toxic_rows, clean_rows))
-    words = lexicon(sample)
+    words = lexicon(sample, most_pieces)
 
     def label(batches):
         for batch, data, offsets in B.slices(batches, "text"):
@@ -237,30 +241,29 @@ def fit(docs: DataFrame, labels: DataFrame, train, toxic_rows: int = 6000, clean
             hit &= np.repeat(toxic, np.diff(ptr))
             rows = [(places[:, a:b].tobytes(), first[a:b].tobytes(), hit[a:b].tobytes()) for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
             arrays = [pa.array(x, pa.binary()) for x in zip(*rows, strict=True)]
-            yield pa.RecordBatch.from_arrays([*arrays, batch.column(1), batch.column(2)], ["places", "first", "hit", "toxic", "weight"])
+            yield pa.RecordBatch.from_arrays([*arrays, batch.column(1)], ["places", "first", "hit", "toxic"])
 
     by_hash = F.xxhash64("text")
     few = sample.where("toxic = 1").orderBy(by_hash).limit(chain_rows).unionByName(sample.where("toxic = 0").orderBy(by_hash).limit(chain_rows))
     got, held = [], 0
-    schema = "places binary, first binary, hit binary, toxic int, weight double"
-    typed = few.withColumn("toxic", F.col("toxic").cast("int")).withColumn("weight", F.col("weight").cast("double")).repartition(16, by_hash)
-    for row in map_batches(typed, label, schema).toLocalIterator():
+    typed = few.select("text", F.col("toxic").cast("int").alias("toxic")).orderBy(by_hash, "text")
+    for row in map_batches(typed, label, "places binary, first binary, hit binary, toxic int").toLocalIterator():
         size = len(row.first)
-        if held + size > most_tokens and got:
-            continue
         held += size
-        got.append((np.frombuffer(row.places, np.int32).reshape(len(_SALTS), size), np.frombuffer(row.first, bool), np.frombuffer(row.hit, bool), row.toxic, row.weight))
+        if held > most_tokens and got:  # long texts aren't passed over in favour of short ones
+            break
+        got.append((np.frombuffer(row.places, np.int32).reshape(len(_SALTS), size), np.frombuffer(row.first, bool), np.frombuffer(row.hit, bool), row.toxic))
     kinds = {x[3] for x in got}
     share = float(np.mean([x[3] for x in got])) if got else 0.0
     if kinds != {0, 1} or not held:
         return Model(np.zeros(1 << BITS, np.float32), -20.0, np.zeros((2, 2)), np.zeros(3), share)
-    places = np.concatenate([x[0] for x in got], axis=1)
-    first = np.concatenate([x[1] for x in got])
-    table, bias, moves = fit_chain(places, first, np.concatenate([x[2] for x in got]))
+    places, first, hit = np.concatenate([x[0] for x in got], axis=1), np.concatenate([x[1] for x in got]), np.concatenate([x[2] for x in got])
+    lengths, y = np.array([len(x[1]) for x in got]), np.array([x[3] for x in got], float)
+    del got  # the driver holds the sample once
+    table, bias, moves = fit_chain(places, first, hit)
     model = Model(table, bias, moves, np.zeros(3), share)
     logit, _ = forward_backward(model.emissions(places).astype(float), first, moves)
-    x = document_features(logit, B.runs_of(np.array([len(g[1]) for g in got])))
-    y = np.array([g[3] for g in got], float)
+    x = document_features(logit, B.runs_of(lengths))
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.sum("weight").alias("n")).collect()}
     weight = np.where(y == 1, sizes[1] / max(1, y.sum()), sizes[0] / max(1, (1 - y).sum()))
     model.doc = fit_scores(x, y, weight)

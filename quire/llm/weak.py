@@ -5,8 +5,8 @@ the counts of vote patterns (3^labellers at most, whatever the corpus) estimates
 good and on bad texts, and so each pattern's posterior.  The posteriors of a bounded sample of texts train
 a linear scorer over hashed words and word shapes, which then scores every text.
 
-Votes and pattern counts cover all rows; only the scorer's fit uses a sample, of `sample_rows` rows about,
-chosen by a hash of doc_id and text.  What is broadcast is a table of 2^BITS floats.
+Votes and pattern counts cover all rows; only the scorer's fit uses a sample, of the `sample_rows` rows of least
+hash of doc_id and text, and of these in that order as many as have `most_words` words together.  What is broadcast is a table of 2^BITS floats.
 
 Defined cases: a null text counts as an empty one, and a text without words gets posterior and score like
 any other (its only feature is the bias); repeated rows get equal results; null doc_ids are rows; an empty
@@ -219,13 +219,15 @@ def vote_table(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, sample_rows: int = 5000, most_words: int = 3_000_000) -> tuple[LabelModel, Scorer]:
-    """The label model from all rows, and the scorer from about sample_rows of them and most_words words at most."""
+    """The label model from all rows, and the scorer from the sample_rows of least hash, as far as they have most_words words together."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     patterns = vote_table(rows).groupBy("votes").agg(F.count("*").alias("n")).toPandas()
     codes, counts = patterns["votes"].to_numpy(np.int64), patterns["n"].to_numpy(float)
     model = expectation_maximisation(codes, counts)
-    share = min(1.0, sample_rows / max(1.0, counts.sum()))
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+    # the sample_rows-th least hash is the bound, whatever the number of rows (rows of an equal hash come along)
+    ranked = rows.withColumn("h", F.xxhash64("doc_id", "text"))
+    bound = ranked.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
+    chosen = ranked.where(F.col("h") <= F.lit(bound).cast("long")).orderBy("h", "doc_id", "text").select("doc_id", "text")
 
     def run(batches):
         for _, data, offsets in B.slices(batches, "text"):
@@ -237,9 +239,10 @@ def fit(docs: DataFrame, sample_rows: int = 5000, most_words: int = 3_000_000) -
     got, held = [], 0
     for row in map_batches(chosen, run, "places binary, good double").toLocalIterator():
         places = np.frombuffer(row.places, np.int32).reshape(3, -1)
-        if held + places.shape[1] <= most_words:
-            held += places.shape[1]
-            got.append((places, row.good))
+        held += places.shape[1]
+        if held > most_words and got:  # long texts aren't passed over in favour of short ones
+            break
+        got.append((places, row.good))
     if not got:
         return model, Scorer(np.zeros(1 << BITS, np.float32), float(np.log(model.prior / (1 - model.prior))))
     ptr = B.runs_of(np.array([x[0].shape[1] for x in got]))
