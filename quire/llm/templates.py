@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import _bytes as B
@@ -108,17 +108,35 @@ def spell(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return lines.join(chosen, "line").select("leaf", "line", "lines", "tokens")
 
 
-def generalised(spelled: DataFrame, agree: int, part: int = 500) -> DataFrame:
+#: Lines of a leaf that a task handles together, about.
+PART = 500
+
+
+def _parts(lines: Column) -> Column:
+    return F.ceil(lines / PART)
+
+
+def _dealt(lines: DataFrame) -> DataFrame:
+    """lines (leaf, line, lines, ...) with the part of its leaf that a line is dealt to."""
+    return lines.withColumn("part", F.pmod(F.col("line"), _parts(F.col("lines"))))
+
+
+def _for_parts(by_leaf: DataFrame) -> DataFrame:
+    """Rows by leaf, with its number of lines, once for each part of the leaf: one in PART of the lines, and one for each leaf."""
+    return by_leaf.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), _parts(F.col("lines")) - 1)))
+
+
+def generalised(spelled: DataFrame, agree: int) -> DataFrame:
     """(line) of the spelled lines that agree with their leaf's constants in `agree` tenths of their tokens.
 
-    A leaf's lines are dealt out in parts of about `part` lines, in which tokens are counted by place before
-    the counts are shuffled; a leaf's constants are one token for each place at most.
+    A leaf's lines are dealt out in parts of about PART lines, in which tokens are counted by place before the counts
+    are shuffled; a leaf's constants are one token for each place at most, and go to all of its parts.
     """
-    salt = F.pmod(F.col("line"), F.ceil(F.col("lines") / part))
-    votes = spelled.repartition("leaf", salt).select("leaf", "lines", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.count("*").alias("n"), F.first("lines").alias("lines"))
-    constants = votes.where("2 * n > lines").groupBy("leaf").agg(F.collect_list(F.struct("place", "token")).alias("constants"))
+    dealt = _dealt(spelled)
+    votes = dealt.repartition("leaf", "part").select("leaf", "lines", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.count("*").alias("n"), F.first("lines").alias("lines"))
+    constants = votes.where("2 * n > lines").groupBy("leaf").agg(F.collect_list(F.struct("place", "token")).alias("constants"), F.first("lines").alias("lines"))
     same = F.size(F.filter("constants", lambda c: F.get("tokens", c["place"]) == c["token"]))
-    return spelled.join(constants, "leaf").where(F.lit(10) * same >= F.lit(agree) * F.size("tokens")).select("line")
+    return dealt.join(_for_parts(constants).drop("lines"), ["leaf", "part"]).where(F.lit(10) * same >= F.lit(agree) * F.size("tokens")).select("line")
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = 2, short_docs: int = 5, long_tokens: int = 10, min_tokens: int = 3, agree: int = 7) -> DataFrame:
