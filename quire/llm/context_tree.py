@@ -1,25 +1,28 @@
 """Context-tree weighting over bytes, beside a word-count base, for whole texts.
 
-A byte is eight binary decisions; each of the 255 places in that decision tree has its own context tree
-over the bytes before, `DEPTH` deep.  A node's Krichevsky-Trofimov estimate comes from the training
-counts of zeros and ones in its context, and the weighted probability of a node is half its own estimate
-and half the product of its children's, from the deepest contexts upwards.  The share of a node's own
-estimate in that sum is its weight when texts are scored: the estimates of all depths are mixed along the
-path of the context.  A context that training never saw carries no weight.
-
-The counts are exact: texts are dealt into blocks by a hash, each block counts its distinct (DEPTH + 1)-byte
-sequences and its distinct words, and the counts are added up by key.  The tree is computed from the summed
-counts by one grouped sum a depth.  Only then the nodes go into a table of a fixed size, 2^SLOT_BITS
-slots by a hash of depth and context; contexts that share a slot share counts and weights.  What a task
-holds is that table, one block of texts and the block's words.
-
-The base needs the training count of every word of a text: a block's distinct words travel, as sorted
-arrays, to the bucket of their hash, where all blocks' counts meet, and the sums travel back to the
-block in the same order, so no vocabulary is held anywhere as a whole.
-
-Defined cases: a null text is empty, its score is 0 and its only token the end; repeated rows are counted
-and scored each; a null doc_id is in no held-out fold; with no training rows every bit has one half and
-every count is 0; an empty table gives an empty table; other columns are left aside.
+A text is its bytes and then an end.  Each of these symbols is up to nine binary decisions, of which the first is
+whether the text ends and the others are the byte's bits, so the probabilities of all texts add up to one.  Each of
+the 256 places in that decision tree has its own context tree over the bytes before, `DEPTH` deep (zeros before a
+text's start).  A node's Krichevsky-Trofimov estimate comes from the training counts of zeros and ones in its
+context, and the weighted probability of a node is half its own estimate and half the product of its children's,
+from the deepest contexts upwards.  The share of a node's own estimate in that sum is its weight when texts are
+scored: the estimates of all depths are mixed along the path of the context, and what the deepest context that
+training saw gives ends the path.
+
+All counts and nodes are exact, and none is shared or left out however many there are.  Texts are dealt into blocks
+by a hash; each block names its distinct (context, symbol) sequences and its distinct words with their training
+counts.  These travel, as packed sorted arrays, to the bucket of their hash, where all blocks' counts meet and the
+deepest nodes are counted; the nodes above are keyed sums, one for each depth, and the mixtures come down by keyed
+joins from the root, whose keys have 256 children at most.  The answers travel back to the blocks in the same
+order, so no tree and no vocabulary is held anywhere as a whole.  A task holds one block of texts with its distinct
+sequences, or one bucket.
+
+The chances of ones and of zeros are both carried, in doubles, so that neither vanishes beside the other, whatever
+the counts; a sequence's log probability is rounded to a float when it is sent back.
+
+Defined cases: a null text is empty, and its only symbol and its only token is the end; repeated rows are counted
+and scored each; a null doc_id is in no held-out fold; with no training rows every decision has one half and every
+count is 0; an empty table gives an empty table; other columns are left aside.
 """
 
 from __future__ import annotations
@@ -32,27 +35,49 @@ from pyspark.sql import functions as F
 from quire.llm import _bytes as B
 from quire.llm._spark import checkpoint
 
-DEPTH = 4
-SLOT_BITS = 23
+#: Bytes of context; at most 6, as a sequence is packed into 64 bits.
+DEPTH = 5
 BLOCK_BYTES = 16 << 20
-_RANGES = 64
+WINDOW = 1 << 20
+#: The symbol that ends a text.
+END = 256
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def sequences(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each byte, itself (lowest byte) and the DEPTH bytes before it in its text; zeros before the text's start."""
-    out = data.astype(np.uint64)
-    for k in range(1, DEPTH + 1):
-        before = np.zeros(len(data), np.uint64)
-        before[k:] = data[: len(data) - k]
-        for j in range(k):  # the bytes before a text's start belong to another text
-            at = offsets[:-1] + j
-            before[at[at < offsets[1:]]] = 0
-        out |= before << np.uint64(8 * k)
-    return out
+def sequences(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW):
+    """The symbols of some texts in windows of bounded size: (sequences, text of each).
+
+    A sequence is the symbol in its lowest nine bits and above it the DEPTH bytes before, the nearest one lowest.
+    """
+    begins = offsets + np.arange(len(offsets))  # of the texts, in symbols
+    for a in range(0, int(begins[-1]), window):
+        at = np.arange(a, min(a + window, int(begins[-1])))
+        text = np.searchsorted(begins, at, "right") - 1
+        since = at - begins[text]
+        byte = at - text
+        out = np.full(len(at), END, np.uint64)
+        inner = np.flatnonzero(at < begins[text + 1] - 1)
+        out[inner] = data[byte[inner]]
+        for k in range(1, DEPTH + 1):
+            have = np.flatnonzero(since >= k)
+            out[have] |= data[byte[have] - k].astype(np.uint64) << np.uint64(1 + 8 * k)
+        yield out, text
+
+
+def pack(keys: np.ndarray) -> bytes:
+    """Sorted distinct 64-bit keys as compressed steps."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return len(keys).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:8], "little")
+    steps = np.frombuffer(pa.decompress(packed[8:], 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(steps.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
 class Counter:
-    """Exact counts of 64-bit keys: most fall into slots of a table by hash, those whose slot is taken are sorted."""
+    """Exact sums by 64-bit key: most keys have slots of a table by hash, those whose slot is taken are sorted."""
 
     def __init__(self, bits: int = 20):
         self.shift = np.uint64(64 - bits)
@@ -60,12 +85,12 @@ class Counter:
         self.counts = np.zeros(1 << bits, np.int64)
         self.rest: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def add(self, keys: np.ndarray) -> None:
-        slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+    def add(self, keys: np.ndarray, amounts: np.ndarray) -> None:
+        slot = ((keys * _MIX) >> self.shift).astype(np.int64)
         hit = self.keys[slot] == keys
-        self.counts += np.bincount(slot[hit], minlength=len(self.counts))
-        names, n = np.unique(keys[~hit], return_counts=True)
-        slot = ((names * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        self.counts += np.bincount(slot[hit], amounts[hit], len(self.counts)).astype(np.int64)
+        names, n = add_up([(keys[~hit], amounts[~hit].astype(np.int64))])
+        slot = ((names * _MIX) >> self.shift).astype(np.int64)
         free = np.flatnonzero(self.keys[slot] == ~np.uint64(0))
         free = free[np.unique(slot[free], return_index=True)[1]]
         self.keys[slot[free]] = names[free]
@@ -73,12 +98,31 @@ class Counter:
         left = np.ones(len(names), bool)
         left[free] = False
         self.rest.append((names[left], n[left]))
+        if len(self.rest) >= 8:
+            self.rest = [add_up(self.rest)]
 
     def items(self) -> tuple[np.ndarray, np.ndarray]:
         used = self.keys != ~np.uint64(0)
         return add_up([(self.keys[used], self.counts[used]), *self.rest])
 
 
+class Lookup:
+    """Values by sorted distinct keys: most keys have slots of a table by hash, the others are searched for."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.at = np.zeros(1 << bits, np.int32)
+        self.at[((keys * _MIX) >> self.shift).astype(np.int64)] = np.arange(len(keys))
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self.at[((keys * _MIX) >> self.shift).astype(np.int64)]
+        miss = np.flatnonzero(self.keys[at] != keys)
+        at[miss] = np.searchsorted(self.keys, keys[miss])
+        return self.values[at]
+
+
 def add_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, and the sums of their counts."""
     keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
@@ -88,50 +132,65 @@ def add_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
-def _block_slices(table: pa.Table):
-    for batch, data, offsets in B.slices(table.to_batches(), "text"):
-        yield data, offsets, batch.column(batch.schema.get_field_index("train")).to_numpy(zero_copy_only=False).astype(bool)
+def _block(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, offsets and whether it is of training, of the texts of a block."""
+    data, offsets = B.buffers(table.column("text"))
+    return data, offsets, table.column("train").to_numpy().astype(bool)
 
 
-def block_words(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block: word hashes in order, pointers by text, distinct hashes sorted, and the place of each word among them."""
+def block_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block: pointers to its words by text, the words' distinct hashes in order, and the place of each word among them."""
     hashes, sizes = [], []
-    for data, offsets, _ in _block_slices(table):
-        starts, ends, ptr = B.words(data, offsets)
-        hashes.append(B.hashes(data, starts, ends))
+    for _, part, cuts in B.slices([pa.RecordBatch.from_arrays([_texts(data, offsets)], ["text"])], "text"):
+        starts, ends, ptr = B.words(part, cuts)
+        hashes.append(B.hashes(part, starts, ends))
         sizes.append(np.diff(ptr))
-    h = np.concatenate(hashes)
+    h = np.concatenate([np.zeros(0, np.uint64), *hashes])
     names, place = np.unique(h, return_inverse=True)
-    return h, B.runs_of(np.concatenate(sizes)), names, place
+    return B.runs_of(np.concatenate([np.zeros(0, np.int64), *sizes])), names, place.astype(np.int32)
+
+
+def _texts(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+def block_sequences(data: np.ndarray, offsets: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sequences of a block, sorted, and how often training has them there."""
+    counter = Counter()
+    for keys, text in sequences(data, offsets):
+        counter.add(keys, train[text])
+    return counter.items()
+
+
+def _buckets(kind: str, keys: np.ndarray, bits: int) -> np.ndarray:
+    """The bucket of each key: words by their hash, sequences by that of their context, so that a context's symbols meet."""
+    if not bits:
+        return np.zeros(len(keys), np.int64)
+    return ((keys if kind == "word" else B.mix((keys >> np.uint64(9)) + np.uint64(1))) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 COUNTS = "kind string, block int, bucket long, keys binary, counts binary"
 
 
 def count_blocks(blocks: DataFrame, bucket_bits: int) -> DataFrame:
-    """Rows of sorted keys and training counts by block and bucket: kind `word`, with every word of the block, and kind `sequence`."""
+    """Rows of sorted keys and training counts by block and bucket, for all words and sequences of a block, whether training has them or not."""
 
     def run(key, table):
         rows = []
 
-        def put(kind: str, keys: np.ndarray, counts: np.ndarray, hashed: np.ndarray) -> None:
-            bucket = (hashed >> np.uint64(64 - bucket_bits)).astype(np.int64) if bucket_bits else np.zeros(len(keys), np.int64)
+        def put(kind: str, keys: np.ndarray, counts: np.ndarray) -> None:
+            bucket = _buckets(kind, keys, bucket_bits)
             order = np.argsort(bucket, kind="stable")
-            keys, counts, bucket = keys[order], counts[order], bucket[order]
+            keys, counts, bucket = keys[order], counts[order].astype(np.uint32), bucket[order]
             first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(keys) else np.zeros(0, np.int64)
             for a, b in zip(first, np.append(first, len(keys))[1:], strict=True):
-                rows.append((kind, key[0].as_py(), int(bucket[a]), keys[a:b].tobytes(), counts[a:b].astype(np.int64).tobytes()))
-
-        _, ptr, names, place = block_words(table)
-        train = table.column("train").to_numpy().astype(bool)
-        put("word", names, np.bincount(place[np.repeat(train, np.diff(ptr))], minlength=len(names)), names)
-        counter = Counter()
-        for data, offsets, of_train in _block_slices(table):
-            seen = sequences(data, offsets)[np.repeat(of_train, np.diff(offsets))]
-            if len(seen):
-                counter.add(seen)
-        keys, counts = counter.items()
-        put("sequence", keys, counts, B.mix(keys))
+                rows.append((kind, key[0].as_py(), int(bucket[a]), pack(keys[a:b]), counts[a:b].tobytes()))
+
+        data, offsets, train = _block(table)
+        ptr, names, place = block_words(data, offsets)
+        put("word", names, np.bincount(place[np.repeat(train, np.diff(ptr))], minlength=len(names)))
+        del place
+        put("sequence", *block_sequences(data, offsets, train))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
         kinds = (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["kind", "block", "bucket", "keys", "counts"])
@@ -139,154 +198,148 @@ def count_blocks(blocks: DataFrame, bucket_bits: int) -> DataFrame:
     return blocks.groupBy("block").applyInArrow(run, COUNTS)
 
 
-def _parts(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [(np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)) for k, c in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist(), strict=True)]
+def _requests(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(unpack(k), np.frombuffer(c, np.uint32).astype(np.int64)) for k, c in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist(), strict=True)]
+
+
+ANSWERS = "kind string, block int, bucket long, sums binary"
+
+
+def _answers(kind: str, bucket: int, blocks: list[int], sums: list[bytes]) -> pa.Table:
+    columns = [pa.array([kind] * len(blocks)), pa.array(blocks, pa.int32()), pa.array([bucket] * len(blocks), pa.int64()), pa.array(sums, pa.binary())]
+    return pa.Table.from_arrays(columns, ["kind", "block", "bucket", "sums"])
 
 
 def sum_words(counts: DataFrame) -> DataFrame:
     """For each block and bucket, the corpus's training counts of the block's words, in their order; and for each bucket (block -1) its totals."""
 
     def run(key, table):
-        parts = _parts(table)
+        parts = _requests(table)
         names, sums = add_up(parts)
         out = [sums[np.searchsorted(names, keys)].tobytes() for keys, _ in parts]
         totals = np.array([(sums > 0).sum(), sums.sum()], np.int64)
-        blocks = [*table.column("block").to_pylist(), -1]
-        return pa.Table.from_arrays([pa.array(blocks, pa.int32()), pa.array([key[0].as_py()] * len(blocks), pa.int64()), pa.array([*out, totals.tobytes()], pa.binary())], ["block", "bucket", "sums"])
+        return _answers("word", key[0].as_py(), [*table.column("block").to_pylist(), -1], [*out, totals.tobytes()])
 
-    return counts.where("kind = 'word'").groupBy("bucket").applyInArrow(run, "block int, bucket long, sums binary")
+    return counts.where("kind = 'word'").groupBy("bucket").applyInArrow(run, ANSWERS)
+
+
+def decisions(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The decisions of sequences: (index of the sequence, node, bit); a node is its context and above it, in the lowest byte, its place."""
+    context, symbol = keys >> np.uint64(9), keys & np.uint64(511)
+    byte = np.flatnonzero(symbol < END)
+    index, nodes, bits = [np.arange(len(keys))], [context << np.uint64(8)], [symbol == END]
+    above, low = context[byte] << np.uint64(8), symbol[byte]
+    for k in range(8):
+        index.append(byte)
+        nodes.append(above | np.uint64(1 << k) | low >> np.uint64(8 - k))
+        bits.append((low >> np.uint64(7 - k)) & np.uint64(1) == 1)
+    return np.concatenate(index), np.concatenate(nodes), np.concatenate(bits)
+
+
+class Nodes:
+    """The deepest nodes of a bucket: places of the decisions of its sequences among them, zeros and ones."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        self.index, nodes, self.bit = decisions(keys)
+        self.names, self.place = np.unique(nodes, return_inverse=True)
+        amounts = n[self.index]
+        self.zeros = np.bincount(self.place, amounts * ~self.bit, len(self.names))
+        self.ones = np.bincount(self.place, amounts * self.bit, len(self.names))
+        self.above = self.names & np.uint64((1 << 8 * DEPTH) - 1)
 
 
 def sum_sequences(counts: DataFrame) -> DataFrame:
-    """(sequence, n) of the distinct training sequences."""
+    """(bucket, node, zeros, ones, below): of each bucket, sums of its deepest nodes for the nodes above them."""
 
     def run(key, table):
-        keys, n = add_up(_parts(table))
-        return pa.Table.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["sequence", "n"])
+        deepest = Nodes(*add_up(_requests(table)))
+        names, place = np.unique(deepest.above, return_inverse=True)
+        sums = [np.bincount(place, x, len(names)) for x in (deepest.zeros, deepest.ones, log_estimate(deepest.zeros, deepest.ones))]
+        columns = [np.full(len(names), key[0].as_py()), names.view(np.int64), *(x.astype(np.int64) for x in sums[:2]), sums[2]]
+        return pa.Table.from_arrays([pa.array(x) for x in columns], ["bucket", "node", "zeros", "ones", "below"])
 
-    return counts.where("kind = 'sequence'").groupBy("bucket").applyInArrow(run, "sequence long, n long")
+    return counts.where("kind = 'sequence'").groupBy("bucket").applyInArrow(run, "bucket long, node long, zeros long, ones long, below double")
 
 
-def _log_gamma(x: Column) -> Column:
-    """Stirling's series eight steps further, and back by the recurrence."""
-    y, shift = x + 8, F.log(x)
+def _log_gamma(x, log):
+    """Stirling's series eight steps further, and back by the recurrence; for columns and for arrays."""
+    y, shift = x + 8, log(x)
     for k in range(1, 8):
-        shift = shift + F.log(x + k)
-    series = (y - 0.5) * F.log(y) - y + 0.5 * float(np.log(2 * np.pi)) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
+        shift = shift + log(x + k)
+    series = (y - 0.5) * log(y) - y + 0.5 * float(np.log(2 * np.pi)) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
     return series - shift
 
 
-def _log_estimate(zeros: Column, ones: Column) -> Column:
+def log_estimate(zeros, ones, log=np.log):
     """Log of the Krichevsky-Trofimov probability of a sequence with these counts."""
-    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - float(np.log(np.pi)) - _log_gamma(zeros + ones + 1.0)
-
-
-def tree(counted: DataFrame) -> DataFrame:
-    """(depth, node, zeros, ones, own) for each node: `node` packs the context and the place in the byte's decisions, `own` is the weight of its estimate."""
-    bits = counted.select("sequence", "n", F.explode(F.array(*[F.lit(k) for k in range(8)])).alias("k"))
-    above = F.shiftrightunsigned("sequence", 8)
-    place = F.expr("shiftleft(1, k) | shiftright(cast(sequence & 255 as int), 8 - k)").cast("long")
-    one = F.expr("shiftright(cast(sequence & 255 as int), 7 - k) & 1")
-    level = bits.select((F.shiftleft(above, 8).bitwiseOR(place)).alias("node"), (F.col("n") * (1 - one)).alias("zeros"), (F.col("n") * one).alias("ones"))
-    level = level.groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
-    level = checkpoint(level.withColumn("weighted", _log_estimate(F.col("zeros"), F.col("ones"))))
-    out = level.select(F.lit(DEPTH).alias("depth"), "node", "zeros", "ones", F.lit(1.0).alias("own"))
+    return _log_gamma(zeros + 0.5, log) + _log_gamma(ones + 0.5, log) - float(np.log(np.pi)) - _log_gamma(zeros + ones + 1.0, log)
+
+
+def tree(parts: DataFrame) -> list[DataFrame]:
+    """(node, zeros, ones, own) of each depth from 0 to DEPTH - 1: `own` is the weight of the node's own estimate."""
+    levels, level = [], parts
     for depth in range(DEPTH - 1, -1, -1):
         mask = (1 << (8 * (depth + 1))) - 1
-        level = level.groupBy(F.col("node").bitwiseAND(F.lit(mask)).alias("node")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("below"))
-        estimate = _log_estimate(F.col("zeros"), F.col("ones"))
-        level = level.select("node", "zeros", "ones", "below", estimate.alias("estimate"))
-        high = F.greatest("estimate", "below")
-        level = level.withColumn("weighted", high + F.log(0.5 * F.exp(F.col("estimate") - high) + 0.5 * F.exp(F.col("below") - high)))
-        level = checkpoint(level.select("node", "zeros", "ones", "weighted", (0.5 * F.exp(F.col("estimate") - F.col("weighted"))).alias("own")))
-        out = out.unionByName(level.select(F.lit(depth).alias("depth"), "node", "zeros", "ones", "own"))
-    return out
-
-
-def slot_of(depth, node: np.ndarray, bits: int = SLOT_BITS) -> np.ndarray:
-    return (B.mix(node.astype(np.uint64) * np.uint64(2 * DEPTH + 3) + depth) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-class Model:
-    """The node table: for each slot the chance of a one (0: never seen) and the weight of the slot's own estimate."""
-
-    def __init__(self, ones: np.ndarray, own: np.ndarray):
-        self.ones, self.own = ones, own
-
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """Log10 probability of each sequence's byte after the bytes before it."""
-        total = np.zeros(len(keys))
-        byte, above = keys & np.uint64(255), keys >> np.uint64(8)
-        for k in range(8):
-            node = np.uint64(1 << k) | byte >> np.uint64(8 - k)
-            bit = (byte >> np.uint64(7 - k)) & np.uint64(1) == 1
-            chance = np.full(len(keys), 0.5)
-            known = np.zeros(len(keys), bool)
-            for depth in range(DEPTH, -1, -1):
-                context = above & np.uint64((1 << 8 * depth) - 1)
-                slot = slot_of(np.uint64(depth), context << np.uint64(8) | node)
-                ones, own = self.ones[slot].astype(float), self.own[slot].astype(float)
-                chance = np.where(ones > 0, np.where(known, own * ones + (1 - own) * chance, ones), chance)
-                known |= ones > 0
-            total += np.log10(np.where(bit, chance, 1 - chance))
-        return total
-
-
-def fill_table(nodes: DataFrame) -> Model:
-    """The nodes in their slots; the driver gets 2 x 2^SLOT_BITS floats, whatever the number of nodes."""
-    width = (1 << SLOT_BITS) // _RANGES
-
-    def place(batches):
-        for batch in batches:
-            depth, node = batch.column(0).to_numpy().astype(np.uint64), batch.column(1).to_numpy()
-            slot = slot_of(depth, node)
-            yield pa.RecordBatch.from_arrays([pa.array((slot // width).astype(np.int32)), pa.array((slot % width).astype(np.int32)), *batch.columns[2:]], ["range", "slot", "zeros", "ones", "own"])
-
-    def fill(batches):
-        zeros, ones, own = {}, {}, {}
-        for batch in batches:
-            where = batch.column(0).to_numpy()
-            for r in np.unique(where):
-                if r not in zeros:
-                    zeros[r], ones[r], own[r] = np.zeros(width), np.zeros(width), np.zeros(width)
-                at = where == r
-                slot, z, o, w = (batch.column(i).to_numpy()[at] for i in range(1, 5))
-                zeros[r] += np.bincount(slot, z, width)
-                ones[r] += np.bincount(slot, o, width)
-                own[r] += np.bincount(slot, w * (z + o), width)
-        for r in zeros:
-            n = zeros[r] + ones[r]
-            p = np.where(n > 0, (ones[r] + 0.5) / (n + 1), 0).astype(np.float32)
-            yield pa.RecordBatch.from_pydict({"range": pa.array([int(r)], pa.int32()), "ones": [p.tobytes()], "own": [(own[r] / np.maximum(n, 1)).astype(np.float32).tobytes()]})
-
-    slots = nodes.mapInArrow(place, "range int, slot int, zeros long, ones long, own double")
-    ones, own = np.zeros(1 << SLOT_BITS, np.float32), np.zeros(1 << SLOT_BITS, np.float32)
-    for row in slots.repartition(_RANGES // 4, "range").mapInArrow(fill, "range int, ones binary, own binary").toLocalIterator():
-        at = slice(row.range * width, (row.range + 1) * width)
-        ones[at], own[at] = np.frombuffer(row.ones, np.float32), np.frombuffer(row.own, np.float32)
-    return Model(ones, own)
-
-
-class Cache:
-    """Scores of sequences by slots of a hash, filled as sequences turn up; sequences whose slot is taken are worked out each time."""
-
-    def __init__(self, model: Model, bits: int = 20):
-        self.model, self.shift = model, np.uint64(64 - bits)
-        self.keys, self.values = np.full(1 << bits, ~np.uint64(0)), np.zeros(1 << bits)
-
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-        out = self.values[slot]
-        miss = np.flatnonzero(self.keys[slot] != keys)
-        if len(miss):
-            names, place = np.unique(keys[miss], return_inverse=True)
-            found = self.model.log10(names)
-            out[miss] = found[place]
-            at = ((names * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-            free = np.flatnonzero(self.keys[at] == ~np.uint64(0))
-            free = free[np.unique(at[free], return_index=True)[1]]
-            self.keys[at[free]], self.values[at[free]] = names[free], found[free]
-        return out
+        level = level.groupBy(F.col("node").bitwiseAND(F.lit(mask)).alias("node")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("children"))
+        level = level.withColumn("estimate", log_estimate(F.col("zeros"), F.col("ones"), F.log))
+        high = F.greatest("estimate", "children")
+        level = level.withColumn("below", high + F.log(0.5 * F.exp(F.col("estimate") - high) + 0.5 * F.exp(F.col("children") - high)))
+        level = checkpoint(level.select("node", "zeros", "ones", "below", (0.5 * F.exp(F.col("estimate") - F.col("below"))).alias("own")))
+        levels.append(level.select("node", "zeros", "ones", "own"))
+    return levels[::-1]
+
+
+def descend(levels: list[DataFrame]) -> DataFrame:
+    """(node, mixed_0, mixed_1, rest, ends_0, ends_1) of the nodes of depth DEPTH - 1.
+
+    For zero and one: what the depths so far add to the chance, the weight that is left to deeper ones, and the chance if
+    the path ends here.
+    """
+    n = F.col("zeros") + F.col("ones")
+    down = None
+    for depth, level in enumerate(levels):
+        level = level.select("node", "own", n.alias("n"), *(((F.col(c) + 0.5) / (n + 1)).alias(f"p_{b}") for b, c in enumerate(("zeros", "ones"))))
+        if down is None:
+            above = level.withColumns({"m_0": F.lit(0.0), "m_1": F.lit(0.0), "r": F.lit(1.0), "e_0": F.lit(0.5), "e_1": F.lit(0.5)})
+        else:
+            parents = down.withColumnsRenamed({"node": "parent", "mixed_0": "m_0", "mixed_1": "m_1", "rest": "r", "ends_0": "e_0", "ends_1": "e_1"})
+            above = level.withColumn("parent", F.col("node").bitwiseAND(F.lit((1 << (8 * depth)) - 1))).join(parents, "parent")
+        seen = F.col("n") > 0
+        mixed = [F.when(seen, F.col(f"m_{b}") + F.col("r") * F.col("own") * F.col(f"p_{b}")).otherwise(F.col(f"e_{b}")).alias(f"mixed_{b}") for b in (0, 1)]
+        ends = [F.when(seen, F.col(f"m_{b}") + F.col("r") * F.col(f"p_{b}")).otherwise(F.col(f"e_{b}")).alias(f"ends_{b}") for b in (0, 1)]
+        rest = F.when(seen, F.col("r") * (1 - F.col("own"))).otherwise(0.0).alias("rest")
+        down = above.select("node", *mixed, rest, *ends)
+    return down
+
+
+def log_chances(keys: np.ndarray, n: np.ndarray, above: dict[str, np.ndarray]) -> np.ndarray:
+    """Log10 probability of each sequence's symbol after its context; `above` has the columns of descend(), for the nodes above in their order."""
+    deepest = Nodes(keys, n)
+    order = np.argsort(above["node"], kind="stable")
+    at = order[np.searchsorted(above["node"][order], deepest.above)]
+    amount = deepest.zeros + deepest.ones
+    total = np.zeros(len(keys))
+    for b, count in enumerate((deepest.zeros, deepest.ones)):
+        chance = np.where(amount > 0, above[f"mixed_{b}"][at] + above["rest"][at] * (count + 0.5) / (amount + 1), above[f"ends_{b}"][at])
+        mine = deepest.bit == bool(b)
+        total += np.bincount(deepest.index[mine], np.log10(chance)[deepest.place[mine]], len(keys))
+    return total
+
+
+def answer_sequences(counts: DataFrame, above: DataFrame) -> DataFrame:
+    """For each block and bucket, the log10 probabilities of the block's sequences, in their order."""
+
+    def run(key, asked, nodes):
+        parts = _requests(asked)
+        if not parts:
+            return _answers("sequence", 0, [], [])
+        names, n = add_up(parts)
+        columns = {c: nodes.column(c).to_numpy() for c in nodes.column_names if c != "bucket"}
+        columns["node"] = columns["node"].view(np.uint64)
+        logs = log_chances(names, n, columns).astype(np.float32)
+        return _answers("sequence", key[0].as_py(), asked.column("block").to_pylist(), [logs[np.searchsorted(names, keys)].tobytes() for keys, _ in parts])
+
+    return counts.where("kind = 'sequence'").groupBy("bucket").cogroup(above.groupBy("bucket")).applyInArrow(run, ANSWERS)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
@@ -302,34 +355,43 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     ends = int(sizes.t or 0)
     blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
     counts = checkpoint(count_blocks(blocks, bucket_bits))
-    sums = checkpoint(sum_words(counts))
+    words = checkpoint(sum_words(counts))
     totals = np.zeros(2, np.int64)
-    for row in sums.where("block = -1").toLocalIterator():
+    for row in words.where("block = -1").toLocalIterator():
         totals += np.frombuffer(row.sums, np.int64)
     distinct, total = int(totals[0]) + (ends > 0), int(totals[1]) + ends
-    model = fill_table(tree(sum_sequences(counts)))
-    shared = docs.sparkSession.sparkContext.broadcast((model.ones, model.own))
+    parts = checkpoint(sum_sequences(counts))
+    above = parts.select("bucket", "node").join(descend(tree(parts)), "node")
+    answers = words.where("block >= 0").unionByName(checkpoint(answer_sequences(counts, above)))
 
-    def run(key, texts, words):
+    def run(key, texts, found):
         if not texts.num_rows:
             return pa.Table.from_arrays([pa.array([], k) for k in kinds], names)
-        _, ptr, known, place = block_words(texts)
-        order = np.argsort(words.column("bucket").to_numpy())
-        found = words.column("sums").to_pylist()
-        c = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(found[i], np.int64) for i in order)])[place]
+        data, offsets, train = _block(texts)
+        by = {"word": [], "sequence": []}
+        for kind, bucket, sums in zip(*(found.column(c).to_pylist() for c in ("kind", "bucket", "sums")), strict=True):
+            by[kind].append((bucket, sums))
+        values = {kind: np.concatenate([np.zeros(0, dtype), *(np.frombuffer(x, dtype) for _, x in sorted(by[kind], key=lambda p: p[0]))]) for kind, dtype in (("word", np.int64), ("sequence", np.float32))}
+        del by, found
+        ptr, _, place = block_words(data, offsets)
+        c = values["word"][place]
         logs = np.concatenate([[0.0], np.cumsum(np.log10(c + 1.0))])[ptr]
         seen = np.concatenate([[0], np.cumsum(c > 0)])[ptr]
         n = np.diff(ptr) + 1
         base = np.diff(logs) + np.log10(ends + 1.0) - n * np.log10(float(total + distinct + 1))
-        cache, scores, sizes = Cache(Model(*shared.value)), [], []
-        for data, offsets, _ in _block_slices(texts):
-            each = cache.log10(sequences(data, offsets)) if len(data) else np.zeros(0)
-            scores.append(np.diff(np.concatenate([[0.0], np.cumsum(each)])[offsets]))
-            sizes.append(np.diff(offsets))
-        held = ~texts.column("train").to_numpy().astype(bool)
-        columns = [texts.column("doc_id"), held, n, np.diff(seen) + (ends > 0), np.full(len(n), total), base, np.concatenate(scores), np.concatenate(sizes)]
+        del c, place
+        keys, _ = block_sequences(data, offsets, train)
+        sent = np.argsort(_buckets("sequence", keys, bucket_bits), kind="stable")
+        each = np.empty(len(keys))
+        each[sent] = values["sequence"]
+        lookup, scores = Lookup(keys, each), np.zeros(len(n))
+        for part, text in sequences(data, offsets):
+            first = int(text[0])
+            sums = np.bincount(text - first, lookup(part))
+            scores[first : first + len(sums)] += sums
+        columns = [texts.column("doc_id"), ~train, n, np.diff(seen) + (ends > 0), np.full(len(n), total), base, scores, np.diff(offsets)]
         return pa.Table.from_arrays([x if isinstance(x, pa.ChunkedArray) else pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
 
     names = [x.split()[0] for x in SCORES.split(", ")]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
-    return blocks.groupBy("block").cogroup(sums.where("block >= 0").groupBy("block")).applyInArrow(run, SCORES)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, SCORES)
