@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import re
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session without it gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors of {master} share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "quire-checkpoints")
     return found
 
@@ -26,10 +32,43 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def map_batches(df: DataFrame, run, schema, most: int = 8 << 20) -> DataFrame:
+class Stored:
+    """A table written once into the shared folder, which cuts the lineage like a checkpoint but is compressed and can be dropped."""
+
+    def __init__(self, df: DataFrame):
+        self.spark = df.sparkSession
+        self.path = f"{shared_folder(self.spark)}/quire-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(self.path)
+        self.spark._jvm.System.gc()  # lets the driver's cleaner remove the shuffle files that led here
+        self.schema = df.schema
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        """Remove the files; only for tables whose readers have been stored themselves."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _give_back() -> None:
+    """Hand freed memory to the system, as a worker process is used again by tasks that need none of it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        return
+
+
+def map_batches(df: DataFrame, run, schema, most: int = 4 << 20) -> DataFrame:
     """df.mapInArrow(run, schema) in batches of about `most` bytes, so that what a task holds doesn't follow the length of its texts."""
+
+    def tidy(batches):
+        yield from run(batches)
+        _give_back()
+
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy, schema)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

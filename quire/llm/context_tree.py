@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import _bytes as B
-from quire.llm._spark import checkpoint
+from quire.llm._spark import Stored
 
 #: Bytes of context; at most 6, as a sequence is packed into 64 bits.
 DEPTH = 5
@@ -163,10 +163,12 @@ def block_sequences(data: np.ndarray, offsets: np.ndarray, train: np.ndarray) ->
 
 
 def _buckets(kind: str, keys: np.ndarray, bits: int) -> np.ndarray:
-    """The bucket of each key: words by their hash, sequences by that of their context, so that a context's symbols meet."""
+    """The bucket of each key: words by their hash, sequences by that of their context but for its farthest byte, so that the
+    nodes of the two deepest levels are whole there; one such context has 65,792 sequences at most."""
     if not bits:
         return np.zeros(len(keys), np.int64)
-    return ((keys if kind == "word" else B.mix((keys >> np.uint64(9)) + np.uint64(1))) >> np.uint64(64 - bits)).astype(np.int64)
+    near = keys >> np.uint64(9) & np.uint64((1 << 8 * (DEPTH - 1)) - 1)
+    return ((keys if kind == "word" else B.mix(near + np.uint64(1))) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 COUNTS = "kind string, block int, bucket long, keys binary, counts binary"
@@ -249,16 +251,16 @@ class Nodes:
 
 
 def sum_sequences(counts: DataFrame) -> DataFrame:
-    """(bucket, node, zeros, ones, below): of each bucket, sums of its deepest nodes for the nodes above them."""
+    """(bucket, node, zeros, ones, children) of the nodes of depth DEPTH - 1, from the deepest ones."""
 
     def run(key, table):
         deepest = Nodes(*add_up(_requests(table)))
         names, place = np.unique(deepest.above, return_inverse=True)
         sums = [np.bincount(place, x, len(names)) for x in (deepest.zeros, deepest.ones, log_estimate(deepest.zeros, deepest.ones))]
         columns = [np.full(len(names), key[0].as_py()), names.view(np.int64), *(x.astype(np.int64) for x in sums[:2]), sums[2]]
-        return pa.Table.from_arrays([pa.array(x) for x in columns], ["bucket", "node", "zeros", "ones", "below"])
+        return pa.Table.from_arrays([pa.array(x) for x in columns], ["bucket", "node", "zeros", "ones", "children"])
 
-    return counts.where("kind = 'sequence'").groupBy("bucket").applyInArrow(run, "bucket long, node long, zeros long, ones long, below double")
+    return counts.where("kind = 'sequence'").groupBy("bucket").applyInArrow(run, "bucket long, node long, zeros long, ones long, children double")
 
 
 def _log_gamma(x, log):
@@ -275,22 +277,26 @@ def log_estimate(zeros, ones, log=np.log):
     return _log_gamma(zeros + 0.5, log) + _log_gamma(ones + 0.5, log) - float(np.log(np.pi)) - _log_gamma(zeros + ones + 1.0, log)
 
 
-def tree(parts: DataFrame) -> list[DataFrame]:
-    """(node, zeros, ones, own) of each depth from 0 to DEPTH - 1: `own` is the weight of the node's own estimate."""
-    levels, level = [], parts
-    for depth in range(DEPTH - 1, -1, -1):
+def _weigh(level: DataFrame) -> DataFrame:
+    """A level's nodes with `weighted`, the log of their weighted probability, and `own`, the share of their own estimate in it."""
+    level = level.withColumn("estimate", log_estimate(F.col("zeros"), F.col("ones"), F.log))
+    high = F.greatest("estimate", "children")
+    level = level.withColumn("weighted", high + F.log(0.5 * F.exp(F.col("estimate") - high) + 0.5 * F.exp(F.col("children") - high)))
+    return level.withColumn("own", 0.5 * F.exp(F.col("estimate") - F.col("weighted"))).drop("estimate", "children")
+
+
+def tree(nodes: DataFrame) -> list[Stored]:
+    """(node, zeros, ones, weighted, own) of each depth from 0 to DEPTH - 1, the last with `bucket`."""
+    levels = [Stored(_weigh(nodes))]
+    for depth in range(DEPTH - 2, -1, -1):
         mask = (1 << (8 * (depth + 1))) - 1
-        level = level.groupBy(F.col("node").bitwiseAND(F.lit(mask)).alias("node")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("children"))
-        level = level.withColumn("estimate", log_estimate(F.col("zeros"), F.col("ones"), F.log))
-        high = F.greatest("estimate", "children")
-        level = level.withColumn("below", high + F.log(0.5 * F.exp(F.col("estimate") - high) + 0.5 * F.exp(F.col("children") - high)))
-        level = checkpoint(level.select("node", "zeros", "ones", "below", (0.5 * F.exp(F.col("estimate") - F.col("below"))).alias("own")))
-        levels.append(level.select("node", "zeros", "ones", "own"))
+        above = levels[-1].read().groupBy(F.col("node").bitwiseAND(F.lit(mask)).alias("node"))
+        levels.append(Stored(_weigh(above.agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("children")))))
     return levels[::-1]
 
 
 def descend(levels: list[DataFrame]) -> DataFrame:
-    """(node, mixed_0, mixed_1, rest, ends_0, ends_1) of the nodes of depth DEPTH - 1.
+    """(bucket, node, mixed_0, mixed_1, rest, ends_0, ends_1) of the nodes of depth DEPTH - 1.
 
     For zero and one: what the depths so far add to the chance, the weight that is left to deeper ones, and the chance if
     the path ends here.
@@ -298,7 +304,7 @@ def descend(levels: list[DataFrame]) -> DataFrame:
     n = F.col("zeros") + F.col("ones")
     down = None
     for depth, level in enumerate(levels):
-        level = level.select("node", "own", n.alias("n"), *(((F.col(c) + 0.5) / (n + 1)).alias(f"p_{b}") for b, c in enumerate(("zeros", "ones"))))
+        level = level.select(*(["bucket"] if "bucket" in level.columns else []), "node", "own", n.alias("n"), *(((F.col(c) + 0.5) / (n + 1)).alias(f"p_{b}") for b, c in enumerate(("zeros", "ones"))))
         if down is None:
             above = level.withColumns({"m_0": F.lit(0.0), "m_1": F.lit(0.0), "r": F.lit(1.0), "e_0": F.lit(0.5), "e_1": F.lit(0.5)})
         else:
@@ -308,7 +314,7 @@ def descend(levels: list[DataFrame]) -> DataFrame:
         mixed = [F.when(seen, F.col(f"m_{b}") + F.col("r") * F.col("own") * F.col(f"p_{b}")).otherwise(F.col(f"e_{b}")).alias(f"mixed_{b}") for b in (0, 1)]
         ends = [F.when(seen, F.col(f"m_{b}") + F.col("r") * F.col(f"p_{b}")).otherwise(F.col(f"e_{b}")).alias(f"ends_{b}") for b in (0, 1)]
         rest = F.when(seen, F.col("r") * (1 - F.col("own"))).otherwise(0.0).alias("rest")
-        down = above.select("node", *mixed, rest, *ends)
+        down = above.select(*(["bucket"] if "bucket" in above.columns else []), "node", *mixed, rest, *ends)
     return down
 
 
@@ -354,15 +360,17 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     bucket_bits = (n_blocks - 1).bit_length()
     ends = int(sizes.t or 0)
     blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
-    counts = checkpoint(count_blocks(blocks, bucket_bits))
-    words = checkpoint(sum_words(counts))
+    counts = Stored(count_blocks(blocks, bucket_bits))
+    words = Stored(sum_words(counts.read()))
     totals = np.zeros(2, np.int64)
-    for row in words.where("block = -1").toLocalIterator():
+    for row in words.read().where("block = -1").toLocalIterator():
         totals += np.frombuffer(row.sums, np.int64)
     distinct, total = int(totals[0]) + (ends > 0), int(totals[1]) + ends
-    parts = checkpoint(sum_sequences(counts))
-    above = parts.select("bucket", "node").join(descend(tree(parts)), "node")
-    answers = words.where("block >= 0").unionByName(checkpoint(answer_sequences(counts, above)))
+    levels = tree(sum_sequences(counts.read()))
+    sequence_answers = Stored(answer_sequences(counts.read(), descend([x.read() for x in levels])))
+    for table in (counts, *levels):
+        table.drop()
+    answers = words.read().where("block >= 0").unionByName(sequence_answers.read())
 
     def run(key, texts, found):
         if not texts.num_rows:

@@ -126,8 +126,8 @@ def test_chances_of_all_symbols_add_up_to_one():
 def test_large_counts_leave_the_rare_bit_its_chance(spark):
     n = 20_000_000
     node = (ord("a") << 8 | ord("a")) << 8 | 1  # any place with a context of two bytes
-    parts = spark.createDataFrame([(0, node, n, 0, float(T.log_estimate(float(n), 0.0)))], "bucket long, node long, zeros long, ones long, below double")
-    (r,) = T.descend(T.tree(parts)).collect()
+    parts = spark.createDataFrame([(0, node, n, 0, float(T.log_estimate(float(n), 0.0)))], "bucket long, node long, zeros long, ones long, children double")
+    (r,) = T.descend([x.read() for x in T.tree(parts)]).collect()
     assert math.isclose(r.ends_1, 0.5 / (n + 1), rel_tol=1e-6) and r.ends_0 < 1 and math.isclose(r.ends_0 + r.ends_1, 1.0)
     assert math.isclose(T.log_estimate(np.array([n]), np.array([3]))[0], math.lgamma(n + 0.5) + math.lgamma(3.5) - math.log(math.pi) - math.lgamma(n + 4), abs_tol=1e-5)  # of terms about 3e8
 
