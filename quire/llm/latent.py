@@ -1,25 +1,26 @@
 """Benchmark decontamination by latent semantic retrieval, with subsequence and answer checks.
 
-The benchmark's passages (items) are cut into blocks of `BLOCK_ITEMS`.  In a task for each block, a
-randomised SVD of the block's TF-IDF rows, with document frequencies over all documents, gives a latent
-space whose rank is the number of items, so that no item's direction is lost; the error that the random
-sketch leaves is measured in the tests as recall against brute force.  Documents are then folded in: runs
-of 16 words are projected, and an item is compared with every window of as many runs as it can touch, by
-the cosine of latent vectors.  Windows above `least_cosine` are candidates, and so are all windows that share
+The benchmark's passages (items) are the rows of a TF-IDF matrix, with document frequencies over all documents.  Its
+leading right singular vectors, half as many as there are items and `RANK` at most, come from a distributed randomised
+SVD: a random projection and power iterations, in which every task multiplies its items' rows and the products are
+summed by key, so the driver only holds matrices of 2^FEATURE_BITS x (RANK + 16) numbers at most, whatever the number of
+items.  Documents are then folded in: runs of 16 words are projected into the latent space, and an item is compared
+with every window of as many runs as it can touch.  The cosine is that of a window with the item's latent image, in
+units of what the space keeps of the item, so it estimates the cosine of the TF-IDF rows at any rank; the tests
+measure its recall against brute force.  Windows above `least_cosine` are candidates, and so are all windows that share
 enough words with the item, whatever their order: that count, with repeats up to those in the item, is never
-less than the longest common subsequence.  What else a window holds doesn't matter for the second kind, but
-`LEAST_WEIGHING` of the item's words that weigh anything, `FEWEST_WEIGHING` at least, must be among the shared
-ones, as words of every text and two rare ones are no leak.  All candidates are checked: the longest common subsequence of the item's words with the
+less than the longest common subsequence.  All candidates are checked: `LEAST_WEIGHING` of the item's words that weigh
+anything, `FEWEST_WEIGHING` at least, must be in the window, as words of every text and two rare ones are no leak; then the longest common subsequence of the item's words with the
 window's, and whether the item's answer (its last words) is there too.  An item is leaked if the subsequence
-has `copied` of its words, or `paraphrased` of them and the answer.
+has `copied` of its words, or `paraphrased` of them and the answer.  An item of fewer than `LEAST_WORDS` words, of which
+some part is found everywhere, is leaked where it stands word for word, if `SHORT_WEIGHING` of its words weigh anything.
 
-Documents are read once to count words and once to search, without a shuffle of texts.  What is broadcast
-is a group of blocks, of which each has at most 2^FEATURE_BITS x BLOCK_ITEMS floats; a larger benchmark
-takes more passes, not more memory.
+Documents are read once to count words and once to search, without a shuffle of texts.  Items are searched for in blocks
+of `BLOCK_ITEMS`, `BLOCKS_A_PASS` of which are broadcast at a time; a larger benchmark takes more passes, not more memory.
 
-Defined cases: a null text is empty and holds no item; an item that is null or has fewer than
-`LEAST_WORDS` words is not searched for; repeated items each count; repeated rows each get their links; a
-null doc_id gets links like any other; empty tables give no links; other columns are left aside, or kept
+Defined cases: a null text is empty and holds no item; an item that is null or has no word, or is short and has fewer
+than `SHORT_WEIGHING` words that weigh, is not searched for; repeated items each count; repeated rows each get their
+links; a null doc_id gets links like any other; empty tables give no links; other columns are left aside, or kept
 by decontaminate().
 """
 
@@ -37,11 +38,13 @@ from quire.llm import _bytes as B
 from quire.llm._spark import map_batches, sum_arrays
 
 FEATURE_BITS = 16
+RANK = 128
 BLOCK_ITEMS = 256
 BLOCKS_A_PASS = 4
 RUN = 16
 LEAST_WORDS = 8
 LEAST_INFORMATIVE = 4
+SHORT_WEIGHING = 2
 #: Of an item's words that weigh anything, the share and the number that a window must have; items with fewer than LEAST_INFORMATIVE are exempt.
 LEAST_WEIGHING = 0.4
 FEWEST_WEIGHING = 3
@@ -88,61 +91,99 @@ def inverse_frequencies(seen: np.ndarray, n: float) -> np.ndarray:
     return np.where(seen > max(10.0, MOST_COMMON * n), 0.0, np.log((n + 1) / (seen + 1)) + 0.1)
 
 
-def randomised_svd(columns: np.ndarray, values: np.ndarray, rows: np.ndarray, n_rows: int, rank: int, seed: int = 7, more: int = 16, powers: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """(places, basis) of the leading right singular vectors of a sparse matrix; basis has a row for each column in use."""
-    places, column = np.unique(columns, return_inverse=True)
-    width = min(rank + more, n_rows)
-    rng = np.random.default_rng(seed)
+def _matrix(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, value) of the TF-IDF rows of some texts, rows having length 1."""
+    h, ptr = _words(*B.buffers(texts))
+    row, feature = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr)), _feature(h)
+    value = idf[feature]
+    norms = np.sqrt(np.maximum(1e-12, np.bincount(row, value**2, len(ptr) - 1)))
+    use = value > 0
+    return row[use], feature[use], (value / norms[row])[use]
 
-    def times(right: np.ndarray) -> np.ndarray:  # A @ right
-        out = np.zeros((n_rows, right.shape[1]))
-        np.add.at(out, rows, values[:, None] * right[column])
-        return out
 
-    def transposed(right: np.ndarray) -> np.ndarray:  # A.T @ right
-        out = np.zeros((len(places), right.shape[1]))
-        np.add.at(out, column, values[:, None] * right[rows])
-        return out
+def _projected(texts: pa.Array, idf: np.ndarray, place: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """The TF-IDF rows of some texts times the basis, whose rows are the features with a place."""
+    row, feature, value = _matrix(texts, idf)
+    known = place[feature] >= 0
+    out = np.zeros((len(texts), basis.shape[1]))
+    np.add.at(out, row[known], value[known, None] * basis[place[feature[known]]])
+    return out
+
 
-    q, _ = np.linalg.qr(times(rng.normal(size=(len(places), width))))
+def _sum_products(items: DataFrame, idf: np.ndarray, place: np.ndarray, basis: np.ndarray, gram: bool, part: int = 4096) -> np.ndarray:
+    """A.T A basis over all items (or (A basis).T A basis): each task's products, summed by key of `part` features."""
+    width = basis.shape[1]
+    height = width if gram else len(basis)
+
+    def multiply(batches):
+        out = np.zeros((height, width))
+        for batch in batches:
+            left = _projected(batch.column(0), idf, place, basis)
+            if gram:
+                out += left.T @ left
+            else:
+                row, feature, value = _matrix(batch.column(0), idf)
+                known = place[feature] >= 0
+                np.add.at(out, place[feature[known]], value[known, None] * left[row[known]])
+        keys = list(range(0, height, part))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([out[k : k + part].tobytes() for k in keys], pa.binary())], ["key", "sums"])
+
+    def add(key, table):
+        total = sum(np.frombuffer(x, np.float64) for x in table.column("sums").to_pylist())
+        return pa.table({"key": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    total = np.zeros((height, width))
+    for r in map_batches(items.select("text"), multiply, "key int, sums binary").groupBy("key").applyInArrow(add, "key int, sums binary").toLocalIterator():
+        total[r.key : r.key + part] = np.frombuffer(r.sums, np.float64).reshape(-1, width)
+    return total
+
+
+def latent_space(items: DataFrame, idf: np.ndarray, most: int = RANK, more: int = 16, powers: int = 2, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """(places, basis): the leading right singular vectors of the items' (text) TF-IDF matrix; basis has a row for each feature in use."""
+    seen, n = document_frequencies(items)
+    used = np.flatnonzero((seen > 0) & (idf > 0))
+    place = np.full(1 << FEATURE_BITS, -1, np.int32)
+    place[used] = np.arange(len(used))
+    rank = max(1, min(most, int(n) // 2))
+    width = min(rank + more, int(n), len(used))
+    if not width:
+        return used, np.zeros((0, 1))
+    basis, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(used), width)))
     for _ in range(powers):
-        p, _ = np.linalg.qr(transposed(q))
-        q, _ = np.linalg.qr(times(p))
-    _, _, right = np.linalg.svd(transposed(q).T, full_matrices=False)
-    return places, right[: min(rank, n_rows)].T
+        basis, _ = np.linalg.qr(_sum_products(items, idf, place, basis, gram=False))
+    _, turn = np.linalg.eigh(_sum_products(items, idf, place, basis, gram=True))
+    return used, basis @ turn[:, ::-1][:, :rank]
 
 
 class Block:
     """A block of items: what a task needs to search for them."""
 
-    def __init__(self, ids: list, texts: list[str], idf: np.ndarray):
-        data, offsets = B.buffers(pa.array(texts, pa.string()))
-        h, ptr = _words(data, offsets)
-        n = len(texts)
+    def __init__(self, ids: list, texts: list[str], idf: np.ndarray, space: tuple[np.ndarray, np.ndarray]):
+        column = pa.array(texts, pa.string())
+        h, ptr = _words(*B.buffers(column))
         self.ids = ids
         self.sizes = np.diff(ptr)
-        rows, columns = np.repeat(np.arange(n), self.sizes), _feature(h)
-        values = idf[columns]
-        norms = np.maximum(1e-9, np.sqrt(np.bincount(rows, values**2, n)))
+        values = idf[_feature(h)]
         #: Words that weigh anything, with their repeats, and how many a window must share.
         self.weighing = [Counter(h[a:b][values[a:b] > 0].tolist()) for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
+        self.short = self.sizes < LEAST_WORDS
         self.least_weighing = [max(FEWEST_WEIGHING, LEAST_WEIGHING * k) if (k := sum(c.values())) >= LEAST_INFORMATIVE else 0 for c in self.weighing]
-        use = values > 0
-        if not use.any():
-            use[:1] = True
-        rows, columns, values = rows[use], columns[use], values[use]
-        places, basis = randomised_svd(columns, values / norms[rows], rows, n, BLOCK_ITEMS)
+        places, basis = space
         self.place = np.full(1 << FEATURE_BITS, -1, np.int32)
         self.place[places] = np.arange(len(places))
+        items = _projected(column, idf, self.place, basis)
+        kept = (items**2).sum(1)
         self.basis = (basis * idf[places][:, None]).astype(np.float32)
-        items = np.zeros((n, basis.shape[1]))
-        np.add.at(items, rows, (values / norms[rows])[:, None] * basis[np.searchsorted(places, columns)])
-        self.items = (items / np.maximum(1e-12, np.linalg.norm(items, axis=1))[:, None]).astype(np.float32)
+        #: Latent images, over the square of what the space keeps of an item (at least a twentieth).
+        self.items = (items / np.maximum(0.05, kept)[:, None]).astype(np.float32)
         self.runs = -(-self.sizes // RUN) + 1
         self.words = [h[a:b] for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
         self.masks = [_masks(w) for w in self.words]
         self._index()
 
+    def searchable(self, i: int) -> bool:
+        return bool(self.sizes[i]) and (not self.short[i] or sum(self.weighing[i].values()) >= SHORT_WEIGHING)
+
     def _index(self) -> None:
         """The block's words, and for each length of window and number of repeats, which items have which word so often.
 
@@ -196,6 +237,11 @@ def common_subsequence(masks: dict[int, int], size: int, words: list[int]) -> in
     return size - state.bit_count()
 
 
+def _stands(phrase: list[int], words: list[int]) -> bool:
+    """Whether the phrase is among the words, word for word."""
+    return any(words[k : k + len(phrase)] == phrase for k in range(len(words) - len(phrase) + 1))
+
+
 def _sum_runs(basis: np.ndarray, place: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of the basis rows of each run; a run has RUN hits at most, so they are added in RUN rounds over whole rows."""
     counts = np.diff(np.append(first, len(place)))
@@ -312,7 +358,7 @@ class Search:
         texts = text[run]
         found = [np.zeros(0, np.int64)]
         for items, shared in shared_words(block, at, code, run + texts + 1, texts, base, len(padded)):
-            least = min(self.copied, self.paraphrased) * block.sizes[items]
+            least = np.where(block.short[items], 1.0, min(self.copied, self.paraphrased)) * block.sizes[items]
             place, item = np.nonzero(shared[:-1] >= np.ceil(least - 1e-9).astype(shared.dtype))
             start = place - padded[place]  # the margin before a window is the run before it
             good = start < of[padded[place] + 1]
@@ -334,8 +380,12 @@ class Search:
         best: dict = {}
         for block, begin, stop, items, cosines, texts in self.candidates(h, ptr):
             for a, b, i, cosine, t in zip(begin.tolist(), stop.tolist(), items.tolist(), cosines.tolist(), texts.tolist(), strict=True):
+                if not self._weighs(block, i, h[a:b].tolist()):
+                    continue
                 a, b = max(int(ptr[t]), a - RUN), min(int(ptr[t + 1]), b + RUN)
                 words, size = h[a:b].tolist(), int(block.sizes[i])
+                if block.short[i] and not _stands(block.words[i].tolist(), words):
+                    continue
                 common = common_subsequence(block.masks[i], size, words)
                 tail = block.words[i][-self.answer_words :]
                 answer = common_subsequence(_masks(tail), len(tail), words) * 5 >= 4 * len(tail)
@@ -352,8 +402,9 @@ def _searches(docs: DataFrame, benchmark: DataFrame, least_cosine: float, copied
     seen, n = document_frequencies(docs)
     idf = inverse_frequencies(seen, n)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(idf)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    space = latent_space(items, idf)
+    shared = spark.sparkContext.broadcast((idf, space))
     n_blocks = max(1, -(-items.count() // (BLOCK_ITEMS // 2)))
     # by hash, a block gets about half of what it may hold; fuller ones are cut again inside the task
     blocks = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)).cast("int"))
@@ -361,11 +412,11 @@ def _searches(docs: DataFrame, benchmark: DataFrame, least_cosine: float, copied
     def fit(table):
         import pickle
 
+        idf, space = shared.value
         pairs = sorted(zip(table.column("item_id").to_pylist(), table.column("text").to_pylist(), strict=True), key=str)
-        data, offsets = B.buffers(pa.array([t for _, t in pairs], pa.string()))
-        sizes = np.diff(_words(data, offsets)[1])
-        pairs = [p for p, s in zip(pairs, sizes, strict=True) if s >= LEAST_WORDS]
-        made = [Block([i for i, _ in part], [t for _, t in part], shared.value) for part in (pairs[k : k + BLOCK_ITEMS] for k in range(0, len(pairs), BLOCK_ITEMS))]
+        whole = Block([i for i, _ in pairs], [t for _, t in pairs], idf, space)
+        pairs = [p for k, p in enumerate(pairs) if whole.searchable(k)]
+        made = [Block([i for i, _ in part], [t for _, t in part], idf, space) for part in (pairs[k : k + BLOCK_ITEMS] for k in range(0, len(pairs), BLOCK_ITEMS))]
         return pa.table({"made": pa.array([pickle.dumps(x) for x in made], pa.binary())})
 
     fitted = blocks.groupBy("block").applyInArrow(fit, "made binary")

@@ -69,15 +69,18 @@ def test_leaks_and_defined_cases(spark):
     assert L.decontaminate(frame, bench.limit(0)).count() == frame.count()
 
 
-def test_candidate_recall_against_brute_force():
-    """Cosines of the TF-IDF rows themselves, for the same windows, give the candidates that the latent space must find."""
+def test_candidate_recall_against_brute_force(spark):
+    """Cosines of the TF-IDF rows themselves, for the same windows, give the candidates that a space of half the rank must find."""
     docs, items, _ = material(9, 120)
     data, offsets = B.buffers(pa.array([t for _, t in docs]))
     h, ptr = L._words(data, offsets)
     rng = np.random.default_rng(0)
     idf = rng.uniform(0.1, 5, 1 << L.FEATURE_BITS)
-    block = L.Block([i for i, _ in items], [t for _, t in items], idf)
+    space = L.latent_space(spark.createDataFrame(items, "item_id long, text string").repartition(3), idf)
+    assert space[1].shape[1] == len(items) // 2
+    block = L.Block([i for i, _ in items], [t for _, t in items], idf, space)
     search = L.Search([block], idf, 0.3, 0.7, 0.5, 5)
+    search._sharing = lambda *_: np.zeros(0, np.int64)  # the latent candidates alone
     got = {(int(a), int(i)) for _, begin, _, item, _, _ in search.candidates(h, ptr) for a, i in zip(begin, item)}
     f = L._feature(h)
     want = set()
@@ -137,3 +140,28 @@ def test_leaks_are_those_of_all_windows(spark):
     found = L.leaks(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in found} == want and len(found) == len(want) > 60
     assert sum(r.cosine < 0.3 for r in found) > 5
+
+
+def test_distributed_svd_spans_the_leading_singular_vectors(spark):
+    """Against a dense SVD of the same matrix, whose spectrum falls after ten topics."""
+    rng = random.Random(3)
+    topics = [["".join(rng.choice("abcdefghijklm") for _ in range(8)) for _ in range(12)] for _ in range(10)]
+    texts = [" ".join(rng.choices(rng.choice(topics), k=30)) for _ in range(80)]
+    idf = np.ones(1 << L.FEATURE_BITS)
+    places, basis = L.latent_space(spark.createDataFrame(enumerate(texts), "item_id long, text string").repartition(4), idf, most=10)
+    dense = np.zeros((len(texts), 1 << L.FEATURE_BITS))
+    row, feature, value = L._matrix(pa.array(texts), idf)
+    np.add.at(dense, (row, feature), value)
+    _, size, right = np.linalg.svd(dense[:, places], full_matrices=False)
+    assert basis.shape == (len(places), 10) and np.allclose(basis.T @ basis, np.eye(10), atol=1e-8)
+    kept = np.linalg.norm(dense[:, places] @ basis) ** 2
+    assert kept >= 0.999 * (size[:10] ** 2).sum()
+
+
+def test_short_items_are_found_word_for_word(spark):
+    docs, _, _ = material(4, 60)
+    question = "who wrote zanzibar quixote novel yesterday evening"
+    rows = docs + [(500, docs[1][1] + " " + question + " " + docs[2][1]), (501, "who wrote the zanzibar quixote novel of yesterday evening"), (502, question.upper())]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, question), (2, "the of and"), (3, "quixote"), (4, "")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in L.leaks(frame, bench).collect()) == [(500, 1), (502, 1)]
