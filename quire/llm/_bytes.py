@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -26,14 +26,20 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def _power_table(kind: str, n: int) -> np.ndarray:
-    """Powers 0..n-1 of the base, or of its inverse, modulo 2^64."""
+    """Powers 0..n-1 of the base, or of its inverse, modulo 2^64; no more than a slice needs stays in memory."""
     have = _powers[kind]
-    base = np.uint64(_BASE if kind == "up" else pow(_BASE, -1, 1 << 64))
-    while len(have) < n:
-        step = np.uint64(pow(int(base), len(have), 1 << 64))
-        have = np.concatenate([have, have * step])
-    _powers[kind] = have
-    return have[:n]
+    base = _BASE if kind == "up" else pow(_BASE, -1, 1 << 64)
+    while len(have) < min(n, SLICE_BYTES + 1):
+        step = np.uint64(pow(base, len(have), 1 << 64))
+        have = np.concatenate([have, have[: SLICE_BYTES + 1 - len(have)] * step])
+        _powers[kind] = have
+    if n <= len(have):
+        return have[:n]
+    out = np.empty(n, np.uint64)
+    for k in range(0, n, len(have)):
+        part = out[k : k + len(have)]
+        np.multiply(have[: len(part)], np.uint64(pow(base, k, 1 << 64)), out=part)
+    return out
 
 
 def mix(h: np.ndarray) -> np.ndarray:

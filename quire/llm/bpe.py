@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from sys import getsizeof
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from quire.llm import _bytes as B
 from quire.llm._spark import map_batches
 
-#: Pre-tokens that a worker remembers; the memory is emptied when it is full.
-REMEMBER = 400_000
+#: Bytes of pre-tokens and ids that a worker remembers, about; the memory is emptied when it is full.
+REMEMBER = 24 << 20
 
 _TO_CHARS = {i: chr(0x100 + i) for i in range(256)}
 
@@ -83,6 +84,7 @@ class Codec:
         self.whole = {t: str(i) for i, t in enumerate(tokens)}
         self.bytes_of = {str(i): t for i, t in enumerate(tokens)}
         self.known: dict[str, str] = {}
+        self.held = 0
 
     @classmethod
     def of(cls, path: str, pattern: str) -> "Codec":
@@ -91,17 +93,20 @@ class Codec:
         return cls._made[path, pattern]
 
     def _learn(self, missing: set[str]) -> None:
-        if len(self.known) + len(missing) > REMEMBER:
+        if self.held > REMEMBER:
             self.known.clear()
+            self.held = 0
         merged = []
         for piece in missing:
             if (found := self.whole.get(piece.encode())) is not None:
                 self.known[piece] = found
+                self.held += getsizeof(piece) + 100
             else:
                 merged.append(piece)
         mapped = [p.encode().decode("latin-1").translate(_TO_CHARS) for p in merged]
         for piece, ids in zip(merged, self.model.encode(mapped, num_threads=1), strict=True):
-            self.known[piece] = ",".join(map(str, ids))
+            self.known[piece] = found = ",".join(map(str, ids))
+            self.held += getsizeof(piece) + getsizeof(found) + 100
 
     def encode(self, text: str) -> str:
         """The ids in decimal, joined by commas."""
@@ -109,9 +114,8 @@ class Codec:
         try:
             return ",".join(map(self.known.__getitem__, pieces))
         except KeyError:
-            self._learn(set(pieces).difference(self.known))
             missing = set(pieces).difference(self.known)
-            while missing:  # the memory was emptied
+            while missing:  # again where the memory was emptied
                 self._learn(missing)
                 missing = set(pieces).difference(self.known)
             return ",".join(map(self.known.__getitem__, pieces))
@@ -150,7 +154,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         codec = Codec.of(path, pattern)
-        for batch, _, _ in B.slices(batches, "text"):
+        for batch, _, _ in B.slices(batches, "text", 1 << 19):
             rows = []
             for text in batch.column(1).to_pylist():
                 ids = codec.encode(text or "")
