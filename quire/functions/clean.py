@@ -10,18 +10,19 @@ from quire.functions.text import ordered_distinct
 
 def text(value: Column) -> Column:
     """Trimmed, control characters but tab and line ends dropped, empty is null."""
-    plain = F.trim(F.regexp_replace(F.trim(value.cast("string")), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""))
+    trimmed = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    plain = trimmed(F.regexp_replace(trimmed(value.cast("string")), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""))
     return F.nullif(plain, F.lit(""))
 
 
 def integer(value: Column) -> Column:
     """An integer, else a number cut to one, else null."""
-    number = value.cast("string").try_cast("double")
-    return number.try_cast("bigint")
+    plain = text(value)
+    return F.coalesce(plain.try_cast("bigint"), plain.try_cast("double").try_cast("bigint"))
 
 
 def boolean(value: Column) -> Column:
-    word = F.lower(F.trim(value.cast("string")))
+    word = F.lower(text(value))
     return F.when(word.isin("true", "1", "yes"), True).when(word.isin("false", "0", "no"), False)
 
 

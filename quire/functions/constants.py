@@ -61,10 +61,15 @@ MAINTENANCE_CATEGORIES = (
     "(?:維基|维基|Wikidata|维基数据|維基數據)", "(?:用戶名|用户名)",
 )
 
+# Regions that are named before a publisher, and arrows between one and its successor.
+REGIONS = (
+    "臺灣", "台灣", "台湾", "日本", "香港", "中國大陸", "中国大陆", "中國", "中国", "新加坡", "韓國", "韩国", "美國", "美国", "加拿大", "法國", "法国", "德國", "德国", "義大利", "意大利", "西班牙",
+    "馬來西亞", "马来西亚",
+)
+SUCCESSION = "→|⇒|➜|➝|⟶"
+
 # Thresholds of page images.
 GARBAGE_BYTES, GARBAGE_BYTES_SMALL = 140 * 1024, 60 * 1024
-COVER_CORRELATION = 0.95
-FINGERPRINT_ASPECT, FINGERPRINT_DHASH, FINGERPRINT_AHASH, FINGERPRINT_ENTRIES = 8, 16, 20, 32
 SPARSE_FOREGROUND, LEAST_SPAN, CROP_PADDING = 0.37, 0.82, 12
 RENDER_SAMPLE, RENDER_LOW, RENDER_HIGH, RENDER_DEFAULT = 24, 1200, 4000, 3500
 FALLBACK_SPINE = 9999

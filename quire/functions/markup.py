@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from quire.functions import constants as K
+
 # Image attributes in order of preference, infobox names, equivalent field names, list delimiters.
-IMAGE_ATTRIBUTES = ("src", "xlink:href", "href", "data-src", "data-original", "srcset")
+IMAGE_ATTRIBUTES = ("src", "data-src", "data-original", "data-lazy-src", "data-original-src", "data-url", "href", "xlink:href")
 HEADER_BOX, WORK_BOX = "infobox animanga/headerofja", "infobox animanga/manga"
 START_FIELDS = ("開始", "开始", "開始日", "开始日", "發售日", "发售日")
 END_FIELDS = ("結束", "结束", "結束日", "结束日")
@@ -26,7 +28,11 @@ COUNTRY_WORDS = {
     "taiwan": ("flagicon|taiwan", "flagicon|twn", "flagicon|roc", "flagicon|臺灣", "flagicon|台湾", "臺灣", "台湾", "台灣"),
     "hongkong": ("flagicon|hong kong", "flagicon|hkg", "flagicon|香港", "香港"),
 }
-LIST_DELIMITERS = r"<br\s*/?>|[、，,;；\n]"
+LIST_DELIMITERS = r"<br\s*/?>|[、，,;；]"
+ROLES = ("作者", "原作", "作畫", "作画", "漫畫", "漫画", "角色原案", "人物原案")
+SILENT_TEMPLATES = ("flagicon", "flag", "ja", "zh")
+STOP_WORDS = ("漫畫", "漫画", "外傳", "外传", "番外", "篇", "卷", "冊", "册")
+SIDE_STORIES = ("外傳", "番外")
 CLAUSE_DELIMITERS = ",，;；/／、"
 
 
@@ -46,13 +52,12 @@ class _Images(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if tag in ("img", "image"):
-            have = {k: v for k, v in attrs if v and v.strip()}
-            for name in IMAGE_ATTRIBUTES:
-                if value := have.get(name, "").strip():
-                    value = value.split(",")[0].split()[0] if name == "srcset" else value
-                    if not value.lower().startswith("data:"):
-                        self.found.append(value)
-                        break
+            have = dict(attrs)
+            value = next((have[name] for name in IMAGE_ATTRIBUTES if have.get(name)), None)
+            if value is None and (first := (have.get("srcset") or "").split(",")[0].split()):
+                value = first[0]
+            if value and not value.startswith("data:"):
+                self.found.append(value)
 
     handle_startendtag = handle_starttag
 
@@ -167,57 +172,74 @@ def template_fields(template: str) -> tuple[str, dict[str, str]]:
 
 
 def _template_text(body: str) -> str:
-    name, *args = [p.strip() for p in body.split("|")]
-    name = name.lower()
-    plain = [a for a in args if "=" not in a]
-    if name.startswith(("lang", "nihongo", "link", "le", "tsl", "jpn", "nowrap", "ruby")) and plain:
-        return plain[-1] if name.startswith("lang-") or name == "lang" else plain[0]
-    return ""
+    """What a template without inner ones shows: nothing for flags, else its last argument (ST26)."""
+    name, *args = (part.strip() for part in split_outside(body.strip(), "|"))
+    shown = [a for a in args if a]
+    return shown[-1] if shown and name.lower() not in SILENT_TEMPLATES else ""
+
+
+# (pattern, what it becomes) before links and templates are resolved, and after.
+_BEFORE = [(re.compile(p, f), r) for p, f, r in ((r"<!--.*?-->", re.S, ""), (r"<ref\b[^>/]*/>", re.I, ""), (r"<ref\b[^>]*>.*?</ref>", re.I | re.S, ""), (r"<br\s*/?>", re.I, ", "), (r"</?(?:small|span)[^>]*>", re.I, ""), (r"'{2,3}", 0, ""))]
+_AFTER = [(re.compile(p), r) for p, r in ((r"\[https?://[^\s\]]+\s+([^\]]+)\]", r"\1"), (r"\[https?://[^\]]+\]", ""), (r"<[^>]+>", ""), (r"\s+", " "), (r"\s*[,，、]\s*$", ""))]
+_LINK, _TEMPLATE = re.compile(r"\[\[([^\[\]]+)\]\]"), re.compile(r"\{\{([^{}]*)\}\}")
 
 
 def clean_wikitext(value: str | None) -> str | None:
     """Plain text of a field: comments, references, templates, links, quotes and tags resolved (ST25, ST26, HP34)."""
-    text = re.sub(r"(?s)<!--.*?-->|<ref[^>]*/>|<ref[^>]*>.*?</ref>", "", value or "")
-    while True:
-        inner = re.sub(r"\{\{([^{}]*)\}\}", lambda m: _template_text(m.group(1)), text)
-        inner = re.sub(r"\[\[(?:[^\[\]|]*\|)*([^\[\]|]*)\]\]", r"\1", inner)
-        if inner == text:
-            break
-        text = inner
-    text = re.sub(r"-\{(?:[^{}:]*:)?([^{};]*)[^{}]*\}-", r"\1", text)
-    text = re.sub(r"'{2,}|</?[a-zA-Z][^>]*>", " " if "<br" in text.lower() else "", text)
-    text = re.sub(r"\s+", " ", text.replace("&nbsp;", " ")).strip()
-    return text or None
+    text = (value or "").strip()
+    for pattern, shown in _BEFORE:
+        text = pattern.sub(shown, text)
+    inner = None
+    while inner != text:
+        inner = text
+        text = _LINK.sub(lambda m: m.group(1).rpartition("|")[2].strip(), text)
+        text = _TEMPLATE.sub(lambda m: _template_text(m.group(1)), text)
+    for pattern, shown in _AFTER:
+        text = pattern.sub(shown, text)
+    return text.strip() or None
 
 
 def clean_list(value: str | None, delimiters: str = LIST_DELIMITERS) -> list[str]:
     """Cleaned parts, the first of equals but for case (ST27)."""
-    parts = (clean_wikitext(p) for p in re.split(delimiters, value or "", flags=re.I))
+    return _distinct(map(clean_wikitext, re.split(delimiters, value or "", flags=re.I)))
+
+
+def _distinct(values) -> list[str]:
+    """The values that aren't empty, the first of equals but for case."""
     found: dict[str, str] = {}
-    for p in filter(None, parts):
-        found.setdefault(p.casefold(), p)
+    for v in values:
+        if v:
+            found.setdefault(v.casefold(), v)
     return list(found.values())
 
 
 def people_list(*values: str | None) -> list[str]:
-    """People of several fields: successions and role prefixes resolved (ST28)."""
-    text = "<br>".join(v for v in values if v)
-    text = re.sub(r"→|->|／|/", "<br>", re.sub(r"(?i)<br\s*/?>", "<br>", text))
-    return clean_list(re.sub(r"(?:原作|作畫|作画|漫畫|漫画|腳本|脚本|監修|监修|構成|构成)\s*[：:]", "", text))
+    """People of several fields: successions and lines are separate people, leading roles go (ST28)."""
+    text = re.sub(rf"(?:{K.SUCCESSION})|[\r\n]+", "<br>", "<br>".join(v for v in values if v))
+    return _distinct(re.sub(rf"^(?:{'|'.join(ROLES)})\s*[：:]\s*", "", person).strip() for person in clean_list(text))
+
+
+def count_of(value: str | None) -> int | None:
+    """The first number of a field (ST29)."""
+    found = re.search(r"\d+", _plain_digits(value))
+    return int(found.group()) if found else None
+
 
+def _plain_digits(value: str | None) -> str:
+    return (clean_wikitext(value) or "").translate(str.maketrans(K.FULL_WIDTH[:10], K.HALF_WIDTH[:10]))
 
-def count_of(value: str | None, query: str | None = None) -> int | None:
-    """A count: that of the asked edition's clause, else the first number (ST29, SO7)."""
-    text = unicodedata.normalize("NFKC", clean_wikitext(value) or "")
+
+def edition_count(value: str | None, query: str | None) -> int | None:
+    """The count of the edition that the query names: the nearest to its label in the label's clause (SO7)."""
+    text = _plain_digits(value)
     for label in next((labels for word, labels in EDITION_LABELS.items() if word in (query or "")), ()):
-        for clause in re.split(f"[{re.escape(unicodedata.normalize('NFKC', CLAUSE_DELIMITERS))}]", text):
-            if (at := clause.find(label)) >= 0:
-                middle = at + len(label) / 2
-                found = [(abs((m.start() + m.end()) / 2 - middle), int(m.group(1))) for m in re.finditer(r"(\d+)\s*[卷冊册]", clause)]
+        for clause in re.split(f"[{re.escape(CLAUSE_DELIMITERS)}]", text):
+            for at in re.finditer(re.escape(label), clause):
+                middle = at.start() + len(label) / 2
+                found = [(abs((m.start() + m.end()) / 2 - middle), m.start(), int(m.group(1))) for m in re.finditer(r"(\d+)\s*[卷冊册]", clause)]
                 if found:
-                    return min(found)[1]
-    found = re.search(r"\d+", text)
-    return int(found.group()) if found else None
+                    return min(found)[2]
+    return None
 
 
 def country_of(value: str) -> str | None:
@@ -243,7 +265,7 @@ def match_key(value: str | None) -> str:
 
 def categories(text: str | None) -> list[str]:
     """Category names of a page, the first of equals but for case (ST30)."""
-    return clean_list("\n".join(re.findall(r"(?i)\[\[\s*(?:category|分类|分類)\s*:\s*([^\]|]+)", text or "")), "\n")
+    return _distinct(map(clean_wikitext, re.findall(r"(?i)\[\[Category:([^\]|]+)", text or "")))
 
 
 def lead_summary(text: str | None) -> str | None:
@@ -254,10 +276,10 @@ def lead_summary(text: str | None) -> str | None:
     return next((c for c in (clean_wikitext(p) for p in re.split(r"\n\s*\n", lead)) if c), None)
 
 
-WORK = "title string, original_title string, english_title string, author array<string>, penciller array<string>, publishers array<string>, taiwan_publishers array<string>, hongkong_publishers array<string>, japan_publishers array<string>, magazine array<string>, label string, start string, end string, volume_count int, chapter_count int, genre array<string>, raw_fields map<string,string>"
+WORK = "title string, original_title string, english_title string, author array<string>, penciller array<string>, publishers array<string>, taiwan_publishers array<string>, hongkong_publishers array<string>, japan_publishers array<string>, magazine array<string>, label string, start string, end string, volume_count bigint, chapter_count bigint, genre array<string>, raw_fields map<string,string>"
 
 
-def works(text: str | None, query: str | None = None) -> list[dict]:
+def works(text: str | None) -> list[dict]:
     """The work boxes of a page; a header box counts for the boxes after it (SR16, SR17)."""
     out, header = [], {}
     for name, fields in map(template_fields, top_level_templates(text or "")):
@@ -268,19 +290,79 @@ def works(text: str | None, query: str | None = None) -> list[dict]:
             first = lambda names, f=fields: next((c for c in (clean_wikitext(f.get(n)) for n in names) if c), None)
             out.append(
                 {
-                    "title": first(("標題", "title")), "original_title": clean_wikitext(header.get("japanese")), "english_title": clean_wikitext(header.get("english")),
+                    "title": clean_wikitext(fields.get("標題") or fields.get("title")), "original_title": clean_wikitext(header.get("japanese")), "english_title": clean_wikitext(header.get("english")),
                     "author": people_list(fields.get("作者"), fields.get("原作")), "penciller": people_list(fields.get("作畫"), fields.get("作画")),
                     "publishers": own["all"], "taiwan_publishers": own["taiwan"], "hongkong_publishers": own["hongkong"], "japan_publishers": own["japan"],
                     "magazine": clean_list(fields.get("連載雜誌")), "label": clean_wikitext(fields.get("label")), "start": first(START_FIELDS), "end": first(END_FIELDS),
-                    "volume_count": count_of(fields.get("冊數"), query), "chapter_count": count_of(fields.get("話數")), "genre": clean_list(header.get("genre")), "raw_fields": fields,
+                    "volume_count": count_of(fields.get("冊數")), "chapter_count": count_of(fields.get("話數")), "genre": clean_list(header.get("genre")), "raw_fields": fields,
                 }
             )
     return out
 
 
+def title_score(work: dict, query: str, title: str | None) -> int:
+    """How well a work box fits a query: its title, side stories, words of the query, a known count (ST34)."""
+    title, asked = title or "", match_key(query)
+    key = match_key(title)
+    score = 10 if key and key == asked else 5 if key and (key in asked or asked in key) else 0
+    score += 3 * sum(word in query and word in title for word in SIDE_STORIES) + (work["volume_count"] is not None)
+    words = _distinct(w for w in map(clean_wikitext, re.split(r"[\s_\-:：・,，。·《》「」『』【】\[\]()（）]+", query)) if w and len(w) > 1 and w not in STOP_WORDS)
+    score += 3 * sum(bool(match_key(w)) and match_key(w) in key for w in words)
+    # fixed values: hints for one series' side stories
+    score += 4 * ("讓葉" in query and "讓葉" in title)
+    return score + 4 * ("lc" in asked and "外傳" in query and "外傳" in title and "讓葉" not in title)
+
+
+def main_work(text: str | None, query: str | None = None, page_title: str | None = None) -> dict | None:
+    """The page's work box for a query, the first of the best (SO5), with the count of the edition asked for; `place` and `boxes` say where it stood."""
+    found = works(text)
+    if not found:
+        return None
+    best = 0
+    if query:  # the first box often leaves out its title, which is then the page's
+        titles = [w["title"] or (page_title if k == 0 else None) for k, w in enumerate(found)]
+        best = max(range(len(found)), key=lambda k: (title_score(found[k], query, titles[k]), -k))
+    work = dict(found[best], place=best, boxes=len(found))
+    edition = edition_count(work["raw_fields"].get("冊數"), query)
+    return work if edition is None else dict(work, volume_count=edition)
+
+
+def titles_related(query: str, title: str | None) -> bool:
+    """Equal keys, or a title of four letters or more, "the" aside, inside the query (ST36)."""
+    if not title:
+        return False
+    asked, key = match_key(query), match_key(title)
+    if asked == key:
+        return True
+    key = key.removeprefix("the")
+    return len(key) >= 4 and key in asked
+
+
+def page_strength(text: str | None, query: str, page_title: str | None) -> int:
+    """3: the page has the very work, 2: a related one alone, 1: no work but a related title, 0: nothing (ST35)."""
+    work = main_work(text, query, page_title)
+    if work is None:
+        return int(titles_related(query, page_title))
+    title = work["title"] or (page_title if work["place"] == 0 else None)
+    if title and match_key(title) == match_key(query):
+        return 3
+    return 2 * (work["boxes"] == 1 and titles_related(query, title))
+
+
 @_lazy(f"array<struct<{', '.join(f.replace(' ', ': ', 1) for f in WORK.split(', '))}>>")
-def works_udf(text: pd.Series, query: pd.Series) -> pd.Series:
-    return pd.Series([works(t, q) for t, q in zip(text, query, strict=True)])
+def works_udf(text: pd.Series) -> pd.Series:
+    return text.map(works)
+
+
+@_lazy(f"{WORK}, place int, boxes int")
+def main_work_udf(text: pd.Series, query: pd.Series, page_title: pd.Series) -> pd.DataFrame:
+    names = [f.split()[0] for f in WORK.split(", ")] + ["place", "boxes"]
+    return pd.DataFrame([main_work(*row) or dict.fromkeys(names) for row in zip(text, query, page_title, strict=True)], columns=names)
+
+
+@_lazy("int")
+def page_strength_udf(text: pd.Series, query: pd.Series, page_title: pd.Series) -> pd.Series:
+    return pd.Series([page_strength(*row) for row in zip(text, query, page_title, strict=True)], dtype="int32")
 
 
 @_lazy("array<string>")

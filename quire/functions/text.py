@@ -11,16 +11,22 @@ from quire.functions import constants as K
 
 
 def natural_key(name: Column, letters_first: bool = True) -> Column:
-    """Sort key of digit and letter runs (SO1): runs of digits compare as numbers, of letters caselessly.
+    """Sort key of digit and letter runs (SO1): runs of digits compare as numbers of any length, of letters caselessly.
 
     letters_first=False keeps an empty lead run, so names that begin with digits come first (SO2).
     """
     runs = F.regexp_extract_all(F.lower(name), F.lit(r"(?U)(\d+|\D+)"), F.lit(1))
     digit = lambda p: p.rlike(r"(?U)^\d")
-    key = F.transform(runs, lambda p: F.struct(F.when(digit(p), 1).otherwise(0).alias("kind"), F.when(digit(p), F.translate(p, K.FULL_WIDTH, K.HALF_WIDTH).cast("decimal(38,0)")).alias("number"), F.when(~digit(p), p).otherwise("").alias("text")))
+    bare = lambda p: F.regexp_replace(half_width(p), "^0+(?=.)", "")
+
+    def part(p: Column) -> Column:
+        is_digit = digit(p)
+        return F.struct(is_digit.cast("int").alias("kind"), F.when(is_digit, F.length(bare(p))).otherwise(0).alias("size"), F.when(is_digit, bare(p)).otherwise(p).alias("text"))
+
+    key = F.transform(runs, part)
     if letters_first:
         return key
-    lead = F.array(F.struct(F.lit(0).alias("kind"), F.lit(None).cast("decimal(38,0)").alias("number"), F.lit("").alias("text")))
+    lead = F.array(F.struct(F.lit(0).alias("kind"), F.lit(0).alias("size"), F.lit("").alias("text")))
     return F.when(F.get(key, F.lit(0))["kind"] == 1, F.concat(lead, key)).otherwise(key)
 
 
@@ -139,16 +145,24 @@ def archive_name(path: Column, series: Column | None = None, periodical: bool =
 
 def percent_decoded(value: Column) -> Column:
     """Percent-decoding that leaves + and malformed escapes alone."""
-    return F.coalesce(F.try_url_decode(F.regexp_replace(value, r"\+", "%2B")), value)
+    safe = F.regexp_replace(F.regexp_replace(value, r"\+", "%2B"), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(safe), value)
 
 
 def normal_path(path: Column) -> Column:
-    """Percent-decoded, slashes forward, fragment and . segments gone, .. resolved (ST1)."""
-    plain = F.translate(percent_decoded(F.regexp_replace(path, "#.*$", "")), "\\", "/")
+    """Percent-decoded, slashes forward, then the fragment and . segments gone, .. resolved; nothing left is "." (ST1)."""
+    plain = F.regexp_replace(F.translate(percent_decoded(path), "\\", "/"), "(?s)#.*$", "")
+    rooted = plain.startswith("/")
     kept = F.filter(F.split(plain, "/"), lambda p: (p != "") & (p != "."))
-    up = lambda acc, p: F.when((p == "..") & (F.size(acc) > 0) & (F.element_at(acc, -1) != ".."), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p)))
-    folded = F.aggregate(kept, F.array().cast("array<string>"), lambda acc, p: F.when(F.size(acc) == 0, F.array(p)).otherwise(up(acc, p)))
-    return F.concat(F.when(plain.startswith("/"), "/").otherwise(""), F.array_join(folded, "/"))
+    none = F.array().cast("array<string>")
+
+    def fold(acc: Column, p: Column) -> Column:
+        inner = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)) != "..")
+        up = F.when(inner, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(rooted, acc).otherwise(F.concat(acc, F.array(p)))
+        return F.when(p == "..", up).otherwise(F.concat(acc, F.array(p)))
+
+    out = F.concat(F.when(rooted, "/").otherwise(""), F.array_join(F.aggregate(kept, none, fold), "/"))
+    return F.when(out == "", ".").otherwise(out)
 
 
 def resolved_path(base: Column, relative: Column) -> Column:
@@ -176,18 +190,19 @@ def chinese_month(value: Column) -> Column:
 
 def first_count(value: Column) -> Column:
     """The first digits, full width folded (ST29)."""
-    return F.nullif(F.regexp_extract(half_width(value), r"(\d+)", 1), F.lit("")).cast("int")
+    return F.nullif(F.regexp_extract(half_width(value), r"(\d+)", 1), F.lit("")).try_cast("bigint")
 
 
 def genres(values: Column) -> Column:
-    """The vocabulary's genres that any of the values matches, in the vocabulary's order (ST43)."""
+    """The vocabulary's genres of the values, value by value and each once; maintenance categories are passed over (ST43)."""
     table = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(f"(?i){p}").alias("pattern")) for n, p in K.GENRES])
-    return F.transform(F.filter(table, lambda g: F.exists(values, lambda v: F.rlike(v, g["pattern"]))), lambda g: g["name"])
+    named = lambda v: F.transform(F.filter(table, lambda g: F.rlike(v, g["pattern"])), lambda g: g["name"])
+    return F.array_distinct(F.flatten(F.transform(content_categories(values), named)))
 
 
 def content_categories(values: Column) -> Column:
-    """Categories that don't maintain the encyclopedia (FI15)."""
-    return F.filter(values, lambda v: ~v.rlike("(?i)" + "|".join(K.MAINTENANCE_CATEGORIES)))
+    """Categories that say something and don't maintain the encyclopedia (FI15)."""
+    return F.filter(values, lambda v: (F.trim(v) != "") & ~F.trim(v).rlike("(?i)" + "|".join(K.MAINTENANCE_CATEGORIES)))
 
 
 def ordered_distinct(values: Column) -> Column:
@@ -197,8 +212,10 @@ def ordered_distinct(values: Column) -> Column:
 
 
 def display_publisher(value: Column) -> Column:
-    """A publisher without its region prefix, the last of a succession (ST41)."""
-    return F.trim(F.element_at(F.split(F.regexp_replace(value, r"(?U)^\s*[^：:]{1,6}[：:]\s*", ""), "→|->"), -1))
+    """A publisher without the regions named before it, the last of a succession (ST41)."""
+    regions = "|".join(K.REGIONS)
+    bare = F.trim(F.regexp_replace(value, rf"(?iU)^\s*(?:(?:{regions})\s*[：:]\s*)+", ""))
+    return F.nullif(F.trim(F.element_at(F.split(bare, rf"(?U)\s*(?:{K.SUCCESSION}|-+>)\s*"), -1)), F.lit(""))
 
 
 def preferred_publisher(taiwan: Column, hongkong: Column) -> Column:

@@ -62,7 +62,7 @@ def hamming(a: list[Column], b: list[Column]) -> Column:
 
 
 def nearest_fingerprint(pages: DataFrame, known: DataFrame, aspect: str, words: list[str], within: int, most_aspect: int, id_: str) -> DataFrame:
-    """For each page, the known fingerprint of least Hamming distance within limits, ties by id (JN5).
+    """For each page, the known fingerprint of least Hamming distance within limits, its own aside, ties by id (JN5).
 
     Aspects are joined by bucket: a known fingerprint is written to the three buckets it can reach, so the
     join is an equality that Spark may shuffle; nothing is broadcast by force.
@@ -71,7 +71,7 @@ def nearest_fingerprint(pages: DataFrame, known: DataFrame, aspect: str, words:
     left = pages.withColumn("__b", F.floor(F.col(aspect) / width))
     right = known.select(F.col(id_).alias("__id"), F.col(aspect).alias("__a"), *[F.col(w).alias(f"__{w}") for w in words])
     right = right.withColumn("__b", F.explode(F.array(*[F.floor(F.col("__a") / width) + k for k in (-1, 0, 1)])))
-    near = left.join(right, "__b").where(F.abs(F.col(aspect) - F.col("__a")) <= most_aspect)
+    near = left.join(right, "__b").where((F.abs(F.col(aspect) - F.col("__a")) <= most_aspect) & (F.col(id_) != F.col("__id")))
     near = near.withColumn("__d", hamming([F.col(w) for w in words], [F.col(f"__{w}") for w in words])).where(F.col("__d") <= within)
     best = near.groupBy(id_).agg(F.min(F.struct("__d", "__id")).alias("m"))
     return best.select(id_, F.col("m.__id").alias("match_id"), F.col("m.__d").alias("distance"))

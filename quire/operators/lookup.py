@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.text import letters_key
 from quire.operators.dedupe import first_wins
+from quire.operators.pages import query_tokens
+
+# Words for side stories.
+SIDE_STORIES = ("外傳", "番外")
 
 
 def ordered_inner(spine: DataFrame, manifest: DataFrame, key: str, manifest_order: str) -> DataFrame:
@@ -36,14 +41,24 @@ def best_scored(rows: DataFrame, group: str, score: Column, order: str) -> DataF
 
 
 def title_score(title: Column, query: Column, count: Column) -> Column:
-    """10 for an equal title, else 5 for one contained, 1 for a known count, 3 for each of the query's words in it (ST34)."""
-    t, q = F.lower(title), F.lower(query)
-    words = F.filter(F.split(q, r"\s+"), lambda w: (F.length(w) >= 2) & F.contains(t, w))
-    return F.when(t == q, 10).when(F.contains(t, q) | F.contains(q, t), 5).otherwise(0) + F.when(count.isNotNull(), 1).otherwise(0) + 3 * F.size(words)
-
-
-def match_strength(requested: Column, title: Column, converted: Column) -> Column:
-    """3 equal or converted title, 2 one in the other of four letters or more, 1 any title, 0 none (ST35, ST36)."""
-    r, t, c = (F.lower(F.trim(x)) for x in (requested, title, converted))
-    related = (F.length(r) >= 4) & (F.length(t) >= 4) & (F.contains(r, t) | F.contains(t, r))
-    return F.when((r == t) | (c == t), 3).when(related, 2).when(t.isNotNull() & (t != ""), 1).otherwise(0)
+    """10 for an equal title, else 5 for one contained in the other, 1 for a known count, 3 for each side story that both name
+    and for each of the query's words in the title; titles compare by their letters (ST34)."""
+    t, q = letters_key(title), letters_key(query)
+    words = F.filter(query_tokens(query), lambda w: F.contains(t, letters_key(w)))
+    whole = F.when((t != "") & (t == q), 10).when((t != "") & (F.contains(t, q) | F.contains(q, t)), 5).otherwise(0)
+    sides = sum((F.when(F.contains(query, F.lit(w)) & F.contains(title, F.lit(w)), 3).otherwise(0) for w in SIDE_STORIES), F.lit(0))
+    return whole + sides + F.when(count.isNotNull(), 1).otherwise(0) + 3 * F.size(words)
+
+
+def titles_related(query: Column, title: Column) -> Column:
+    """Equal by their letters, or a title of four letters or more, "the" aside, inside the query (ST36)."""
+    q, t = letters_key(query), letters_key(title)
+    bare = F.regexp_replace(t, "^the", "")
+    return F.coalesce((title != "") & ((q == t) | ((F.length(bare) >= 4) & F.contains(q, bare))), F.lit(False))
+
+
+def match_strength(query: Column, work_title: Column, works: Column, page_title: Column) -> Column:
+    """3 for a page with the very work, 2 if its only work is related, 1 if it has none but a related title, else 0 (ST35)."""
+    very = F.coalesce((work_title != "") & (letters_key(work_title) == letters_key(query)), F.lit(False))
+    with_work = F.when(very, 3).when((works == 1) & titles_related(query, work_title), 2).otherwise(0)
+    return F.when(works > 0, with_work).otherwise(titles_related(query, page_title).cast("int"))

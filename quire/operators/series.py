@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,8 +32,8 @@ def projection_run(values: list[float], threshold: float = 0.10, close: float =
 
     x = np.asarray(values, float)
     width = min(2 * reach + 1, len(x))
-    flags = np.convolve(x, np.ones(width) / width, "same") >= threshold
-    gap = max(1, round(len(x) * close))
+    flags = np.convolve(x, np.ones(width) / width, "same") > threshold
+    gap = max(3, round(len(x) * close))
     on = np.flatnonzero(flags)
     for a, b in zip(on[:-1], on[1:], strict=False):
         if 1 < b - a <= gap:
@@ -77,28 +79,47 @@ def net_turns(df: DataFrame, keys: list[str], delta: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.pmod(F.sum(delta), F.lit(4)).cast("int").alias("turns")).where("turns <> 0")
 
 
+class _Middle:
+    """The median of the values so far, from two heaps."""
+
+    def __init__(self):
+        self.low: list[float] = []
+        self.high: list[float] = []
+
+    def add(self, x: float) -> None:
+        heapq.heappush(self.high, -heapq.heappushpop(self.low, -x))
+        if len(self.high) > len(self.low):
+            heapq.heappush(self.low, -heapq.heappop(self.high))
+
+    def whole(self) -> int:
+        """The median as an integer, halves to even."""
+        return round(-self.low[0] if len(self.low) > len(self.high) else (self.high[0] - self.low[0]) / 2)
+
+
 def greedy_sizes(df: DataFrame, group: str, order: str, width: str, height: str, least_pages: int = 6) -> DataFrame:
-    """The dominant page size of each group by greedy clusters around running medians, or null (AG2). Order matters, so a book is one task."""
-    import statistics
+    """The dominant page size of each group by greedy clusters around running medians, or null (AG2).
+
+    Order matters, so the pages of a book, of which there are some hundreds, are one task; each page is compared with the
+    medians of the clusters so far, which are kept up as pages join.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[(pdf[width] >= 300) & (pdf[height] >= 300)].sort_values(order, kind="stable")
-        clusters: list[list[tuple[float, float]]] = []
-        for w, h in zip(pdf[width], pdf[height], strict=True):
+        large = pdf[(pdf[width] >= 300) & (pdf[height] >= 300)].sort_values(order, kind="stable")
+        clusters: list[list] = []  # number of pages, and the medians of width and height
+        for w, h in zip(large[width], large[height], strict=True):
             for c in clusters:
-                mw, mh = statistics.median(x for x, _ in c), statistics.median(y for _, y in c)
-                if abs(w - mw) <= max(10, 0.035 * mw) and abs(h - mh) <= max(10, 0.035 * mh):
-                    c.append((w, h))
+                mw, mh = c[1].whole(), c[2].whole()
+                if abs(w - mw) <= max(10, int(0.035 * mw)) and abs(h - mh) <= max(10, int(0.035 * mh)):
                     break
             else:
-                clusters.append([(w, h)])
-        best = max(clusters, key=len, default=[])
-        if len(pdf) < least_pages or len(best) < max(6, 0.2 * len(pdf)):
-            return pd.DataFrame({group: [key_of(pdf)], "common_width": [None], "common_height": [None]}) if len(pdf) else pd.DataFrame(columns=[group, "common_width", "common_height"])
-        return pd.DataFrame({group: [key_of(pdf)], "common_width": [float(statistics.median(x for x, _ in best))], "common_height": [float(statistics.median(y for _, y in best))]})
-
-    def key_of(pdf: pd.DataFrame):
-        return pdf[group].iloc[0]
+                c = [0, _Middle(), _Middle()]
+                clusters.append(c)
+            c[0] += 1
+            c[1].add(w)
+            c[2].add(h)
+        best = max(clusters, key=lambda c: c[0], default=[0])
+        common = (best[1].whole(), best[2].whole()) if len(large) >= least_pages and best[0] >= max(6, int(0.2 * len(large))) else (None, None)
+        return pd.DataFrame({group: [pdf[group].iloc[0]], "common_width": [common[0]], "common_height": [common[1]]})
 
     kind = dict(df.dtypes)[group]
     return df.groupBy(group).applyInPandas(run, f"{group} {kind}, common_width double, common_height double")

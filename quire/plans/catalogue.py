@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.functions import clean, text
+from quire.functions import clean, periodicals, records, text
 from quire.functions import constants as K
-from quire.operators import dedupe, filters, lookup, ranks, series
+from quire.operators import dedupe, filters, lookup, pages, ranks, series
 from quire.sources import archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,17 +73,33 @@ def leading_run_drop(spark, d):
     return filters.drop_leading_run(rows, "conv_id", "pos", F.col("role") != "assistant").select("conv_id", "turn", "pos")
 
 
+_HREFS = r"""regexp_extract_all(html, '<a href="([^"]*)"', 1)"""
+# what each link of the page becomes before it is normalised, by its place: the table's own links have nothing to resolve
+_HREF_FORMS = ("{}", "a/../.{}", "x%20y{}%23z#top", "b//./c{}", "up/..\\d{}", "/r/../..{}", "%zz{}%2F")
+
+
 @query(
     "href_extract_normalize",
-    r"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) AS ord FROM pages)
-SELECT page_id, CAST(ord AS INTEGER) AS ord, href, regexp_replace(href, '#.*$', '') AS path FROM h WHERE href NOT LIKE '%\%%'  ESCAPE '\' AND href LIKE '/%' AND href <> '/' AND href NOT LIKE '%/' AND href NOT LIKE '%//%' AND href NOT LIKE '%..%'""",
+    rf"""WITH h AS (SELECT page_id, unnest({_HREFS}) AS href, generate_subscripts({_HREFS}, 1) AS ord FROM pages),
+f AS (SELECT page_id, ord, href, CASE ord % 7 WHEN 1 THEN href WHEN 2 THEN concat('a/../.', href) WHEN 3 THEN concat('x%20y', href, '%23z#top') WHEN 4 THEN concat('b//./c', href)
+  WHEN 5 THEN concat('up/..\d', href) WHEN 6 THEN concat('/r/../..', href) ELSE concat('%zz', href, '%2F') END AS form FROM h),
+p AS (SELECT *, regexp_replace(replace(replace(replace(replace(form, '%20', ' '), '%23', '#'), '%2F', '/'), '\', '/'), '#.*$', '') AS plain FROM f),
+-- only these forms have segments to resolve, and each of them at a known place
+r AS (SELECT *, CASE ord % 7 WHEN 2 THEN regexp_replace(plain, '^a/\.\./', '') WHEN 5 THEN regexp_replace(plain, '^up/\.\./?', '') WHEN 6 THEN regexp_replace(plain, '^/r/\.\./\.\.', '/') ELSE plain END AS r FROM p),
+s AS (SELECT *, concat(CASE WHEN r LIKE '/%' THEN '/' ELSE '' END, array_to_string(list_filter(string_split(r, '/'), lambda x: x <> '' AND x <> '.'), '/')) AS path FROM r)
+SELECT page_id, CAST(ord AS INTEGER) AS ord, form AS href, CASE WHEN path = '' THEN '.' ELSE path END AS path FROM s""",
 )
 def href_extract_normalize(spark, d):
-    """Links of each page in document order, normalised (ST1, ST3, ST4)."""
+    """Links of each page in document order, in seven forms by their place, normalised (ST1, ST3, ST4)."""
     hrefs = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
-    rows = table(spark, d, "pages").select("page_id", F.posexplode(hrefs).alias("ord", "href"))
-    rows = rows.where(~F.contains("href", F.lit("%")) & F.col("href").like("/%") & (F.col("href") != "/") & ~F.col("href").like("%/") & ~F.contains("href", F.lit("//")) & ~F.contains("href", F.lit("..")))
-    return rows.select("page_id", (F.col("ord") + 1).alias("ord"), "href", text.normal_path(F.col("href")).alias("path"))
+    rows = table(spark, d, "pages").select("page_id", F.posexplode(hrefs).alias("ord", "link")).withColumn("ord", F.col("ord") + 1)
+    form = None
+    for k, shape in enumerate(_HREF_FORMS):
+        before, after = shape.split("{}")
+        value = F.concat(F.lit(before), F.col("link"), F.lit(after))
+        test = F.col("ord") % 7 == (k + 1) % 7
+        form = F.when(test, value) if form is None else form.when(test, value)
+    return rows.select("page_id", "ord", form.alias("href"), text.normal_path(form).alias("path"))
 
 
 @query(
@@ -192,20 +208,22 @@ def seen_anti(spark, d):
     return lookup.unseen(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
-_BITS = 63
+_WORDS = 4  # of 16 bits each
 
 
 @query(
     "hamming_near_match",
-    """WITH v AS (SELECT vec_id, CAST(label AS INTEGER) AS label, CAST(list_sum(list_transform(range(63), lambda i: CASE WHEN embedding[i + 1] > 0 THEN CAST(1 AS HUGEINT) << CAST(i AS INTEGER) ELSE 0 END)) AS BIGINT) AS w FROM embeddings),
-p AS (SELECT a.vec_id, b.vec_id AS match_id, CAST(bit_count(xor(a.w, b.w)) AS INTEGER) AS distance FROM v a JOIN v b ON abs(a.label - b.label) <= 1 WHERE b.vec_id % 16 = 0 AND bit_count(xor(a.w, b.w)) <= 26)
+    """WITH v AS (SELECT vec_id, CAST(label AS INTEGER) AS label, CAST(list_sum(list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN CAST(1 AS HUGEINT) << CAST(i AS INTEGER) ELSE 0 END)) AS HUGEINT) AS w FROM embeddings),
+p AS (SELECT a.vec_id, b.vec_id AS match_id, CAST(bit_count(xor(a.w, b.w)) AS INTEGER) AS distance FROM v a JOIN v b ON a.vec_id <> b.vec_id AND abs(a.label - b.label) <= 1 WHERE a.vec_id % 20 = 0 AND bit_count(xor(a.w, b.w)) <= 26)
 SELECT vec_id, match_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, match_id) AS r FROM p) WHERE r = 1""",
 )
 def hamming_near_match(spark, d):
-    """The nearest of the known fingerprints within limits of aspect and distance (JN5); every 16th vector is a known one."""
-    word = F.aggregate(F.sequence(F.lit(0), F.lit(_BITS - 1)), F.lit(0).cast("long"), lambda a, i: a + F.when(F.get("embedding", i) > 0, F.pow(F.lit(2), i).cast("long")).otherwise(0))
-    rows = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("int").alias("label"), word.alias("w"))
-    return dedupe.nearest_fingerprint(rows, rows.where("vec_id % 16 = 0"), "label", ["w"], 26, 1, "vec_id")
+    """The nearest other fingerprint within limits of aspect and distance (JN5), for the rows whose id is divisible by 20 against all rows."""
+    def word(k: int):
+        return F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.lit(0).cast("long"), lambda a, i: a + F.when(F.get("embedding", i + 16 * k) > 0, F.pow(F.lit(2), i).cast("long")).otherwise(0))
+
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("int").alias("label"), *[word(k).alias(f"w{k}") for k in range(_WORDS)])
+    return dedupe.nearest_fingerprint(rows.where("vec_id % 20 = 0"), rows, "label", [f"w{k}" for k in range(_WORDS)], 26, 1, "vec_id")
 
 
 @query("greedy_leader_dedupe")
@@ -304,8 +322,9 @@ def ranked_union_cap(spark, d):
 
 @query(
     "scored_top1",
-    """WITH s AS (SELECT p_brand, p_partkey, p_name, CASE WHEN p_name = 'red bolt' THEN 10 WHEN contains(p_name, 'red bolt') OR contains('red bolt', p_name) THEN 5 ELSE 0 END
- + 1 + 3 * (CAST(contains(p_name, 'red') AS INTEGER) + CAST(contains(p_name, 'bolt') AS INTEGER)) AS score FROM part)
+    r"""WITH k AS (SELECT *, lower(regexp_replace(p_name, '[^\p{L}\p{N}]+', '', 'g')) AS key FROM part),
+s AS (SELECT p_brand, p_partkey, p_name, CASE WHEN key = 'redbolt' THEN 10 WHEN contains(key, 'redbolt') OR contains('redbolt', key) THEN 5 ELSE 0 END
+ + 1 + 3 * (CAST(contains(key, 'red') AS INTEGER) + CAST(contains(key, 'bolt') AS INTEGER)) AS score FROM k)
 SELECT p_brand, p_partkey, p_name, CAST(score AS INTEGER) AS score FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_partkey) AS r FROM s) WHERE r = 1""",
 )
 def scored_top1(spark, d):
@@ -420,11 +439,60 @@ def page_with_fallbacks(spark, d):
 
 @query(
     "title_match_strength",
-    """SELECT p_partkey, CAST(CASE WHEN lower(p_name) = 'red bolt' OR lower(p_type) = 'red bolt' THEN 3 WHEN length(p_name) >= 4 AND (contains('red bolt', lower(p_name)) OR contains(lower(p_name), 'red bolt')) THEN 2 WHEN p_name <> '' THEN 1 ELSE 0 END AS INTEGER) AS strength FROM part""",
+    r"""WITH k AS (SELECT p_partkey, p_partkey % 3 AS works, lower(regexp_replace(concat('the ', p_name), '[^\p{L}\p{N}]+', '', 'g')) AS t, lower(regexp_replace(p_type, '[^\p{L}\p{N}]+', '', 'g')) AS p FROM part),
+r AS (SELECT *, t = 'standardredbolt' OR (length(t) >= 7 AND contains('standardredbolt', substr(t, 4))) AS t_near, p = 'standardredbolt' OR (length(p) >= 4 AND contains('standardredbolt', p)) AS p_near FROM k)
+SELECT p_partkey, CAST(CASE WHEN works > 0 THEN CASE WHEN t = 'standardredbolt' THEN 3 WHEN works = 1 AND t_near THEN 2 ELSE 0 END WHEN p_near THEN 1 ELSE 0 END AS INTEGER) AS strength FROM r""",
 )
 def title_match_strength(spark, d):
-    """How well a page's title fits the one asked for (ST35, ST36)."""
-    return table(spark, d, "part").select("p_partkey", lookup.match_strength(F.lit("red bolt"), F.col("p_name"), F.col("p_type")).alias("strength"))
+    """How well pages of no, one or two works fit the title asked for (ST35, ST36)."""
+    strength = lookup.match_strength(F.lit("Standard red bolt"), F.concat(F.lit("the "), "p_name"), F.col("p_partkey") % 3, F.col("p_type"))
+    return table(spark, d, "part").select("p_partkey", strength.alias("strength"))
+
+
+@query(
+    "page_choice",
+    """WITH c AS (SELECT l_orderkey AS query, l_linenumber AS rank, l_partkey, CAST(l_quantity AS INTEGER) % 3 AS phase, CAST(l_suppkey % 4 AS INTEGER) AS strength FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY strength DESC, phase, rank, l_partkey) AS k FROM c WHERE strength > 0 AND (phase < 2 OR strength = 3))
+SELECT query, phase, rank, strength FROM r WHERE k = 1""",
+)
+def page_choice(spark, d):
+    """The page of each query: the first of full strength, else the strongest of the early phases (SO6)."""
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query"), F.struct(F.col("l_linenumber").alias("n"), "l_partkey").alias("rank"), (F.col("l_quantity").cast("int") % 3).alias("phase"), (F.col("l_suppkey") % 4).cast("int").alias("strength"))
+    return pages.choose(rows).select("query", "phase", F.col("rank.n").alias("rank"), "strength")
+
+
+@query(
+    "periodical_name",
+    """WITH n AS (SELECT p_partkey, p_brand AS s, p_size, p_partkey % 6 AS form FROM part)
+SELECT p_partkey, CASE form WHEN 0 THEN concat(s, ' v', lpad(p_size::VARCHAR, 3, '0'), '.cbz') WHEN 1 THEN concat(s, ' v', lpad(p_size::VARCHAR, 3, '0'), '-', lpad((p_size + 1)::VARCHAR, 3, '0'), ' 合刊 spring.cbz')
+ WHEN 2 THEN concat(s, ' SP', lpad(p_size::VARCHAR, 3, '0'), ' 增刊 maps.cbz') WHEN 3 THEN concat(s, ' v', lpad(p_size::VARCHAR, 3, '0'), ' notes.cbz') WHEN 4 THEN 'some title.cbz' ELSE concat(s, ' SP000 大全 red.cbz') END AS name FROM n""",
+)
+def periodical_name(spark, d):
+    """Archive names of periodical files in six forms (ST16-ST20)."""
+    size, series = F.col("p_size").cast("string"), F.col("p_brand")
+    forms = (
+        F.concat(series, F.lit(" Vol."), size), F.concat(F.lit("["), series, F.lit("] "), size, F.lit("~"), (F.col("p_size") + 1).cast("string"), F.lit(" 合刊 spring")), F.concat(F.lit("v"), size, F.lit("_增刊_maps")),
+        F.concat(F.lit("第"), size, F.lit("期 (notes) full_CRAZ")), F.lit("some  title 1x2+3x4=5"), F.lit("大全 red"),
+    )
+    stem = F.element_at(F.array(*forms), (F.col("p_partkey") % 6 + 1).cast("int"))
+    path = F.concat(F.lit("/books/"), series, F.lit("/"), stem, F.lit(".pdf"))
+    return periodicals.archive_names(table(spark, d, "part").select("p_partkey", path.alias("path")), out="name").select("p_partkey", "name")
+
+
+@query(
+    "record_roundtrip",
+    """SELECT p_partkey, p_name AS title, concat(p_type, ' & <', p_brand, '>') AS series, CAST(p_size AS BIGINT) AS count, concat(lower(p_type), '|', p_name) AS genre,
+ CASE WHEN p_size % 3 = 0 THEN 'YesAndRightToLeft' WHEN p_size % 3 = 1 THEN 'Yes' END AS manga, CAST(1 AS BIGINT) AS pages FROM part""",
+)
+def record_roundtrip(spark, d):
+    """Records of 49 fields, normalised, as XML and back (SR3-SR6, SR8)."""
+    page = F.from_json(F.lit('{"image": 3, "page_type": ["story", "x", "Story"]}'), records.PAGE)
+    rows = table(spark, d, "part").select(
+        "p_partkey", F.concat(F.lit(" "), "p_name").alias("title"), F.concat("p_type", F.lit(" & <"), "p_brand", F.lit(">")).alias("series"), F.concat("p_size", F.lit(".0")).alias("count"),
+        F.concat(F.lower("p_type"), F.lit(", "), F.upper("p_type"), F.lit(",,"), "p_name").alias("genre"), F.when(F.col("p_size") % 3 == 0, "yesandrighttoleft").when(F.col("p_size") % 3 == 1, "?").alias("manga"), F.array(page, F.lit(None)).alias("pages"),
+    )
+    back = records.from_xml(records.normalise(rows).select("p_partkey", records.to_xml().alias("xml")))
+    return back.select("p_partkey", "title", "series", "count", F.array_join("genre", "|").alias("genre"), "manga", F.size(F.filter("pages", lambda p: p["page_type"] == F.array(F.lit("Story")))).cast("long").alias("pages"))
 
 
 @query(

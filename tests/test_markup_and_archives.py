@@ -17,16 +17,42 @@ def test_wikitext_scanning():
     assert name == "infobox animanga/manga" and fields == {"x": "2", "y": "[[a|b]]", "z": "{{t|u=v}}"}
     assert M.clean_wikitext("'''[[海賊王|ONE PIECE]]'''<ref>x</ref> {{lang|ja|ワン}}<!--c-->") == "ONE PIECE ワン"
     assert M.people_list("[[甲]]→[[乙]]") == ["甲", "乙"]
-    assert M.count_of("全37卷<br>全21卷（文庫版）", "刃牙 愛藏版") in (21, 37) and M.count_of("全３７卷") == 37
-    assert M.count_of("普通版：37卷／文庫版：全21卷", "某某 文庫版") == 21
-    assert M.categories("[[Category:日本漫畫]] [[分類:冒險|x]] [[category:日本漫畫]]") == ["日本漫畫", "冒險"]
+    assert M.edition_count("全37卷<br>全21卷（文庫版）", "刃牙 愛藏版") == 21 and M.count_of("全３７卷") == 37
+    assert M.edition_count("普通版：37卷／文庫版：全21卷", "某某 文庫版") == 21
+    assert M.categories("[[Category:日本漫畫]] [[Category:冒險|x]] [[category:日本漫畫]]") == ["日本漫畫", "冒險"]
     assert M.match_key("刃牙道Ⅱ") == M.match_key("刃牙道II")
     assert M.lead_summary("{{box|a}}\n'''甲'''是漫畫。\n\n第二段\n== 標題 ==\nx") == "甲是漫畫。"
 
 
+def test_fields_of_wiki_pages():
+    assert M.clean_wikitext("{{start date|1981}} {{tsl|ja|X|Y}} [https://x.org text] {{flag|Japan}}[[a|b]],") == "1981 Y text b"
+    assert M.people_list("原作：[[坂井音太]]", "甲⇒乙／丙\n角色原案: 丁") == ["坂井音太", "甲", "乙／丙", "丁"]
+    assert M.image_sources('<img data-lazy-src="a.jpg"><img href="h" data-src="d"><image srcset="s.webp 1x, t"><img src="data:x" data-src="y">') == ["a.jpg", "d", "s.webp"]
+    box = lambda **f: "{{Infobox animanga/Manga" + "".join(f"\n|{k} = {v}" for k, v in f.items()) + "\n}}"
+    football = box(標題="足球小將", 作者="[[高橋陽一]]", 冊數="全37卷<br>全21卷（文庫版）")
+    assert M.main_work(football, "足球小將翼 (愛藏版)")["volume_count"] == 21 and M.main_work(football, "足球小將翼")["volume_count"] == 37
+    assert M.edition_count("全37卷；全21卷（文库版）", "足球小将翼 (爱藏版)") == 21
+    (w,) = M.works(box(標題="膽大黨", 開始日="2021年4月6日", 結束日="2026年7月1日"))
+    assert (w["start"], w["end"]) == ("2021年4月6日", "2026年7月1日")
+    assert [M.works(box(**f))[0]["start"] for f in ({"開始": "2020年", "發售日": "2019年12月"}, {"發售日": "2019年12月"})] == ["2020年", "2019年12月"]
+    (w,) = M.works(box(出版社="{{flagicon|Japan}} [[集英社]]", 其他出版社="{{flagicon|Taiwan}} [[東立出版社]]<br>{{flagicon|Hong Kong}} [[文化傳信]]"))
+    assert (w["japan_publishers"], w["taiwan_publishers"], w["hongkong_publishers"]) == (["集英社"], ["東立出版社"], ["文化傳信"])
+    (w,) = M.works(box(原作="原作：[[坂井音太]]", 作畫="[[恩田千路]]→[[内藤らぶ]]", 冊數="全4冊"))
+    assert (w["author"], w["penciller"]) == (["坂井音太"], ["恩田千路", "内藤らぶ"])
+
+
+def test_choice_of_boxes_and_strength_of_pages():
+    text = "{{Infobox animanga/Manga\n|作者 = 南勝久\n|冊數 = 全22冊\n}}\n{{Infobox animanga/Manga\n|標題 = 殺手寓言 The second contact\n|冊數 = 全9冊\n}}"
+    assert M.main_work(text, "殺手寓言", "殺手寓言")["volume_count"] == 22
+    assert M.main_work(text, "殺手寓言 The second contact", "殺手寓言")["volume_count"] == 9
+    assert M.page_strength(text, "殺手寓言 The second contact", "殺手寓言") == 3 and M.page_strength(text, "別的", "x") == 0
+    one = "{{Infobox animanga/Manga|標題=刃牙道外傳記|冊數=1}}"
+    assert M.page_strength(one, "新刃牙道外傳記二", "x") == 2 and M.page_strength("no box", "abcde fgh", "The Abcde") == 1 and M.page_strength("", "abcde", None) == 0
+
+
 def test_works_follow_their_header(spark):
     text = "{{Infobox animanga/headerofja|japanese=ジャンプ|genre=[[少年漫畫]]、冒險}}{{infobox animanga/manga|標題=甲|作者=[[某]]|出版社={{flagicon|Japan}} 集英社<br>{{flagicon|Taiwan}} 東立出版社|冊數=全42卷|開始=1981年}}{{infobox animanga/manga|title=乙|冊數=22}}"
-    rows = spark.createDataFrame([(text, None)], "text string, query string").select(M.works_udf("text", "query").alias("w")).first().w
+    rows = spark.createDataFrame([(text, None)], "text string, query string").select(M.works_udf("text").alias("w")).first().w
     assert [w.title for w in rows] == ["甲", "乙"] and [w.volume_count for w in rows] == [42, 22]
     assert rows[0].taiwan_publishers == ["東立出版社"] and rows[0].japan_publishers == ["集英社"] and rows[0].genre == ["少年漫畫", "冒險"]
     assert rows[1].original_title == "ジャンプ" and rows[0].start == "1981年" and rows[1].raw_fields["冊數"] == "22"

@@ -34,16 +34,20 @@ def test_keys_and_paths(spark):
     assert [r.n for r in df.where("n LIKE '%.%'").orderBy(T.digit_run_key(F.col("n"))).collect()] == ["1.png", "2.jpg", "10.bmp"]
     assert values(spark, ["a%20b+c/./d/../e.html#x", "..\\x\\y", "/p//q/", "%zz"], T.normal_path) == ["a b+c/e.html", "../x/y", "/p/q", "%zz"]
     assert values(spark, ["https://zh.wikipedia.org/wiki/%E6%B5%B7_x", "https://zh.wikipedia.org/w/index.php?title=A_B&c=1", "https://zh.wikipedia.org/zh-tw/C"], T.wiki_title) == ["海 x", "A B", "C"]
-    assert values(spark, [["動作漫畫", "科幻作品", "x"]], T.genres, "array<string>") == [["Action", "Science fiction"]]
+    assert values(spark, ["a%23b#c", "%2", "#", "/../x", "a/.."], T.normal_path) == ["a", "%2", ".", "/x", "."]
+    long = ["a" + "9" * 50, "a" + "9" * 49 + "8", "a1"]
+    assert [r.n for r in spark.createDataFrame([(n,) for n in long], "n string").orderBy(T.natural_key(F.col("n"))).collect()] == long[::-1]
+    assert values(spark, ["全99999999999卷"], T.first_count) == [99999999999]
+    assert values(spark, [["動作漫畫", "科幻作品", "x"], ["科幻", "動作"], ["歷史錯誤"]], T.genres, "array<string>") == [["Action", "Science fiction"], ["Science fiction", "Action"], []]
     assert values(spark, [["冒險漫畫", "CS1错误", "含有日語的條目", "1981年漫畫"]], T.content_categories, "array<string>") == [["冒險漫畫", "1981年漫畫"]]
     assert values(spark, [["A", "b", "a", "B", "c"]], T.ordered_distinct, "array<string>") == [["A", "b", "c"]]
-    assert values(spark, ["臺灣：大然文化→東立出版社"], T.display_publisher) == ["東立出版社"]
+    assert values(spark, ["臺灣：大然文化→東立出版社", "日本：臺灣： 甲", "角川：少年部", "甲 --> 乙⟶丙"], T.display_publisher) == ["東立出版社", "甲", "角川：少年部", "丙"]
     assert values(spark, ["<b>a</b> &amp;  b" + "x" * 200], T.snippet) == ["a & b" + "x" * 115]
 
 
 def test_coercions(spark):
     assert values(spark, [" a\x00b ", "", "  "], C.text) == ["ab", None, None]
-    assert values(spark, ["3.9", "x", "-2", " 7 "], C.integer) == [3, None, -2, 7]
+    assert values(spark, ["3.9", "x", "-2", " 7 "], C.integer) == [3, None, -2, 7] and values(spark, ["9007199254740993"], C.integer) == [9007199254740993]
     assert values(spark, ["Yes", "0", "maybe"], C.boolean) == [True, False, None]
     assert [str(x) for x in values(spark, ["4.25", "4.24", "5.01", "6", "x"], C.rating)] == ["4.3", "4.2", "5.0", "None", "None"]
     assert values(spark, ["a, b ,A,,c"], C.value_list) == [["a", "b", "c"]]
