@@ -51,7 +51,7 @@ class Stored:
         folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Hand freed memory to the system, as a worker process is used again by tasks that need none of it."""
     pa.default_memory_pool().release_unused()
     try:
@@ -65,7 +65,7 @@ def map_batches(df: DataFrame, run, schema, most: int = 4 << 20) -> DataFrame:
 
     def tidy(batches):
         yield from run(batches)
-        _give_back()
+        give_back()
 
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
     return df.mapInArrow(tidy, schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import _bytes as B
-from quire.llm._spark import checkpoint, map_batches
+from quire.llm._spark import checkpoint, give_back, map_batches
 
 BITS = 22
 PIECES = (6, 8)
@@ -56,7 +56,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray):
 def features(own: list[np.ndarray], first: np.ndarray) -> np.ndarray:
     """Table places of each token's features: word, leading pieces, and the words before and after in the line."""
     word = own[0]
-    before, after = np.zeros_like(word), np.zeros_like(word)
+    before, after = np.ones_like(word), np.ones_like(word)
     before[1:] = np.where(first[1:], np.uint64(1), word[:-1])
     after[:-1] = np.where(first[1:], np.uint64(1), word[1:])
     shift = np.uint64(64 - BITS)
@@ -147,7 +147,7 @@ def _adam(theta: np.ndarray, gradient, rounds: int, rate: float) -> np.ndarray:
 def fit_chain(places: np.ndarray, first: np.ndarray, labels: np.ndarray, rounds: int = 40, decay: float = 1e-5) -> tuple[np.ndarray, float, np.ndarray]:
     """Weights by feature place, bias and state changes of the chain that makes the token labels likely."""
     seen = np.flatnonzero(np.bincount(places.ravel(), minlength=1 << BITS))
-    column = np.searchsorted(seen, places).astype(np.int32)
+    column = np.stack([np.searchsorted(seen, row).astype(np.int32) for row in places])
     y = labels.astype(float)
     both = ~first[1:]
     had = np.zeros((2, 2))
@@ -267,6 +267,8 @@ def fit(docs: DataFrame, labels: DataFrame, train, toxic_rows: int = 6000, clean
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.sum("weight").alias("n")).collect()}
     weight = np.where(y == 1, sizes[1] / max(1, y.sum()), sizes[0] / max(1, (1 - y).sum()))
     model.doc = fit_scores(x, y, weight)
+    del places, first, hit, logit
+    give_back()
     return model
 
 

@@ -171,6 +171,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     shape = B.hashes(data, starts, ends, _SHAPE)
     pair = np.zeros_like(shape)
     pair[1:] = np.where(word[1:] == word[:-1], np.uint64(1), shape[1:] * np.uint64(3) + shape[:-1])
+    begins = ptr[:-1][np.diff(ptr) > 0]
+    pair[begins] = shape[begins] * np.uint64(3)  # a text's features depend on nothing but the text
     salts = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
     return np.stack([(B.mix(h * s) >> np.uint64(64 - BITS)).astype(np.int32) for h, s in zip((word, shape, pair), salts, strict=True)]), ptr
 

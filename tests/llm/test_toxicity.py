@@ -74,3 +74,34 @@ def test_no_labels_and_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.score for r in T.score(docs, T.fit(docs, none, T.not_in_fold)).collect()] == [0.0]
     assert T.score(docs.limit(0), T.fit(docs.limit(0), none, T.not_in_fold)).collect() == []
+
+
+def test_scores_are_the_logistic_of_enumerated_taggings(spark):
+    """A fitted model's scores and spans against all taggings of each line, weighed by the model's own numbers."""
+    rows = corpus(120)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = T.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"), T.not_in_fold)
+    texts = ["vilez ab", "ab cd ef\nscumz idiotz", "", "abc", "Vilez, gh-ab scumz"]
+    found = {r.doc_id: r for r in T.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, text in enumerate(texts):
+        data = np.frombuffer(text.encode(), np.uint8)
+        starts, ends, _, own, first = T.tokens(data, np.array([0, len(data)]))
+        marginals = np.zeros(len(starts))
+        if len(starts):
+            e = model.emissions(T.features(own, first)).astype(float)
+            for a, b in zip(np.flatnonzero(first), np.append(np.flatnonzero(first)[1:], len(first))):
+                total = 0.0
+                for tags in itertools.product((0, 1), repeat=int(b - a)):
+                    w = np.exp(sum(e[a + k] * t for k, t in enumerate(tags)) + sum(model.moves[p, q] for p, q in zip(tags, tags[1:])))
+                    total += w
+                    marginals[a:b] += w * np.array(tags)
+                marginals[a:b] /= total
+        x = np.array([1.0, np.log1p(marginals.sum()), marginals.max(initial=0.0)])
+        assert np.isclose(found[i].score, 1 / (1 + np.exp(-(x @ model.doc))), atol=1e-5)
+        assert [(s.start, s.end) for s in found[i].spans] == [(a, b) for a, b, m in zip(starts, ends, marginals) if m > 0.5]
+
+
+def test_ties_at_the_threshold_are_rejected(spark):
+    model = T.Model(np.zeros(1 << T.BITS, np.float32), -20.0, np.zeros((2, 2)), np.zeros(3), 0.5)
+    docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
+    assert [r.score for r in T.score(docs, model).collect()] == [0.5, 0.5] and T.reject(docs, model).count() == 0

@@ -62,3 +62,44 @@ def test_scores_and_defined_cases(spark):
     assert all(0 <= r.score <= 1 and 0 <= r.posterior <= 1 for r in found)
     empty = docs.limit(0)
     assert W.classify(empty, W.fit(empty)).collect() == []
+
+
+def test_em_and_posterior_match_plain_bayes():
+    """One round of expectation-maximisation, and the posterior, against loops over texts and labellers."""
+    rng = np.random.default_rng(8)
+    k = W.N_LABELLERS
+    digits = rng.integers(0, 3, (60, k))
+    codes = (digits * 3 ** np.arange(k)).sum(1)
+    names, counts = np.unique(codes, return_counts=True)
+    model = W.expectation_maximisation(names, counts.astype(float), rounds=1)
+    lead = [1 / (1 + np.exp(-(3.0 - 4.0 * sum(v == 2 for v in row)))) for row in digits]
+    for j in range(k):
+        for v in range(3):
+            good = 1 + sum(w for w, row in zip(lead, digits) if row[j] == v)
+            bad = 1 + sum(1 - w for w, row in zip(lead, digits) if row[j] == v)
+            assert np.isclose(model.good[j, v], good / (3 + sum(lead))) and np.isclose(model.bad[j, v], bad / (3 + sum(1 - w for w in lead)))
+    assert np.isclose(model.prior, (sum(lead) + 1) / (len(lead) + 2))
+    for code, row in zip(codes[:20], digits[:20]):
+        a, b = model.prior, 1 - model.prior
+        for j in range(k):
+            a, b = a * model.good[j, row[j]], b * model.bad[j, row[j]]
+        assert np.isclose(model.posterior(np.array([code]))[0], a / (a + b))
+
+
+def test_scorer_is_a_mean_of_weights_and_ties_are_kept(spark):
+    scorer = W.Scorer(np.random.default_rng(1).normal(size=1 << W.BITS).astype(np.float32), 0.25)
+    data, offsets = B.buffers(pa.array(["a b c", "", "Ab! 1"]))
+    places, ptr = W.features(data, offsets)
+    for i in range(3):
+        own = [sum(float(scorer.table[p]) for p in places[:, j]) for j in range(ptr[i], ptr[i + 1])]
+        assert np.isclose(scorer.logits(places, ptr)[i], 0.25 + (sum(own) / len(own) if own else 0), atol=1e-5)
+    k = W.N_LABELLERS
+    even = (W.LabelModel(0.5, np.full((k, 3), 1 / 3), np.full((k, 3), 1 / 3)), W.Scorer(np.zeros(1 << W.BITS, np.float32), 0.0))
+    docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
+    assert [(r.score, r.kept) for r in W.classify(docs, even).collect()] == [(0.5, True), (0.5, True)]
+
+
+def test_features_of_a_text_do_not_depend_on_its_neighbours():
+    alone = W.features(*B.buffers(pa.array(["a b c"])))[0]
+    places, ptr = W.features(*B.buffers(pa.array(["x y", "a b c", "c"])))
+    assert (places[:, ptr[1] : ptr[2]] == alone).all()
