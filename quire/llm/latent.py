@@ -39,8 +39,8 @@ from quire.llm._spark import map_batches, sum_arrays
 
 FEATURE_BITS = 16
 RANK = 128
-BLOCK_ITEMS = 256
-BLOCKS_A_PASS = 4
+BLOCK_ITEMS = 512
+BLOCKS_A_PASS = 2
 RUN = 16
 LEAST_WORDS = 8
 LEAST_INFORMATIVE = 4
