@@ -9,6 +9,10 @@ JUNK_NAMES = (*JUNK_COMMON, "powered", "dmzj", "mhx12")
 JUNK_CONTENTS = (*JUNK_COMMON, "mox.moe", "koz", "mhx12.com", "最新地址", "最新域名", "收藏本站", "加入书签", "在线阅读", "版权归原作者所有")
 JUNK_TAIL = ("mox", "kox", "18comic", "wnacg", "manhuagui", "koz", "最新地址", "最新域名", "收藏本站", "加入书签", "在线阅读", "在線閱讀", "版权归原作者所有", "版權歸原作者所有")
 
+# Names of cover pages, and of pages that stay as they are.
+COVER_NAMES = ("cover", "封面", "frontcover", "backcover")
+PROTECTED_NAMES = ("end", "ad", "ads", "adv", "advertisement", "copyright", "backcover", "afterword")
+
 # Labels of special volumes, in order of precedence.
 SPECIALS = (
     "原画集", "原畫集", "頁集", "设定集", "設定集", "公式书", "公式書", "短篇集", "画集", "畫集", "画册", "畫冊", "插画集", "插畫集",

@@ -74,6 +74,12 @@ def sampled_median(df: DataFrame, group: str, order: list[str], value: str, most
     return chosen.groupBy(group).agg(F.when(middle >= low, F.least(middle, F.lit(float(high)))).otherwise(float(default)).alias(out))
 
 
+def page_ratio(pages: DataFrame, book: str, width: str, height: str) -> DataFrame:
+    """The usual width to height of each book's pages: the median, or 1 where no page has a size (AG1)."""
+    sized = (F.col(width) > 0) & (F.col(height) > 0)
+    return pages.groupBy(book).agg(F.coalesce(F.median(F.when(sized, F.col(width) / F.col(height))), F.lit(1.0)).alias("ratio"))
+
+
 def net_turns(df: DataFrame, keys: list[str], delta: str) -> DataFrame:
     """Quarter turns that are left over after all turns, pages back in place dropped (AG11)."""
     return df.groupBy(*keys).agg(F.pmod(F.sum(delta), F.lit(4)).cast("int").alias("turns")).where("turns <> 0")

@@ -13,11 +13,13 @@ import uuid
 import zipfile
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.functions.text import natural_key
 from quire.operators.filters import entry_rank, is_image
 
+COVER_IMAGES = (".jpg", ".jpeg", ".png", ".webp")
 ENTRIES = "archive string, idx int, name string, size long, data binary"
 
 
@@ -27,6 +29,34 @@ def list_books(spark: SparkSession, folder: str, pattern: str = "*.epub") -> Dat
     return files.select(F.col("path").alias("archive"), "length").orderBy("archive")
 
 
+def count_books(books: DataFrame, folder: str) -> DataFrame:
+    """(folder, books) for each folder of list_books() that has any; a folder without books has no row, so a left join gives null (SC14)."""
+    return books.groupBy(F.regexp_replace("archive", "/[^/]*$", "").alias(folder)).agg(F.count("*").alias("books"))
+
+
+def in_natural_order(entries: DataFrame, wanted, group: str = "archive", name: str = "name") -> DataFrame:
+    """The wanted entries, with `place` (from 1) in natural order of their paths in each archive (SC5 by is_markup, SC6 by is_image).
+
+    An archive's entries are ordered among themselves only, so no task sorts more than one archive.
+    """
+    order = Window.partitionBy(group).orderBy(natural_key(F.col(name), letters_first=False), F.col(name))
+    return entries.where(wanted).withColumn("place", F.row_number().over(order))
+
+
+def list_images(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, relative, length) of the picture files below a folder, in order of their relative paths (SC10)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+    base = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/") + "/"
+    pictures = files.where(is_image(F.col("path")))
+    return pictures.withColumn("relative", F.substring_index("path", root, -1)).orderBy("relative")
+
+
+def smallest(images: DataFrame, most: int = 10, size: str = "length", path: str = "path") -> DataFrame:
+    """The smallest files, a report of `most` rows (SC28)."""
+    return images.orderBy(size, path).limit(most)
+
+
 def read_entries(spark: SparkSession, path: str, pattern: str = "*", with_data: bool = True) -> DataFrame:
     """The entries of all archives below a path (SC1, SC11-SC13). A name that leaves the archive is an error."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
@@ -66,6 +96,26 @@ def metadata_entry(entries: DataFrame) -> DataFrame:
     return ranked.groupBy("archive").agg(F.min_by(F.struct("name", "data"), F.struct("__rank", "idx")).alias("m")).select("archive", "m.name", "m.data")
 
 
+def cover_entries(entries: DataFrame) -> DataFrame:
+    """The first picture by name of each archive, null where it has none: what tells whether an existing file's cover is blank (FI13)."""
+    picture = F.when(is_image(F.col("name"), COVER_IMAGES), F.struct("name", "data"))
+    return entries.groupBy("archive").agg(F.min_by(picture, F.when(is_image(F.col("name"), COVER_IMAGES), F.col("name"))).alias("c")).select("archive", "c.name", "c.data")
+
+
+def cropped_path(path: Column) -> Column:
+    """The file that a cropped archive is written to (HP18)."""
+    return F.concat(F.regexp_replace(path, r"(?<=[^/])\.[^./]*$", ""), F.lit(".cropped"), F.regexp_extract(path, r"(?<=[^/])(\.[^./]*)$", 1))
+
+
+def repair_targets(archives: DataFrame) -> DataFrame:
+    """archives (cbz, dir, base, title, title_from_dir) with the folder they are repaired in and the series title asked for (HP11, HP14)."""
+    parent = lambda p: F.regexp_replace(p, "/[^/]*$", "")
+    folder = F.coalesce(parent(F.col("cbz")), F.col("dir"), F.col("base"))
+    from_dir = F.coalesce("title_from_dir", F.col("cbz").isNull())
+    title = F.when(F.col("title") != "", F.col("title")).when(from_dir, F.regexp_extract(folder, "([^/]*)$", 1))
+    return archives.withColumns({"target_dir": folder, "series_title": title})
+
+
 def write_archives(pages: DataFrame, folder: str, backup: str | None = None) -> DataFrame:
     """Write each book's pages (book, page_no, name, data, xml) as `folder`/book.cbz, and return (book, pages, bytes, path).
 
