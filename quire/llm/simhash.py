@@ -139,15 +139,26 @@ class GrayIndex:
         keep = (x <= y) & (y < size) if depth else (x < y) & (y < size)
         return x[keep], y[keep]
 
+    def _below(self, depth: int, a: np.ndarray, b: np.ndarray):
+        """The pairs below these pairs of nodes, piece by piece when they are asked for, so a level of the walk holds one piece."""
+        step = max(1, self.CHUNK // (FANOUT * FANOUT))
+        for k in range(0, len(a), step):
+            x, y = self._expand(depth, a[k : k + step], b[k : k + step])
+            if len(x):
+                yield depth, x, y
+
     def links(self) -> np.ndarray:
         forest = _Forest(self.n)
         top = len(self.levels) - 1
         if not top:
             return self.order
-        stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        stack = [iter([(top, np.zeros(1, np.int64), np.zeros(1, np.int64))])]
         spread = None
         while stack:
-            depth, a, b = stack.pop()
+            if (pairs := next(stack[-1], None)) is None:
+                stack.pop()
+                continue
+            depth, a, b = pairs
             node = self.levels[depth]
             near = (node["low"][b] <= node["high"][a]) & (node["low"][a] <= node["high"][b])
             common = node["shared"][a] & node["shared"][b]
@@ -175,13 +186,8 @@ class GrayIndex:
                 forest.link(a[sure] * reach, b[sure] * reach)
                 spread = None
             a, b = a[near & ~sure], b[near & ~sure]
-            by = np.argsort(b - a, kind="stable")[::-1]
-            a, b = a[by], b[by]
-            step = max(1, self.CHUNK // (FANOUT * FANOUT))
-            for k in range(0, len(a), step):
-                x, y = self._expand(depth - 1, a[k : k + step], b[k : k + step])
-                if len(x):
-                    stack.append((depth - 1, x, y))
+            by = np.argsort(b - a, kind="stable")
+            stack.append(self._below(depth - 1, a[by], b[by]))
         out = np.empty(self.n, np.int64)
         out[self.order] = self.order[forest.label]
         return out
