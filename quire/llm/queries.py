@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chat, context_tree, latent, resharding, rules, simhash, templates, toxicity, weak
+from quire.llm import alignment, bpe, chat, collocations, context_tree, latent, merges, resharding, rules, simhash, templates, toxicity, weak
 from quire.llm._spark import documents
 
 QUERIES = {}
@@ -149,3 +149,44 @@ def op10(spark, sf_dir):
 def op4(spark, sf_dir):
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
     return context_tree.score(documents(spark, sf_dir), held_out)
+
+
+@query("op11_merge_rounds")
+def op11(spark, sf_dir):
+    import public_tokenizers
+
+    return merges.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+OP12_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, count(*) AS times, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p GROUP BY lang, piece),
+g1 AS (SELECT lang, unnest(w) AS g, times FROM w),
+g2 AS (SELECT lang, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1]))) AS g, times FROM w WHERE len(w) > 1),
+g3 AS (SELECT lang, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2]))) AS g, times FROM w WHERE len(w) > 2),
+f AS (SELECT lang, g, CAST(sum(times) AS HUGEINT) AS f, 1 AS size FROM g1 GROUP BY lang, g
+  UNION ALL SELECT lang, g, CAST(sum(times) AS HUGEINT), 2 FROM g2 GROUP BY lang, g HAVING sum(times) >= 10
+  UNION ALL SELECT lang, g, CAST(sum(times) AS HUGEINT), 3 FROM g3 GROUP BY lang, g HAVING sum(times) >= 10),
+c AS (SELECT lang, g, f AS a, size, string_split(g, ' ') AS w FROM f WHERE size > 1 AND f >= 10),
+k AS (SELECT lang, g, a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y FROM (SELECT *, unnest(generate_series(1, size - 1)) AS k FROM c)),
+s AS (SELECT k.lang, k.g, k.a, k.k, l.f AS l, r.f AS r, CAST(1000000 AS HUGEINT) * k.a * k.a // (l.f * r.f) AS score FROM k JOIN f l ON l.lang = k.lang AND l.g = k.x JOIN f r ON r.lang = k.lang AND r.g = k.y),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+i AS (SELECT lang, concat(w[1], ' ', w[2]) AS g, a FROM c WHERE size = 3 UNION ALL SELECT lang, concat(w[2], ' ', w[3]), a FROM c WHERE size = 3),
+m AS (SELECT lang, g, max(a) AS most FROM i GROUP BY lang, g),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE size = 1 GROUP BY lang),
+o AS (SELECT b.* FROM b LEFT JOIN m ON m.lang = b.lang AND m.g = b.g WHERE NOT coalesce(100 * most >= 50 * b.a, FALSE))
+SELECT o.lang, row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM o JOIN n ON n.lang = o.lang QUALIFY row_number() OVER (PARTITION BY o.lang ORDER BY score DESC, a DESC, g) <= 2000
+"""
+
+
+@query("op12_phrase_collocations", OP12_SQL)
+def op12(spark, sf_dir):
+    return collocations.top(documents(spark, sf_dir))
+
+
+@query("op13_tokenizer_alignment")
+def op13(spark, sf_dir):
+    import public_tokenizers
+
+    return alignment.report(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
