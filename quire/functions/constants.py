@@ -78,3 +78,18 @@ SPARSE_FOREGROUND, LEAST_SPAN, CROP_PADDING = 0.37, 0.82, 12
 RENDER_SAMPLE, RENDER_LOW, RENDER_HIGH, RENDER_DEFAULT = 24, 1200, 4000, 3500
 FALLBACK_SPINE = 9999
 CACHE_VERSION = 7
+
+# Text recognition of front pages: least confidence of a line, titles and categories of disclaimers, titles and phrases of age warnings, in order.
+LEAST_CONFIDENCE = 0.55
+DISCLAIMER_TITLES = ("免责声明", "免責聲明", "免责申明", "免責申明")
+DISCLAIMER_CATEGORIES = {
+    "copyright": ("版权归", "版權歸", "作者所有", "出版社及作者"),
+    "noncommercial": ("非盈利", "非赢利", "非營利", "商业盈利", "商業盈利", "商业目的", "商業目的"),
+    "download": ("下载资源", "下載資源", "下载后24小时", "下載後24小時", "24小时内删除", "24小時內刪除"),
+    "liability": ("法律责任", "法律責任", "后果自负", "後果自負", "不承担", "不承擔"),
+    "learning": ("交流学习", "交流學習", "学习之用", "學習之用", "阅读学习", "閱讀學習"),
+    "piracy": ("盗版", "盜版", "购买正版", "購買正版", "请购买正版", "請購買正版"),
+    "infringement": ("权利造成了侵犯", "權利造成了侵犯", "侵权", "侵權", "撤销相关内容", "撤銷相關內容"),
+}
+WARNING_TITLES = ("警告", "WARNING")
+RESTRICTIONS = ("年龄未满18岁", "年齡未滿18歲", "未满18岁", "未滿18歲", "未满十八岁", "未滿十八歲", "UNDER THE AGE OF 18", "UNDER 18")

@@ -64,16 +64,6 @@ def category_hits(text: Column, categories: dict[str, tuple[str, ...]]) -> Colum
     return F.filter(table, lambda c: c.isNotNull())
 
 
-def disclaimer_score(titles: Column, categories: Column, warnings: Column) -> Column:
-    """4 for each title, 1 for each category, 6 for each warning (FI16)."""
-    return 4 * F.size(titles) + F.size(categories) + 6 * F.size(warnings)
-
-
-def is_disclaimer(title_high: Column, categories: Column, warnings: Column) -> Column:
-    """A title in the page's upper half with a category, or four categories, or a warning (FI16)."""
-    return (title_high & (F.size(categories) >= 1)) | (F.size(categories) >= 4) | (F.size(warnings) > 0)
-
-
 def _stem(path: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(path, r"([^/\\]*)$", 1)), r"(?<=.)\.[^.]*$", "")
 

@@ -1,10 +1,11 @@
-"""Session defaults shared by tests and the benchmark."""
+"""Session defaults shared by tests and the benchmark, and the folder that jobs share."""
 
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "quire", cpus: str | int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -21,3 +22,21 @@ def session(app: str = "quire", cpus: str | int = 8, partitions: int = 8, memory
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir); only a local session without it gets a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors of {spark.sparkContext.master} share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "quire-shared")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint()

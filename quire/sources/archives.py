@@ -7,9 +7,7 @@ out to tasks.  Entries are read in tasks; without data, only the archives' direc
 from __future__ import annotations
 
 import io
-import os
 import posixpath
-import uuid
 import zipfile
 
 import pyarrow as pa
@@ -18,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import natural_key
 from quire.operators.filters import entry_rank, is_image
+from quire.sources import archive_job
 
 COVER_IMAGES = (".jpg", ".jpeg", ".png", ".webp")
 ENTRIES = "archive string, idx int, name string, size long, data binary"
@@ -119,41 +118,18 @@ def repair_targets(archives: DataFrame) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str, backup: str | None = None) -> DataFrame:
     """Write each book's pages (book, page_no, name, data, xml) as `folder`/book.cbz, and return (book, pages, bytes, path).
 
-    Pages are stored as they are under %04d names, the metadata record is deflated (SK1, SK2).  A book is one
-    task; the file is checked and moved into place, so a task that is run again leaves the same file.
-    `folder` is one that the tasks share.  backup: None, "keep" (an old backup stays) or "error" (SK6, SK7).
+    Pages are stored as they are under %04d names, the first metadata record is deflated (SK1, SK2).  The files are written
+    now, by the sink of archive_job: all books or, where one can't be written, none.  A book's name is a file name; one with a
+    folder in it is an error.  backup: None, "keep" (an old backup stays) or "error" (SK6, SK7).
     """
-    schema = "book string, pages int, bytes long, path string"
-
-    def write(key, table):
-        book = key[0].as_py()
-        rows = sorted(table.to_pylist(), key=lambda r: r["page_no"])
-        target = os.path.join(folder, book if book.endswith(".cbz") else f"{book}.cbz")
-        os.makedirs(folder, exist_ok=True)
-        if backup and os.path.exists(target):
-            kept = f"{target}.bak"
-            if os.path.exists(kept):
-                if backup == "error":
-                    raise FileExistsError(kept)
-            else:
-                with open(target, "rb") as old, open(kept, "wb") as new:
-                    new.write(old.read())
-        part = f"{target}.{uuid.uuid4().hex}.part"
-        with zipfile.ZipFile(part, "w") as z:
-            for k, row in enumerate(rows, 1):
-                info = zipfile.ZipInfo(f"{k:04d}{os.path.splitext(row['name'])[1].lower()}")
-                z.writestr(info, row["data"], zipfile.ZIP_STORED)
-            xml = next((r["xml"] for r in rows if r["xml"]), None)
-            if xml:
-                z.writestr(zipfile.ZipInfo("ComicInfo.xml"), xml, zipfile.ZIP_DEFLATED)
-        with zipfile.ZipFile(part) as z:
-            if (bad := z.testzip()) is not None:
-                os.remove(part)
-                raise OSError(f"{book}: entry {bad} is damaged")
-        os.replace(part, target)
-        return pa.table({"book": [book], "pages": pa.array([len(rows)], pa.int32()), "bytes": [os.path.getsize(target)], "path": [target]})
-
-    return pages.select("book", "page_no", "name", "data", "xml").groupBy("book").applyInArrow(write, schema)
+    book = archive_job.safe_name(F.col("book"), nested=False)
+    named = pages.withColumn("target", F.when(book.endswith(".cbz"), book).otherwise(F.concat(book, F.lit(".cbz"))))
+    page = named.select("target", F.col("page_no").cast("int").alias("place"), F.lit("page").alias("op"), "name", "data", F.lit(True).alias("stored"))
+    record = named.where(F.col("xml") != "").groupBy("target").agg(F.min_by("xml", "page_no").cast("binary").alias("data"))
+    record = record.select("target", F.lit(archive_job.LAST).alias("place"), F.lit("put").alias("op"), F.lit(archive_job.RECORD).alias("name"), "data", F.lit(False).alias("stored"))
+    rows = page.unionByName(record).withColumns({"source": F.lit(None).cast("string"), "old_hash": F.lit(None).cast("string")})
+    done = archive_job.commit(rows, folder, backup, strict=True)
+    return done.select(F.regexp_replace("target", r"\.cbz$", "").alias("book"), "pages", "bytes", F.concat(F.lit(f"{folder.rstrip('/')}/"), "target").alias("path"))
 
 
 def replace_metadata(entries: DataFrame, records: DataFrame) -> DataFrame:
@@ -170,11 +146,6 @@ def planned_repairs(archives: DataFrame) -> DataFrame:
     return archives.withColumn("action", F.when(rebuild, "rebuild").when(F.col("metadata_changed"), "metadata_only").otherwise("nothing"))
 
 
-def fresh(content_hash: str, data: str):
-    """True where the content is still what it was when its hash was taken (SK10)."""
-    return F.sha2(F.col(data), 256) == F.col(content_hash)
-
-
 def unique_names(entries: DataFrame) -> DataFrame:
     """Archives whose entry names, but for case, aren't unique (SE5)."""
     return entries.groupBy("archive").agg(F.count("*").alias("n"), F.countDistinct(F.lower("name")).alias("names")).where("n <> names").select("archive")

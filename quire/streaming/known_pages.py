@@ -1,4 +1,4 @@
-"""Memory of known front pages across a stream of books (ST-1, ST-2, HP37).
+"""Memory of known front pages across a stream or a table of books (ST-1, ST-2, HP37).
 
 Books of a collection arrive in order, each with its first pages' fingerprints and what text recognition says of them.
 The fold keeps at most `FINGERPRINTS` fingerprints of confirmed pages for each collection, so the state is bounded;
@@ -11,6 +11,7 @@ from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.functions import udtf
 
 # How many fingerprints are remembered, how far a page may be from one, how many pages of a book are looked at.
 FINGERPRINTS = 32
@@ -53,6 +54,21 @@ def leading_pages(pages: list[dict], known: list[tuple]) -> int:
     return removed
 
 
+@udtf(returnType=REMOVED)
+class Fold:
+    """The fold over a table of books: PARTITION BY collection ORDER BY book. Books stream by, the memory is all it holds."""
+
+    def __init__(self):
+        self.known: list[tuple] = []
+
+    def eval(self, row):
+        pages = [p.asDict() for p in row["pages"] or []]
+        for p in pages:
+            p["dhash"], p["ahash"] = (None if p[k] is None else bytes(p[k]) for k in ("dhash", "ahash"))
+        removed = leading_pages(pages, self.known)
+        yield row["collection"], row["book"], removed, len(self.known)
+
+
 def without_known_pages(books: DataFrame) -> DataFrame:
     """(collection, book, removed, remembered) for a stream of books as in BOOK; books of a batch are taken by their number."""
 
