@@ -23,8 +23,13 @@ def cover_section(pictures: DataFrame, alike: float = ALIKE) -> DataFrame:
     # the first picture is compared with, whatever it shows
     marked = covers.join(first, "book").withColumn("__safe", F.coalesce("protected", F.lit(False)) & (F.col("place") != F.col("__first")))
     judged = greedy_leaders(marked.select("book", "place", "path", "histogram", "colour", "__safe"), "book", "place", "histogram", alike, "__safe")
-    kept = judged.where("kept").select("book", "path", F.lit(0).alias("section"), "place")
-    colour = judged.groupBy("book").agg(F.bool_or(F.col("kept") & F.col("colour")).alias("has"), F.min(F.when(F.col("colour"), F.struct("place", "path"))).alias("one"), F.max("place").alias("last"))
-    spare = colour.where(~F.coalesce("has", F.lit(False)) & F.col("one").isNotNull()).select("book", "one.path", F.lit(0).alias("section"), (F.col("last") + 1).alias("place"))
+    # a book's covers, which are those of four places, in one row: those that stay, and the spare one
+    one = F.struct("place", "path", F.coalesce("kept", F.lit(False)).alias("kept"), F.coalesce("colour", F.lit(False)).alias("colour"))
+    books = judged.groupBy("book").agg(F.array_sort(F.collect_list(one)).alias("all"))
+    stay = F.transform(F.filter("all", lambda x: x["kept"]), lambda x: F.struct(x["place"].cast("int").alias("place"), x["path"].alias("path")))
+    colours = F.filter("all", lambda x: x["colour"])
+    spare = F.struct((F.element_at("all", -1)["place"] + 1).cast("int").alias("place"), F.get(colours, F.lit(0))["path"].alias("path"))
+    shown = F.when(~F.exists("all", lambda x: x["kept"] & x["colour"]) & (F.size(colours) > 0), F.concat(stay, F.array(spare))).otherwise(stay)
+    covers_left = books.select("book", F.explode(shown).alias("c")).select("book", "c.path", F.lit(0).alias("section"), "c.place")
     rest = pictures.where(F.col("spine") >= COVER_PLACES).select("book", "path", F.lit(1).alias("section"), "place")
-    return kept.unionByName(spare).unionByName(rest)
+    return covers_left.unionByName(rest)

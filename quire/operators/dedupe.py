@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,29 +30,47 @@ def ranked_union(parts: list[DataFrame], key, order: str, most: int) -> DataFram
 def greedy_leaders(df: DataFrame, group: str, order: str, vector: str, least: float, protected: str | None = None) -> DataFrame:
     """Adds `kept`: in order, a row goes if its vector's correlation with a kept one is `least` or more (WI4).
 
-    Protected rows are kept and not compared.  The result depends on the order, so a group is one task; groups
-    are the first pages of one book and stay small.
-    """
-    import numpy as np
-
-    names = [c for c in df.columns]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        leaders: list = []
-        keep = []
-        for value, safe in zip(pdf[vector], pdf[protected] if protected else [False] * len(pdf), strict=True):
-            x = np.asarray(value, float)
-            x = x - x.mean()
-            x = x / (np.linalg.norm(x) or 1.0)
-            near = not safe and any(float(x @ y) >= least for y in leaders)
-            keep.append(not near)
-            if not near and not safe:
-                leaders.append(x)
-        return pdf.assign(kept=keep)[[*names, "kept"]]
+    Protected rows are kept and not compared.  Rows are ordered by `order`, equal ones by all their columns.
 
+    A copy of an earlier row of its group always goes, so of equal vectors only the first reaches the fold: what is left of a hot
+    group are its different vectors.  The fold streams them by in order and holds the kept ones alone.  As the result
+    depends on the order, a group is one task's fold, which takes time by its rows times its leaders.
+    A vector that is null, empty or of one value correlates with nothing and is kept.
+    """
+    rows = df.withColumn("__safe", F.coalesce(F.col(protected), F.lit(False)) if protected else F.lit(False))
+    value = F.col(f"`{vector}`")
+    flat = F.coalesce(F.array_min(value) == F.array_max(value), F.lit(True))
+    rows = rows.withColumn("__key", F.when(~F.col("__safe") & ~flat, F.sha2(F.concat_ws(",", value.cast("array<string>")), 256)))
+    place = F.struct(*[F.col(f"`{c}`") for c in (order, *[x for x in df.columns if x != order])])
+    rows = rows.withColumn("__place", F.to_json(place))
+    first = rows.where(F.col("__key").isNotNull()).groupBy(group, "__key").agg(F.min(F.struct(F.col(f"`{order}`").alias("o"), "__place")).alias("__first"))
+    rows = rows.join(first, [group, "__key"], "left")
+    rows = rows.withColumn("__copy", F.col("__key").isNotNull() & ((F.col(f"`{order}`") != F.col("__first.o")) | (F.col("__place") != F.col("__first.__place"))))
+    names = df.columns
     schema = T.StructType([*df.schema.fields, T.StructField("kept", T.BooleanType())])
-    return df.groupBy(group).applyInPandas(run, schema)
+    folded = rows.where(~F.col("__copy")).select(*[F.col(f"`{c}`") for c in names], "__safe", "__place")
+
+    class Leaders:
+        def __init__(self):
+            self.leaders: dict[int, tuple[np.ndarray, int]] = {}  # by length: a matrix with room to grow, and how many rows of it count
+
+        def eval(self, row):
+            x = np.asarray([] if row[vector] is None else row[vector], float)
+            near = False
+            if not row["__safe"] and len(x):
+                x = x - x.mean()
+                x = x / (np.linalg.norm(x) or 1.0)
+                known, n = self.leaders.get(len(x), (np.zeros((64, len(x))), 0))
+                near = bool((known[:n] @ x >= least).any())
+                if not near and x.any():
+                    known = np.concatenate([known, np.zeros_like(known)]) if n == len(known) else known
+                    known[n] = x
+                    self.leaders[len(x)] = known, n + 1
+            yield *(row[c] for c in names), not near
+
+    fold = F.udtf(Leaders, returnType=schema)
+    kept = fold(folded.asTable().partitionBy(group).orderBy(order, "__place"))
+    return kept.unionByName(rows.where("__copy").select(*[F.col(f"`{c}`") for c in names], F.lit(False).alias("kept")))
 
 
 def hamming(a: list[Column], b: list[Column]) -> Column:
@@ -61,11 +81,12 @@ def hamming(a: list[Column], b: list[Column]) -> Column:
     return total
 
 
-def nearest_fingerprint(pages: DataFrame, known: DataFrame, aspect: str, words: list[str], within: int, most_aspect: int, id_: str) -> DataFrame:
-    """For each page, the known fingerprint of least Hamming distance within limits, its own aside, ties by id (JN5).
+def nearest_within(pages: DataFrame, known: DataFrame, aspect: str, words: list[str], within: int, most_aspect: int, id_: str) -> DataFrame:
+    """For each page, the known bit string of least Hamming distance within limits, its own aside, ties by id.
 
-    Aspects are joined by bucket: a known fingerprint is written to the three buckets it can reach, so the
-    join is an equality that Spark may shuffle; nothing is broadcast by force.
+    For few bits and wide limits, where no part of the bits need agree: a stated set of pages meets all known rows of its aspects.
+    Aspects are joined by bucket: a known row is written to the three buckets it can reach.  For page fingerprints use
+    nearest_fingerprint().
     """
     width = most_aspect + 1
     left = pages.withColumn("__b", F.floor(F.col(aspect) / width))
@@ -75,3 +96,59 @@ def nearest_fingerprint(pages: DataFrame, known: DataFrame, aspect: str, words:
     near = near.withColumn("__d", hamming([F.col(w) for w in words], [F.col(f"__{w}") for w in words])).where(F.col("__d") <= within)
     best = near.groupBy(id_).agg(F.min(F.struct("__d", "__id")).alias("m"))
     return best.select(id_, F.col("m.__id").alias("match_id"), F.col("m.__d").alias("distance"))
+
+
+PRINT = ["aspect", "difference", "average"]
+
+
+def _masks(bands: int) -> list[list[Column]]:
+    """For each band the four longs of its bits: band k has the bits k, k + bands, ..., so margins of a page don't fill a band of their own."""
+    out = []
+    for k in range(bands):
+        masks = [sum(1 << (63 - i % 64) for i in range(256) if i // 64 == w and i % bands == k) for w in range(4)]
+        out.append([F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks])
+    return out
+
+
+def band_pairs(pages: DataFrame, known: DataFrame, bands: int, most_aspect: int) -> DataFrame:
+    """Pairs p, q of fingerprints that agree in a band of the difference hash and are near by aspect, once for each such band."""
+    width = most_aspect + 1
+    keys = F.array(*[F.xxhash64(F.lit(k), *[F.col("difference")[w].bitwiseAND(m) for w, m in enumerate(masks)]) for k, masks in enumerate(_masks(bands))])
+    bucket = F.floor(F.col("aspect") / width)
+    left = pages.select(F.struct(*PRINT).alias("p"), bucket.alias("__b"), F.posexplode(keys).alias("band", "__k"))
+    right = known.select(F.struct(*PRINT).alias("q"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("__b"), keys.alias("__ks")).select("q", "__b", F.explode("__ks").alias("__k"))
+    return left.join(right, ["__b", "__k"]).where(F.abs(F.col("p.aspect") - F.col("q.aspect")) <= most_aspect).select("p", "q", "band")
+
+
+def near_prints(pages: DataFrame, known: DataFrame, most_aspect: int = 8, difference_bits: int = 16, average_bits: int = 20) -> DataFrame:
+    """Pairs of fingerprints within all three limits, each once: columns p and q (structs aspect, difference, average), d and a.
+
+    Of difference_bits + 1 bands of the difference hash one agrees in full if no more than difference_bits bits differ, so
+    pairs are found by equality of a band and of the aspect's bucket.  Both tables have each fingerprint once.
+    """
+    words = lambda c: [F.col(c)[i] for i in range(4)]
+    rows = band_pairs(pages, known, difference_bits + 1, most_aspect)
+    rows = rows.withColumns({"d": hamming(words("p.difference"), words("q.difference")), "a": hamming(words("p.average"), words("q.average"))})
+    rows = rows.where((F.col("d") <= difference_bits) & (F.col("a") <= average_bits))
+    same = lambda masks: reduce(lambda x, y: x & y, [x.bitwiseXOR(y).bitwiseAND(m) == 0 for x, y, m in zip(words("p.difference"), words("q.difference"), masks, strict=True)])
+    first = reduce(lambda rest, km: F.when(same(km[1]), km[0]).otherwise(rest), reversed([*enumerate(_masks(difference_bits + 1))]), F.lit(-1))
+    return rows.where(F.col("band") == first).select("p", "q", "d", "a")
+
+
+def nearest_fingerprint(pages: DataFrame, known: DataFrame, id_: str, most_aspect: int = 8, difference_bits: int = 16, average_bits: int = 20) -> DataFrame:
+    """(id, match_id, difference_bits, average_bits): for each page the nearest known fingerprint by both distances, then by id (JN5).
+
+    pages and known: id, aspect (in thousandths), difference and average (four longs each).  A page doesn't match the row of its own id.
+    Copies are one fingerprint with its two least ids, so their number makes no pairs.  Rows without a
+    fingerprint have no match and are none.
+    """
+    usable = lambda df: df.where(F.col("aspect").isNotNull() & (F.size("difference") == 4) & (F.size("average") == 4) & F.col(id_).isNotNull()).select(id_, *PRINT)
+    pages, known = usable(pages), usable(known)
+    first = known.groupBy(*PRINT).agg(F.min(id_).alias("__first"))
+    second = known.join(first, PRINT).where(F.col(id_) != F.col("__first")).groupBy(*PRINT).agg(F.min(id_).alias("__second"))
+    near = near_prints(pages.select(*PRINT).distinct(), first.select(*PRINT), most_aspect, difference_bits, average_bits)
+    named = near.join(first.join(second, PRINT, "left").select(F.struct(*PRINT).alias("q"), "__first", "__second"), "q")
+    rows = pages.select(F.col(id_), F.struct(*PRINT).alias("p")).join(named, "p")
+    match = F.when(F.col("__first") != F.col(id_), F.col("__first")).otherwise(F.col("__second"))
+    best = rows.withColumn("match_id", match).where(F.col("match_id").isNotNull()).groupBy(id_).agg(F.min(F.struct("d", "a", "match_id")).alias("m"))
+    return best.select(id_, "m.match_id", F.col("m.d").cast("int").alias("difference_bits"), F.col("m.a").cast("int").alias("average_bits"))

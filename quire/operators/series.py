@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import heapq
+import bisect
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,49 +85,92 @@ def net_turns(df: DataFrame, keys: list[str], delta: str) -> DataFrame:
 
 
 class _Middle:
-    """The median of the values so far, from two heaps."""
+    """The median of the values so far, from how often each different one was there."""
 
     def __init__(self):
-        self.low: list[float] = []
-        self.high: list[float] = []
+        self.values: list[float] = []
+        self.counts: dict[float, int] = {}
+        self.n = 0
+        self.at = 0  # place in `values` of the lower median, and how many values lie before that place
+        self.before = 0
 
     def add(self, x: float) -> None:
-        heapq.heappush(self.high, -heapq.heappushpop(self.low, -x))
-        if len(self.high) > len(self.low):
-            heapq.heappush(self.low, -heapq.heappop(self.high))
+        if x not in self.counts:
+            k = bisect.bisect_left(self.values, x)
+            self.values.insert(k, x)
+            if self.n and k <= self.at:
+                self.at += 1
+        self.counts[x] = self.counts.get(x, 0) + 1
+        if self.n and x < self.values[self.at]:
+            self.before += 1
+        self.n += 1
+        lower = (self.n - 1) // 2
+        while self.before > lower:
+            self.at -= 1
+            self.before -= self.counts[self.values[self.at]]
+        while self.before + self.counts[self.values[self.at]] <= lower:
+            self.before += self.counts[self.values[self.at]]
+            self.at += 1
 
     def whole(self) -> int:
         """The median as an integer, halves to even."""
-        return round(-self.low[0] if len(self.low) > len(self.high) else (self.high[0] - self.low[0]) / 2)
+        low = self.values[self.at]
+        shared = self.n % 2 or self.before + self.counts[low] > self.n // 2
+        return round(low if shared else (low + self.values[self.at + 1]) / 2)
+
+
+class SizeClusters:
+    """Greedy clusters of page sizes around running medians, for pages that come in order."""
+
+    def __init__(self, least_pages: int):
+        self.least_pages = least_pages
+        self.n = 0
+        self.clusters: list[list] = []  # number of pages, and the medians of width and height
+
+    def add(self, w: float, h: float) -> None:
+        self.n += 1
+        for c in self.clusters:
+            mw, mh = c[1].whole(), c[2].whole()
+            if abs(w - mw) <= max(10, int(0.035 * mw)) and abs(h - mh) <= max(10, int(0.035 * mh)):
+                break
+        else:
+            c = [0, _Middle(), _Middle()]
+            self.clusters.append(c)
+        c[0] += 1
+        c[1].add(w)
+        c[2].add(h)
+
+    def common(self) -> tuple[float | None, float | None]:
+        """Width and height of the largest cluster, the first of equals, if it is large enough."""
+        best = max(self.clusters, key=lambda c: c[0], default=[0])
+        if self.n < self.least_pages or best[0] < max(6, int(0.2 * self.n)):
+            return None, None
+        return float(best[1].whole()), float(best[2].whole())
 
 
 def greedy_sizes(df: DataFrame, group: str, order: str, width: str, height: str, least_pages: int = 6) -> DataFrame:
     """The dominant page size of each group by greedy clusters around running medians, or null (AG2).
 
-    Order matters, so the pages of a book, of which there are some hundreds, are one task; each page is compared with the
-    medians of the clusters so far, which are kept up as pages join.
+    Order matters, so a group's pages stream through one task's fold, equal places by their sizes; it holds how often each
+    size occurs in a cluster, and no pages.  Pages without a size don't count; a group without others has nulls.
     """
+    kind = dict(df.dtypes)[group]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        large = pdf[(pdf[width] >= 300) & (pdf[height] >= 300)].sort_values(order, kind="stable")
-        clusters: list[list] = []  # number of pages, and the medians of width and height
-        for w, h in zip(large[width], large[height], strict=True):
-            for c in clusters:
-                mw, mh = c[1].whole(), c[2].whole()
-                if abs(w - mw) <= max(10, int(0.035 * mw)) and abs(h - mh) <= max(10, int(0.035 * mh)):
-                    break
-            else:
-                c = [0, _Middle(), _Middle()]
-                clusters.append(c)
-            c[0] += 1
-            c[1].add(w)
-            c[2].add(h)
-        best = max(clusters, key=lambda c: c[0], default=[0])
-        common = (best[1].whole(), best[2].whole()) if len(large) >= least_pages and best[0] >= max(6, int(0.2 * len(large))) else (None, None)
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "common_width": [common[0]], "common_height": [common[1]]})
+    class Sizes:
+        def __init__(self):
+            self.group, self.found = None, SizeClusters(least_pages)
 
-    kind = dict(df.dtypes)[group]
-    return df.groupBy(group).applyInPandas(run, f"{group} {kind}, common_width double, common_height double")
+        def eval(self, row):
+            self.group = row["g"]
+            if row["w"] is not None and row["h"] is not None and row["w"] >= 300 and row["h"] >= 300:
+                self.found.add(row["w"], row["h"])
+
+        def terminate(self):
+            yield self.group, *self.found.common()
+
+    fold = F.udtf(Sizes, returnType=f"{group} {kind}, common_width double, common_height double")
+    rows = df.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(width).cast("double").alias("w"), F.col(height).cast("double").alias("h"))
+    return fold(rows.asTable().partitionBy("g").orderBy("o", "w", "h"))
 
 
 def band_pairs(df: DataFrame, group: str, id_: str, x: str, y: str, most_x: float, most_y: float) -> DataFrame:

@@ -218,22 +218,39 @@ p AS (SELECT a.vec_id, b.vec_id AS match_id, CAST(bit_count(xor(a.w, b.w)) AS IN
 SELECT vec_id, match_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, match_id) AS r FROM p) WHERE r = 1""",
 )
 def hamming_near_match(spark, d):
-    """The nearest other fingerprint within limits of aspect and distance (JN5), for the rows whose id is divisible by 20 against all rows."""
+    """The nearest other bit string within limits of label and distance, for the rows whose id is divisible by 20 against all rows."""
     def word(k: int):
         return F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.lit(0).cast("long"), lambda a, i: a + F.when(F.get("embedding", i + 16 * k) > 0, F.pow(F.lit(2), i).cast("long")).otherwise(0))
 
     rows = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("int").alias("label"), *[word(k).alias(f"w{k}") for k in range(_WORDS)])
-    return dedupe.nearest_fingerprint(rows.where("vec_id % 20 = 0"), rows, "label", [f"w{k}" for k in range(_WORDS)], 26, 1, "vec_id")
+    return dedupe.nearest_within(rows.where("vec_id % 20 = 0"), rows, "label", [f"w{k}" for k in range(_WORDS)], 26, 1, "vec_id")
 
 
-@query("greedy_leader_dedupe")
+@query(
+    "greedy_leader_dedupe",
+    """WITH RECURSIVE v AS (SELECT vec_id, CAST(label AS INTEGER) AS label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x - list_avg(CAST(embedding AS DOUBLE[]))) AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS place FROM embeddings),
+z AS (SELECT CAST(-1 AS BIGINT) AS vec_id, label, CAST(0 AS BIGINT) AS place, CAST([] AS DOUBLE[][]) AS leaders, FALSE AS kept FROM v GROUP BY label
+UNION ALL SELECT vec_id, label, place, CASE WHEN near THEN leaders ELSE list_append(leaders, e) END, NOT near FROM
+ (SELECT v.vec_id, v.label, v.place, v.e, z.leaders, len(list_filter(z.leaders, lambda x: list_cosine_similarity(x, v.e) >= 0.5)) > 0 AS near FROM z JOIN v ON v.label = z.label AND v.place = z.place + 1))
+SELECT vec_id, label, kept FROM z WHERE place > 0""",
+)
 def greedy_leader_dedupe(spark, d):
     """Greedy near-duplicate leaders in order, group by group (WI4)."""
     rows = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("int").alias("label"), "embedding")
     return dedupe.greedy_leaders(rows, "label", "vec_id", "embedding", 0.5).select("vec_id", "label", "kept")
 
 
-@query("greedy_size_groups")
+@query(
+    "greedy_size_groups",
+    """WITH RECURSIVE s AS (SELECT p_brand, CAST(p_size * 10 + 300 AS DOUBLE) AS w, p_retailprice AS h, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS place FROM part WHERE p_size * 10 + 300 >= 300 AND p_retailprice >= 300),
+z AS (SELECT p_brand, CAST(0 AS BIGINT) AS place, CAST([] AS STRUCT(w DOUBLE[], h DOUBLE[], mw DOUBLE, mh DOUBLE)[]) AS c FROM part GROUP BY p_brand
+UNION ALL SELECT p_brand, place, CASE WHEN pos IS NULL THEN list_append(c, {'w': [w], 'h': [h], 'mw': round_even(w, 0), 'mh': round_even(h, 0)})
+  ELSE list_transform(c, lambda x, i: CASE WHEN i = pos THEN {'w': list_append(x.w, w), 'h': list_append(x.h, h), 'mw': round_even(list_median(list_append(x.w, w)), 0), 'mh': round_even(list_median(list_append(x.h, h)), 0)} ELSE x END) END
+ FROM (SELECT s.*, z.c, list_filter(list_transform(z.c, lambda x, i: CASE WHEN abs(s.w - x.mw) <= greatest(10, floor(0.035 * x.mw)) AND abs(s.h - x.mh) <= greatest(10, floor(0.035 * x.mh)) THEN i END), lambda i: i IS NOT NULL)[1] AS pos FROM z JOIN s ON s.p_brand = z.p_brand AND s.place = z.place + 1)),
+l AS (SELECT p_brand, max(place) AS n, arg_max(c, place) AS c FROM z GROUP BY p_brand),
+b AS (SELECT p_brand, n, list_filter(c, lambda x: len(x.w) = list_max(list_transform(c, lambda y: len(y.w))))[1] AS best FROM l)
+SELECT p_brand, CASE WHEN n >= 6 AND len(best.w) >= greatest(6, floor(0.2 * n)) THEN best.mw END AS common_width, CASE WHEN n >= 6 AND len(best.w) >= greatest(6, floor(0.2 * n)) THEN best.mh END AS common_height FROM b""",
+)
 def greedy_size_groups(spark, d):
     """Dominant size of each brand's parts by running-median clusters (AG2)."""
     rows = table(spark, d, "part").select("p_brand", "p_partkey", (F.col("p_size") * 10 + 300).alias("w"), F.col("p_retailprice").alias("h"))

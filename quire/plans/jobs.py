@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from quire.operators import front_matter
+from quire.operators import dedupe, front_matter, series_lookup
 from quire.plans.catalogue import query, table
 from quire.session import checkpoint, shared_folder
 from quire.sources import archive_job, archives
@@ -131,3 +131,79 @@ def front_page_memory(spark, d):
     average = F.array(*[((family + i) * F.lit(987654321)).bitwiseXOR(k % 4) for i in range(1, 5)])
     prints = page.select("collection", "book", "page", (700 + (k * 7) % 20).cast("int").alias("aspect"), F.when(printed, difference).alias("difference"), F.when(printed, average).alias("average"))
     return front_matter.without_known_pages(front_matter.first_pages(prints, checkpoint(decisions)))
+
+
+@query(
+    "fingerprint_near_match",
+    """WITH b AS (SELECT vec_id, 700 + CAST(label AS BIGINT) * 3 AS aspect, list_transform([0.15, 0.2, 0.25, 0.3], lambda c: CAST(list_sum(list_transform(range(40), lambda i: CASE WHEN embedding[i + 1] > c THEN CAST(1 AS BIGINT) << CAST(i AS INTEGER) ELSE 0 END)) AS BIGINT)) AS dh,
+  list_transform([0.2, 0.24, 0.28, 0.32], lambda c: CAST(list_sum(list_transform(range(40), lambda i: CASE WHEN embedding[i + 11] > c THEN CAST(1 AS BIGINT) << CAST(i AS INTEGER) ELSE 0 END)) AS BIGINT)) AS ah FROM embeddings),
+p AS (SELECT a.vec_id, b.vec_id AS match_id, CAST(list_sum(list_transform([1, 2, 3, 4], lambda k: bit_count(xor(a.dh[k], b.dh[k])))) AS INTEGER) AS d, CAST(list_sum(list_transform([1, 2, 3, 4], lambda k: bit_count(xor(a.ah[k], b.ah[k])))) AS INTEGER) AS a
+  FROM b a JOIN b b ON a.vec_id <> b.vec_id AND abs(a.aspect - b.aspect) <= 8)
+SELECT vec_id, match_id, d AS difference_bits, a AS average_bits FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, a, match_id) AS r FROM p WHERE d <= 16 AND a <= 20) WHERE r = 1""",
+)
+def fingerprint_near_match(spark, d):
+    """The nearest other page fingerprint within limits of aspect and both hashes (JN5), for all rows against all; bits are thresholds of vectors."""
+
+    def words(cuts, first: int):
+        bit = lambda c: lambda a, i: a + F.when(F.get("embedding", i + first) > c, F.pow(F.lit(2), i).cast("long")).otherwise(0)
+        return F.array(*[F.aggregate(F.sequence(F.lit(0), F.lit(39)), F.lit(0).cast("long"), bit(c)) for c in cuts])
+
+    rows = table(spark, d, "embeddings").select("vec_id", (700 + F.col("label").cast("int") * 3).alias("aspect"), words((0.15, 0.2, 0.25, 0.3), 0).alias("difference"), words((0.2, 0.24, 0.28, 0.32), 10).alias("average"))
+    return dedupe.nearest_fingerprint(rows, rows, "vec_id")
+
+
+_HOPS = """h AS (SELECT concat('T', p_partkey) AS title, CASE WHEN p_partkey % 128 = 64 THEN concat('T', p_partkey + 3) WHEN p_partkey % 160 = 80 THEN concat('none', p_partkey) ELSE concat('T', p_partkey - 1) END AS t
+  FROM part WHERE p_partkey % 16 <> 0 OR p_partkey % 128 = 64 OR p_partkey % 160 = 80),
+w AS (SELECT title, t, 1 AS n FROM h UNION ALL SELECT w.title, h.t, n + 1 FROM w JOIN h ON h.title = w.t WHERE n < 40),
+e AS (SELECT title, CASE WHEN max(n) < 40 THEN arg_max(t, n) END AS t FROM w GROUP BY title)"""
+
+
+def _hops(spark, d):
+    k = F.col("p_partkey")
+    to = F.when(k % 128 == 64, F.concat(F.lit("T"), k + 3)).when(k % 160 == 80, F.concat(F.lit("none"), k)).otherwise(F.concat(F.lit("T"), k - 1))
+    return table(spark, d, "part").where((k % 16 != 0) | (k % 128 == 64) | (k % 160 == 80)).select(F.concat(F.lit("T"), k).alias("title"), to.alias("to"))
+
+
+@query("redirect_chains", f"WITH RECURSIVE {_HOPS} SELECT title, t AS to_title FROM e")
+def redirect_chains(spark, d):
+    """Where titles lead over redirects: chains of fifteen hops, dangling ends and circles, by pointer jumping (SC17)."""
+    return series_lookup.resolved(_hops(spark, d)).select("title", F.col("to").alias("to_title"))
+
+
+@query(
+    "series_lookup",
+    f"""WITH RECURSIVE {_HOPS},
+g AS (SELECT concat('T', p_partkey) AS title, p_partkey AS pageid, p_partkey % 3 AS works, CASE WHEN p_partkey % 3 > 0 AND p_partkey % 5 > 0 THEN concat(p_name, ' ', p_partkey // 7) END AS work, p_type AS extract FROM part WHERE p_partkey % 16 = 0),
+s AS (SELECT DISTINCT o_custkey AS c, concat('T', (o_custkey * 7) % 2000) AS title, concat('q', o_custkey) AS query FROM orders),
+q AS (SELECT DISTINCT query, CASE WHEN c % 4 = 0 THEN title WHEN c % 4 = 1 THEN concat(p_name, ' ', p_partkey // 7) ELSE p_name END AS asked FROM s JOIN part ON p_partkey = (c * 11) % 2000),
+u AS (SELECT asked FROM q GROUP BY asked),
+k AS (SELECT asked, 0 AS phase, 0 AS rank, asked AS title FROM u
+  UNION ALL SELECT asked, 1, CAST(l AS INTEGER), concat('T', (abs(length(asked) * 37 + l * 113 + ascii(asked) * 5)) % 1000) FROM u, range(1, 5) AS r(l)
+  UNION ALL SELECT asked, 2, 0, string_split(asked, ' ')[1] FROM u WHERE contains(asked, ' ') AND string_split(asked, ' ')[1] <> ''),
+x AS (SELECT k.*, CASE WHEN e.title IS NULL THEN k.title ELSE e.t END AS goal FROM k LEFT JOIN e ON e.title = k.title),
+y AS (SELECT x.asked, phase, rank, g.title AS page, g.pageid, g.works, g.work, g.extract FROM x JOIN g ON lower(g.title) = lower(x.goal)),
+z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY asked, page ORDER BY phase, rank) = 1),
+f AS (SELECT *, lower(regexp_replace(asked, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) AS qk, lower(regexp_replace(coalesce(work, ''), '[^\\p{{L}}\\p{{N}}]+', '', 'g')) AS wk, lower(page) AS pk FROM z),
+m AS (SELECT *, CASE WHEN works > 0 THEN CASE WHEN wk <> '' AND wk = qk THEN 3 WHEN works = 1 AND wk <> '' AND length(regexp_replace(wk, '^the', '')) >= 4 AND contains(qk, regexp_replace(wk, '^the', '')) THEN 2 ELSE 0 END
+  WHEN pk = qk OR (length(pk) >= 4 AND contains(qk, pk)) THEN 1 ELSE 0 END AS strength FROM f),
+b AS (SELECT * FROM m WHERE strength > 0 AND (phase < 2 OR strength = 3) QUALIFY row_number() OVER (PARTITION BY asked ORDER BY strength DESC, phase, rank) = 1)
+SELECT asked AS query, page AS page_title, pageid, CASE WHEN works > 0 THEN work ELSE page END AS title, works = 0 AS partial, extract AS summary FROM b""",
+)
+def series_by_lookup(spark, d):
+    """The page of each series over redirects, hits and parent titles, with the page's own words where it has no work box (SC17, SR18, HP26, SO6)."""
+    k = F.col("p_partkey")
+    name = F.concat_ws(" ", "p_name", F.floor(k / 7).cast("string"))
+    part = table(spark, d, "part")
+    work = F.struct(F.when((k % 3 > 0) & (k % 5 > 0), name).alias("title"))
+    none = F.lit(None).cast("string")
+    found = part.where(k % 16 == 0).select(
+        F.concat(F.lit("T"), k).alias("title"), k.alias("pageid"), none.alias("page_url"), none.alias("wikibase_item"), F.col("p_type").alias("extract"), none.alias("description"), none.alias("defaultsort"), F.array().cast("array<string>").alias("categories"),
+        none.alias("converted_title"), (k % 3).alias("works"), work.alias("work"),
+    )
+    c = F.col("o_custkey")
+    asked = table(spark, d, "orders").select("o_custkey", ((c * 11) % 2000).alias("p_partkey")).distinct().join(part, "p_partkey")
+    queries = asked.select(F.when(c % 4 == 0, F.concat(F.lit("T"), (c * 7) % 2000)).when(c % 4 == 1, name).otherwise(F.col("p_name")).alias("query")).distinct()
+    title = F.concat(F.lit("T"), F.abs(F.length("query") * 37 + F.col("rank") * 113 + F.ascii("query") * 5) % 1000)
+    hits = queries.withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(4)))).withColumn("title", title)
+    rows = series_lookup.by_choice(queries, hits, found, series_lookup.resolved(_hops(spark, d)))
+    return rows.select("query", "page_title", "pageid", "title", "partial", "summary")

@@ -69,7 +69,7 @@ def pages(answers: DataFrame, requested: str, answer: str = "answer") -> DataFra
 
 
 def page_data(found: DataFrame, summary: DataFrame, requested: str) -> DataFrame:
-    """Pages with a text, with what their summaries add: the summary's extract and the page's address and item go first (SC17, SC19)."""
+    """Pages with a text, with what their summaries add: the summary's extract and the page's address and item go first (SC17)."""
     s = summary.select("title", F.col("extract").alias("__extract"), "description", F.col("page_url").alias("__url"), "thumbnail_url", F.col("wikibase_item").alias("__item"))
     rows = found.where(_text_or_null(F.col("wikitext")).isNotNull()).join(first_wins(s, "title", ["__url"]), "title", "left")
     filled = {"extract": ("__extract", "extract"), "page_url": ("page_url", "__url"), "wikibase_item": ("wikibase_item", "__item")}
@@ -87,6 +87,28 @@ def probes(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("folder", "wikitext", first("title", "title").alias("page_title"), F.when(F.col("p.pageid") != 0, F.col("p.pageid")).alias("pageid"), first("page_url", "page_url").alias("page_url"), first("wikibase_item", "wikibase_item").alias("wikibase_item"), first("extract", "extract").alias("summary"))
 
 
+_LISTS = ("author", "penciller", "publishers", "taiwan_publishers", "hongkong_publishers", "japan_publishers", "magazine", "genre", "tags")
+_TEXTS = ("title", "original_title", "english_title", "label", "start", "end")
+_WORK = ", ".join([*[f"`{c}` string" for c in _TEXTS], "volume_count bigint", "chapter_count bigint", *[f"{c} array<string>" for c in _LISTS], "raw_fields map<string,string>"])
+_CACHED = "schema_version int, series_name string, metadata struct<page_title:string,pageid:bigint,page_url:string,wikibase_item:string,summary:string,series_sort:string,categories:array<string>,main_manga:string>"
+
+
+def cached_series(records: DataFrame, name: str, version: int, value: str = "value") -> DataFrame:
+    """(name, metadata): what cache_records() wrote, read back with defaults for what is missing (SR15).
+
+    Records of another version, of another series than `name` says, without a work, or that aren't JSON give no row.  Missing lists are
+    empty, a missing title of the page is empty and its id 0.
+    """
+    record = records.select(name, F.from_json(value, _CACHED).alias("r")).where((F.col("r.schema_version") == version) & (F.col("r.series_name") == F.col(name)))
+    m, w = F.col("r.metadata"), F.col("w")
+    rows = record.withColumn("w", F.when(m["main_manga"].startswith("{"), F.from_json(m["main_manga"], _WORK))).where(w.isNotNull())
+    empty = F.array().cast("array<string>")
+    work = F.struct(*[w[c].alias(c) for c in (*_TEXTS, "volume_count", "chapter_count")], *[F.coalesce(w[c], empty).alias(c) for c in _LISTS], F.coalesce(w["raw_fields"], F.create_map().cast("map<string,string>")).alias("raw_fields"))
+    filled = {"page_title": F.coalesce(m["page_title"], F.lit("")), "pageid": F.coalesce(m["pageid"], F.lit(0)), "categories": F.coalesce(m["categories"], empty)}
+    plain = {c: m[c] for c in ("page_url", "wikibase_item", "summary", "series_sort")}
+    return rows.select(name, F.struct(*[c.alias(k) for k, c in (filled | plain).items()], work.alias("main_manga")).alias("metadata"))
+
+
 def cache_records(series: DataFrame, name: str, version: int) -> DataFrame:
     """(name, value): a series' other columns as the JSON record of its cache, to be written as text (SK9)."""
     metadata = F.struct(*[c for c in series.columns if c != name]).alias("metadata")
