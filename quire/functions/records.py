@@ -133,6 +133,48 @@ def from_xml(df: DataFrame, xml: str = "xml") -> DataFrame:
     return normalise(rows.select(*[F.col(f"`{c}`") for c in others], *fields))
 
 
+def _body(xml: Column) -> Column:
+    """The record without its declaration; what isn't a well-formed record is an empty one."""
+    body = F.regexp_replace(xml.cast("string"), r"^\s*<\?xml[^>]*\?>\s*", "")
+    # a reader of a schema forgives what a reader of variants fails on
+    broken = F.from_xml(body, "__broken string", {"columnNameOfCorruptRecord": "__broken"})["__broken"].isNotNull()
+    return F.when(body.rlike(r"^<ComicInfo[\s/>]") & ~broken, body).otherwise("<ComicInfo></ComicInfo>")
+
+
+def held_tags(xml: Column) -> Column:
+    """The names of all tags that a record holds, known or not: it is read as a VARIANT, which needs no schema."""
+    tags = F.map_keys(F.from_json(F.to_json(F.from_xml(_body(xml), "variant")), "map<string,string>"))
+    return F.filter(F.coalesce(tags, F.array().cast("array<string>")), lambda t: ~t.startswith("_"))
+
+
+def unknown_tags(df: DataFrame, xml: str = "xml") -> DataFrame:
+    """df with `extra`: the tags of each record that the field table doesn't know, with what each of their elements holds, as it was written (SE4)."""
+    known = F.array(*[F.lit(t) for _, t, _ in FIELDS], *[F.lit(a) for a in ALIASES])
+    rows = df.withColumn("__body", _body(F.col(xml)))
+    inner = lambda t: F.regexp_extract_all("__body", F.concat(F.lit("(?s)<"), t, F.lit(r"(?:\s[^>]*?)?(?:/>|>(.*?)</"), t, F.lit(r"\s*>)")), F.lit(1))
+    names = F.array_except(held_tags(F.col(xml)), known)
+    return rows.withColumn("extra", F.map_from_arrays(names, F.transform(names, inner))).drop("__body")
+
+
+def with_unknown_tags(xml: Column, extra: Column) -> Column:
+    """The XML of to_xml() with the elements of unknown_tags() after its own, in order of their names."""
+    entries = F.array_sort(F.map_entries(F.coalesce(extra, F.create_map().cast("map<string,array<string>>"))))
+    element = lambda e: F.array_join(F.transform(e["value"], lambda v: F.concat(F.lit("\n  <"), e["key"], F.lit(">"), v, F.lit("</"), e["key"], F.lit(">"))), "")
+    added = F.array_join(F.transform(entries, element), "")
+    bare = F.regexp_replace(F.regexp_replace(xml, "</ComicInfo>$", ""), r"\n$", "")
+    return F.when(added == "", xml).otherwise(F.concat(bare, added, F.lit("\n</ComicInfo>")))
+
+
+def tag_difference(held: DataFrame, key: str, emitted: list[str] | None = None) -> DataFrame:
+    """(key, tag) of the tags that records hold and the field table doesn't write: an EXCEPT of two sets of rows (SE4).
+
+    held: key and `tags`, an array as held_tags() gives it.
+    """
+    written = emitted or [*[t for _, t, _ in FIELDS], *ALIASES]
+    rows = held.select(key, F.explode("tags").alias("tag"))
+    return rows.exceptAll(rows.where(F.col("tag").isin(written))).distinct()
+
+
 # --- from wiki pages ------------------------------------------------------------------------------------
 
 

@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from quire.operators import dedupe, front_matter, series_lookup
+from quire.functions import records
+from quire.operators import asof, audit, dedupe, front_matter, series_lookup, sketches
 from quire.plans.catalogue import query, table
 from quire.session import checkpoint, shared_folder
 from quire.sources import archive_job, archives
@@ -207,3 +208,90 @@ def series_by_lookup(spark, d):
     hits = queries.withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(4)))).withColumn("title", title)
     rows = series_lookup.by_choice(queries, hits, found, series_lookup.resolved(_hops(spark, d)))
     return rows.select("query", "page_title", "pageid", "title", "partial", "summary")
+
+
+@query(
+    "page_audit",
+    """WITH p AS (SELECT page_id, url, lower(regexp_replace(url, '[?#].*$', '')) AS key, contains(html, 'cookie') AS junk, length(html) < 900 AS small, page_id % 29 = 3 AS bad FROM pages),
+f AS (SELECT key, min(page_id) AS first FROM p WHERE NOT bad AND NOT junk AND NOT small GROUP BY key),
+r AS (SELECT page_id, CASE WHEN bad THEN 'failed:unreadable' WHEN junk THEN 'html-content' WHEN small THEN 'small' WHEN page_id > first THEN 'duplicate' ELSE 'kept' END AS reason FROM p LEFT JOIN f ON p.key = f.key)
+SELECT 'seen' AS source, n.reason, coalesce(c, 0) AS n FROM (VALUES ('kept'), ('failed:unreadable'), ('html-content'), ('small'), ('duplicate')) AS n(reason) LEFT JOIN (SELECT reason, count(*) AS c FROM r GROUP BY reason) s ON s.reason = n.reason
+UNION ALL SELECT 'rows', reason, count(*) FROM r GROUP BY reason""",
+)
+def page_audit(spark, d):
+    """Kept, skipped and failed pages of one pass, as counted while they went by and as they were written (HP1, HP2, AG12)."""
+    k = F.col("page_id")
+    rows = table(spark, d, "pages").select("page_id", "url", F.length("html").alias("size"), F.contains("html", F.lit("cookie")).alias("junk"), (k % 29 == 3).alias("bad"))
+    usable = ~F.col("bad") & ~F.col("junk") & (F.col("size") >= 900)
+    marked = audit.duplicate(rows, F.lower(F.regexp_replace("url", "[?#].*$", "")), "page_id", usable)
+    done = audit.audited(marked, {"html-content": F.col("junk"), "small": F.col("size") < 900, "duplicate": F.col("duplicate")}, {"unreadable": F.col("bad")})
+    seen = spark.createDataFrame([("seen", r, n) for r, n in done.counts.items()], "source string, reason string, n long")
+    written = done.rows(audit.KEPT).select(F.lit("kept").alias("reason")).unionByName(done.rows(audit.SKIPPED).select("reason")).unionByName(done.rows(audit.FAILED).select("reason"))
+    return seen.unionByName(written.groupBy("reason").agg(F.count("*").alias("n")).select(F.lit("rows").alias("source"), "reason", "n"))
+
+
+@query(
+    "asof_last_click",
+    """SELECT l.event_id, r.event_id AS click_id, r.value AS click_value FROM (SELECT * FROM events WHERE event_type <> 'click') l
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') r ON l.user_id = r.user_id AND l.ts >= r.ts""",
+)
+def asof_last_click(spark, d):
+    """The last click of its user at or before each other event: a sort-merge as-of join that splits hot users by time."""
+    events = table(spark, d, "events")
+    clicks = events.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("click_id"), F.col("value").alias("click_value"))
+    return asof.asof_join(events.where("event_type <> 'click'").select("event_id", "user_id", "ts"), clicks, "user_id", "ts", ["click_id", "click_value"], tie="click_id").select("event_id", "click_id", "click_value")
+
+
+@query(
+    "interval_overlaps",
+    """WITH o AS (SELECT o_orderkey, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS a, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) + 1 + o_custkey % 3 + CASE WHEN o_orderkey % 500 = 0 THEN 900 ELSE 0 END AS b FROM orders),
+p AS (SELECT p_partkey, (p_partkey * 17) % 2600 AS a, (p_partkey * 17) % 2600 + p_size % 4 AS b FROM part)
+SELECT p_partkey, count(*) AS orders, sum(o_orderkey) AS keys, sum(least(o.b, p.b) - greatest(o.a, p.a)) AS days FROM p JOIN o ON o.a < p.b AND p.a < o.b AND p.a < p.b GROUP BY p_partkey""",
+)
+def interval_overlaps(spark, d):
+    """Orders under way during each part's campaign: an interval join over bins of equal weight, with a few very long intervals."""
+    k = F.col("o_orderkey")
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("long")
+    o = table(spark, d, "orders").select("o_orderkey", day.alias("a"), (day + 1 + F.col("o_custkey") % 3 + F.when(k % 500 == 0, 900).otherwise(0)).alias("b"))
+    begin = (F.col("p_partkey") * 17) % 2600
+    p = table(spark, d, "part").select("p_partkey", begin.alias("a"), (begin + F.col("p_size") % 4).alias("b"))
+    shared = F.least("l.b", "r.b") - F.greatest("l.a", "r.a")
+    return asof.overlaps(p, o, "a", "b").groupBy("l.p_partkey").agg(F.count("*").alias("orders"), F.sum("r.o_orderkey").alias("keys"), F.sum(shared).alias("days"))
+
+
+@query(
+    "grouping_sets",
+    """SELECT o_orderstatus, o_orderpriority, grouping_id(o_orderstatus, o_orderpriority) AS level, count(*) AS orders, count(DISTINCT o_custkey) AS customers, round(sum(CAST(o_totalprice AS DECIMAL(18, 2))), 2) AS total
+FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), ())""",
+)
+def grouping_sets(spark, d):
+    """Orders by status and priority, by status, and in all, in one pass, with distinct customers."""
+    sums = [F.count("*").alias("orders"), F.countDistinct("o_custkey").alias("customers"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total")]
+    return sketches.grouping_sets(table(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"], [["o_orderstatus", "o_orderpriority"], ["o_orderstatus"], []], sums)
+
+
+@query(
+    "distinct_sketches",
+    """WITH s AS (SELECT event_type, count(DISTINCT user_id) AS users, count(*) AS rows FROM events GROUP BY event_type UNION ALL SELECT 'all', count(DISTINCT user_id), count(*) FROM events)
+SELECT event_type, users, rows, TRUE AS within FROM s""",
+)
+def distinct_sketches(spark, d):
+    """Distinct users by daily sketches that are merged by type and over all, beside exact counts; `within` is the promised error."""
+    events = table(spark, d, "events")
+    daily = checkpoint(sketches.sketch_table(events.withColumn("day", F.to_date("ts")), ["event_type", "day"], "user_id"))
+    merged = sketches.estimated(daily, ["event_type"]).unionByName(sketches.estimated(daily.withColumn("event_type", F.lit("all")), ["event_type"]))
+    exact = events.groupBy("event_type").agg(F.countDistinct("user_id").alias("users")).unionByName(events.agg(F.countDistinct("user_id").alias("users")).withColumn("event_type", F.lit("all")))
+    close = F.abs(F.col("distinct") - F.col("users")) <= F.greatest(F.lit(1.0), F.col("users") * sketches.relative_error())
+    return merged.join(exact, "event_type").select("event_type", "users", "rows", close.alias("within"))
+
+
+@query(
+    "unknown_record_tags",
+    """SELECT p_partkey, unnest(CASE WHEN p_partkey % 3 = 0 THEN ['Shelf'] WHEN p_partkey % 3 = 1 THEN ['Mood', 'Shelf'] ELSE [] END) AS tag FROM part""",
+)
+def unknown_record_tags(spark, d):
+    """Tags that records hold and the field table doesn't write (SE4)."""
+    k = F.col("p_partkey")
+    extra = F.when(k % 3 == 0, F.concat(F.lit("<Shelf>"), "p_brand", F.lit("</Shelf>"))).when(k % 3 == 1, F.concat(F.lit("<Mood>"), "p_type", F.lit("</Mood><Shelf/><Shelf>2</Shelf>"))).otherwise("")
+    xml = F.concat(F.lit("<ComicInfo><Title>"), "p_name", F.lit("</Title>"), extra, F.lit("<Year>1999</Year></ComicInfo>"))
+    return records.tag_difference(table(spark, d, "part").select("p_partkey", records.held_tags(xml).alias("tags")), "p_partkey")
