@@ -20,7 +20,7 @@ an empty table gives an empty table; other columns are left out.
 from __future__ import annotations
 
 import hashlib
-from sys import getsizeof
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +33,9 @@ from quire.llm import _bytes as B
 from quire.llm._spark import Stored, map_batches
 from quire.llm.merges import Codec
 
-#: Bytes of text in a slice, about, and bytes of units and ids that a worker remembers.
-SLICE_BYTES = 8 << 20
-REMEMBER = 32 << 20
+#: Bytes of text in a slice, about.
+SLICE_BYTES = 4 << 20
+_RUN = 1 << 14
 
 MARK = "▁"
 # a unit ends before a plain space that follows neither white space nor the mark
@@ -62,9 +62,7 @@ class Units:
         self.bytes_a = _Table([self.a.bytes_of.get(i, b"") for i in range(max(self.a.bytes_of) + 1)])
         self.lone = self.b.encode("x ")[len(self.b.encode("x")) :]  # a space alone, as the model has no ids for an empty text
         self.cut = regex.compile(_UNITS).findall
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.held = 0
-        self.duck = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.duck = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
 
     @classmethod
     def of(cls, path_a: str, path_b: str) -> "Units":
@@ -72,19 +70,24 @@ class Units:
             cls._made[path_a, path_b] = cls(path_a, path_b)
         return cls._made[path_a, path_b]
 
-    def ids(self, units: list[str]) -> tuple[list[bytes], list[bytes]]:
-        """A's and B's ids of each unit, as little-endian unsigned 32-bit integers."""
-        if self.held > REMEMBER:
-            self.known.clear()
-            self.held = 0
-        missing = [u for u in units if u not in self.known]
-        # B puts its own space before a unit; all units start with one
-        for unit, a, b in zip(missing, self.a.encode(missing), self.b.encode([u[1:] for u in missing], num_threads=1), strict=True):
-            b = b if len(unit) > 1 else self.lone
-            self.known[unit] = found = a, np.array(b, "<u4").tobytes()
-            self.held += getsizeof(unit) + sum(map(getsizeof, found)) + 150
-        pairs = [self.known[u] for u in units]
-        return [a for a, _ in pairs], [b for _, b in pairs]
+    def tokens(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A's and B's ids of the units, one after the other, as if they were one text.
+
+        A unit ends in white space only where its text does; such units are encoded on their own, for no word to run into the next.
+        """
+        runs: list[list[str]] = [[]]
+        size = 0
+        for unit in units:
+            runs[-1].append(unit)
+            size += len(unit)
+            if size > _RUN or unit[-1].isspace():
+                runs.append([])
+                size = 0
+        texts = ["".join(run) for run in runs if run]
+        # B puts a space of its own before a text; all units start with one
+        b = self.b.encode([t[1:] for t in texts], num_threads=1)
+        b = chain.from_iterable(x if len(t) > 1 else self.lone for t, x in zip(texts, b, strict=True))
+        return np.frombuffer(b"".join(self.a.encode(texts)), "<u4").astype(np.int32), np.fromiter(b, np.int32)
 
 
 class _Table:
@@ -99,23 +102,14 @@ class _Table:
         return self.data[B.ragged(self.starts[ids], self.sizes[ids])]
 
 
-def _token_table(coded: list[bytes], table: _Table, starts: np.ndarray, whole: np.ndarray) -> tuple[pa.Table, np.ndarray]:
-    """The interval table of one side, and which units its tokens spell."""
-    ids = np.frombuffer(b"".join(coded), "<u4").astype(np.int64)
-    unit = np.repeat(np.arange(len(coded)), [len(x) // 4 for x in coded])
-    sizes = table.sizes[ids]
-    total = np.bincount(unit, sizes, len(coded)).astype(np.int64)
-    fits = total == np.diff(starts)
-    kept = fits[unit]
-    ids, unit, sizes = ids[kept], unit[kept], sizes[kept]
-    spelled = table.spell(ids)
-    differs = spelled != whole[B.ragged(starts[:-1][fits], np.diff(starts)[fits])]
-    fits[np.repeat(unit, sizes)[differs]] = False
-    first = np.searchsorted(unit, unit)
-    before = B.runs_of(sizes)[:-1]
-    start = starts[unit] + before - before[first]
-    small = {"unit": unit, "id": ids, "start": start, "stop": start + sizes}
-    return pa.table({k: v.astype(np.int32) for k, v in small.items()}), fits
+def _token_table(ids: np.ndarray, table: _Table, starts: np.ndarray, whole: np.ndarray) -> pa.Table | None:
+    """The interval table of one side, or None where its tokens don't spell the units."""
+    stop = np.cumsum(table.sizes[ids])
+    if (stop[-1] if len(stop) else 0) != len(whole) or (table.spell(ids) != whole).any():
+        return None
+    start = np.r_[0, stop[:-1]] if len(stop) else stop
+    unit = np.searchsorted(starts, start, "right") - 1
+    return pa.table({k: v.astype(np.int32) for k, v in {"unit": unit, "id": ids, "start": start, "stop": stop}.items()})
 
 
 # each overlap once: by A's start inside a token of B, or by B's start strictly inside a token of A
@@ -136,16 +130,17 @@ class Aligned:
     """What DuckDB finds for the units of a slice: tokens, groups, links and the digest's text of each unit."""
 
     def __init__(self, tools: Units, units: list[str]):
-        coded = [u.encode() for u in units]
-        starts = B.runs_of(np.fromiter(map(len, coded), np.int64, len(coded)))
-        whole = np.frombuffer(b"".join(coded).replace(MARK.encode(), b"\xff\xff\xff"), np.uint8)  # no token has such bytes: the mark itself is never spelled
-        ids_a, ids_b = tools.ids(units)
-        a, fits_a = _token_table(ids_a, tools.bytes_a, starts, whole)
-        b, fits_b = _token_table(ids_b, tools.bytes_b, starts, whole)
-        self.fits = fits_a & fits_b
-        good = pa.array(self.fits)
-        tools.duck.register("a", a.filter(good.take(a["unit"])))
-        tools.duck.register("b", b.filter(good.take(b["unit"])))
+        # a mark becomes a space in B's pieces, so its unit isn't spelled; other units may only fail together with a whole slice, which is then looked at one by one
+        self.fits = np.fromiter((MARK not in u for u in units), bool, len(units))
+        sides = self._sides(tools, units)
+        if sides is None:
+            for k in np.flatnonzero(self.fits):
+                alone = np.zeros(len(units), bool)
+                alone[k] = True
+                self.fits[k] = self._sides(tools, units, alone) is not None
+            sides = self._sides(tools, units)
+        for name, side in zip("ab", sides, strict=True):
+            tools.duck.register(name, side)
         links, rows = tools.duck.sql(_LINKS).to_arrow_table(), tools.duck.sql(_GROUPS).to_arrow_table()
         tools.duck.unregister("a")
         tools.duck.unregister("b")
@@ -162,6 +157,18 @@ class Aligned:
         self.text_of = _written(token, sign, unit, n)
         self.rows = rows
 
+    def _sides(self, tools: Units, units: list[str], chosen: np.ndarray | None = None) -> list[pa.Table] | None:
+        """The token tables of the chosen units, or None if one side doesn't spell them; starts count over the chosen units alone."""
+        chosen = self.fits if chosen is None else chosen
+        some = [u for u, c in zip(units, chosen, strict=True) if c]
+        coded = [u.encode() for u in some]
+        sizes = np.zeros(len(units), np.int64)
+        sizes[chosen] = np.fromiter(map(len, coded), np.int64, len(coded))
+        starts, whole = B.runs_of(sizes), np.frombuffer(b"".join(coded), np.uint8)
+        del coded
+        sides = [_token_table(ids, table, starts, whole) for ids, table in zip(tools.tokens(some), (tools.bytes_a, tools.bytes_b), strict=True)]
+        return None if any(x is None for x in sides) else sides
+
 
 def _written(ids: np.ndarray, sign: np.ndarray, unit: np.ndarray, n: int) -> list[bytes]:
     """For each unit its ids in decimal, each followed by its sign."""
