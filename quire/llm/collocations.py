@@ -2,8 +2,9 @@
 
 Texts are cut into pieces at punctuation and line ends, and equal pieces of a language become one row with a multiplicity,
 so a passage that thousands of documents share is read once.  N-grams are counted by DuckDB in each hash bucket of
-pieces: a task inserts the bucket's n-grams with their weights into a table that DuckDB may spill, and hands on one row
-for each different n-gram.  Spark adds up the buckets' counts.
+pieces, which are the files that the shuffle by piece has written: a task inserts the bucket's n-grams with their weights into
+a table that DuckDB may spill, and hands on one row for each different n-gram, now and then if there are many.  Spark adds up
+the buckets' counts.
 
 Counting goes by length.  A phrase that is frequent enough has only frequent parts, so pairs are counted of frequent
 words, and triples of frequent pairs.  The parts are told by a bit set of a fixed size, which lets all frequent parts pass
@@ -35,6 +36,8 @@ from quire.llm._spark import Stored, bit_filter, map_batches, passes, shared_fol
 LONGEST, LEAST, ABSORBED, REPORTED = 3, 10, 50, 2000
 #: What DuckDB may hold in memory of a bucket's counts; the rest is spilled.
 MEMORY = "256MB"
+#: N-grams that a task gathers before it hands their counts on.
+GATHERED = 1 << 23
 
 # The bytes that end a piece, and the language of texts without one.
 BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -79,7 +82,7 @@ def _bits(grams: DataFrame) -> np.ndarray:
 def counted(different: DataFrame, size: int, parts: np.ndarray | None = None) -> DataFrame:
     """(lang, phrase, n) of all phrases of `size` words; with the bit set of frequent phrases of a word less, those whose parts pass it.
 
-    different: as pieces() gives it, dealt out by a hash of the piece, so that a partition is a bucket.
+    different: as pieces() gives it, stored, so that a file is a hash bucket.
     """
     spill = _spill_root(different)
 
@@ -90,15 +93,19 @@ def counted(different: DataFrame, size: int, parts: np.ndarray | None = None) ->
         langs: dict[str, int] = {}
         with duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": scratch, "preserve_insertion_order": False}) as duck:
             try:
-                duck.execute("CREATE TABLE grams (lang INTEGER, phrase VARCHAR, n BIGINT)")
+                duck.execute("CREATE TABLE grams (lang INTEGER, phrase VARCHAR, n BIGINT)").fetchall()
+                gathered = 0
                 for batch, data, offsets in B.slices(batches, "piece"):
                     table = _grams(batch, data, offsets, size, parts, langs)
                     duck.register("slice", table)
                     duck.execute("INSERT INTO grams SELECT lang, phrase, n FROM slice").fetchall()
                     duck.unregister("slice")
-                names = pa.array(list(langs), pa.string())
-                for found in duck.sql("SELECT lang, phrase, CAST(sum(n) AS BIGINT) AS n FROM grams GROUP BY lang, phrase").to_arrow_reader(1 << 16):
-                    yield pa.RecordBatch.from_arrays([names.take(found.column(0)), found.column(1), found.column(2)], ["lang", "phrase", "n"])
+                    gathered += table.num_rows
+                    if gathered >= GATHERED:
+                        yield from _sums(duck, langs)
+                        duck.execute("TRUNCATE grams").fetchall()
+                        gathered = 0
+                yield from _sums(duck, langs)
             finally:
                 shutil.rmtree(scratch, ignore_errors=True)
 
@@ -106,6 +113,13 @@ def counted(different: DataFrame, size: int, parts: np.ndarray | None = None) ->
     return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
+def _sums(duck, langs: dict[str, int]):
+    """The counts of a task's n-grams so far, in batches."""
+    names = pa.array(list(langs), pa.string())
+    for found in duck.sql("SELECT lang, phrase, CAST(sum(n) AS BIGINT) AS n FROM grams GROUP BY lang, phrase").to_arrow_reader(1 << 16):
+        yield pa.RecordBatch.from_arrays([names.take(found.column(0)), found.column(1), found.column(2)], ["lang", "phrase", "n"])
+
+
 def _spill_root(df: DataFrame) -> str | None:
     """The shared folder where it is one of a file system, for what a task spills and removes; elsewhere a task spills where Spark does."""
     where = urlparse(shared_folder(df.sparkSession))
@@ -134,7 +148,7 @@ def _grams(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, size: i
 
 def mined(docs: DataFrame, least: int = LEAST, absorbed: int = ABSORBED) -> DataFrame:
     """(lang, phrase, a, l, r, n, score) of all candidates that no longer one takes in; the weakest cut counts, the first of equals."""
-    different = Stored(pieces(docs)).read().repartition("lang", "piece")
+    different = Stored(pieces(docs)).read()
     words = Stored(counted(different, 1)).read()
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = [words.where(F.col("n") >= least)]

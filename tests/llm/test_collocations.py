@@ -49,9 +49,10 @@ def _rows():
     return rows + rows[:12]
 
 
-@pytest.mark.parametrize("memory", ["256MB", "16MB"])
-def test_equals_a_plain_count(spark, monkeypatch, memory):
+@pytest.mark.parametrize(("memory", "gathered"), [("256MB", 1 << 23), ("16MB", 50)])
+def test_equals_a_plain_count(spark, monkeypatch, memory, gathered):
     monkeypatch.setattr(collocations, "MEMORY", memory)
+    monkeypatch.setattr(collocations, "GATHERED", gathered)
     rows = _rows()
     docs = spark.createDataFrame([(t, lang, "clash", 1) for t, lang in rows], "text string, lang string, piece string, n int").repartition(3)
     found = collocations.top(docs)
