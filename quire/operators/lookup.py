@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import letters_key
@@ -35,9 +35,10 @@ def with_fallbacks(left: DataFrame, right: DataFrame, key: str, fields: list[str
 
 
 def best_scored(rows: DataFrame, group: str, score: Column, order: str) -> DataFrame:
-    """The row of highest score in each group, the first by order on ties (SO5, SO6)."""
-    w = Window.partitionBy(group).orderBy(F.desc("__score"), F.asc(order))
-    return rows.withColumn("__score", score).withColumn("__r", F.row_number().over(w)).where("__r = 1").withColumnRenamed("__score", "score").drop("__r")
+    """The row of highest score in each group, the first by order on ties (SO5, SO6); tasks keep one row of a group before the shuffle."""
+    scored = rows.withColumn("score", score)
+    row = F.struct(*[F.col(f"`{c}`") for c in scored.columns])
+    return scored.groupBy(group).agg(F.min_by(row, F.struct(-F.col("score"), F.col(order))).alias("__row")).select("__row.*")
 
 
 def title_score(title: Column, query: Column, count: Column) -> Column:

@@ -7,7 +7,7 @@ and display (array of structs: kind, bbox).  Decisions are columns; a document's
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import constants as K
@@ -51,21 +51,26 @@ def render_dpi(width: Column, height: Column, scans: Column, long_edge: Column,
 
 
 def planned(pages: DataFrame) -> DataFrame:
-    """pages with lossless, scans, long_edge and dpi; dpi is null where the page's own bytes are taken (CO1, CO2, AG5, SR19, SC27)."""
-    rows = pages.withColumns({"lossless": lossless(pages), "scans": scan_sizes(pages)})
-    healthy = rows.select("pdf", "page_no", F.explode("scans").alias("s")).select("pdf", "page_no", F.greatest("s.width", "s.height").alias("edge")).where(F.col("edge") >= K.RENDER_LOW)
-    sampled = _sampled(rows).join(healthy, ["pdf", "page_no"]).groupBy("pdf").agg(F.bround(F.median("edge")).cast("int").alias("__edge"))
-    edges = sampled.select("pdf", F.least("__edge", F.lit(int(K.RENDER_HIGH))).alias("long_edge"))
-    rows = rows.join(edges, "pdf", "left").withColumn("long_edge", F.coalesce("long_edge", F.lit(int(K.RENDER_DEFAULT))))
+    """pages with lossless, scans, long_edge and dpi; dpi is null where the page's own bytes are taken (CO1, CO2, AG5, SR19, SC27).
+
+    One window over each document gives the number of its pages and the long edges of the sampled ones, which are a few
+    dozen at most; pages count from 1 without gaps.
+    """
+    whole = Window.partitionBy("pdf")
+    rows = pages.withColumns({"lossless": lossless(pages), "scans": scan_sizes(pages), "__n": F.max("page_no").over(whole)})
+    edges = F.filter(F.transform("scans", lambda s: F.greatest(s["width"], s["height"])), lambda e: e >= K.RENDER_LOW)
+    rows = rows.withColumn("__edges", F.sort_array(F.flatten(F.collect_list(F.when(_sampled(), edges)).over(whole))))
+    n = F.size("__edges")
+    middle = (F.get("__edges", F.floor((n - 1) / 2).cast("int")) + F.get("__edges", F.floor(n / 2).cast("int"))) / 2
+    long_edge = F.when(n > 0, F.least(F.bround(middle).cast("int"), F.lit(int(K.RENDER_HIGH)))).otherwise(int(K.RENDER_DEFAULT))
+    rows = rows.withColumn("long_edge", long_edge).drop("__n", "__edges")
     return rows.withColumn("dpi", F.when(~F.col("lossless"), render_dpi(F.col("width"), F.col("height"), F.col("scans"), F.col("long_edge"))))
 
 
-def _sampled(pages: DataFrame, most: int = K.RENDER_SAMPLE) -> DataFrame:
-    """(pdf, page_no) of evenly spaced pages of each document; page_no counts from 1 without gaps."""
-    last = pages.groupBy("pdf").agg(F.max("page_no").alias("n"))
-    every = F.sequence(F.lit(1), F.col("n"))
-    spaced = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: (F.bround(i * (F.col("n") - 1) / (most - 1)) + 1).cast("int"))
-    return last.select("pdf", F.explode(F.array_distinct(F.when(F.col("n") <= most, every).otherwise(spaced))).alias("page_no"))
+def _sampled(most: int = K.RENDER_SAMPLE) -> Column:
+    """Whether a page is one of `most` evenly spaced ones of its document."""
+    spaced = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: (F.bround(i * (F.col("__n") - 1) / (most - 1)) + 1).cast("int"))
+    return (F.col("__n") <= most) | F.array_contains(spaced, F.col("page_no").cast("int"))
 
 
 def recovered(rows: DataFrame) -> DataFrame:

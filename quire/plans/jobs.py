@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from quire.functions import records
+from quire.functions import constants as K
+from quire.functions import records, text
 from quire.operators import asof, audit, dedupe, front_matter, series_lookup, sketches
 from quire.plans.catalogue import query, table
 from quire.session import checkpoint, shared_folder
@@ -295,3 +296,38 @@ def unknown_record_tags(spark, d):
     extra = F.when(k % 3 == 0, F.concat(F.lit("<Shelf>"), "p_brand", F.lit("</Shelf>"))).when(k % 3 == 1, F.concat(F.lit("<Mood>"), "p_type", F.lit("</Mood><Shelf/><Shelf>2</Shelf>"))).otherwise("")
     xml = F.concat(F.lit("<ComicInfo><Title>"), "p_name", F.lit("</Title>"), extra, F.lit("<Year>1999</Year></ComicInfo>"))
     return records.tag_difference(table(spark, d, "part").select("p_partkey", records.held_tags(xml).alias("tags")), "p_partkey")
+
+
+_TERMS = ("Action films", "sci-fi needle", "日常", "CS1 errors", "ring", "使用者條目", "冒險 and 恐怖", "dramas")
+
+
+def _genre_sql() -> str:
+    named = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(v, '(?i){p}') THEN '{n}' END" for n, p in K.GENRES) + "], lambda x: x IS NOT NULL)"
+    terms = ", ".join(f"'{t}'" for t in _TERMS)
+    kept = "NOT regexp_matches(v, '(?i)" + "|".join(K.MAINTENANCE_CATEGORIES) + "')"
+    return f"""WITH t AS (SELECT p_partkey, i, list_extract([{terms}], CAST((p_partkey * 7 + p_size * i) % {len(_TERMS)} + 1 AS INTEGER)) AS v FROM part, range(3) AS r(i)),
+g AS (SELECT p_partkey, i, v, {named} AS g FROM t WHERE {kept}), c AS (SELECT p_partkey, string_agg(v, ',' ORDER BY i) AS categories, count(*) AS n FROM g GROUP BY p_partkey),
+u AS (SELECT p_partkey, i, unnest(g) AS name, generate_subscripts(g, 1) AS k FROM g), f AS (SELECT p_partkey, name, min((i, k)) AS place FROM u GROUP BY p_partkey, name)
+SELECT p.p_partkey, coalesce(any_value(categories), '') AS categories, coalesce(string_agg(name, ',' ORDER BY place), '') AS genres FROM part p LEFT JOIN c ON c.p_partkey = p.p_partkey LEFT JOIN f ON f.p_partkey = p.p_partkey GROUP BY p.p_partkey"""
+
+
+@query("genre_vocabulary", _genre_sql())
+def genre_vocabulary(spark, d):
+    """Genres that a work's categories name, in their order, and the categories that say something (ST43, FI15)."""
+    terms = F.array(*[F.lit(t) for t in _TERMS])
+    pick = lambda i: F.element_at(terms, ((F.col("p_partkey") * 7 + F.col("p_size") * i) % len(_TERMS) + 1).cast("int"))
+    values = F.array(*[pick(i) for i in range(3)])
+    return table(spark, d, "part").select("p_partkey", F.array_join(text.content_categories(values), ",").alias("categories"), F.array_join(text.genres(values), ",").alias("genres"))
+
+
+@query(
+    "wiki_addresses",
+    """SELECT page_id, CASE page_id % 4 WHEN 0 THEN concat('A b', page_id) WHEN 1 THEN concat('漫 ', page_id) WHEN 2 THEN concat('C/d', page_id) END AS title FROM pages""",
+)
+def wiki_addresses(spark, d):
+    """Titles in wiki addresses of all forms, decoded (ST12, SC19)."""
+    k = F.col("page_id")
+    url = F.when(k % 4 == 0, F.concat(F.lit("https://zh.wikipedia.org/w/index.php?x=1&title=A_b"), k, F.lit("&action=edit"))).when(k % 4 == 1, F.concat(F.lit("https://zh.wikipedia.org/zh-hant/%E6%BC%AB_"), k, F.lit("#top")))
+    url = url.when(k % 4 == 2, F.concat(F.lit("http://zh.wikipedia.org/wiki/C%2Fd"), k, F.lit("?y"))).otherwise(F.col("url"))
+    title = text.wiki_title(url)
+    return table(spark, d, "pages").select("page_id", F.when(title != "", title).alias("title"))
