@@ -76,18 +76,31 @@ def op9(spark, sf_dir):
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & policies.keeps()).alias("kept"), "fail_bits")
 
 
-OP3_SQL = r"""
+def _op3_round(k: int) -> str:
+    """A round of op3's groups: d has their lines, g those that a group's template takes in, the next d the others by their new groups."""
+    return rf"""
+f{k} AS (SELECT grp, count(*) AS lines FROM d{k} GROUP BY grp HAVING count(*) > 1),
+t{k} AS (SELECT grp, line, size, lines, unnest(w[4:]) AS token, generate_subscripts(w[4:], 1) AS place FROM d{k} JOIN f{k} USING (grp)),
+v{k} AS (SELECT grp, place, token, count(*) AS n, 2 * count(*) > max(lines) AS constant, max(size) AS size FROM t{k} GROUP BY grp, place, token),
+g{k} AS (SELECT grp, line FROM t{k} JOIN v{k} USING (grp, place, token) WHERE constant GROUP BY grp, line, t{k}.size HAVING 10 * count(*) >= 7 * (t{k}.size - 3)),
+s{k} AS (SELECT grp, 10 * count(*) FILTER (constant) >= 7 * (max(size) - 3) AS settled, -(max((n, -place)) FILTER (NOT constant))[2] AS cut FROM v{k} GROUP BY grp),
+d{k + 1} AS (SELECT line, size, w, CASE WHEN settled THEN concat(grp, chr(1), 'rest') ELSE concat(grp, chr(1), cut, chr(2), w[3 + cut]) END AS grp FROM d{k} JOIN s{k} USING (grp)
+  WHERE (settled OR cut IS NOT NULL) AND line NOT IN (SELECT line FROM g{k})),"""
+
+
+OP3_SQL = (
+    r"""
 WITH l AS (SELECT doc_id, CAST(pos - 1 AS BIGINT) AS number, line FROM
              (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
 k AS (SELECT doc_id, number, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM l),
 m AS (SELECT doc_id, number, w, len(w) AS size, array_to_string(w, ' ') AS line, concat(len(w), ' ', array_to_string(w[1:3], ' ')) AS leaf FROM k WHERE len(w) >= 3),
-d AS (SELECT DISTINCT leaf, line, size, w FROM m WHERE size > 3),
-f AS (SELECT leaf, count(*) AS lines FROM d GROUP BY leaf HAVING count(*) > 1),
-t AS (SELECT leaf, line, size, lines, unnest(w[4:]) AS token, generate_subscripts(w[4:], 1) AS place FROM d JOIN f USING (leaf)),
-c AS (SELECT leaf, place, token FROM t GROUP BY leaf, place, token HAVING 2 * count(*) > max(lines)),
-g AS (SELECT leaf, line FROM t JOIN c USING (leaf, place, token) GROUP BY leaf, line, size HAVING 10 * count(*) >= 7 * (size - 3)),
-n AS (SELECT doc_id, number, size, CASE WHEN g.line IS NULL THEN concat('line ', m.line) ELSE concat('leaf ', m.leaf) END AS template
-      FROM m LEFT JOIN g ON m.line = g.line AND m.leaf = g.leaf),
+d0 AS (SELECT DISTINCT leaf AS grp, line, size, w FROM m WHERE size > 3),"""
+    + "".join(_op3_round(k) for k in range(templates.ROUNDS))
+    + """
+g AS ("""
+    + " UNION ALL ".join(f"SELECT line, concat('group ', {k}, ' ', grp) AS name FROM g{k}" for k in range(templates.ROUNDS))
+    + """),
+n AS (SELECT doc_id, number, size, coalesce(g.name, concat('line ', m.line)) AS template FROM m LEFT JOIN g ON m.line = g.line),
 r AS (SELECT template, min(doc_id) AS first FROM n GROUP BY template HAVING count(DISTINCT doc_id) >= CASE WHEN max(size) < 10 THEN 5 ELSE 2 END),
 x AS (SELECT doc_id, number FROM n JOIN r USING (template) WHERE doc_id <> first),
 s AS (SELECT doc_id, count(*) AS n_lines, count(x.number) AS n_dropped,
@@ -96,6 +109,7 @@ s AS (SELECT doc_id, count(*) AS n_lines, count(x.number) AS n_dropped,
       FROM l LEFT JOIN x USING (doc_id, number) GROUP BY doc_id)
 SELECT doc_id, n_lines, n_dropped, dropped, CAST(length(kept) AS BIGINT) AS kept_chars, sha256(kept) AS kept_sha256 FROM s
 """
+)
 
 
 @query("op3_template_lines", OP3_SQL)

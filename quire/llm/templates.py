@@ -5,10 +5,15 @@ that share them.  Inside a leaf the fields are told apart by votes instead of by
 doesn't depend on any order and every step is a keyed count:
 
 * tokens are runs of [^\\x20\\x09-\\x0D]; a token with an ASCII digit is a variable field at once;
-* at each place after the leading tokens, the leaf's constant is the token that more than half of its
-  distinct lines have there, if there is one; every other token there is a variable field;
-* a line whose tokens after the leading ones are constants to `agree` tenths at least has the leaf's
-  template, any other line is a template of its own.
+* at each place after the leading tokens, a group's constant is the token that more than half of its
+  distinct lines have there, if there is one; every other token there is a variable field; a leaf is one group at first;
+* a line whose tokens after the leading ones are constants to `agree` tenths at least has the group's template;
+* a leaf may hold several templates, so what is left goes on for ROUNDS rounds: where a group had a template, its other lines
+  are a group; where it had too few constants for one, it is cut up by the token at the place of its most frequent token
+  that isn't a constant (the lowest place of equals), which tells templates apart that share the leaf;
+* a line that no group takes in is a template of its own.
+
+The number of lines of one template thus doesn't matter to another one that shares its leaf.
 
 A template recurs if `min_docs` documents have it (`short_docs` if it has fewer than `long_tokens`
 tokens; lines of fewer than `min_tokens` are never counted).  Its lines stay in the first of these
@@ -126,17 +131,35 @@ def _for_parts(by_leaf: DataFrame) -> DataFrame:
     return by_leaf.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), _parts(F.col("lines")) - 1)))
 
 
+#: Rounds in which groups are given a template or cut up.
+ROUNDS = 4
+
+
 def generalised(spelled: DataFrame, agree: int) -> DataFrame:
-    """(line) of the spelled lines that agree with their leaf's constants in `agree` tenths of their tokens.
+    """(line, template) of the spelled lines that agree with a group's constants in `agree` tenths of their tokens.
 
-    A leaf's lines are dealt out in parts of about PART lines, in which tokens are counted by place before the counts
-    are shuffled; a leaf's constants are one token for each place at most, and go to all of its parts.
+    A group's lines are dealt out in parts of about PART lines, in which tokens are counted by place before the counts
+    are shuffled; a group's constants are one token for each place at most, and go to all of its parts.
     """
-    dealt = _dealt(spelled)
-    votes = dealt.repartition("leaf", "part").select("leaf", "lines", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.count("*").alias("n"), F.first("lines").alias("lines"))
-    constants = votes.where("2 * n > lines").groupBy("leaf").agg(F.collect_list(F.struct("place", "token")).alias("constants"), F.first("lines").alias("lines"))
-    same = F.size(F.filter("constants", lambda c: F.get("tokens", c["place"]) == c["token"]))
-    return dealt.join(_for_parts(constants).drop("lines"), ["leaf", "part"]).where(F.lit(10) * same >= F.lit(agree) * F.size("tokens")).select("line")
+    state, found = spelled.select("line", "tokens", F.col("leaf").alias("grp"), "lines"), None
+    for k in range(ROUNDS):
+        dealt = _dealt(state)
+        votes = dealt.repartition("grp", "part").select("grp", "lines", F.posexplode("tokens").alias("place", "token")).groupBy("grp", "place", "token").agg(F.count("*").alias("n"), F.first("lines").alias("lines"))
+        most = F.col("n") * 2 > F.col("lines")
+        groups = votes.groupBy("grp").agg(F.collect_list(F.when(most, F.struct("place", "token"))).alias("constants"), F.max(F.when(~most, F.struct("n", -F.col("place")))).alias("cut"), F.first("lines").alias("lines"))
+        joined = dealt.join(_for_parts(groups).drop("lines"), ["grp", "part"])
+        same = F.size(F.filter("constants", lambda c: F.get("tokens", c["place"]) == c["token"]))
+        taken = F.lit(10) * same >= F.lit(agree) * F.size("tokens")
+        named = joined.where(taken).select("line", F.xxhash64("grp", F.lit("template")).alias("template"))
+        found = named if found is None else found.unionByName(named)
+        if k + 1 < ROUNDS:
+            place = -F.col("cut.col2")
+            settled = F.lit(10) * F.size("constants") >= F.lit(agree) * F.size("tokens")
+            further = F.when(settled, F.xxhash64("grp", F.lit("rest"))).when(place.isNotNull(), F.xxhash64("grp", place, F.get("tokens", place)))
+            rest = joined.where(~taken).select("line", "tokens", further.alias("grp")).where(F.col("grp").isNotNull())
+            sizes = rest.groupBy("grp").agg(F.count("*").alias("lines")).where("lines > 1")
+            state = checkpoint(rest.join(sizes, "grp"))
+    return found
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = 2, short_docs: int = 5, long_tokens: int = 10, min_tokens: int = 3, agree: int = 7) -> DataFrame:
@@ -146,8 +169,8 @@ def recurring_lines(docs: DataFrame, min_docs: int = 2, short_docs: int = 5, lon
     distinct = lines.groupBy("leaf", "line").agg(F.first("size").alias("size")).where(F.col("size") > DEPTH)
     full = distinct.groupBy("leaf").agg(F.count("*").alias("lines")).where("lines > 1")
     chosen = distinct.join(full, "leaf").select("leaf", "line", "lines")
-    general = checkpoint(generalised(checkpoint(spell(docs, chosen)), agree)).withColumn("general", F.lit(True))
-    named = lines.join(general, "line", "left").withColumn("template", F.when(F.col("general"), F.xxhash64("leaf")).otherwise(F.col("line")))
+    general = checkpoint(generalised(checkpoint(spell(docs, chosen)), agree))
+    named = lines.join(general, "line", "left").withColumn("template", F.coalesce("template", "line"))
     named = checkpoint(named.select("ord", "rid", "number", "size", "template"))
     held = named.groupBy("template", "ord", "rid").agg(F.first("size").alias("size"))
     counted = held.groupBy("template").agg(F.count("*").alias("n"), F.min(F.struct("ord", "rid")).alias("first"), F.first("size").alias("size"))

@@ -21,13 +21,27 @@ def plain(rows):
     leaves = defaultdict(set)
     for _, _, w in lines:
         leaves[len(w), w[:3]].add(w)
-    name = {}
-    for leaf, ws in leaves.items():
-        votes = [Counter(w[i] for w in ws) for i in range(leaf[0])]
-        constant = [next((t for t, n in v.items() if 2 * n > len(ws)), None) for v in votes]
-        for w in ws:
-            same = sum(w[i] == constant[i] for i in range(3, len(w)))
-            name[w] = leaf if len(ws) > 1 and len(w) > 3 and 10 * same >= 7 * (len(w) - 3) else w
+    name = {w: w for ws in leaves.values() for w in ws}
+    groups = [((leaf,), ws) for leaf, ws in leaves.items() if leaf[0] > 3]
+    for _ in range(T.ROUNDS):
+        further = defaultdict(set)
+        for path, ws in groups:
+            if len(ws) < 2:
+                continue
+            n = len(next(iter(ws)))
+            votes = [Counter(w[i] for w in ws) for i in range(n)]
+            constant = {i: next((t for t, c in votes[i].items() if 2 * c > len(ws)), None) for i in range(3, n)}
+            settled = 10 * sum(c is not None for c in constant.values()) >= 7 * (n - 3)
+            other = [(c, -i) for i in range(3, n) for c in votes[i].values() if 2 * c <= len(ws)]
+            for w in ws:
+                if 10 * sum(w[i] == constant[i] for i in range(3, n)) >= 7 * (n - 3):
+                    name[w] = path
+                elif settled:
+                    further[*path, "rest"].add(w)
+                elif other:
+                    cut = -max(other)[1]
+                    further[*path, (cut, w[cut])].add(w)
+        groups = list(further.items())
     holders = defaultdict(set)
     for key, _, w in lines:
         holders[name[w]].add(key)
@@ -54,6 +68,10 @@ def corpus():
         if i % 5 == 0:
             lines += ["All rights reserved.", ""]
         rows.append((i, "\n".join(lines)))
+    for k in range(90):  # three templates in one leaf, and a fourth that half of a leaf has
+        name, rest = word(), ["sent to the main office by", "taken from a small store at", "held for some other guest of"][k % 3]
+        rows.append((200 + k, f"The parcel was {rest} {name} at noon of day {k}"))
+        rows.append((300 + k, f"One more thing {['is left to do today for', 'is left to do today for', 'was never done at all by', 'has gone wrong again with'][k % 4]} {name} so it goes"))
     return [*rows, (100, rows[0][1]), (5, rows[5][1]), (101, None), (102, ""), (103, "\n\n"), (None, passage), (104, ("long line " * 9 + "\n") * 500)]
 
 
@@ -100,3 +118,21 @@ def test_text_of_its_own_is_never_lost(spark):
     rows = [(0, f"{a}\n{b}"), (1, f"{a}\n{b}\n{c}"), (2, f"{a}\n{b}\n{c}\n{d}"), (3, f"{line(80)}\n{d}"), (4, f"{a}\n{own}"), (5, f"{b}\n{a}"), (6, f"{a}\n\n \nÜber")]
     kept = {r.doc_id: r.text for r in T.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == {0: rows[0][1], 1: c, 2: d, 3: rows[3][1].split("\n")[0], 4: own, 6: "\n \nÜber"}
+
+
+def test_templates_of_one_leaf_do_not_hide_each_other(spark):
+    """Three templates of a leaf, each with lines of its own, give the same drops together as each alone, and with twice as many others."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(6))
+    kinds = ["sent to the main office by {} at noon of this day", "taken from a small store at {} in spite of rain", "held for some other guest of {} until late at night"]
+    lines = {k: [f"The parcel was {kinds[k].format(word())}" for _ in range(30)] for k in range(3)}
+
+    def dropped(chosen):
+        docs = spark.createDataFrame([(1000 * k + i, line) for k in chosen for i, line in enumerate(lines[k])], "doc_id long, text string")
+        return {r.doc_id for r in T.line_report(docs).collect() if r.dropped}
+
+    alone = [dropped([k]) for k in range(3)]
+    assert [len(x) for x in alone] == [29, 29, 29]
+    assert dropped([0, 1, 2]) == alone[0] | alone[1] | alone[2]
+    lines[1] += [f"The parcel was {kinds[1].format(word())}" for _ in range(30)]
+    assert dropped([0, 1]) & set(range(1000)) == alone[0]
