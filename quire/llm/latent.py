@@ -9,10 +9,11 @@ with every window of as many runs as it can touch.  The cosine is that of a wind
 units of what the space keeps of the item, so it estimates the cosine of the TF-IDF rows at any rank; the tests
 measure its recall against brute force.  Windows above `least_cosine` are candidates, and so are all windows that share
 enough words with the item, whatever their order: that count, with repeats up to those in the item, is never
-less than the longest common subsequence.  All candidates are checked: `LEAST_WEIGHING` of the item's words that weigh
-anything, `FEWEST_WEIGHING` at least, must be in the window, as words of every text and two rare ones are no leak; then the longest common subsequence of the item's words with the
-window's, and whether the item's answer (its last words) is there too.  An item is leaked if the subsequence
-has `copied` of its words, or `paraphrased` of them and the answer.  An item of fewer than `LEAST_WORDS` words, of which
+less than the longest common subsequence.  All candidates are checked for the longest common subsequence of the item's words with the
+window's, and for the item's answer (its last words).  An item is leaked if the subsequence
+has `copied` of its words, or `paraphrased` of them and the answer.  Words of every text in their usual order are no leak, so either
+`LEAST_WEIGHING` of the item's words that weigh anything, `FEWEST_WEIGHING` at least, are in the window, or `copied` of its words,
+whichever they are, stand in order within `COMPACT` times its length, as in a copy that lost the item's rare words.  An item of fewer than `LEAST_WORDS` words, of which
 some part is found everywhere, is leaked where it stands word for word, if `SHORT_WEIGHING` of its words weigh anything.
 
 Documents are read once to count words and once to search, without a shuffle of texts.  Items are searched for in blocks
@@ -48,7 +49,9 @@ SHORT_WEIGHING = 2
 #: Of an item's words that weigh anything, the share and the number that a window must have; items with fewer than LEAST_INFORMATIVE are exempt.
 LEAST_WEIGHING = 0.4
 FEWEST_WEIGHING = 3
-#: Words of more than this share of the documents weigh nothing.
+#: A copy without them stands within so many times the item's length.
+COMPACT = 1.25
+#: Words of significantly more than this share of the documents weigh nothing.
 MOST_COMMON = 0.2
 SLICE = 1 << 19
 #: Words are stripped of what is neither an ASCII letter or digit nor a byte of another character.
@@ -87,8 +90,13 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, float]:
 
 
 def inverse_frequencies(seen: np.ndarray, n: float) -> np.ndarray:
-    """Weights of the features: none for those in more than MOST_COMMON of all documents, of which there are 10 at least."""
-    return np.where(seen > max(10.0, MOST_COMMON * n), 0.0, np.log((n + 1) / (seen + 1)) + 0.1)
+    """Weights of the features: none for those in more than MOST_COMMON of all documents, by three standard errors of that share."""
+    return np.where(seen > too_common(n), 0.0, np.log((n + 1) / (seen + 1)) + 0.1)
+
+
+def too_common(n: float) -> float:
+    """The number of documents that a word may be in and still weigh."""
+    return MOST_COMMON * n + 3 * np.sqrt(MOST_COMMON * (1 - MOST_COMMON) * n) + 1
 
 
 def _matrix(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -356,37 +364,46 @@ class Search:
         at, code = block.codes(h, f)
         run = np.searchsorted(begin, at, "right") - 1
         texts = text[run]
-        found = [np.zeros(0, np.int64)]
+        found, enough = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
         for items, shared in shared_words(block, at, code, run + texts + 1, texts, base, len(padded)):
             least = np.where(block.short[items], 1.0, min(self.copied, self.paraphrased)) * block.sizes[items]
             place, item = np.nonzero(shared[:-1] >= np.ceil(least - 1e-9).astype(shared.dtype))
             start = place - padded[place]  # the margin before a window is the run before it
             good = start < of[padded[place] + 1]
             found.append(start[good] * len(block.ids) + items[item[good]])
+            enough.append((shared[place, item] >= np.ceil(self.copied * block.sizes[items[item]] - 1e-9))[good])
         pair = np.concatenate(found)
         first, item = pair // len(block.ids), pair % len(block.ids)
         low = begin[first]
         high = np.minimum(ptr[1:][text[first]], low + block.runs[item] * RUN)
-        return pair[[self._weighs(block, i, h[a:b].tolist()) for a, b, i in zip(low.tolist(), high.tolist(), item.tolist(), strict=True)]] if len(pair) else pair
+        copied = np.concatenate(enough)
+        return pair[[c or self._weighs(block, i, h[a:b].tolist()) for a, b, i, c in zip(low.tolist(), high.tolist(), item.tolist(), copied.tolist(), strict=True)]] if len(pair) else pair
 
     def _weighs(self, block: Block, i: int, words: list[int]) -> bool:
         weighing = block.weighing[i]
         shared = Counter([w for w in words if w in weighing]) & weighing
         return sum(shared.values()) >= block.least_weighing[i]
 
+    def _compact(self, block: Block, i: int, words: list[int]) -> bool:
+        """Whether `copied` of the item's words stand in order within COMPACT times its length."""
+        size = int(block.sizes[i])
+        span = int(COMPACT * size)
+        return any(common_subsequence(block.masks[i], size, words[k : k + span]) >= self.copied * size for k in range(max(1, len(words) - span + 1)))
+
     def search(self, data: np.ndarray, offsets: np.ndarray):
         """The best window of each text and leaked item: (text, item_id, common, item words, cosine, answer found, first word)."""
         h, ptr = _words(data, offsets)
         best: dict = {}
         for block, begin, stop, items, cosines, texts in self.candidates(h, ptr):
             for a, b, i, cosine, t in zip(begin.tolist(), stop.tolist(), items.tolist(), cosines.tolist(), texts.tolist(), strict=True):
-                if not self._weighs(block, i, h[a:b].tolist()):
-                    continue
+                weighs = self._weighs(block, i, h[a:b].tolist())
                 a, b = max(int(ptr[t]), a - RUN), min(int(ptr[t + 1]), b + RUN)
                 words, size = h[a:b].tolist(), int(block.sizes[i])
                 if block.short[i] and not _stands(block.words[i].tolist(), words):
                     continue
                 common = common_subsequence(block.masks[i], size, words)
+                if not weighs and not (common >= self.copied * size and self._compact(block, i, words)):
+                    continue
                 tail = block.words[i][-self.answer_words :]
                 answer = common_subsequence(_masks(tail), len(tail), words) * 5 >= 4 * len(tail)
                 if common >= self.copied * size or (answer and common >= self.paraphrased * size):

@@ -121,9 +121,9 @@ def test_leaks_are_those_of_all_windows(spark):
     """leaks() against the checks of every window and item; many leaks are far below the least cosine."""
     docs, items = skewed()
     held = Counter(w for _, text in docs for w in set(text.split()))
-    weighs = [Counter(w for w in item.split() if held[w] <= L.MOST_COMMON * len(docs)) for _, item in items]
+    weighs = [Counter(w for w in item.split() if held[w] <= L.too_common(len(docs))) for _, item in items]
     plain = [sum(w.values()) < L.LEAST_INFORMATIVE for w in weighs]
-    want = set()
+    want, unfiltered = set(), set()
     for d, text in docs:
         words = text.split()
         for j, item in items:
@@ -132,7 +132,12 @@ def test_leaks_are_those_of_all_windows(spark):
                 window = words[max(0, a - L.RUN) : a + (runs + 1) * L.RUN]
                 common = lcs(own, window)
                 core = Counter(words[a : a + runs * L.RUN])
-                if not plain[j] and sum((core & weighs[j]).values()) < max(L.FEWEST_WEIGHING, L.LEAST_WEIGHING * sum(weighs[j].values())):
+                leaked = common >= 0.7 * len(own) or (common >= 0.5 * len(own) and lcs(own[-5:], window) >= 4)
+                if leaked:
+                    unfiltered.add((d, j))
+                span = int(L.COMPACT * len(own))
+                compact = common >= 0.7 * len(own) and any(lcs(own, window[k : k + span]) >= 0.7 * len(own) for k in range(max(1, len(window) - span + 1)))
+                if not compact and not plain[j] and sum((core & weighs[j]).values()) < max(L.FEWEST_WEIGHING, L.LEAST_WEIGHING * sum(weighs[j].values())):
                     continue
                 if common >= 0.7 * len(own) or (common >= 0.5 * len(own) and lcs(own[-5:], window) >= 4):
                     want.add((d, j))
@@ -140,6 +145,26 @@ def test_leaks_are_those_of_all_windows(spark):
     found = L.leaks(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in found} == want and len(found) == len(want) > 60
     assert sum(r.cosine < 0.3 for r in found) > 5
+    # items of these docs that were put in are found; what the rule of weighing words leaves out is chance
+    assert want <= unfiltered
+
+
+def test_a_copy_without_its_rare_words_is_a_leak(spark):
+    """24 of 31 words in order, the seven others being the item's rare ones; the same words strewn over a text are none."""
+    rng = random.Random(12)
+    common = [f"w{k}" for k in range(30)]
+    item = [rng.choice(common) for _ in range(31)]
+    rare = sorted(rng.sample(range(31), 7))
+    body = [w for k, w in enumerate(item) if k not in rare]
+    for k in rare:
+        item[k] = f"rare{k}"
+    prose = lambda n: [rng.choice(common) for _ in range(n)]
+    docs = [(k, " ".join(prose(120))) for k in range(120)]
+    docs.append((500, " ".join([*prose(40), *body, *prose(40)])))
+    strewn = [x for w in body for x in (w, f"other{rng.random()}")]
+    docs.append((501, " ".join([*prose(10), *strewn, *prose(10)])))
+    found = L.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.common_words) for r in found] == [(500, 24)]
 
 
 def test_distributed_svd_spans_the_leading_singular_vectors(spark):
