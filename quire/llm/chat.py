@@ -11,7 +11,7 @@ order, as a stream over sorted partitions: it holds one row and running digests,
 conversation's length.
 
 Defined cases: a null text or part is empty; a null role is the empty role; turns are ordered by `turn`,
-nulls first, ties by role and text; repeated rows are turns of their own; rows with a null conv_id are one
+nulls first, ties by the formatted row; repeated rows are turns of their own; rows with a null conv_id are one
 conversation with a null id; an empty table gives an empty table; other columns are left aside.
 """
 

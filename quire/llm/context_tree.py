@@ -383,10 +383,11 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         del by, found
         ptr, _, place = block_words(data, offsets)
         c = values["word"][place]
-        logs = np.concatenate([[0.0], np.cumsum(np.log10(c + 1.0))])[ptr]
+        # each text is summed on its own, so equal texts have equal sums
+        logs = np.bincount(np.repeat(np.arange(len(ptr) - 1), np.diff(ptr)), np.log10(c + 1.0), len(ptr) - 1)
         seen = np.concatenate([[0], np.cumsum(c > 0)])[ptr]
         n = np.diff(ptr) + 1
-        base = np.diff(logs) + np.log10(ends + 1.0) - n * np.log10(float(total + distinct + 1))
+        base = logs + np.log10(ends + 1.0) - n * np.log10(float(total + distinct + 1))
         del c, place
         keys, _ = block_sequences(data, offsets, train)
         sent = np.argsort(_buckets("sequence", keys, bucket_bits), kind="stable")

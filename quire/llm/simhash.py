@@ -298,16 +298,15 @@ def keep_one(docs: DataFrame, width: int = 4, radius: int = 4, seed: int = 42) -
 
     A document is what rows of one doc_id and text have in common.  Of a group, the document with the least doc_id
     stays, and of several texts under that doc_id the one of least hash; its repeated rows are cut to one.  Texts under
-    one doc_id that are no near-duplicates are documents of their own.  Rows without a doc_id cannot be told apart and
-    all stay.
+    one doc_id that are no near-duplicates are documents of their own.  Rows without a doc_id come after all others and are told
+    apart by their texts.
     """
-    key = F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("text"))
-    known = docs.where(F.col("doc_id").isNotNull())
-    prints = checkpoint(_keyed_fingerprints(known.select(key.alias("key"), "text"), width, seed))
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    key = F.struct(number.alias("id"), F.xxhash64(F.col("text").cast("string")).alias("text"))
+    prints = checkpoint(_keyed_fingerprints(docs.select(key.alias("key"), "text"), width, seed))
     distinct = checkpoint(prints.groupBy("fp").agg(F.min("key").alias("least")))
     kept = _components_of(distinct, radius).groupBy("root").agg(F.min("least").alias("least"))
     kept = kept.select(F.col("least.id").alias("__id"), F.col("least.text").alias("__text"))
     names = docs.columns
-    rows = known.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__text", F.xxhash64(F.col("text").cast("string")))
-    stay = rows.join(kept, ["__id", "__text"], "left_semi").dropDuplicates(["__id", "__text"]).select(*[F.col(f"`{c}`") for c in names])
-    return stay.unionByName(docs.where(F.col("doc_id").isNull()))
+    rows = docs.withColumn("__id", number).withColumn("__text", F.xxhash64(F.col("text").cast("string")))
+    return rows.join(kept, ["__id", "__text"], "left_semi").dropDuplicates(["__id", "__text"]).select(*[F.col(f"`{c}`") for c in names])

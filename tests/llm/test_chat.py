@@ -39,12 +39,13 @@ def test_read_back_matches_plain_python(spark):
     for c in range(40):
         for t in range(rng.randint(1, 8)):
             rows.append((c, t, rng.choice(["user", "assistant", "system", None]), rng.choice([None, "", "<|im_end|>\n", "plain é漢", "\\<\\|x", "a\nb" * 50])))
-    rows += [(None, 0, "user", "x"), (None, 1, "assistant", "y"), (50, 0, "assistant", "same"), (50, 0, "assistant", "same"), (51, None, "user", "n"), (52, 0, "assistant", "long " * 40_000)]
+    rows += [(None, 0, "user", "x"), (None, 1, "assistant", "y"), (50, 0, "assistant", "same"), (50, 0, "assistant", "same"), (51, None, "user", "n"), (53, 0, "user", "b"), (53, 0, "user", "a<|x"), (53, 0, "assistant", "z"), (53, 0, None, "a"), (52, 0, "assistant", "long " * 40_000)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
     found = {r.conv_id: r for r in C.read_back(C.format_turns(C.text_parts(df))).collect()}
     assert set(found) == {r[0] for r in rows}
     for c, r in found.items():
-        own = sorted((x for x in rows if x[0] == c), key=lambda x: -1 if x[1] is None else x[1])
+        row = lambda x: f"{C.START}{C.escape(x[2] or '')}\n{C.escape(x[3] or '')}{C.END}".encode()
+        own = sorted((x for x in rows if x[0] == c), key=lambda x: (-1 if x[1] is None else x[1], row(x)))  # ties by the formatted row
         said = "".join(f"{x[2] or ''}\n{x[3] or ''}\n" for x in own)
         loss = "".join(x[3] or "" for x in own if x[2] == "assistant")
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(own), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())

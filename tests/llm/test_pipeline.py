@@ -68,3 +68,23 @@ def test_run_and_empty_tables(spark, folder, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{at}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert P.run(spark, str(tmp_path)).collect() == []
+
+
+def test_long_texts_tied_ids_and_clashing_columns_go_through_all_stages(spark, folder, tmp_path):
+    rng = random.Random(13)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    long = prose(60_000)
+    rows = [(1001, long), (1001, prose(50)), (1001, prose(50)), (1002, long), (None, prose(50)), (None, None), (1003, ""), (1004, "one\ntwo\n" * 300)]
+    extra = ["key", "grp", "line", "part", "fp", "root", "text_", "__id", "numbers", "score", "ids"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *extra) for i, t in rows], schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{folder[0]}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    at = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in P.STAGES[:-1]:
+        at = P.checkpoint(stage(spark, at, str(tmp_path)))
+        assert at.columns == docs.columns
+    kept = sorted(str((r.doc_id, r.text)) for r in at.collect())
+    assert kept == sorted(str(x) for x in [rows[0], rows[1], rows[2], rows[4], rows[7], (1003, "")])  # the null text is a copy of the empty one
+    assert P.STAGES[-1][1](spark, at, str(tmp_path)).count() == 6
