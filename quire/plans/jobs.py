@@ -12,6 +12,7 @@ from quire.operators import asof, audit, dedupe, front_matter, series_lookup, sk
 from quire.plans.catalogue import query, table
 from quire.session import checkpoint, shared_folder
 from quire.sources import archive_job, archives
+from quire.streaming import sessions
 
 
 @query(
@@ -331,3 +332,19 @@ def wiki_addresses(spark, d):
     url = url.when(k % 4 == 2, F.concat(F.lit("http://zh.wikipedia.org/wiki/C%2Fd"), k, F.lit("?y"))).otherwise(F.col("url"))
     title = text.wiki_title(url)
     return table(spark, d, "pages").select("page_id", F.when(title != "", title).alias("title"))
+
+
+@query(
+    "event_sessions",
+    """WITH b AS (SELECT *, (event_id + (event_id % 11) * 90) // 300 AS batch FROM events), m AS (SELECT batch, max(ts) AS most FROM b GROUP BY batch),
+w AS (SELECT batch, max(most) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 2 HOUR AS mark FROM m),
+k AS (SELECT b.user_id, b.ts, b.value FROM b JOIN w ON w.batch = b.batch WHERE NOT coalesce(b.ts < mark, FALSE)),
+n AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS opens FROM k),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM n)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 1 HOUR AS stop, count(*) AS events, round(sum(value), 4) AS total FROM s GROUP BY user_id, session""",
+)
+def event_sessions(spark, d):
+    """Sessions of each user by event time, without the events that came late to their batch."""
+    events = table(spark, d, "events").select("event_id", "user_id", "ts", "value", F.floor((F.col("event_id") + (F.col("event_id") % 11) * 90) / 300).alias("batch"))
+    kept = sessions.with_lateness(events, "batch", "ts", "2 hours").where("NOT late")
+    return sessions.sessions(kept, "user_id", "ts", "1 hour", [F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("total")])
