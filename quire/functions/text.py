@@ -205,6 +205,11 @@ def content_categories(values: Column) -> Column:
     return F.filter(values, lambda v: (F.trim(v) != "") & ~F.trim(v).rlike("(?i)" + "|".join(K.MAINTENANCE_CATEGORIES)))
 
 
+def required(value: Column, name: Column) -> Column:
+    """The value, or an error that names what it was to be read from: for numbers that a run can't do without (ST14)."""
+    return F.when(value.isNotNull(), value).otherwise(F.raise_error(F.concat(F.lit("no volume number in "), F.coalesce(name, F.lit("null")))))
+
+
 def ordered_distinct(values: Column) -> Column:
     """Values in order, the first of those that are equal but for case (WI2, WI3)."""
     keys = F.transform(values, F.lower)

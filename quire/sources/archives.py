@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.functions import records
 from quire.functions.text import natural_key
 from quire.operators.filters import entry_rank, is_image
 from quire.sources import archive_job
@@ -22,10 +23,30 @@ COVER_IMAGES = (".jpg", ".jpeg", ".png", ".webp")
 ENTRIES = "archive string, idx int, name string, size long, data binary"
 
 
-def list_books(spark: SparkSession, folder: str, pattern: str = "*.epub") -> DataFrame:
-    """Paths of the books of a folder, in plain order of names (SC7, SC8, SC9)."""
+def list_books(spark: SparkSession, folder: str, pattern: str = "*.epub", natural: bool = False) -> DataFrame:
+    """Paths of the books of a folder, in plain order of names (SC7, SC9), or in natural order, as PDF files are taken (SC8)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return files.select(F.col("path").alias("archive"), "length").orderBy("archive")
+    found = files.select(F.col("path").alias("archive"), "length")
+    return found.orderBy(natural_key(F.regexp_extract("archive", "([^/]*)$", 1)), "archive") if natural else found.orderBy("archive")
+
+
+def chosen_books(spark: SparkSession, paths: DataFrame, suffix: str = ".pdf") -> DataFrame:
+    """(path, status) of paths that were named one by one: ok, `missing`, or `kind` for a file of another kind; anything but ok is exit code 2 (SC8).
+
+    paths: one path a row, few enough to be named by hand; a null path is missing.
+    """
+    conf = spark._jsc.hadoopConfiguration()
+
+    def there(path: str | None) -> bool:
+        if not path:
+            return False
+        file = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = file.getFileSystem(conf)
+        return files.exists(file) and files.getFileStatus(file).isFile()
+
+    rows = [(r.path, there(r.path)) for r in paths.select("path").collect()]
+    found = spark.createDataFrame(rows, "path string, there boolean")
+    return found.select("path", F.when(~F.col("there"), "missing").when(~F.lower("path").endswith(suffix), "kind").otherwise("ok").alias("status"))
 
 
 def count_books(books: DataFrame, folder: str) -> DataFrame:
@@ -95,6 +116,11 @@ def metadata_entry(entries: DataFrame) -> DataFrame:
     return ranked.groupBy("archive").agg(F.min_by(F.struct("name", "data"), F.struct("__rank", "idx")).alias("m")).select("archive", "m.name", "m.data")
 
 
+def read_records(entries: DataFrame) -> DataFrame:
+    """The record of each archive that has one, from the entry that readers prefer, beside its archive (SC11)."""
+    return records.from_xml(metadata_entry(entries).select("archive", F.col("data").cast("string").alias("xml")))
+
+
 def cover_entries(entries: DataFrame) -> DataFrame:
     """The first picture by name of each archive, null where it has none: what tells whether an existing file's cover is blank (FI13)."""
     picture = F.when(is_image(F.col("name"), COVER_IMAGES), F.struct("name", "data"))

@@ -87,6 +87,12 @@ def probes(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("folder", "wikitext", first("title", "title").alias("page_title"), F.when(F.col("p.pageid") != 0, F.col("p.pageid")).alias("pageid"), first("page_url", "page_url").alias("page_url"), first("wikibase_item", "wikibase_item").alias("wikibase_item"), first("extract", "extract").alias("summary"))
 
 
+def first_probe(found: DataFrame) -> DataFrame:
+    """The probe of least folder, which is taken where none is named (HP16)."""
+    row = F.struct(*[F.col(f"`{c}`") for c in found.columns])
+    return found.agg(F.min_by(row, "folder").alias("r")).where("r IS NOT NULL").select("r.*")
+
+
 _LISTS = ("author", "penciller", "publishers", "taiwan_publishers", "hongkong_publishers", "japan_publishers", "magazine", "genre", "tags")
 _TEXTS = ("title", "original_title", "english_title", "label", "start", "end")
 _WORK = ", ".join([*[f"`{c}` string" for c in _TEXTS], "volume_count bigint", "chapter_count bigint", *[f"{c} array<string>" for c in _LISTS], "raw_fields map<string,string>"])

@@ -97,6 +97,28 @@ def test_books_there_and_back(spark, tmp_path):
         A.write_archives(images, str(tmp_path / "out"), backup="error").collect()
 
 
+def test_listings_records_and_required_numbers(spark, tmp_path):
+    for name in ("b10.pdf", "b9.pdf", "2.pdf"):
+        (tmp_path / name).write_bytes(b"x")
+    listed = [r.archive.rsplit("/", 1)[1] for r in A.list_books(spark, str(tmp_path), "*.pdf", natural=True).collect()]
+    assert listed == ["b9.pdf", "b10.pdf", "2.pdf"]
+    paths = spark.createDataFrame([(str(tmp_path / "2.pdf"),), (str(tmp_path / "no.pdf"),), (str(tmp_path),), (None,)], "path string")
+    assert [r.status for r in A.chosen_books(spark, paths).collect()] == ["ok", "missing", "missing", "missing"]
+    archive(tmp_path / "a.cbz", [("x/ComicInfo.xml", "<ComicInfo><Series>far</Series></ComicInfo>"), ("ComicInfo.xml", "<ComicInfo><Series>near</Series></ComicInfo>")])
+    archive(tmp_path / "b.cbz", [("1.jpg", b"x")])
+    assert [r.series for r in A.read_records(A.read_entries(spark, str(tmp_path), "*.cbz")).collect()] == ["near"]
+    from quire.functions import text
+
+    df = spark.createDataFrame([("a", "7"), ("b", None)], "name string, n string")
+    assert df.where("n IS NOT NULL").select(text.required(F.col("n"), F.col("name"))).first()[0] == "7"
+    with pytest.raises(Exception, match="no volume number in b"):
+        df.select(text.required(F.col("n"), F.col("name"))).collect()
+    from quire.sources import wiki
+
+    probes = spark.createDataFrame([("p/b", 1), ("p/a", 2)], "folder string, x int")
+    assert wiki.first_probe(probes).first().x == 2 and wiki.first_probe(probes.limit(0)).count() == 0
+
+
 def test_entries_stay_inside(spark, tmp_path):
     archive(tmp_path / "bad.epub", [("../evil", b"x")])
     with pytest.raises(Exception, match="outside of the archive"):
