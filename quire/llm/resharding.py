@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from collections import deque
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm._spark import checkpoint
@@ -175,16 +175,51 @@ def rewrite_affected(placed: DataFrame, old: str, path: str, rows_a_file: int =
 
     Returns the shards written or, where no row is left, removed.  A shard is written by many tasks, a block of its
     slots each.  The rows come from a checkpoint, so they may have been read from `path` itself.
+
+    New shards are written beside the old ones; a file that lists what is to be replaced makes them count, and only then do
+    they take their places.  If the driver is lost before, nothing has changed; if it is lost after, finish() goes on, which the next
+    call does first.
     """
+    finish(placed.sparkSession, path)
     placed = checkpoint(placed)
     spark = placed.sparkSession
     moves = placed.where(F.coalesce(F.col(old), F.lit(0)) != F.col("shard")).select(F.coalesce(F.col(old), F.lit(0)).cast("int").alias("a"), "shard").distinct().collect()
     affected = sorted({r.a for r in moves} | {r.shard for r in moves})
     if affected:
         chosen = placed.where(F.col("shard").isin(affected)).withColumn("__file", F.floor(F.col("slot") / rows_a_file))
-        chosen.repartition("shard", "__file").drop("__file").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
-        filled = {r.shard for r in placed.where(F.col("shard").isin(affected)).select("shard").distinct().collect()}
-        for j in sorted(set(affected) - filled):  # an overwrite leaves partitions alone that get no row
-            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={j}")
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        chosen.repartition("shard", "__file").drop("__file").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/{_NEW}")
+        _stated(spark, path, affected)
+        finish(spark, path)
     return affected
+
+
+#: New shards before they count; readers pass over names with an underscore.
+_NEW = "_new"
+
+
+def _files(spark: SparkSession, path: str):
+    at = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    return at, at("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _stated(spark: SparkSession, path: str, shards: list[int]) -> None:
+    """The commit: a file of the shards that are replaced (+) or emptied (-), which is there as a whole or not at all."""
+    at, files = _files(spark, path)
+    out = files.create(at(f"{_NEW}/part.txt"), True)
+    out.writeBytes(",".join(f"{j}{'+' if files.exists(at(f'{_NEW}/shard={j}')) else '-'}" for j in shards))
+    out.close()
+    files.rename(at(f"{_NEW}/part.txt"), at(f"{_NEW}/shards.txt"))
+
+
+def finish(spark: SparkSession, path: str) -> None:
+    """Put stated new shards in the place of the old ones; what was done before a loss of the driver is passed over."""
+    at, files = _files(spark, path)
+    if not files.exists(at(f"{_NEW}/shards.txt")):
+        return
+    for stated in spark.read.text(f"{path}/{_NEW}/shards.txt").first().value.split(","):
+        shard, new = f"shard={stated[:-1]}", at(f"{_NEW}/shard={stated[:-1]}")
+        if stated[-1] == "-" or files.exists(new):  # a new shard that isn't there is in place already
+            files.delete(at(shard), True)
+            if stated[-1] == "+":
+                files.rename(new, at(shard))
+    files.delete(at(_NEW), True)

@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import resharding as R
 
@@ -111,3 +112,39 @@ def test_emptied_shards_leave_no_rows_and_names_may_clash(spark, tmp_path):
     assert 2 in R.rewrite_affected(placed, "shard_in", path)
     back = spark.read.parquet(path).collect()
     assert sorted(r.doc_id for r in back) == list(range(8)) and {r.shard for r in back} == {0, 1}
+
+
+def test_a_driver_lost_in_between_loses_and_repeats_no_row(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "shards")
+    first = spark.createDataFrame([(i, i % 3, i // 3) for i in range(30)], "doc_id long, shard int, slot long")
+    first.write.partitionBy("shard").parquet(path)
+    placed = first.select("doc_id", F.col("shard").alias("old"), F.when(F.col("shard") == 2, 0).otherwise(F.col("shard")).alias("shard"), F.col("doc_id").alias("slot"))
+    rows = lambda: sorted(r.doc_id for r in spark.read.parquet(path).collect())
+    done = R.finish
+    steps = []
+
+    def stop_before(n):
+        def finish(spark, path):
+            at, files = R._files(spark, path)
+            if steps and files.exists(at("_new/shards.txt")):
+                if n == 1:  # the first shard is in place, the emptied one is still there
+                    files.delete(at("shard=0"), True)
+                    files.rename(at("_new/shard=0"), at("shard=0"))
+                raise RuntimeError("lost")
+            steps.append(1)
+
+        return finish
+
+    for n in (0, 1):
+        steps.clear()
+        monkeypatch.setattr(R, "finish", stop_before(n))
+        with pytest.raises(RuntimeError, match="lost"):
+            R.rewrite_affected(placed, "old", path)
+        if n == 0:
+            assert rows() == list(range(30))
+        done(spark, path)
+        assert rows() == list(range(30)) and {r.shard for r in spark.read.parquet(path).select("shard").distinct().collect()} == {0, 1}
+        assert not (tmp_path / "shards" / "_new").exists()
+        first.write.mode("overwrite").partitionBy("shard").parquet(path)
+    monkeypatch.setattr(R, "finish", done)
+    assert R.rewrite_affected(placed, "old", path) == [0, 2] and rows() == list(range(30))
