@@ -15,6 +15,13 @@ def text(value: Column) -> Column:
     return F.nullif(plain, F.lit(""))
 
 
+def text_sql(value: str) -> str:
+    """text() of an SQL expression, as SQL."""
+    trimmed = lambda e: rf"regexp_replace({e}, r'(?U)^\s+|\s+$', '')"
+    bare = trimmed(f"cast({value} as string)")
+    return "nullif(" + trimmed(rf"regexp_replace({bare}, r'[\x00-\x08\x0B\x0C\x0E-\x1F]', '')") + ", '')"
+
+
 def integer(value: Column) -> Column:
     """An integer, else a number cut to one, else null."""
     plain = text(value)

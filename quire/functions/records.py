@@ -54,29 +54,47 @@ def _page(p: Column) -> Column:
     return F.struct(*[make[kind](p[name]).cast(_KINDS[kind]).alias(name) for name, _, kind in PAGE_ATTRIBUTES])
 
 
-def _values(value: Column, kind: str) -> Column:
-    """A list as it is written: joined with commas, and cut at all of them again."""
-    joined = F.array_join(value, ",") if kind.startswith("array") else value
-    return F.coalesce(clean.value_list(joined), F.array().cast("array<string>"))
+def _list_sql(name: str, kind: str) -> str:
+    """A list as it is written: joined with commas, cut at all of them again, and cleaned."""
+    joined = f"array_join(`{name}`, ',')" if kind.startswith("array") else f"`{name}`"
+    return f"coalesce(filter(transform(split({joined}, ','), v -> {clean.text_sql('v')}), v -> v is not null), cast(array() as array<string>))"
 
 
 def normalise(df: DataFrame) -> DataFrame:
-    """All fields of a record, normalised (SR6); those that `df` lacks are empty, and its other columns are kept."""
-    have, out = dict(df.dtypes), {}
+    """All fields of a record, normalised (SR6); those that `df` lacks are empty, and its other columns are kept.
+
+    Two projections: the first cleans texts and lists, the second turns them into what the fields are, so a cleaned value is worked out
+    once.  Both are SQL texts, as thousands of Column calls take longer than the work itself.
+    """
+    have = dict(df.dtypes)
+    others = [c for c in df.columns if c not in {n for n, _, _ in FIELDS}]
+    first, second = [], []
     for name, _, kind in FIELDS:
-        value = F.col(name) if name in have else F.lit(None).cast(_KINDS[kind])
+        at, out = f"`__{name}`", f"`{name}`"
+        if name not in have:
+            empty = "cast(array() as {})" if kind in ("list", "pages") else "cast(null as {})"
+            second.append(F.expr(empty.format(_KINDS[kind])).alias(name))
+            continue
+        if kind == "pages":
+            second.append(F.coalesce(F.filter(F.transform(F.col(f"__{name}"), _page), lambda p: p["image"].isNotNull()), F.array().cast(_KINDS["pages"])).alias(name))
+            first.append(F.col(out).alias(f"__{name}"))
+            continue
+        first.append(F.expr(_list_sql(name, have[name]) if kind == "list" else f"cast({out} as string)" if kind == "rating" else clean.text_sql(out)).alias(f"__{name}"))
         if kind == "list":
-            out[name] = _values(value, have.get(name, "array"))
+            value = f"filter({at}, (v, i) -> array_position(transform({at}, x -> lower(x)), lower(v)) = i + 1)"
         elif kind == "enum":
             allowed, default = VOCABULARIES[name]
-            plain = clean.text(value)
-            out[name] = F.when(plain.isNotNull(), clean.one_of(plain, allowed, default))
-        elif kind == "pages":
-            out[name] = F.coalesce(F.filter(F.transform(value, _page), lambda p: p["image"].isNotNull()), F.array().cast(_KINDS["pages"]))
+            names = ", ".join(f"'{x}'" for x in allowed)
+            value = f"case when {at} is not null then coalesce(get(filter(array({names}), a -> lower(a) = lower(trim({at}))), 0), '{default}') end"
+        elif kind == "int":
+            value = f"coalesce(try_cast({at} as bigint), try_cast(try_cast({at} as double) as bigint))"
+        elif kind == "rating":
+            value = f"case when round(try_cast({at} as decimal(20,6)), 1) between 0 and 5 then cast(round(try_cast({at} as decimal(20,6)), 1) as decimal(2,1)) end"
         else:
-            out[name] = {"text": clean.text, "int": clean.integer, "rating": clean.rating}[kind](value)
-    others = [c for c in df.columns if c not in out]
-    return df.select(*[F.col(f"`{c}`") for c in others], *[v.cast(_KINDS[k]).alias(n) for (n, v), (_, _, k) in zip(out.items(), FIELDS, strict=True)])
+            value = at
+        second.append(F.expr(f"cast({value} as {_KINDS[kind]})").alias(name))
+    kept = [F.col(f"`{c}`") for c in others]
+    return df.select(*kept, *first).select(*kept, *second)
 
 
 def _escaped(value: Column, attribute: bool = False) -> Column:
@@ -104,8 +122,9 @@ def to_xml() -> Column:
         if kind == "pages":
             parts.append(F.when(F.size(value) > 0, F.concat(F.lit("\n  <Pages>"), F.array_join(F.transform(value, _page_xml), ""), F.lit("\n  </Pages>"))).otherwise(""))
             continue
-        value = F.nullif(F.array_join(value, ", "), F.lit("")) if kind == "list" else value.cast("string")
-        parts.append(F.when(value.isNotNull(), F.concat(F.lit(f"\n  <{tag}>"), _escaped(value), F.lit(f"</{tag}>"))).otherwise(""))
+        said = f"nullif(array_join(`{name}`, ', '), '')" if kind == "list" else f"cast(`{name}` as string)"
+        said = f"replace(replace(replace({said}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+        parts.append(F.expr(f"coalesce(concat('\\n  <{tag}>', {said}, '</{tag}>'), '')"))
     inner = F.concat(*parts)
     return F.concat(F.lit("<?xml version='1.0' encoding='utf-8'?>\n<ComicInfo>"), inner, F.when(inner != "", "\n").otherwise(""), F.lit("</ComicInfo>"))
 
