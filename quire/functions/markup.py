@@ -178,7 +178,7 @@ def _template_text(body: str) -> str:
     return shown[-1] if shown and name.lower() not in SILENT_TEMPLATES else ""
 
 
-# (pattern, what it becomes) before links and templates are resolved, and after.
+# Fixed values: (pattern, what it becomes) before links and templates are resolved, and after, in their order.
 _BEFORE = [(re.compile(p, f), r) for p, f, r in ((r"<!--.*?-->", re.S, ""), (r"<ref\b[^>/]*/>", re.I, ""), (r"<ref\b[^>]*>.*?</ref>", re.I | re.S, ""), (r"<br\s*/?>", re.I, ", "), (r"</?(?:small|span)[^>]*>", re.I, ""), (r"'{2,3}", 0, ""))]
 _AFTER = [(re.compile(p), r) for p, r in ((r"\[https?://[^\s\]]+\s+([^\]]+)\]", r"\1"), (r"\[https?://[^\]]+\]", ""), (r"<[^>]+>", ""), (r"\s+", " "), (r"\s*[,，、]\s*$", ""))]
 _LINK, _TEMPLATE = re.compile(r"\[\[([^\[\]]+)\]\]"), re.compile(r"\{\{([^{}]*)\}\}")

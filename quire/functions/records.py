@@ -1,4 +1,4 @@
-"""The metadata record of an archive: 49 fields, normalised, as XML and back, and filled from wiki pages (SR3-SR12).
+"""The metadata record of an archive: 49 fields, normalised, as XML and back, and filled from wiki pages (SR3-SR8, SR10-SR12).
 
 A record is a row whose columns are named as in FIELDS.  All of it is column expressions; XML is written by
 concatenation, byte for byte in one layout, and read by from_xml.

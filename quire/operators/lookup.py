@@ -9,8 +9,9 @@ from quire.functions.text import letters_key
 from quire.operators.dedupe import first_wins
 from quire.operators.pages import query_tokens
 
-# Words for side stories.
+# Words for side stories, and hints for those of one series.
 SIDE_STORIES = ("外傳", "番外")
+HINT_NAME, HINT_LETTERS, HINT = "讓葉", "lc", 4
 
 
 def ordered_inner(spine: DataFrame, manifest: DataFrame, key: str, manifest_order: str) -> DataFrame:
@@ -48,7 +49,10 @@ def title_score(title: Column, query: Column, count: Column) -> Column:
     words = F.filter(query_tokens(query), lambda w: F.contains(t, letters_key(w)))
     whole = F.when((t != "") & (t == q), 10).when((t != "") & (F.contains(t, q) | F.contains(q, t)), 5).otherwise(0)
     sides = sum((F.when(F.contains(query, F.lit(w)) & F.contains(title, F.lit(w)), 3).otherwise(0) for w in SIDE_STORIES), F.lit(0))
-    return whole + sides + F.when(count.isNotNull(), 1).otherwise(0) + 3 * F.size(words)
+    holds = lambda c, w: F.contains(c, F.lit(w))
+    named = F.when(holds(query, HINT_NAME) & holds(title, HINT_NAME), HINT).otherwise(0)
+    other = F.when(holds(q, HINT_LETTERS) & holds(query, SIDE_STORIES[0]) & holds(title, SIDE_STORIES[0]) & ~holds(title, HINT_NAME), HINT).otherwise(0)
+    return whole + sides + F.when(count.isNotNull(), 1).otherwise(0) + 3 * F.size(words) + named + other
 
 
 def titles_related(query: Column, title: Column) -> Column:

@@ -47,7 +47,7 @@ def _any(column: str, words) -> str:
 SELECT page_id, url FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY page_id) AS r FROM k) WHERE r = 1""",
 )
 def page_keyword_filter(spark, d):
-    """Junk words in name or content drop a page, the first page of an address stays, in page order (FI1, FI2, WI1, SO4)."""
+    """Junk words in name or content drop a page, the first page of an address stays, in page order (FI1, FI2, WI1)."""
     clean = table(spark, d, "pages").where(~filters.junk_page(F.col("url"), F.col("html"), NAME_WORDS, CONTENT_WORDS)).select("page_id", "url")
     return dedupe.first_wins(clean, F.regexp_replace(F.lower("url"), "[?#].*$", ""), ["page_id"]).orderBy("page_id")
 
@@ -90,7 +90,7 @@ s AS (SELECT *, concat(CASE WHEN r LIKE '/%' THEN '/' ELSE '' END, array_to_stri
 SELECT page_id, CAST(ord AS INTEGER) AS ord, form AS href, CASE WHEN path = '' THEN '.' ELSE path END AS path FROM s""",
 )
 def href_extract_normalize(spark, d):
-    """Links of each page in document order, in seven forms by their place, normalised (ST1, ST3, ST4)."""
+    """Links of each page in document order, in seven forms by their place, normalised (ST1)."""
     hrefs = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
     rows = table(spark, d, "pages").select("page_id", F.posexplode(hrefs).alias("ord", "link")).withColumn("ord", F.col("ord") + 1)
     form = None
@@ -397,7 +397,7 @@ def json_version_gate(spark, d):
     """SELECT l_returnflag, CAST(least(15, floor((l_quantity - 1) / 49 * 16)) AS INTEGER) AS bin, count(*) AS n, round(stddev_pop(l_extendedprice), 4) AS spread FROM lineitem GROUP BY 1, 2""",
 )
 def group_stats_hist(spark, d):
-    """Population spread and a histogram of 16 bins, the last one closed (IM1's and IM2's shape)."""
+    """Population spread and a histogram of 16 bins, the last one closed (the shape of a picture's measures)."""
     bin_ = F.least(F.lit(15), F.floor((F.col("l_quantity") - 1) / 49 * 16)).cast("int")
     return table(spark, d, "lineitem").groupBy("l_returnflag", bin_.alias("bin")).agg(F.count("*").alias("n"), F.round(F.stddev_pop("l_extendedprice"), 4).alias("spread"))
 
