@@ -150,15 +150,17 @@ def generalised(spelled: DataFrame, agree: int) -> DataFrame:
         joined = dealt.join(_for_parts(groups).drop("lines"), ["grp", "part"])
         same = F.size(F.filter("constants", lambda c: F.get("tokens", c["place"]) == c["token"]))
         taken = F.lit(10) * same >= F.lit(agree) * F.size("tokens")
-        named = joined.where(taken).select("line", F.xxhash64("grp", F.lit("template")).alias("template"))
+        place = -F.col("cut.col2")
+        settled = F.lit(10) * F.size("constants") >= F.lit(agree) * F.size("tokens")
+        further = F.when(settled, F.xxhash64("grp", F.lit("rest"))).when(place.isNotNull(), F.xxhash64("grp", place, F.get("tokens", place)))
+        # what a round says of each line is narrow and stored once; tokens are fetched again for lines that still have a group
+        marks = checkpoint(joined.select("line", F.when(taken, F.xxhash64("grp", F.lit("template"))).alias("template"), F.when(~taken, further).alias("grp")))
+        named = marks.where(F.col("template").isNotNull()).select("line", "template")
         found = named if found is None else found.unionByName(named)
         if k + 1 < ROUNDS:
-            place = -F.col("cut.col2")
-            settled = F.lit(10) * F.size("constants") >= F.lit(agree) * F.size("tokens")
-            further = F.when(settled, F.xxhash64("grp", F.lit("rest"))).when(place.isNotNull(), F.xxhash64("grp", place, F.get("tokens", place)))
-            rest = joined.where(~taken).select("line", "tokens", further.alias("grp")).where(F.col("grp").isNotNull())
-            sizes = rest.groupBy("grp").agg(F.count("*").alias("lines")).where("lines > 1")
-            state = checkpoint(rest.join(sizes, "grp"))
+            left = marks.where(F.col("grp").isNotNull()).select("line", "grp")
+            sizes = left.groupBy("grp").agg(F.count("*").alias("lines")).where("lines > 1")
+            state = checkpoint(spelled.select("line", "tokens").join(left.join(sizes, "grp"), "line"))
     return found
 
 
@@ -169,7 +171,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = 2, short_docs: int = 5, lon
     distinct = lines.groupBy("leaf", "line").agg(F.first("size").alias("size")).where(F.col("size") > DEPTH)
     full = distinct.groupBy("leaf").agg(F.count("*").alias("lines")).where("lines > 1")
     chosen = distinct.join(full, "leaf").select("leaf", "line", "lines")
-    general = checkpoint(generalised(checkpoint(spell(docs, chosen)), agree))
+    general = generalised(checkpoint(spell(docs, chosen)), agree)
     named = lines.join(general, "line", "left").withColumn("template", F.coalesce("template", "line"))
     named = checkpoint(named.select("ord", "rid", "number", "size", "template"))
     held = named.groupBy("template", "ord", "rid").agg(F.first("size").alias("size"))
