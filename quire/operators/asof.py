@@ -1,4 +1,4 @@
-"""Joins by time: the last row before (as-of), and overlapping intervals. Both split a hot key or a dense stretch of time over tasks."""
+"""Joins by time: the last row before (as-of), and overlapping intervals, as pairs or summed up. All split a hot key or a dense stretch of time over tasks."""
 
 from __future__ import annotations
 
@@ -72,3 +72,57 @@ def overlaps(left: DataFrame, right: DataFrame, start: str, stop: str, parts: in
     pairs = dealt(left, "l").join(dealt(right, "r"), "__bin")
     near = (F.col("__la") < F.col("__rb")) & (F.col("__ra") < F.col("__lb")) & (F.col("__bin") == F.greatest("__lbin", "__rbin"))
     return pairs.where(near).select("l", "r")
+
+
+def _whole(df: DataFrame, name: str) -> Column:
+    """A time as a long that keeps its order and distances: microseconds of dates and timestamps, and whole numbers as they are."""
+    kind = dict(df.dtypes)[name]
+    if kind.startswith(("timestamp", "date")):
+        return F.unix_micros(F.col(f"`{name}`").cast("timestamp"))
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{name} is {kind}; sums over overlaps are exact for dates, timestamps and whole numbers")
+    return F.col(f"`{name}`").cast("long")
+
+
+def overlap_sums(left: DataFrame, right: DataFrame, start: str, stop: str, values: list[str], parts: int = 64) -> DataFrame:
+    """left with, over the right intervals that overlap its own, their number `n`, the sum of each of `values` and of the shared lengths, `shared`.
+
+    What overlaps(left, right) would give when summed up by left row, but no pair is made.  Of proper intervals, those that don't overlap
+    [a, b) have ended by a or begin at b or later, never both, so sums over the overlapping ones are differences of two running sums;
+    the shared length is the difference of the time that intervals ran until b and until a.  Running sums have a row for each
+    different time and are cut at quantiles into `parts` ranges, each of which adds what the ranges before it came to.
+
+    Left rows that overlap nothing, are empty or have a null end are left out.  Values are whole numbers, nulls count 0; sums are decimals.
+    """
+    exact = lambda c: c.cast("decimal(38,0)")
+    names = ["n", "t", *values]
+
+    def steps(end: str, side: str) -> DataFrame:
+        a, b = _whole(right, start), _whole(right, stop)
+        t = a if end == start else b
+        rows = right.where(a < b).select(t.alias("__t"), *[F.coalesce(F.col(f"`{c}`").cast("long"), F.lit(0)).alias(c) for c in values])
+        sums = [exact(F.count("*")).alias(f"n_{side}"), exact(F.count("*") * exact(F.col("__t"))).alias(f"t_{side}"), *[F.sum(exact(F.col(c))).alias(f"{c}_{side}") for c in values]]
+        return rows.groupBy("__t").agg(*sums)
+
+    a, b = _whole(left, start), _whole(left, stop)
+    own = left.where(a < b).select(F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("__row"), a.alias("__a"), b.alias("__b"))
+    asked = own.select(F.col("__a").alias("__t")).union(own.select("__b")).distinct()
+    every = asked.join(steps(start, "a"), "__t", "full").join(steps(stop, "b"), "__t", "full")
+    sums = [f"{c}_{side}" for side in "ab" for c in names]
+    edges = _edges(every.select(F.col("__t").cast("double").alias("t")), parts)
+    every = every.select("__t", _bin(F.col("__t").cast("double"), edges).alias("__bin"), *[F.coalesce(F.col(c), exact(F.lit(0))).alias(c) for c in sums])
+    # begun: strictly before the time; ended: at it or before
+    earlier = Window.partitionBy("__bin").orderBy("__t").rowsBetween(Window.unboundedPreceding, -1)
+    until = Window.partitionBy("__bin").orderBy("__t").rowsBetween(Window.unboundedPreceding, 0)
+    here = every.select("__t", "__bin", *[exact(F.sum(c).over(earlier if c.endswith("_a") else until)).alias(c) for c in sums])
+    before = Window.partitionBy("__all").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = every.groupBy("__bin").agg(*[exact(F.sum(c)).alias(c) for c in sums]).withColumn("__all", F.lit(0))
+    ranges = ranges.select("__bin", *[F.coalesce(exact(F.sum(c).over(before)), F.lit(0)).alias(f"__{c}") for c in sums])
+    total = here.join(F.broadcast(ranges), "__bin").select("__t", F.struct(*[exact(F.coalesce(c, F.lit(0)) + F.col(f"__{c}")).alias(c) for c in sums]).alias("__s"))
+    at = lambda name: total.select(F.col("__t").alias(f"__{name}"), F.col("__s").alias(f"__at_{name}"))
+    rows = own.join(at("a"), "__a").join(at("b"), "__b")
+    low, high = F.col("__at_a"), F.col("__at_b")
+    ran = lambda t, s: exact(exact(t) * exact(s["n_a"] - s["n_b"])) - s["t_a"] + s["t_b"]
+    out = [exact(high[f"{c}_a"] - low[f"{c}_b"]).alias(c) for c in values]
+    rows = rows.withColumn("__n", (high["n_a"] - low["n_b"]).cast("long")).where("__n > 0")
+    return rows.select("__row.*", F.col("__n").alias("n"), *out, exact(ran(F.col("__b"), high) - ran(F.col("__a"), low)).alias("shared"))

@@ -36,6 +36,26 @@ def test_overlaps(spark, parts):
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
 
 
+@pytest.mark.parametrize("parts", [1, 9])
+def test_overlap_sums_are_those_of_the_pairs_and_make_none(spark, parts):
+    r = random.Random(3)
+    some = lambda n: [(i, a, a + r.choice([0, -1, 1, 2, 3, 90])) for i, a in enumerate(r.choice([5, r.randrange(100)]) for _ in range(n))] + [(n, None, 5), (n + 1, 5, None), (n + 2, -1000, 1000)]
+    left, right = some(80), [(None if i % 9 == 0 else i, a, b) for i, a, b in some(60)]
+    frame = lambda rows: spark.createDataFrame(rows, "id int, a int, b int")
+    found = asof.overlap_sums(frame(left), frame(right).withColumnRenamed("id", "v"), "a", "b", ["v"], parts)
+    ok = lambda x: x[1] is not None and x[2] is not None and x[1] < x[2]
+    want = {}
+    for x in filter(ok, left):
+        near = [y for y in right if ok(y) and x[1] < y[2] and y[1] < x[2]]
+        if near:
+            want[x[0]] = len(near), sum(y[0] or 0 for y in near), sum(min(x[2], y[2]) - max(x[1], y[1]) for y in near)
+    assert {x.id: (x.n, int(x.v), int(x.shared)) for x in found.collect()} == want and len(want) > 40
+    # two crowds that all overlap: four hundred million pairs, and sums beyond a double's whole numbers
+    crowd = spark.range(20_000).select((F.col("id") + 2**50).alias("v"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("a"), F.timestamp_seconds(1_700_000_001 + F.col("id") % 2).alias("b"))
+    one = asof.overlap_sums(crowd.select("a", "b"), crowd, "a", "b", ["v"], parts).agg(F.sum("n").alias("n"), F.max("v").alias("v"), F.sum("shared").alias("s")).first()
+    assert (one.n, int(one.v)) == (20_000**2, 20_000 * 2**50 + 19_999 * 10_000) and int(one.s) == 10_000**2 * 5 * 1_000_000
+
+
 def test_an_audit_is_one_pass(spark, tmp_path):
     rows = [(k, f"d//p{k % 7}.JPG" if k % 2 else f"d/./p{k % 7}.jpg", k % 5 == 0) for k in range(40)] + [(40, None, False)]
     spark.createDataFrame(rows, "place int, path string, white boolean").repartition(3).write.parquet(str(tmp_path / "in"))
