@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import bisect
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.functions import constants as K
 
@@ -173,12 +176,85 @@ def greedy_sizes(df: DataFrame, group: str, order: str, width: str, height: str,
     return fold(rows.asTable().partitionBy("g").orderBy("o", "w", "h"))
 
 
+def _at_most(x: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the ascending numbers, the first and the place after the last one whose difference to it, as doubles, is `most` or less.
+
+    A rounded difference grows with the number it is taken from, so these are a range; a search by x - most finds it but for rounding.
+    """
+    n = len(x)
+    low, high = np.searchsorted(x, x - most, "left"), np.searchsorted(x, x + most, "right")
+    while (m := (low > 0) & (x - x[low - 1] <= most)).any():
+        low = low - m
+    while (m := x - x[low] > most).any():
+        low = low + m
+    while (m := (high < n) & (x[np.minimum(high, n - 1)] - x <= most)).any():
+        high = high + m
+    while (m := x[high - 1] - x > most).any():
+        high = high - m
+    return low, high
+
+
+def _weight_below(rank: np.ndarray, weight: np.ndarray, low: np.ndarray, high: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """For each query, the weight of the places low to high (without it) whose rank is below `bound`; bit by bit, so n log n in all."""
+    total, low, high = np.zeros(len(low), np.int64), low.copy(), high.copy()
+    for bit in reversed(range(int(max(rank.max(), bound.max())).bit_length())):
+        one = (rank >> bit & 1).astype(bool)
+        zeros = np.concatenate([[0], np.cumsum(~one)])
+        sums = np.concatenate([[0], np.cumsum(np.where(one, 0, weight))])
+        up = (bound >> bit & 1).astype(bool)
+        total += np.where(up, sums[high] - sums[low], 0)
+        low, high = (np.where(up, zeros[-1] + k - zeros[k], zeros[k]) for k in (low, high))
+        order = np.concatenate([np.flatnonzero(~one), np.flatnonzero(one)])
+        rank, weight = rank[order], weight[order]
+    return total
+
+
+def _pairs_of(x: np.ndarray, y: np.ndarray, n: np.ndarray, own: np.ndarray, most_x: float, most_y: float) -> int:
+    """Pairs within both bands, of which the lower by (x, y) is one of `own`; n counts the rows of each different point."""
+    order = np.lexsort((y, x))
+    x, y, n, own = x[order], y[order], n[order], own[order]
+    xs, at = np.unique(x, return_inverse=True)
+    ys, rank = np.unique(y, return_inverse=True)
+    last = np.searchsorted(at, _at_most(xs, most_x)[1])[at]  # the place after the last point near by x
+    first = np.arange(1, len(x) + 1)
+    y_low, y_high = (edge[rank] for edge in _at_most(ys, most_y))
+    ask = own & (first < last)
+    pairs = (n[own] * (n[own] - 1) // 2).sum()
+    if ask.any():
+        near = _weight_below(rank, n, first[ask], last[ask], y_high[ask]) - _weight_below(rank, n, first[ask], last[ask], y_low[ask])
+        pairs += (n[ask] * near).sum()
+    return int(pairs)
+
+
+def _pairs_by(df: DataFrame, keys: list[str], x: str, y: str, most_x: float, most_y: float) -> DataFrame:
+    """(*keys, pairs): pairs of rows within both bands.  Equal points are one with their number; a bucket of x meets the next one alone."""
+    usable = lambda c: F.col(c).isNotNull() & (F.abs(F.col(c)) < float("inf"))
+    points = df.select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).where(usable("__x") & usable("__y"))
+    points = points.groupBy(*keys, "__x", "__y").agg(F.count("*").alias("__n"))
+    width = most_x * (1 + 2**-20) or 1.0  # a little more, so that a difference that is rounded down to most_x spans two buckets
+    own = F.floor(F.col("__x") / width)
+    dealt = points.select("*", F.explode(F.array(F.struct(own.alias("b"), F.lit(True).alias("own")), F.struct((own - 1).alias("b"), F.lit(False).alias("own")))).alias("__to")).select(*keys, "__x", "__y", "__n", F.col("__to.b").alias("__b"), F.col("__to.own").alias("__own"))
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("__pairs", T.LongType())])
+
+    def count(t: pa.Table) -> pa.Table:
+        x, y, n, own = (t[c].to_numpy() for c in ("__x", "__y", "__n", "__own"))
+        pairs = _pairs_of(x, y, n, own.astype(bool), most_x, most_y) if own.any() else 0
+        return t.select(keys).slice(0, 1).append_column("__pairs", pa.array([pairs], pa.int64()))
+
+    return dealt.groupBy(*keys, "__b").applyInArrow(count, schema).groupBy(*keys).agg(F.sum("__pairs").alias("pairs"))
+
+
 def band_pairs(df: DataFrame, group: str, id_: str, x: str, y: str, most_x: float, most_y: float) -> DataFrame:
-    """For each group, how many pairs i < j lie within both bands (JN7); x is bucketed, so the pairs are found by equality of buckets."""
-    a = df.select(group, F.col(id_).alias("i"), F.col(x).alias("xi"), F.col(y).alias("yi"), F.floor(F.col(x) / most_x).alias("b"))
-    b = df.select(group, F.col(id_).alias("j"), F.col(x).alias("xj"), F.col(y).alias("yj"), F.explode(F.array(*[F.floor(F.col(x) / most_x) + k for k in (-1, 0, 1)])).alias("b"))
-    near = (F.col("i") < F.col("j")) & (F.abs(F.col("xi") - F.col("xj")) <= most_x) & (F.abs(F.col("yi") - F.col("yj")) <= most_y)
-    return a.join(b, [group, "b"]).where(near).groupBy(group).agg(F.count("*").alias("pairs"))
+    """For each group that has some, how many pairs i < j lie within both bands (JN7), x and y as doubles.
+
+    Pairs are counted, not made: points are sorted by x, and each asks how many of those after it, within x's band, lie within y's.
+    That takes n log n steps.  Rows of one id are no pair, so where an id comes more than once, its own pairs are taken off.
+    """
+    rows = df.where(F.col(group).isNotNull() & F.col(id_).isNotNull())
+    again = rows.groupBy(group, id_).agg(F.count("*").alias("__copies")).where("__copies > 1").drop("__copies")
+    same = _pairs_by(rows.join(again, [group, id_]), [group, id_], x, y, most_x, most_y).groupBy(group).agg(F.sum("pairs").alias("__same"))
+    found = _pairs_by(rows, [group], x, y, most_x, most_y).join(same, group, "left")
+    return found.select(group, (F.col("pairs") - F.coalesce("__same", F.lit(0))).alias("pairs")).where("pairs > 0")
 
 
 def page_order(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import records as R
-from quire.operators import asof, audit, sketches
+from quire.operators import asof, audit, series, sketches
 
 
 @pytest.mark.parametrize("parts", [1, 7, 64])
@@ -56,6 +56,22 @@ def test_overlap_sums_are_those_of_the_pairs_and_make_none(spark, parts):
     assert (one.n, int(one.v)) == (20_000**2, 20_000 * 2**50 + 19_999 * 10_000) and int(one.s) == 10_000**2 * 5 * 1_000_000
 
 
+def test_band_pairs_are_counted_and_not_made(spark):
+    r = random.Random(4)
+    rows = [(r.choice(["a", "b", None]), r.choice([None, *range(90)]), r.choice([900 + r.randrange(400) / 10, r.random() * 20, None, float("nan"), float("inf")]), r.choice([None, *range(12)])) for _ in range(400)]
+    rows += [("c", 1, 5.0, 1), ("c", 2, -1e-20, 1), ("d", 1, 1.0, 1), ("d", 1, 1.0, 1), ("d", None, 1.0, 1)]
+    found = series.band_pairs(spark.createDataFrame(rows, "g string, i int, x double, y int"), "g", "i", "x", "y", 5.0, 4)
+    want = {}
+    for g, i, x, y in rows:
+        for h, j, u, v in rows:
+            if None not in (g, i, x, y, h, j, u, v) and g == h and i < j and abs(x - u) <= 5.0 and abs(y - v) <= 4:
+                want[g] = want.get(g, 0) + 1
+    assert {x.g: x.pairs for x in found.collect()} == want and want["c"] == 1 and "d" not in want
+    # a crowd at one point and around it: more than a hundred million pairs
+    crowd = spark.range(30_000).select(F.lit("a").alias("g"), F.col("id").alias("i"), (F.col("id") % 2 * 5).cast("double").alias("x"), (F.col("id") % 3).alias("y"))
+    assert series.band_pairs(crowd, "g", "i", "x", "y", 5.0, 4).first().pairs == 30_000 * 29_999 // 2
+
+
 def test_an_audit_is_one_pass(spark, tmp_path):
     rows = [(k, f"d//p{k % 7}.JPG" if k % 2 else f"d/./p{k % 7}.jpg", k % 5 == 0) for k in range(40)] + [(40, None, False)]
     spark.createDataFrame(rows, "place int, path string, white boolean").repartition(3).write.parquet(str(tmp_path / "in"))
