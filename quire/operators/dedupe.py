@@ -5,10 +5,14 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.session import checkpoint
+
 
 def first_wins(df: DataFrame, key: Column | str, order: list[str], last: bool = False) -> DataFrame:
     """One row of each key: the first (or last) by the order columns (WI1, JN6 with a key of both sides)."""
@@ -135,20 +139,132 @@ def near_prints(pages: DataFrame, known: DataFrame, most_aspect: int = 8, differ
     return rows.where(F.col("band") == first).select("p", "q", "d", "a")
 
 
-def nearest_fingerprint(pages: DataFrame, known: DataFrame, id_: str, most_aspect: int = 8, difference_bits: int = 16, average_bits: int = 20) -> DataFrame:
+MOST = np.iinfo(np.int64).max
+_RANK = 40  # bits of a key that hold the place of an id; above them are both distances
+
+
+def _two_least(keys: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """For each of n rows the least of its keys and the least one of another id; `at` is the row of each key, ascending."""
+    out = np.full((n, 2), MOST)
+    if len(at):
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        out[at[first], 0] = np.minimum.reduceat(keys, first)
+        other = np.where((keys ^ out[at, 0]) & ((1 << _RANK) - 1) == 0, MOST, keys)
+        out[at[first], 1] = np.minimum.reduceat(other, first)
+    return out
+
+
+def _ring_search(asked: tuple, known: tuple, most_aspect: int, difference_bits: int, average_bits: int) -> np.ndarray:
+    """Keys of the two nearest known fingerprints of different ids for each one asked for: difference, average, place of the id.
+
+    asked and known are (aspect, difference, average), known in order of ids, whose places are its fourth part.  Rows are gathered in cells
+    by how many bits they have set in each part of the difference hash, of which there are more if more rows are known.  These counts differ by no more than the bits, so a cell's
+    rows go through the known cells by their distance from it and stop where no cell can have anything nearer.
+    """
+    split = 1 if len(known[0]) < 20_000 else 2 if len(known[0]) < 200_000 else 4
+    masks = [np.uint64(sum(1 << i for i in range(k, 64, split))) for k in range(split)]
+    counts = lambda words: np.stack([np.bitwise_count(words & m).sum(1) for m in masks], 1).astype(np.int16)
+    cells, cell = np.unique(counts(known[1]), axis=0, return_inverse=True)
+    order = np.argsort(cell.ravel(), kind="stable")
+    bounds = np.searchsorted(cell.ravel()[order], np.arange(len(cells) + 1))
+    own, mine = np.unique(counts(asked[1]), axis=0, return_inverse=True)
+    out = np.full((len(asked[0]), 2), MOST)
+    by_cell = np.argsort(mine.ravel(), kind="stable")
+    for c, rows in enumerate(np.split(by_cell, np.cumsum(np.bincount(mine.ravel(), minlength=len(own)))[:-1])):
+        away = np.abs(cells - own[c]).sum(1)
+        for ring in np.unique(away[away <= difference_bits]):
+            bound = np.minimum(out[rows, 1] >> (_RANK + 10), difference_bits)
+            rows, bound = rows[bound >= ring], bound[bound >= ring]
+            if not len(rows):
+                break
+            near = np.sort(np.concatenate([order[bounds[k] : bounds[k + 1]] for k in np.flatnonzero(away == ring)]))
+            step = max(1, 2**20 // len(rows))
+            for part in (near[k : k + step] for k in range(0, len(near), step)):
+                d = sum(np.bitwise_count(asked[1][rows, w, None] ^ known[1][None, part, w]).astype(np.int16) for w in range(4))
+                at, to = np.nonzero((d <= bound[:, None]) & (np.abs(asked[0][rows, None] - known[0][None, part]) <= most_aspect))
+                a = sum(np.bitwise_count(asked[2][rows[at], w] ^ known[2][part[to], w]).astype(np.int64) for w in range(4))
+                fits = a <= average_bits
+                at, to, a = at[fits], to[fits], a[fits]
+                found = _two_least((d[at, to].astype(np.int64) << 10 | a) << _RANK | known[3][part[to]], at, len(rows))
+                both = np.concatenate([out[rows], found], 1)
+                flat, of = both.ravel(), np.repeat(np.arange(len(rows)), 4)
+                out[rows] = _two_least(flat, of, len(rows))
+    return out
+
+
+def _nearest_two(pages: DataFrame, known: DataFrame, id_: str, most_aspect: int, difference_bits: int, average_bits: int, part: int = 50_000, slice_: int = 500_000) -> DataFrame:
+    """(p, d, a, match_id): for each different fingerprint of pages the two nearest known rows of different ids, of each slice of the known ones.
+
+    For fingerprints of few bits, which agree in bands by chance: no pair is a row.  Rows meet by aspect bucket; parts of the pages and
+    slices of the known rows have a bounded number of rows, each part meets each slice in a task of its own.
+    """
+    bucket = F.floor(F.col("aspect") / (most_aspect + 1))
+    most = lambda df: df.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    rows = most(pages)
+    parts, slices = max(-(-rows // part), min(16, -(-rows // 2500))) or 1, -(-most(known) // slice_) or 1
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = pages.select(*PRINT, (F.pmod(F.xxhash64("difference"), F.lit(parts)).cast("int")).alias("__part"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("__b")).select("*", each(slices).alias("__slice"))
+    # of one table, both sides would have the same columns, which a cogroup can't tell apart
+    held = known.select(*[F.col(c).alias(c) for c in (id_, *PRINT)], bucket.alias("__b"), F.pmod(F.xxhash64(F.col(id_)), F.lit(slices)).cast("int").alias("__slice")).select("*", each(parts).alias("__part"))
+    kinds = {f.name: f.dataType for f in pages.schema}
+    schema = T.StructType([*[T.StructField(c, kinds[c]) for c in PRINT], T.StructField("d", T.IntegerType()), T.StructField("a", T.IntegerType()), T.StructField("match_id", known.schema[id_].dataType)])
+
+    def words(column) -> np.ndarray:
+        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(-1, 4)
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by(id_)
+        ids, place = right[id_], np.zeros(right.num_rows, np.int64)
+        if right.num_rows:
+            place[1:] = np.cumsum(pc.not_equal(ids.combine_chunks().slice(1), ids.combine_chunks().slice(0, len(ids) - 1)).to_numpy(zero_copy_only=False))
+        aspect = lambda t: t["aspect"].to_numpy().astype(np.int64)
+        rows = np.zeros((0, 2), np.int64)
+        if left.num_rows and right.num_rows:
+            rows = _ring_search((aspect(left), words(left["difference"]), words(left["average"])), (aspect(right), words(right["difference"]), words(right["average"]), place), most_aspect, difference_bits, average_bits)
+        at, rank = np.nonzero(rows < MOST)
+        key = rows[at, rank]
+        match = ids.take(pa.array(np.searchsorted(place, key & ((1 << _RANK) - 1))))
+        out = left.select(PRINT).take(pa.array(at))
+        out = out.append_column("d", pa.array((key >> (_RANK + 10)).astype(np.int32))).append_column("a", pa.array((key >> _RANK & 1023).astype(np.int32)))
+        return out.append_column("match_id", match)
+
+    keys = ["__b", "__slice", "__part"]
+    found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(search, schema)
+    return found.select(F.struct(*PRINT).alias("p"), "d", "a", "match_id")
+
+
+def chance_pairs(pages: DataFrame, known: DataFrame, bands: int, most_aspect: int) -> int:
+    """How many rows band_pairs() would join, from the sizes of its groups."""
+    width = most_aspect + 1
+    keys = F.array(*[F.xxhash64(F.lit(k), *[F.col("difference")[w].bitwiseAND(m) for w, m in enumerate(masks)]) for k, masks in enumerate(_masks(bands))])
+    sizes = lambda df, name: df.select(F.floor(F.col("aspect") / width).alias("__b"), F.explode(keys).alias("__k")).groupBy("__b", "__k").agg(F.count("*").alias(name))
+    near = sizes(known, "__m").select(F.explode(F.array(*[F.col("__b") + k for k in (-1, 0, 1)])).alias("__b"), "__k", "__m").groupBy("__b", "__k").agg(F.sum("__m").alias("__m"))
+    return int(sizes(pages, "__n").join(near, ["__b", "__k"]).agg(F.sum(F.col("__n").cast("decimal(38,0)") * F.col("__m"))).first()[0] or 0)
+
+
+def nearest_fingerprint(pages: DataFrame, known: DataFrame, id_: str, most_aspect: int = 8, difference_bits: int = 16, average_bits: int = 20, chance: int = 200) -> DataFrame:
     """(id, match_id, difference_bits, average_bits): for each page the nearest known fingerprint by both distances, then by id (JN5).
 
     pages and known: id, aspect (in thousandths), difference and average (four longs each).  A page doesn't match the row of its own id.
     Copies are one fingerprint with its two least ids, so their number makes no pairs.  Rows without a
     fingerprint have no match and are none.
+
+    Pairs are found by equal bands where these make at most `chance` candidates for each row; fingerprints of few bits agree in bands
+    by chance, and are searched for by their counts of bits.  Both ways find the same.
     """
     usable = lambda df: df.where(F.col("aspect").isNotNull() & (F.size("difference") == 4) & (F.size("average") == 4) & F.col(id_).isNotNull()).select(id_, *PRINT)
-    pages, known = usable(pages), usable(known)
+    pages, known = checkpoint(usable(pages)), checkpoint(usable(known))
     first = known.groupBy(*PRINT).agg(F.min(id_).alias("__first"))
     second = known.join(first, PRINT).where(F.col(id_) != F.col("__first")).groupBy(*PRINT).agg(F.min(id_).alias("__second"))
-    near = near_prints(pages.select(*PRINT).distinct(), first.select(*PRINT), most_aspect, difference_bits, average_bits)
-    named = near.join(first.join(second, PRINT, "left").select(F.struct(*PRINT).alias("q"), "__first", "__second"), "q")
-    rows = pages.select(F.col(id_), F.struct(*PRINT).alias("p")).join(named, "p")
-    match = F.when(F.col("__first") != F.col(id_), F.col("__first")).otherwise(F.col("__second"))
-    best = rows.withColumn("match_id", match).where(F.col("match_id").isNotNull()).groupBy(id_).agg(F.min(F.struct("d", "a", "match_id")).alias("m"))
+    named = first.join(second, PRINT, "left")
+    once = pages.select(*PRINT).distinct()
+    rows = pages.select(F.col(id_), F.struct(*PRINT).alias("p"))
+    if chance_pairs(once, first, difference_bits + 1, most_aspect) <= chance * known.count():
+        near = near_prints(once, first.select(*PRINT), most_aspect, difference_bits, average_bits)
+        rows = rows.join(near.join(named.select(F.struct(*PRINT).alias("q"), "__first", "__second"), "q"), "p")
+        rows = rows.withColumn("match_id", F.when(F.col("__first") != F.col(id_), F.col("__first")).otherwise(F.col("__second"))).where(F.col("match_id").isNotNull())
+    else:
+        two = named.select(*PRINT, F.explode(F.array_compact(F.array("__first", "__second"))).alias(id_))
+        rows = rows.join(_nearest_two(once, two, id_, most_aspect, difference_bits, average_bits), "p").where(F.col("match_id") != F.col(id_))
+    best = rows.groupBy(id_).agg(F.min(F.struct("d", "a", "match_id")).alias("m"))
     return best.select(id_, "m.match_id", F.col("m.d").cast("int").alias("difference_bits"), F.col("m.a").cast("int").alias("average_bits"))

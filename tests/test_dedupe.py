@@ -1,6 +1,7 @@
 """Greedy leaders by a plain loop, and the input's schema left as it was."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import markup as M
@@ -71,6 +72,29 @@ def test_nearest_fingerprint_is_that_of_all_pairs(spark):
     assert found == want and len(want) > 100
 
 
+@pytest.mark.parametrize("part,slice_", [(50_000, 500_000), (60, 70)])
+def test_fingerprints_of_few_bits_are_found_without_pairs(spark, part, slice_, monkeypatch):
+    """Few bits of forty are set, so bands agree by chance; ids come under several fingerprints, and not all are of both tables."""
+    rng = np.random.default_rng(7)
+    bits = lambda: [int(sum(1 << int(b) for b in rng.choice(40, int(rng.integers(0, 4)), replace=False))) - (1 << 63) * int(rng.random() < 0.1) for _ in range(4)]
+    rows = [(int(rng.integers(400)), int(rng.integers(700, 740)), bits(), bits()) for _ in range(400)]
+    rows += [(500 + k, *rows[0][1:]) for k in range(30)] + [(9, 700, [-1] * 4, [0] * 4), (600, None, [1, 2, 3, 4], [1, 2, 3, 4])]
+    schema = "id long, aspect int, difference array<long>, average array<long>"
+    small = dedupe._nearest_two
+    monkeypatch.setattr(dedupe, "_nearest_two", lambda *args: small(*args, part, slice_))
+    monkeypatch.setattr(dedupe, "near_prints", None)  # bands aren't asked
+    found = {r.id: (r.difference_bits, r.average_bits, r.match_id) for r in dedupe.nearest_fingerprint(spark.createDataFrame(rows[50:], schema), spark.createDataFrame(rows[:410], schema), "id", chance=1).collect()}
+    apart = lambda x, y: sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(x, y, strict=True))
+    want = {}
+    for p in rows[50:]:
+        for q in rows[:410]:
+            if None not in (p[1], q[1]) and p[0] != q[0] and abs(p[1] - q[1]) <= 8 and (d := apart(p[2], q[2])) <= 16 and (a := apart(p[3], q[3])) <= 20:
+                want[p[0]] = min(want.get(p[0], (99,)), (d, a, q[0]))
+    assert found == want and len(want) > 200
+    both = spark.createDataFrame(rows, schema)
+    assert dedupe.nearest_fingerprint(both, both, "id", chance=1).count() > 200  # one table on both sides
+
+
 def test_pairs_looked_at_grow_with_the_rows(spark):
     """Ten times the rows, of which a third are copies, make about ten times the candidates of equal bands, and copies make none."""
     rng = np.random.default_rng(6)
