@@ -93,7 +93,7 @@ def forward_backward(e: np.ndarray, first: np.ndarray, moves: np.ndarray) -> tup
     m = np.exp(moves)
     for at, sizes in _by_length(first):
         n, longest = len(at), int(sizes.max())
-        step = max(1, (1 << 21) // longest)
+        step = max(1, (1 << 17) // longest)  # some twenty arrays of so many numbers at once, on the driver too
         for k in range(0, n, step):
             a, s = at[k : k + step], sizes[k : k + step]
             index = a[None, :] + np.arange(longest)[:, None]

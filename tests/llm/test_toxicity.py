@@ -105,3 +105,17 @@ def test_ties_at_the_threshold_are_rejected(spark):
     model = T.Model(np.zeros(1 << T.BITS, np.float32), -20.0, np.zeros((2, 2)), np.zeros(3), 0.5)
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     assert [r.score for r in T.score(docs, model).collect()] == [0.5, 0.5] and T.reject(docs, model).count() == 0
+
+
+def test_the_chain_holds_little_beside_its_tokens():
+    """Fitting runs on the driver: what a step holds for its lines at once is bounded, whatever the number of tokens."""
+    import tracemalloc
+
+    n = 1 << 20
+    e, first, moves = np.linspace(-2, 2, n), np.arange(n) % 8 == 0, np.zeros((2, 2))
+    tracemalloc.start()
+    logit, pairs = T.forward_backward(e, first, moves)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20, peak
+    assert np.allclose(logit, e) and np.isclose(pairs.sum(), n * 7 / 8)  # without weights of changes each token is on its own
