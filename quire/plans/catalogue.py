@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions import clean, periodicals, records, text
 from quire.functions import constants as K
 from quire.operators import dedupe, filters, lookup, pages, ranks, series
+from quire.session import spread
 from quire.sources import archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -504,7 +505,7 @@ def periodical_name(spark, d):
 def record_roundtrip(spark, d):
     """Records of 49 fields, normalised, as XML and back (SR3-SR6, SR8)."""
     page = F.from_json(F.lit('{"image": 3, "page_type": ["story", "x", "Story"]}'), records.PAGE)
-    rows = table(spark, d, "part").select(
+    rows = spread(table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size")).select(
         "p_partkey", F.concat(F.lit(" "), "p_name").alias("title"), F.concat("p_type", F.lit(" & <"), "p_brand", F.lit(">")).alias("series"), F.concat("p_size", F.lit(".0")).alias("count"),
         F.concat(F.lower("p_type"), F.lit(", "), F.upper("p_type"), F.lit(",,"), "p_name").alias("genre"), F.when(F.col("p_size") % 3 == 0, "yesandrighttoleft").when(F.col("p_size") % 3 == 1, "?").alias("manga"), F.array(page, F.lit(None)).alias("pages"),
     )

@@ -40,3 +40,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows dealt out evenly, for work that is heavy by row: a small file of many rows is one task's input otherwise.
+
+    The number of partitions is stated, so that adaptive plans don't join them again for having few bytes.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
