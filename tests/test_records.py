@@ -113,3 +113,16 @@ def test_page_choice(spark):
     chosen = G.choose(spark.createDataFrame(rows, "query string, phase int, rank int, title string, strength int")).collect()
     assert {r.query: r.title for r in chosen} == {"a": "best", "b": "hit", "c": "parent"}
     assert values(spark, ["死神", "海賊王"], G.lookup_title) == ["BLEACH", "海賊王"]
+
+
+def test_heavy_rows_of_one_small_file_are_many_tasks(spark, tmp_path):
+    """A file of one row group is one partition; its records are read and written in as many tasks as there are cores."""
+    from quire.plans import catalogue, jobs
+
+    part = spark.range(200).selectExpr("id AS p_partkey", "concat('name ', id) AS p_name", "'Brand#1' AS p_brand", "'SMALL' AS p_type", "cast(id % 50 AS int) AS p_size", "1.0D AS p_retailprice")
+    part.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    assert catalogue.record_roundtrip(spark, str(tmp_path)).rdd.getNumPartitions() >= 4
+    plan = jobs.unknown_record_tags(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning(4)" in plan and "REPARTITION_BY_NUM" in plan
+    assert plan.count("variant") <= 2 and plan.count("Scan parquet") == 1  # a record's tags are read once
+    assert jobs.unknown_record_tags(spark, str(tmp_path)).count() == 67 + 2 * 67
