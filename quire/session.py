@@ -42,10 +42,25 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The same rows dealt out evenly, for work that is heavy by row: a small file of many rows is one task's input otherwise.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The same rows dealt out evenly, or by keys, for work that is heavy by row: a small file of many rows is one task's input otherwise.
 
-    The number of partitions is stated, so that adaptive plans don't join them again for having few bytes.
+    The number of partitions is stated, so that adaptive plans don't join them again for having few bytes.  By keys there are a
+    few for each core, as tasks are of unequal size then.
     """
     spark = df.sparkSession
+    if keys:
+        return df.repartition(_several(spark), *keys)
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
+def gather(files: DataFrame) -> DataFrame:
+    """The same files in a few tasks for each core, for Python to read: Spark makes a task of 32 small files, and each costs a start of its own.
+
+    The files of a task are read one after the other as before; where there are fewer tasks, nothing changes.
+    """
+    return files.coalesce(_several(files.sparkSession))
+
+
+def _several(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)

@@ -2,8 +2,8 @@
 
 Changes are rows, one for each entry that is put in or dropped; entries that no row names are copied from the source in
 their order, with their dates, attributes, kind of compression and the archive's comment, so unchanged pages don't travel.
-Rows are dealt out by archive and sorted by place, and a task merges them with the source's entries as both stream by:
-it holds one entry's row at a time.
+Rows are dealt out by archive, to a stated number of tasks, and sorted by place, and a task merges them with the source's
+entries as both stream by: it holds one entry's row at a time, and an archive of a few MB, which is read at once.
 
 Compare and swap: a change carries the content hash that its plan was made from.  The task that stages an archive hashes the
 source again and leaves the archive alone if it differs; the driver, which must not read all archives, compares size and
@@ -24,6 +24,7 @@ from __future__ import annotations
 import contextlib
 import copy
 import hashlib
+import io
 import json
 import posixpath
 import re
@@ -42,18 +43,20 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 from quire.functions.constants import PAGE_IMAGES
 from quire.operators.filters import entry_rank, is_image
+from quire.session import spread
 
 RECORD = "ComicInfo.xml"
 LAST = 1 << 30
 CHANGES = "source string, target string, old_hash string, place int, op string, name string, data binary, stored boolean"
 OUTCOMES = "source string, target string, outcome string, reason string, entries int, pages int, bytes long, new_hash string"
 _CHUNK = 1 << 20
+_WHOLE = 4 << 20  # archives up to this size are read at once
+_SOME = 256  # archives that a thread of the driver takes at a time
 
 
 def safe_name(name: Column, nested: bool = True) -> Column:
     """The name of a file below a folder, or an error: not empty, no absolute path, no step upwards and no backslash; without `nested` no folder either."""
-    parts = F.split(name, "/")
-    bad = name.isNull() | (name == "") | F.contains(name, F.lit("\\")) | F.exists(parts, lambda p: p.isin("", ".", "..")) | (F.size(parts) > 1 if not nested else F.lit(False))
+    bad = name.isNull() | F.contains(name, F.lit("\\")) | name.rlike(r"(^|/)\.{0,2}(/|\z)") | (F.contains(name, F.lit("/")) if not nested else F.lit(False))
     return F.when(bad, F.raise_error(F.concat(F.lit("not a name below the folder: "), F.coalesce(name, F.lit("null")))).cast("string")).otherwise(name)
 
 
@@ -63,7 +66,12 @@ def safe_name(name: Column, nested: bool = True) -> Column:
 def snapshot(spark: SparkSession, root: str, pattern: str = "*.cbz") -> DataFrame:
     """(archive, old_hash, length): the archives below a folder, by their paths relative to it, and what they hold just now."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
-    return files.select(relative(spark, root, F.col("path")).alias("archive"), F.sha2("content", 256).alias("old_hash"), "length").where(~F.col("archive").rlike(r"(^|/)\.quire-"))
+    return files.select(relative(spark, root, F.col("path")).alias("archive"), F.sha2("content", 256).alias("old_hash"), "length").where(~own_file(F.col("archive")))
+
+
+def own_file(archive: Column) -> Column:
+    """A file that a job keeps for itself below the root."""
+    return archive.rlike(r"(^|/)\.quire-")
 
 
 def relative(spark: SparkSession, root: str, path: Column) -> Column:
@@ -92,12 +100,9 @@ def page_edits(entries: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def planned(archives: DataFrame, edits: DataFrame, target: Column | None = None) -> DataFrame:
-    """Changes as the sink takes them: edits with the hash of their archive, and one `copy` row for each archive that has any."""
+    """Changes as the sink takes them: edits with the hash of their archive."""
     rows = edits.join(archives.select("archive", "old_hash"), "archive")
-    head = edits.select("archive").distinct().join(archives.select("archive", "old_hash"), "archive")
-    head = head.select("archive", "old_hash", F.lit(-1).alias("place"), F.lit("copy").alias("op"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("binary").alias("data"))
-    whole = head.unionByName(rows.select("archive", "old_hash", "place", "op", "name", "data"))
-    return whole.select(F.col("archive").alias("source"), (F.col("archive") if target is None else target).alias("target"), "old_hash", F.col("place").cast("int").alias("place"), "op", "name", "data", is_image(F.col("name")).alias("stored"))
+    return rows.select(F.col("archive").alias("source"), (F.col("archive") if target is None else target).alias("target"), "old_hash", F.col("place").cast("int").alias("place"), "op", "name", "data", is_image(F.col("name")).alias("stored"))
 
 
 def summary(changes: DataFrame) -> DataFrame:
@@ -127,13 +132,13 @@ def commit(changes: DataFrame, root: str, backup: str | None = None, force: bool
     spark.dataSource.register(sink)
     job = uuid.uuid4().hex
     rows = changes.withColumn("target", safe_name(F.col("target"))).select(*[c.split()[0] for c in CHANGES.split(", ")])
-    rows = rows.repartition("target").sortWithinPartitions("target", "place", "name")
+    rows = spread(rows, "target").sortWithinPartitions("target", "place", "name")
     options = {"job": job, "backup": backup or "", "force": str(force), "strict": str(strict)}
     rows.write.format(sink.name()).mode("append").options(**options).save(root)
     return spark.read.schema(OUTCOMES).json(f"{root.rstrip('/')}/.quire-log/{job}.json")
 
 
-@dataclass
+@dataclass(slots=True)
 class Staged:
     source: str | None
     target: str
@@ -196,27 +201,30 @@ class ArchiveWriter(DataSourceArrowWriter):
         try:
             if item.source is not None:
                 item.seen = _seen(files, f"{root}/{item.source}")
-                if _hash(files, f"{root}/{item.source}") != item.old_hash:
+                old, found = _opened(files, f"{root}/{item.source}", item.seen)
+                if found != item.old_hash:
+                    old.close()
                     item.outcome = "stale"
                     return item
             with _sink_file(files, part) as raw, zipfile.ZipFile(raw, "w") as out:
                 if item.source is None:
                     item.entries, item.pages = _written(out, [], None, rows)
                 else:
-                    with files.open_input_file(f"{root}/{item.source}") as old, zipfile.ZipFile(old) as archive:
+                    with old, zipfile.ZipFile(old) as archive:
                         names = archive.namelist()
                         if len(set(names)) < len(names):
                             raise zipfile.BadZipFile("entry names are not unique")
                         item.entries, item.pages = _written(out, archive.infolist(), archive, rows)
                         out.comment = archive.comment
-            with files.open_input_file(part) as new, zipfile.ZipFile(new) as archive:
-                if (bad := archive.testzip()) is not None:
+            written = _seen(files, part)
+            new, item.new_hash = _opened(files, part, written)
+            with new, zipfile.ZipFile(new) as archive:
+                if (bad := _damaged(archive)) is not None:
                     raise zipfile.BadZipFile(f"entry {bad} is damaged")
         except (zipfile.BadZipFile, FileNotFoundError, KeyError, NotImplementedError) as error:
-            item.outcome, item.reason = "failed", str(error)
+            item.outcome, item.reason, item.new_hash = "failed", str(error), None
             return item
-        item.part, item.new_hash = part, _hash(files, part)
-        item.bytes = files.get_file_info(part).size
+        item.part, item.bytes = part, written[0]
         return item
 
     # driver
@@ -225,11 +233,11 @@ class ArchiveWriter(DataSourceArrowWriter):
         files, root = self._files()
         items = [i for m in messages if m is not None for i in m.items]
         with ThreadPoolExecutor(16) as pool:
-            list(pool.map(lambda i: self._check(files, root, i), items))
+            list(pool.map(lambda some: self._check(files, root, some), _parts(items)))
             refused = [i for i in items if i.outcome != "staged"]
             if refused and self.options["strict"] == "True":
                 raise FileExistsError(f"nothing was written: {refused[0].target}: {refused[0].outcome} {refused[0].reason or ''}")
-            list(pool.map(lambda i: self._replace(files, root, i), [i for i in items if i.outcome == "staged"]))
+            list(pool.map(lambda some: self._replace(files, root, some), _parts([i for i in items if i.outcome == "staged"])))
         files.create_dir(f"{root}/.quire-log", recursive=True)
         kept = [c.split()[0] for c in OUTCOMES.split(", ")]
         with files.open_output_stream(f"{root}/.quire-log/{self.options['job']}.json") as log:
@@ -237,30 +245,33 @@ class ArchiveWriter(DataSourceArrowWriter):
                 log.write((json.dumps({k: getattr(item, k) for k in kept}, ensure_ascii=False) + "\n").encode())
         self._clear(files, root)
 
-    def _check(self, files, root: str, item: Staged) -> None:
-        """Whether a staged archive may take its target's place."""
-        if item.outcome != "staged":
-            return
-        target = f"{root}/{item.target}"
-        there = _seen(files, target) is not None
-        if item.source is not None:
-            now = _seen(files, f"{root}/{item.source}")
-            if now is None or now != item.seen and _hash(files, f"{root}/{item.source}") != item.old_hash:
-                item.outcome = "stale"
-                return
-        if item.source is not None and item.source != item.target and there and self.options["force"] != "True":
-            item.outcome = "exists"
-        elif there and self.options["backup"] == "error" and _seen(files, f"{target}.bak") is not None:
-            item.outcome, item.reason = "backed_up", f"there is a backup already: {item.target}.bak"
-
-    def _replace(self, files, root: str, item: Staged) -> None:
-        target = f"{root}/{item.target}"
-        if "/" in item.target:
-            files.create_dir(posixpath.dirname(target), recursive=True)
-        if self.options["backup"] and _seen(files, target) is not None and _seen(files, f"{target}.bak") is None:
-            files.copy_file(target, f"{target}.bak")
-        files.move(item.part, target)
-        item.outcome = "written"
+    def _check(self, files, root: str, some: list[Staged]) -> None:
+        """Whether staged archives may take their targets' places."""
+        some = [i for i in some if i.outcome == "staged"]
+        paths = list({f"{root}/{name}" for i in some for name in (i.source, i.target) if name is not None})
+        seen = dict(zip(paths, map(_of_file, files.get_file_info(paths)), strict=True))
+        for item in some:
+            target = f"{root}/{item.target}"
+            there = seen[target] is not None
+            if item.source is not None:
+                now = seen[f"{root}/{item.source}"]
+                if now is None or now != item.seen and _hash(files, f"{root}/{item.source}") != item.old_hash:
+                    item.outcome = "stale"
+                    continue
+            if item.source is not None and item.source != item.target and there and self.options["force"] != "True":
+                item.outcome = "exists"
+            elif there and self.options["backup"] == "error" and _seen(files, f"{target}.bak") is not None:
+                item.outcome, item.reason = "backed_up", f"there is a backup already: {item.target}.bak"
+
+    def _replace(self, files, root: str, some: list[Staged]) -> None:
+        for item in some:
+            target = f"{root}/{item.target}"
+            if "/" in item.target:
+                files.create_dir(posixpath.dirname(target), recursive=True)
+            if self.options["backup"] and _seen(files, target) is not None and _seen(files, f"{target}.bak") is None:
+                files.copy_file(target, f"{target}.bak")
+            files.move(item.part, target)
+            item.outcome = "written"
 
     def abort(self, messages: list[StagedArchives | None]) -> None:
         self._clear(*self._files())
@@ -276,13 +287,48 @@ def _sink_file(files, path: str):
     from pyarrow import fs
 
     if isinstance(files, fs.LocalFileSystem):
-        with open(path, "wb") as file:
+        file = _Held(path)
+        try:
             yield file
+        finally:
+            file.close()
     else:
         with files.open_output_stream(path) as raw:
             yield _Forward(raw)
 
 
+class _Held:
+    """A local file that is written at once when it's closed, as going back to each entry's head would write entry by entry; a large one lies on disk."""
+
+    def __init__(self, path: str):
+        self.path, self.file = path, io.BytesIO()
+
+    def write(self, data) -> int:
+        if isinstance(self.file, io.BytesIO) and self.file.tell() + len(data) > _WHOLE:
+            self.file = self._stored()
+        return self.file.write(data)
+
+    def seek(self, *where) -> int:
+        return self.file.seek(*where)
+
+    def tell(self) -> int:
+        return self.file.tell()
+
+    def flush(self) -> None:
+        self.file.flush()
+
+    def _stored(self):
+        file, at = open(self.path, "wb"), self.file.tell()
+        file.write(self.file.getbuffer())
+        file.seek(at)
+        return file
+
+    def close(self) -> None:
+        if isinstance(self.file, io.BytesIO):
+            self.file = self._stored()
+        self.file.close()
+
+
 class _Forward:
     """A stream that is written from front to end."""
 
@@ -299,8 +345,10 @@ class _Forward:
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
     """One row at a time, so that only its own data become a Python object."""
-    for k in range(batch.num_rows):
-        yield {name: batch.column(j)[k].as_py() for j, name in enumerate(batch.schema.names)}
+    names = batch.schema.names
+    columns = [(value.as_py() for value in column) if name == "data" else column.to_pylist() for name, column in zip(names, batch.columns, strict=True)]
+    for row in zip(*columns, strict=True):
+        yield dict(zip(names, row, strict=True))
 
 
 def _written(out: zipfile.ZipFile, old: list[zipfile.ZipInfo], archive: zipfile.ZipFile | None, rows: Iterator[dict]) -> tuple[int, int]:
@@ -339,11 +387,43 @@ def _written(out: zipfile.ZipFile, old: list[zipfile.ZipInfo], archive: zipfile.
     return len(names), pages or sum(n.lower().endswith(PAGE_IMAGES) for n in names)
 
 
-def _seen(files, path: str) -> tuple | None:
-    info = files.get_file_info(path)
+def _damaged(archive: zipfile.ZipFile) -> str | None:
+    """The first entry that can't be read back, as testzip() has it; a small one is read in one go."""
+    for info in archive.infolist():
+        try:
+            if info.file_size <= _CHUNK:
+                archive.read(info)
+            else:
+                with archive.open(info) as entry:
+                    while entry.read(_CHUNK):
+                        pass
+        except zipfile.BadZipFile:
+            return info.filename
+    return None
+
+
+def _parts(items: list[Staged]) -> list[list[Staged]]:
+    return [items[k : k + _SOME] for k in range(0, len(items), _SOME)]
+
+
+def _of_file(info) -> tuple | None:
     return None if info.type.name == "NotFound" else (info.size, info.mtime_ns)
 
 
+def _seen(files, path: str) -> tuple | None:
+    return _of_file(files.get_file_info(path))
+
+
+def _opened(files, path: str, seen: tuple | None):
+    """A file to read from, and its hash: a small one is read once for both, a large one is hashed as a stream before."""
+    if seen is None or seen[0] is None or seen[0] > _WHOLE:
+        digest = _hash(files, path)
+        return files.open_input_file(path), digest
+    with files.open_input_file(path) as file:
+        data = file.read()
+    return io.BytesIO(data), hashlib.sha256(data).hexdigest()
+
+
 def _hash(files, path: str) -> str:
     digest = hashlib.sha256()
     with files.open_input_stream(path) as stream:

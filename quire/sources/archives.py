@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import posixpath
 import zipfile
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,10 +18,13 @@ from pyspark.sql import functions as F
 from quire.functions import records
 from quire.functions.text import natural_key
 from quire.operators.filters import entry_rank, is_image
+from quire.session import checkpoint, gather, spread
 from quire.sources import archive_job
 
 COVER_IMAGES = (".jpg", ".jpeg", ".png", ".webp")
 ENTRIES = "archive string, idx int, name string, size long, data binary"
+PLAN_INPUT = "archive string, old_hash string, length long, idx int, name string, size long"
+_KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 
 
 def list_books(spark: SparkSession, folder: str, pattern: str = "*.epub", natural: bool = False) -> DataFrame:
@@ -81,29 +85,59 @@ def read_entries(spark: SparkSession, path: str, pattern: str = "*", with_data:
     """The entries of all archives below a path (SC1, SC11-SC13). A name that leaves the archive is an error."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
 
-    def run(batches):
-        for batch in batches:
-            for archive, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = []
-                with zipfile.ZipFile(io.BytesIO(content.as_buffer())) as z:
-                    for idx, info in enumerate(z.infolist()):
-                        plain = posixpath.normpath(info.filename.replace("\\", "/"))
-                        if plain.startswith(("../", "/")) or plain == "..":
-                            raise ValueError(f"{archive}: entry outside of the archive: {info.filename}")
-                        if not info.is_dir():
-                            rows.append((archive, idx, info.filename, info.file_size, z.read(info) if with_data else None))
-                        if len(rows) >= 64:
-                            yield _entry_batch(rows)
-                            rows = []
-                if rows:
-                    yield _entry_batch(rows)
-
-    return files.mapInArrow(run, ENTRIES)
-
-
-def _entry_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["archive", "idx", "name", "size", "data"])
+    def rows(batch):
+        for archive, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            yield from _entries(archive, content, with_data)
+
+    return gather(files).mapInArrow(lambda batches: _entry_batches((row for batch in batches for row in rows(batch)), ENTRIES), ENTRIES)
+
+
+def read_plan_input(spark: SparkSession, root: str, pattern: str = "*.cbz") -> tuple[DataFrame, DataFrame]:
+    """(archives, entries) that a plan of archive_job is made from, as its snapshot() and read_entries() without data give them.
+
+    Each archive is listed and read once and both tables are stored, as a plan asks for them several times.  Archives go by
+    their paths relative to the folder.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
+    files = files.select(archive_job.relative(spark, root, F.col("path")).alias("archive"), F.sha2("content", 256).alias("old_hash"), "length", "content").where(~archive_job.own_file(F.col("archive")))
+
+    def rows(batch):
+        for archive, old_hash, length, content in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
+            yield archive, old_hash, length, None, None, None
+            for _, idx, name, size, _ in _entries(archive, content, False):
+                yield archive, None, None, idx, name, size
+
+    found = gather(files).mapInArrow(lambda batches: _entry_batches((row for batch in batches for row in rows(batch)), PLAN_INPUT), PLAN_INPUT)
+    found = checkpoint(spread(found, "archive"))
+    return found.where("old_hash is not null").select("archive", "old_hash", "length"), found.where("idx is not null").select("archive", "idx", "name", "size")
+
+
+def _entries(archive: str, content: pa.BinaryScalar, with_data: bool) -> Iterator[tuple]:
+    with zipfile.ZipFile(io.BytesIO(content.as_buffer())) as z:
+        for idx, info in enumerate(z.infolist()):
+            plain = posixpath.normpath(info.filename.replace("\\", "/"))
+            if plain.startswith(("../", "/")) or plain == "..":
+                raise ValueError(f"{archive}: entry outside of the archive: {info.filename}")
+            if not info.is_dir():
+                yield archive, idx, info.filename, info.file_size, z.read(info) if with_data else None
+
+
+def _entry_batches(rows: Iterator[tuple], schema: str) -> Iterator[pa.RecordBatch]:
+    """Rows of all archives of a task in batches of 4,096, or fewer where their data come to some MB."""
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1]) if isinstance(row[-1], bytes) else 0
+        if len(held) >= 4096 or size >= 4 << 20:
+            yield _entry_batch(held, names, kinds)
+            held, size = [], 0
+    if held:
+        yield _entry_batch(held, names, kinds)
+
+
+def _entry_batch(rows: list[tuple], names: tuple, kinds: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], list(names))
 
 
 def count_images(entries: DataFrame) -> DataFrame:

@@ -156,3 +156,83 @@ def test_write_flag(spark):
     rows = spark.createDataFrame([(w, d, e) for w in (True, False) for d in (True, False) for e in (True, False)], "w boolean, d boolean, e boolean")
     found = {(r.w, r.d, r.e): r.x for r in rows.withColumn("x", J.effective_write(F.col("w"), F.col("d"), F.col("e"))).collect()}
     assert {k for k, v in found.items() if v} == {(True, False, True), (True, False, False), (False, False, False)}
+
+
+def test_names_are_told_by_their_parts(spark):
+    names = ["a..b", "...", ".x", "..x/y", "..\n", "x/\n"]
+    assert [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(J.safe_name(F.col("n"))).collect()] == names
+    for bad in ("x/..", "./x", "x//y", "x/", "/"):
+        with pytest.raises(Exception, match="not a name below the folder"):
+            spark.createDataFrame([(bad,)], "n string").select(J.safe_name(F.col("n"))).collect()
+
+
+def test_small_archives_are_staged_by_all_tasks(spark, tmp_path):
+    class Counting(J.ArchiveWriter):
+        def commit(self, messages):
+            with open(self.options["path"] + "/tasks", "w") as f:
+                f.write(str(sum(bool(m.items) for m in messages if m is not None)))
+            super().commit(messages)
+
+    class Sink(J.ArchiveSink):
+        @classmethod
+        def name(cls):
+            return "quire_counting"
+
+        def writer(self, schema, overwrite):
+            return Counting(dict(self.options))
+
+    rows = spark.range(40).selectExpr("CAST(NULL AS string) AS source", "concat('b', id, '.cbz') AS target", "CAST(NULL AS string) AS old_hash", "1 AS place", "'page' AS op", "'x.jpg' AS name", "CAST('x' AS binary) AS data", "true AS stored")
+    done = J.commit(rows, str(tmp_path), sink=Sink)
+    assert {r.outcome for r in done.collect()} == {"written"} and len(list(tmp_path.glob("*.cbz"))) == done.count() == 40
+    assert int((tmp_path / "tasks").read_text()) >= 8  # two tasks for each core at least, though all rows are a few kB
+
+
+def test_a_plan_reads_archives_and_makes_edits_once(spark, tmp_path):
+    _book(tmp_path / "x.cbz", [("ComicInfo.xml", b"<old/>", zipfile.ZIP_DEFLATED), ("d/", b"", zipfile.ZIP_STORED)])
+    (tmp_path / "d").mkdir()
+    _book(tmp_path / "d" / "y.cbz")
+    zipfile.ZipFile(tmp_path / "none.cbz", "w").close()
+    plain = [sorted(map(tuple, df.select(*columns).collect())) for df, columns in zip(_world(spark, tmp_path), (["archive", "old_hash", "length"], ["archive", "idx", "name", "size"]), strict=True)]
+    archives, entries = A.read_plan_input(spark, str(tmp_path))
+    for path in ("x.cbz", "none.cbz", "d/y.cbz"):
+        (tmp_path / path).unlink()
+    assert [sorted(map(tuple, df.collect())) for df in (archives, entries)] == plain and len(plain[0]) == 3
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    records = spark.createDataFrame([("x.cbz", "<new/>"), ("d/y.cbz", "<new/>")], "archive string, xml string")
+    edits = J.record_edits(entries, records)
+    plan = J.planned(archives, edits.mapInArrow(counted, edits.schema)).collect()
+    assert {(r.source, r.place, r.op, r.name) for r in plan} == {("x.cbz", 3, "put", J.RECORD), ("d/y.cbz", J.LAST, "put", J.RECORD)}
+    assert made.value == 2
+
+
+@pytest.mark.parametrize("whole", [0, 150, 4 << 20])
+def test_archives_of_all_sizes_are_written_alike(tmp_path, monkeypatch, whole):
+    import pyarrow as pa
+
+    monkeypatch.setattr(J, "_WHOLE", whole)
+    monkeypatch.setattr(J, "_SOME", 2)
+    monkeypatch.setattr(J, "_CHUNK", 100)
+    rows = []
+    for n in range(5):
+        _book(tmp_path / f"{n}.cbz")
+        old_hash = J._hash(_staged(tmp_path)[0]._files()[0], f"{tmp_path}/{n}.cbz")
+        rows.append({"source": f"{n}.cbz", "target": f"{n}.cbz", "old_hash": "another" if n == 2 else old_hash, "place": 2, "op": "put", "name": "a/2.PNG", "data": b"new" * 99, "stored": True})
+    writer, _ = _staged(tmp_path)
+    message = writer.write(iter([pa.RecordBatch.from_pylist(rows[:3]), pa.RecordBatch.from_pylist(rows[3:])]))
+    writer.commit([message])
+    assert [i.outcome for i in message.items] == ["written", "written", "stale", "written", "written"]
+    for n, item in enumerate(message.items):
+        path = tmp_path / f"{n}.cbz"
+        assert _entries(path) == [("b/1.jpg", b"one"), ("notes.txt", b"text " * 500), ("a/2.PNG", b"two" if n == 2 else b"new" * 99)]
+        if n != 2:
+            assert (item.bytes, item.new_hash) == (path.stat().st_size, J._hash(writer._files()[0], str(path)))
+    data = (tmp_path / "0.cbz").read_bytes().replace(b"new", b"nEw", 1)
+    (tmp_path / "0.cbz").write_bytes(data)
+    with zipfile.ZipFile(tmp_path / "0.cbz") as z:
+        assert J._damaged(z) == z.testzip() == "a/2.PNG"
